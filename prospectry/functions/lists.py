@@ -55,9 +55,22 @@ def _json_items(c: Column) -> Column:
     return F.transform(items, spell)
 
 
+_JSON_SCALAR = (
+    r'(?s)^(?:-?[0-9]++(?:\.[0-9]++)?+(?:[eE][-+]?+[0-9]++)?+|true|false|null|"[^"\\]*+(?:\\.[^"\\]*+)*+")$'
+)
+
+
 def _json_kind(c: Column) -> Column:
-    """Type of a JSON text, null for text that is not JSON."""
-    return F.schema_of_variant(F.try_parse_json(c))
+    """Type of a JSON text, null for text that is not JSON.
+
+    The parser stops after the first complete value, so the end of the text is checked too.
+    """
+    closed = (
+        (c.startswith("[") & c.endswith("]"))
+        | (c.startswith("{") & c.endswith("}"))
+        | c.rlike(_JSON_SCALAR)
+    )
+    return F.when(closed, F.schema_of_variant(F.try_parse_json(c)))
 
 
 def dedupe_ci_ordered(items: Column) -> Column:

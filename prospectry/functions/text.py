@@ -8,11 +8,11 @@ from prospectry.constants import NOISE_CATEGORIES
 
 # Fixed value: every character that counts as blank in Unicode text, not only ASCII.
 BLANKS = (
-    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0 "
-    "           "
-    "    　"
+    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
 )
-BLANK_CLASS = r"[\s\x1C-\x1F\x85\xA0  -     　]"
+BLANK_CLASS = r"[\s\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 WORD_CLASS = r"[\p{L}\p{N}_]"
 
 
@@ -31,8 +31,7 @@ def blank_to_null(c: Column) -> Column:
 
 def clean_text(c: Column) -> Column:
     """Collapse runs of blanks and trim; nothing left means null."""
-    collapsed = strip(F.regexp_replace(c, BLANK_CLASS + "+", " "))
-    return F.when(collapsed != "", collapsed)
+    return F.nullif(strip(F.regexp_replace(c, BLANK_CLASS + "+", " ")), F.lit(""))
 
 
 def normalize_status(c: Column) -> Column:
