@@ -6,10 +6,12 @@ attributes. Every rule about what those facts mean is a Spark expression elsewhe
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -22,6 +24,9 @@ _UNREAD = frozenset(["script", "style", "template", "rt", "rp"])
 
 _ROWS_PER_BATCH = 64
 
+# Ship this module's code with each job, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 class Element:
     __slots__ = ("name", "attrs", "children")
@@ -29,13 +34,16 @@ class Element:
     def __init__(self, name: str, attrs: dict[str, str]):
         self.name, self.attrs, self.children = name, attrs, []
 
-    def walk(self) -> Iterator["Element | str"]:
-        """Everything inside, in document order; no recursion, as unclosed tags nest deeply."""
+    def walk(self, skip: str = "") -> Iterator["Element | str"]:
+        """Everything inside, in document order, passing over the content of ``skip`` elements.
+
+        No recursion, as unclosed tags nest deeply.
+        """
         stack = [iter(self.children)]
         while stack:
             for child in stack[-1]:
                 yield child
-                if isinstance(child, Element):
+                if isinstance(child, Element) and child.name != skip:
                     stack.append(iter(child.children))
                     break
             else:
@@ -190,16 +198,9 @@ def panel_facts(html: str) -> dict:
 # --- facts of one site page ----------------------------------------------------------------
 
 
-def _join_text(page: Element, without: str = "") -> str:
-    skipped: set[int] = set()
-    if without:
-        for hidden in page.all(without):
-            skipped.update(id(t) for t in hidden.walk() if isinstance(t, str))
-    words = (
-        t.strip() for t in page.walk()
-        if isinstance(t, str) and not isinstance(t, Unread) and id(t) not in skipped
-    )
-    return " ".join(t for t in words if t)
+def _join_text(page: Element, skip: str = "") -> str:
+    texts = (t.strip() for t in page.walk(skip) if isinstance(t, str) and not isinstance(t, Unread))
+    return " ".join(t for t in texts if t)
 
 
 def site_page_facts(html: str) -> dict:
@@ -207,7 +208,7 @@ def site_page_facts(html: str) -> dict:
     title = page.first("title")
     has_noscript = page.first("noscript") is not None
     return {
-        "text": _join_text(page, "noscript" if has_noscript else ""),
+        "text": _join_text(page, "noscript"),
         "full_text": _join_text(page) if has_noscript else None,
         "title": title.text() if title else None,
         "h1_count": sum(1 for _ in page.all("h1")),
