@@ -15,27 +15,26 @@ _PROLOG = r"(?s)^\s*(?:<\?.*?\?>|<!--.*?-->|<![A-Za-z][^>]*>|\s)*<([^\s/>]+)"
 
 
 def parse_sitemaps(captures: DataFrame) -> DataFrame:
-    """Captured bodies as ``(ok, is_index, pages, children)``; a malformed body is not ok.
+    """Captured sitemaps as ``(ok, is_index, pages, children)``, one row per address.
 
-    Repeated captures of one address are reduced to one before anything is joined to it.
+    Bodies are parsed where they are read. The shuffle that brings repeated captures of an
+    address together carries only the outcome, and every later use shares that shuffle.
     """
-    once = captures.groupBy("url").agg(
-        F.max(F.struct("status_code", "content_type", "body")).alias("c")
-    ).select("url", "c.*")
-    parsed = once.withColumn("_x", F.from_xml("body", _SITEMAP_SCHEMA, _SITEMAP_OPTIONS))
+    parsed = captures.withColumn("_x", F.from_xml("body", _SITEMAP_SCHEMA, _SITEMAP_OPTIONS))
     root = F.regexp_extract("body", _PROLOG, 1)
     well_formed = F.col("_x").isNotNull() & F.col("_x._malformed").isNull() & (root != "")
-    return parsed.select(
-        "url", "status_code", "content_type",
-        well_formed.alias("ok"),
+    outcome = F.struct(
+        "status_code", "content_type",
+        F.coalesce(well_formed, F.lit(False)).alias("ok"),
         root.endswith("sitemapindex").alias("is_index"),
         F.coalesce(F.size("_x.url"), F.lit(0)).alias("pages"),
         F.filter(F.col("_x.sitemap.loc"), lambda u: u.isNotNull()).alias("children"),
     )
+    return parsed.groupBy("url").agg(F.max(outcome).alias("c")).select("url", "c.*")
 
 
 def sitemap_page_counts(parsed: DataFrame) -> DataFrame:
-    """Pages behind each well-formed sitemap; an index adds up the children that arrived whole."""
+    """Adds the pages behind each sitemap; an index sums the children that arrived whole."""
     children = (
         parsed.where(F.col("ok") & F.col("is_index"))
         .select(F.col("url").alias("_index"), F.explode("children").alias("_child"))
@@ -47,8 +46,8 @@ def sitemap_page_counts(parsed: DataFrame) -> DataFrame:
     )
     total = F.when(F.col("is_index"), F.coalesce("_sum", F.lit(0))).otherwise(F.col("pages"))
     return (
-        parsed.where("ok").join(children, parsed["url"] == children["_index"], "left")
-        .select("url", "is_index", total.cast("int").alias("total_pages"))
+        parsed.join(children, F.col("url") == F.col("_index"), "left")
+        .select("url", "status_code", "content_type", "ok", "is_index", total.cast("int").alias("total_pages"))
     )
 
 
@@ -63,11 +62,9 @@ def check_sitemaps(domains: DataFrame, captures: DataFrame) -> DataFrame:
     tried = domains.select("domain", F.posexplode(paths).alias("rank", "_path")).select(
         "domain", "rank", F.concat(F.lit("https://"), "domain", F.lit("/"), "_path").alias("url")
     )
-    parsed = parse_sitemaps(captures)
-    answered = tried.join(parsed, "url").where(
+    counted = tried.join(sitemap_page_counts(parse_sitemaps(captures)), "url").where(
         (F.col("status_code") == 200) & F.coalesce(F.col("content_type").contains("xml"), F.lit(False))
     )
-    counted = answered.join(sitemap_page_counts(parsed).select("url", "total_pages"), "url", "left")
     best = F.min(F.when(F.col("ok"), F.struct("rank", "url", "total_pages")))
     last = F.max(F.when(~F.col("ok"), F.struct("rank", "url")))
     found = counted.groupBy("domain").agg(best.alias("_best"), last.alias("_last"))

@@ -30,8 +30,24 @@ def listing_signals() -> dict[str, Column]:
     }
 
 
+def page_signals(rendered: DataFrame, captured: Column | None = None) -> DataFrame:
+    """Every signal one rendered page gives, without its HTML.
+
+    The profile reads this table twice, so write it out first when pages are many; parsing is
+    the dear step.
+    """
+    features = site.page_features(rendered.withColumn("source", F.col("html")))
+    metrics = {**site.page_metrics(F.col("source"), captured), **site.layout_signals()}
+    page = F.struct(*[F.col(f"page.{n}").alias(n) for n in ("metas", "text", "full_text")])
+    return features.select(
+        "page_id", "url", site_urls(F.col("url"))["domain"].alias("domain"),
+        *[c.alias(n) for n, c in metrics.items()],
+        site.last_update(page, F.lit(None).cast("string")).alias("lastUpdate"),
+    )
+
+
 def site_profile(
-    listings: DataFrame, rendered: DataFrame, raw: DataFrame, fetch_log: DataFrame,
+    listings: DataFrame, signals: DataFrame, raw: DataFrame, fetch_log: DataFrame,
     css_capture: DataFrame, sitemap_capture: DataFrame,
 ) -> DataFrame:
     """Listing signals left-joined to page, fetch, style-sheet and sitemap signals.
@@ -39,38 +55,26 @@ def site_profile(
     All but the sitemap join on ``page_id``, so the inputs are partitioned once on it. Pages
     travel to the joins as signals, never as HTML. Sitemaps are judged per domain, once.
     """
-    rendered = rendered.withColumn("source", F.col("html"))
-    features = site.page_features(rendered)
-    parts = site_urls(F.col("url"))
-    page = features.select(
-        "page_id", "url",
-        *[c.alias(n) for n, c in site.page_metrics(features, F.col("source")).items()],
-        F.struct(
-            F.col("page.metas").alias("metas"), F.col("page.text").alias("text"), F.col("page.full_text").alias("full_text"),
-        ).alias("_page"),
-        parts["domain"].alias("domain"),
-    )
     raw_page = site.page_features(raw.withColumn("source", F.col("html"))).select(
         "page_id", site.words(F.col("page")).alias("_raw_words"), site.is_html5(F.col("source")).alias("html5")
     )
-    responsive = site.is_responsive(features, css_capture, parts["base_url"])
-    fetched = captures.fetch_summary(fetch_log)
-    sitemaps = captures.check_sitemaps(captures.domains_of(rendered), sitemap_capture)
+    responsive = site.is_responsive(signals, css_capture, site.base_url(F.col("url")))
+    sitemaps = captures.check_sitemaps(captures.domains_of(signals), sitemap_capture)
     joined = (
-        page.join(raw_page, "page_id", "left").join(responsive, "page_id", "left")
-        .join(fetched, "page_id", "left")
+        signals.join(raw_page, "page_id", "left").join(responsive, "page_id", "left")
+        .join(captures.fetch_summary(fetch_log), "page_id", "left")
         .withColumns(
             {
                 "isHttpAllowed": captures.http_policy(F.col("domain")),
                 "speedMetrics": captures.load_time(F.col("url")),
-                "lastUpdate": site.last_update(F.col("_page"), F.col("last_modified")),
+                "lastUpdate": F.col("lastUpdate").withField("last_modified_header", F.col("last_modified")),
                 "usesJs": F.col("words") > F.col("_raw_words"),
             }
         )
         .join(sitemaps, "domain", "left")
         .withColumn("sitemap", F.struct("domain", "sitemap_found", "total_pages"))
-        .drop("url", "_page", "_raw_words", "http", "head", "get", "last_modified", "load_seconds",
-              "sitemap_found", "total_pages")
+        .drop("url", "_raw_words", "http", "head", "get", "last_modified", "load_seconds",
+              "sitemap_found", "total_pages", "viewport", "inline_media", "stylesheets")
     )
-    signals = listings.select("page_id", *[c.alias(n) for n, c in listing_signals().items()])
-    return signals.join(joined, "page_id", "left")
+    own = listings.select("page_id", *[c.alias(n) for n, c in listing_signals().items()])
+    return own.join(joined, "page_id", "left")

@@ -152,9 +152,9 @@ def has_top_level_media(css: Column) -> Column:
     return F.coalesce(bare.rlike(start), F.lit(False))
 
 
-def page_stylesheets(features: DataFrame, base_url: Column, key: str = "page_id") -> DataFrame:
-    """One row per linked style sheet, its address resolved against the page's base."""
-    links = features.select(key, base_url.alias("_base"), F.explode("page.stylesheets").alias("href"))
+def page_stylesheets(pages: DataFrame, base_url: Column, key: str = "page_id") -> DataFrame:
+    """One row per linked style sheet of ``stylesheets``, resolved against the page's base."""
+    links = pages.select(key, base_url.alias("_base"), F.explode("stylesheets").alias("href"))
     css_url = F.when(F.col("href").startswith("http"), F.col("href")).otherwise(
         resolve_href(F.col("_base"), F.col("href"))
     )
@@ -167,22 +167,29 @@ def responsive_stylesheets(css_capture: DataFrame) -> DataFrame:
     return good.select("css_url").distinct()
 
 
-def is_responsive(features: DataFrame, css_capture: DataFrame, base_url: Column, key: str = "page_id") -> DataFrame:
-    """Key and verdict: a viewport meta and a media rule, inline or linked.
+def layout_signals() -> dict[str, Column]:
+    """What a page itself tells about its layout; :func:`is_responsive` adds the linked sheets."""
+    return {
+        "viewport": has_viewport(F.col("page")),
+        "inline_media": F.exists("page.styles", has_top_level_media),
+        "stylesheets": F.col("page.stylesheets"),
+    }
+
+
+def is_responsive(pages: DataFrame, css_capture: DataFrame, base_url: Column, key: str = "page_id") -> DataFrame:
+    """Key and verdict from the layout signals: a viewport meta and a media rule, inline or linked.
 
     Only pages that need it reach the join: those with a viewport and no inline rule. Each
     style sheet is judged once, however many pages share it.
     """
-    inline = F.exists("page.styles", has_top_level_media)
-    judged = features.withColumns({"_viewport": has_viewport(F.col("page")), "_inline": inline})
-    open_pages = judged.where(F.col("_viewport") & ~F.col("_inline"))
+    undecided = pages.where(F.col("viewport") & ~F.col("inline_media"))
     linked = (
-        page_stylesheets(open_pages, base_url, key)
+        page_stylesheets(undecided, base_url, key)
         .join(responsive_stylesheets(css_capture), "css_url", "left_semi")
         .select(key).distinct().withColumn("_linked", F.lit(True))
     )
-    verdict = F.col("_viewport") & (F.col("_inline") | F.coalesce("_linked", F.lit(False)))
-    return judged.select(key, "_viewport", "_inline").join(linked, key, "left").select(key, verdict.alias("responsive"))
+    verdict = F.col("viewport") & (F.col("inline_media") | F.coalesce("_linked", F.lit(False)))
+    return pages.join(linked, key, "left").select(key, verdict.alias("responsive"))
 
 
 def uses_js(rendered: DataFrame, raw: DataFrame, key: str = "page_id") -> DataFrame:
@@ -192,7 +199,7 @@ def uses_js(rendered: DataFrame, raw: DataFrame, key: str = "page_id") -> DataFr
     return after.join(before, key).select(key, (F.col("_after") > F.col("_before")).alias("usesJs"))
 
 
-def page_metrics(features: DataFrame, html: Column, captured: Column | None = None) -> dict[str, Column]:
+def page_metrics(html: Column, captured: Column | None = None) -> dict[str, Column]:
     """Named signals that need nothing but one page."""
     page = F.col("page")
     return {
