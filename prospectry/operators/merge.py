@@ -129,38 +129,43 @@ def merge_appearances(rows: DataFrame) -> DataFrame:
     )
 
 
-def merge_listings(
-    rows: DataFrame, files: Sequence[str], extra_first: Iterable[str] = ()
-) -> DataFrame:
-    """One row per link: first known value of each field, every appearance, a flag per input.
+_APPEARANCE = ["listing_link", "map_file", "position"]
 
-    Two aggregations, both with map-side partial steps. The first is keyed on
-    (link, list, rank), which spreads a link that fills a large share of the input over many
-    tasks and shrinks it to its distinct appearances. The second gathers those per link: at
-    most (inputs x ranks on one result page) entries, since inputs are the caller's ``files``
-    and ranks come from one page. :func:`merge_appearances` is the form without that bound.
+
+def appearance_partials(rows: DataFrame, extra_first: Iterable[str] = ()) -> DataFrame:
+    """First step of the merge: one row per (link, list, rank) with its first known values.
+
+    Rows without a usable rank form their own group and still feed fields and flags.
     """
     fields = [*FIRST_VALUE_COLUMNS, *extra_first]
     types = dict(rows.dtypes)
-    firsts = [_first(n, _present(n, types[n])) for n in fields]
     categories = F.when(F.size("categories") > 0, F.col("categories"))
-
-    appearances = (
-        _prepare(rows)
-        .groupBy("listing_link", "map_file", "position")
+    return (
+        _prepare(rows).groupBy(*_APPEARANCE)
         .agg(
             F.min(F.struct("ord", "search_volume")).alias("first"),
-            _first("categories", categories), *firsts,
+            _first("categories", categories),
+            *[_first(n, _present(n, types[n])) for n in fields],
         )
     )
+
+
+def combine_partials(partials: DataFrame) -> DataFrame:
+    """Partials of separate loads as those of one load; every value is a minimum, so order is free."""
+    values = [c for c in partials.columns if c not in _APPEARANCE]
+    return partials.groupBy(*_APPEARANCE).agg(*[F.min(c).alias(c) for c in values])
+
+
+def finish_merge(partials: DataFrame, files: Sequence[str]) -> DataFrame:
+    """Second step: gather the distinct appearances of each link."""
+    fields = [c for c in partials.columns if c not in (*_APPEARANCE, "first", "categories")]
     entry = F.struct("first.ord", "position", "map_file", "first.search_volume")
-    merged = appearances.groupBy("listing_link").agg(
+    merged = partials.groupBy("listing_link").agg(
         F.array_sort(F.collect_list(F.when(F.col("position").isNotNull(), entry))).alias("seen"),
         *[F.min(n).alias(n) for n in ["categories", *fields]],
         *flag_columns(files, F.col("map_file"), _seen),
     )
-    flags = [f"query_filename{i}" for i in range(1, len(files) + 1)]
-    no_categories = F.array().cast(types["categories"])
+    no_categories = F.array().cast("array<string>")
     return merged.select(
         "listing_link",
         F.col("seen.position").alias("position"),
@@ -169,10 +174,22 @@ def merge_listings(
         F.col("seen.search_volume").alias("search_volume"),
         F.col("seen.map_file").alias("map_files"),
         F.lit("pending").alias("status"),
-        *flags,
+        *[f"query_filename{i}" for i in range(1, len(files) + 1)],
     )
 
 
+def merge_listings(rows: DataFrame, files: Sequence[str], extra_first: Iterable[str] = ()) -> DataFrame:
+    """One row per link: first known value of each field, every appearance, a flag per input.
+
+    Two aggregations, both with map-side partial steps. The first is keyed on
+    (link, list, rank), which spreads a link that fills a large share of the input over many
+    tasks and shrinks it to its distinct appearances. The second gathers those per link: at
+    most (inputs x ranks on one result page) entries, since inputs are the caller's ``files``
+    and ranks come from one page. :func:`merge_appearances` is the form without that bound.
+    """
+    return finish_merge(appearance_partials(rows, extra_first), files)
+
+
 def combined_projection(merged: DataFrame, files: Sequence[str], extra: Iterable[str] = ()) -> DataFrame:
     """Fixed column order; a flag that is missing reads false."""
     flags = [

@@ -22,30 +22,30 @@ def incremental_listings(
 ) -> StreamingQuery:
     """Merge a stream of listing rows; done input is never read again.
 
-    Every batch stores its rows, filed by bucket and batch, then rebuilds the merged rows of the
-    buckets it touched from all rows stored there. Both writes replace whole partitions, so a
-    batch that is run again after a failure leaves the same tables. ``rows`` carries ``map_file``
-    and ``ord``. Buckets should be many enough that one is a small share of the data; a hot link
-    stays spread inside its bucket because the merge spreads it.
+    Every batch stores its appearances, filed by bucket and batch, then rebuilds the merged
+    rows of the buckets it touched from the appearances stored there. Both writes replace whole
+    partitions, so a batch that is run again after a failure leaves the same tables. ``rows``
+    carries ``map_file`` and ``ord``. Buckets should be many enough that one is a small share
+    of the data; a hot link stays spread inside its bucket because the merge spreads it.
     """
-    stored, merged = f"{root}/rows", f"{root}/merged"
+    stored, merged = f"{root}/appearances", f"{root}/merged"
 
     def absorb(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        survivors = merge.filter_min_rating(batch, min_rating).where(merge.valid_link(F.col("listing_link")))
+        partials = merge.appearance_partials(merge.filter_min_rating(batch, min_rating)).select(
+            "*", F.lit(batch_id).alias("batch"), _bucket(buckets)
+        )
         (
-            survivors.select("*", F.lit(batch_id).alias("batch"), _bucket(buckets))
-            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            partials.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             .partitionBy("batch", "bucket").parquet(stored)
         )
-        everything = spark.read.schema(
-            survivors.select("*", F.lit(batch_id).alias("batch"), _bucket(buckets)).schema
-        ).parquet(stored)
+        everything = spark.read.schema(partials.schema).parquet(stored)
         # Bucket numbers only: at most ``buckets`` of them.
         touched = [r.bucket for r in everything.where(F.col("batch") == batch_id).select("bucket").distinct().collect()]
         if not touched:
             return
-        rebuilt = merge.merge_listings(everything.where(F.col("bucket").isin(touched)), files)
+        current = everything.where(F.col("bucket").isin(touched)).drop("batch", "bucket")
+        rebuilt = merge.finish_merge(merge.combine_partials(current), files)
         (
             merge.combined_projection(rebuilt, files).select("*", _bucket(buckets))
             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")

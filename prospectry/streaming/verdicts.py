@@ -4,35 +4,33 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from prospectry.functions.text import strip
-from prospectry.sources.writers import has_version, read_version, write_version
+from prospectry.operators.evaluations import latest_evaluation
 
 
-def running_latest(log: DataFrame, order: Sequence[str], values: Sequence[str]) -> DataFrame:
-    """Latest row per trimmed link; the state is one row per link, whatever the log's length."""
-    link = F.nullif(strip(F.coalesce(F.col("listing_link"), F.lit(""))), F.lit(""))
-    latest = F.max(F.struct(*order, *values)).alias("_last")
-    return log.withColumn("link", link).where(F.col("link").isNotNull()).groupBy("link").agg(latest).select("link", "_last.*")
+def stream_latest_evaluation(log: DataFrame, order: Sequence[str], root: str) -> StreamingQuery:
+    """Follow the log. State is one row per link, and each batch stores the links it changed.
 
-
-def stream_latest_evaluation(log: DataFrame, order: Sequence[str], values: Sequence[str], root: str) -> StreamingQuery:
-    """Keep a table of current verdicts; each batch of changed links gives its next version.
-
-    ``update`` mode hands over only the links that changed; they replace their old rows. A batch
-    run again after a failure replaces them by the same values.
+    A batch replaces its own partition, so running it again after a failure changes nothing.
     """
-    def publish(changed: DataFrame, _: int) -> None:
-        spark = changed.sparkSession
-        if has_version(spark, root):
-            kept = read_version(spark, root).join(changed.select("link"), "link", "left_anti")
-            changed = kept.unionByName(changed)
-        write_version(changed, root)
+
+    def publish(changed: DataFrame, batch_id: int) -> None:
+        (
+            changed.withColumn("batch", F.lit(batch_id))
+            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            .partitionBy("batch").parquet(f"{root}/changes")
+        )
 
     return (
-        running_latest(log, order, values).writeStream.outputMode("update").foreachBatch(publish)
+        latest_evaluation(log, order).writeStream.outputMode("update").foreachBatch(publish)
         .option("checkpointLocation", f"{root}/checkpoint")
         .trigger(availableNow=True).start()
     )
+
+
+def current_evaluations(spark: SparkSession, root: str, order: Sequence[str]) -> DataFrame:
+    """Latest stored change of every link."""
+    changes = spark.read.parquet(f"{root}/changes").drop("batch")
+    return latest_evaluation(changes.withColumnRenamed("link", "listing_link"), order)
