@@ -6,7 +6,7 @@ import hashlib
 
 from pyspark.sql import Column, functions as F
 
-from prospectry.functions.text import BLANK_CLASS, strip
+from prospectry.functions.text import BLANK_CLASS, is_blank, let, strip
 
 # Literals as a Python list cell would show them. Possessive repeats keep long cells linear.
 _QUOTED = r"""(?:'[^'\\]*+(?:\\.[^'\\]*+)*+'|"[^"\\]*+(?:\\.[^"\\]*+)*+")"""
@@ -27,11 +27,12 @@ _MAPPING = (
 
 def _unquote(c: Column) -> Column:
     """Value of one literal: quotes removed, common escapes resolved."""
+    number = F.when(c.contains("."), c.try_cast("double").cast("string")).otherwise(c)
     inner = F.substring(c, F.lit(2), F.length(c) - 2)
     for mark, text in ((r"(?<!\\)((?:\\\\)*)\\n", "\n"), (r"(?<!\\)((?:\\\\)*)\\t", "\t")):
         inner = F.regexp_replace(inner, mark, "$1" + text)
     inner = F.regexp_replace(inner, r"(?s)\\(.)", "$1")
-    return F.when(c.rlike("^['\"]"), inner).otherwise(c)
+    return F.when(c.rlike("^['\"]"), inner).otherwise(number)
 
 
 def _literal_items(c: Column) -> Column:
@@ -73,15 +74,52 @@ def _json_kind(c: Column) -> Column:
     return F.when(closed, F.schema_of_variant(F.try_parse_json(c)))
 
 
+# Cannot occur in a cell, so it joins items without touching them.
+_JOINT = "\x00"
+
+
+def _distinct_ci(kept: Column) -> Column:
+    """First spelling of every case-insensitive value, in order."""
+
+    def firsts(lowered: Column) -> Column:
+        return F.filter(
+            kept, lambda x, i: F.array_position(lowered, F.lower(x)) == i.cast("bigint") + 1
+        )
+
+    # Hash-based distinct settles the common case without comparing pairs.
+    lowered = F.split(F.lower(F.array_join(kept, _JOINT)), _JOINT)
+    return F.when(F.size(F.array_distinct(lowered)) == F.size(kept), kept).otherwise(
+        let(F.transform(kept, F.lower), firsts)
+    )
+
+
+def _kept_items(items: Column) -> Column:
+    return F.filter(F.transform(items, strip), lambda x: x != "")
+
+
 def dedupe_ci_ordered(items: Column) -> Column:
     """Trim, drop blanks, then keep the first spelling of every case-insensitive value."""
-    kept = F.filter(F.transform(items, strip), lambda x: x != "")
-    lowered = F.transform(kept, F.lower)
-    firsts = F.filter(
-        kept, lambda x, i: F.array_position(lowered, F.lower(x)) == i.cast("bigint") + 1
-    )
-    # Hash-based distinct settles the common case without comparing pairs.
-    return F.when(F.size(F.array_distinct(lowered)) == F.size(lowered), kept).otherwise(firsts)
+    return let(_kept_items(items), _distinct_ci)
+
+
+def _no_items() -> Column:
+    return F.array().cast("array<string>")
+
+
+# Cells whose form one look settles: lists of one kind of quote, and text that starts no literal.
+_ALL_DOUBLE = rf'^\[\s*"[^"\\]*+"(?:\s*,\s*"[^"\\]*+")*+\s*\]$'
+_ALL_SINGLE = _ALL_DOUBLE.replace('"', "'")
+_PLAIN = r"^(?![\[({'\"0-9+\-]|None|True|False|null|true|false)"
+
+
+def _inside(s: Column, quote: str) -> Column:
+    inner = F.regexp_replace(s, rf"^\[\s*{quote}|{quote}\s*\]$", "")
+    return F.split(inner, rf"{quote}\s*,\s*{quote}")
+
+
+def _plain_items(s: Column) -> Column:
+    # One-character separators are split without a pattern.
+    return F.when(s.contains("|"), F.split(s, r"\|")).otherwise(F.split(s, ","))
 
 
 def parse_categories(c: Column) -> Column:
@@ -90,34 +128,45 @@ def parse_categories(c: Column) -> Column:
     JSON array, Python list or tuple literal, then ``|`` or ``,`` separated text; any other
     complete JSON value or literal stays one item.
     """
+
+    def other(s: Column, kind: Column) -> Column:
+        return (
+            F.when(kind.startswith("ARRAY"), _json_items(s))
+            .when(kind.isNotNull(), F.array(s))
+            .when(s.rlike(_LIST) | s.rlike(_TUPLE), _literal_items(s))
+            .when(s.rlike(_SCALAR) | s.rlike(_MAPPING), F.array(s))
+            .otherwise(_plain_items(s))
+        )
+
     s = strip(c)
-    split = F.when(s.contains("|"), F.split(s, r"\|")).otherwise(F.split(s, ","))
     items = (
-        F.when(F.coalesce(s, F.lit("")) == "", F.array().cast("array<string>"))
-        .when(_json_kind(s).startswith("ARRAY"), _json_items(s))
-        .when(_json_kind(s).isNotNull(), F.array(s))
-        .when(s.rlike(_LIST) | s.rlike(_TUPLE), _literal_items(s))
-        .when(s.rlike(_SCALAR) | s.rlike(_MAPPING), F.array(s))
-        .otherwise(split)
+        F.when(s.rlike(_PLAIN), _plain_items(s))
+        .when(s.rlike(_ALL_DOUBLE), _inside(s, '"'))
+        .when(s.rlike(_ALL_SINGLE), _inside(s, "'"))
+        .otherwise(let(s, lambda v: let(_json_kind(v), lambda kind: other(v, kind))))
     )
-    return dedupe_ci_ordered(items)
+    return F.when(is_blank(c), _no_items()).otherwise(dedupe_ci_ordered(items))
 
 
 def parse_list_cell(c: Column) -> Column:
     """List cell -> array of text; a single value becomes a one-item array, commas stay."""
-    s = strip(c)
-    scalar = F.try_variant_get(F.try_parse_json(s), "$", "string")
-    return (
-        F.when(F.coalesce(s, F.lit("")) == "", F.array().cast("array<string>"))
-        .when(_json_kind(s).startswith("ARRAY"), _json_items(s))
-        .when(_json_kind(s) == "VOID", F.array(F.lit(None).cast("string")))
-        .when(_json_kind(s) == "BOOLEAN", F.array(F.initcap(scalar)))
-        .when(_json_kind(s).isNotNull(), F.array(F.coalesce(scalar, s)))
-        .when(s.rlike(_LIST) | s.rlike(_TUPLE), _literal_items(s))
-        .when(s == "None", F.array(F.lit(None).cast("string")))
-        .when(s.rlike(rf"(?s)^{_ATOM}$"), F.array(_unquote(s)))
-        .otherwise(F.array(s))
-    )
+
+    def items(s: Column, kind: Column) -> Column:
+        scalar = F.try_variant_get(F.try_parse_json(s), "$", "string")
+        nothing = F.lit(None).cast("string")
+        return (
+            F.when(kind.startswith("ARRAY"), _json_items(s))
+            .when(kind == "VOID", F.array(nothing))
+            .when(kind == "BOOLEAN", F.array(F.initcap(scalar)))
+            .when(kind.isNotNull(), F.array(F.coalesce(scalar, s)))
+            .when(s.rlike(_LIST) | s.rlike(_TUPLE), _literal_items(s))
+            .when(s == "None", F.array(nothing))
+            .when(s.rlike(rf"(?s)^{_ATOM}$"), F.array(_unquote(s)))
+            .otherwise(F.array(s))
+        )
+
+    parsed = let(strip(c), lambda s: let(_json_kind(s), lambda kind: items(s, kind)))
+    return F.when(is_blank(c), _no_items()).otherwise(parsed)
 
 
 def join_categories(items: Column) -> Column:

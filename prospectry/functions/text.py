@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from prospectry.constants import NOISE_CATEGORIES
@@ -16,22 +18,43 @@ BLANK_CLASS = r"[\s\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\
 WORD_CLASS = r"[\p{L}\p{N}_]"
 
 
+_NOT_BLANK = "[^" + BLANK_CLASS[1:]
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once.
+
+    An expression named several times in a formula is pasted in each place when projections are
+    merged; a lambda variable is not.
+    """
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def strip(c: Column) -> Column:
-    return F.btrim(c, F.lit(BLANKS))
+    """Trim every kind of blank. Most text has none at its ends, which two characters tell."""
+    blanks = list(BLANKS)
+    ends = F.left(c, F.lit(1)).isin(blanks) | F.right(c, F.lit(1)).isin(blanks)
+    return F.when(ends, F.btrim(c, F.lit(BLANKS))).otherwise(c)
 
 
 def is_blank(c: Column) -> Column:
     """True for null and for text of blanks only."""
-    return F.coalesce(strip(c) == "", F.lit(True))
+    return ~F.coalesce(c.rlike(_NOT_BLANK), F.lit(False))
+
+
+def is_blank_or(c: Column, word: str) -> Column:
+    """Blank, or ``word`` in any case with blanks around it."""
+    found = c.rlike(rf"(?i)^{BLANK_CLASS}*+(?!{word}{BLANK_CLASS}*+$){_NOT_BLANK}")
+    return ~F.coalesce(found, F.lit(False))
 
 
 def blank_to_null(c: Column) -> Column:
-    return F.when(strip(c) != "", c)
+    return F.when(c.rlike(_NOT_BLANK), c)
 
 
 def clean_text(c: Column) -> Column:
     """Collapse runs of blanks and trim; nothing left means null."""
-    return F.nullif(strip(F.regexp_replace(c, BLANK_CLASS + "+", " ")), F.lit(""))
+    return F.nullif(F.trim(F.regexp_replace(c, BLANK_CLASS + "+", " ")), F.lit(""))
 
 
 def normalize_status(c: Column) -> Column:

@@ -50,9 +50,9 @@ def query_slug(url: Column) -> Column:
     )
     text = strip(F.lower(percent_decode(raw)))
     text = F.regexp_replace(text, r'[\\/:*?"<>|]+', " ")
-    text = strip(F.regexp_replace(text, BLANK_CLASS + "+", " "))
+    text = F.trim(F.regexp_replace(text, BLANK_CLASS + "+", " "))
     slug = F.translate(text, " ,.", "___")
-    return F.when(slug != "", slug).otherwise(FALLBACK_SLUG)
+    return F.coalesce(F.nullif(slug, F.lit("")), F.lit(FALLBACK_SLUG))
 
 
 def url_host(url: Column) -> Column:

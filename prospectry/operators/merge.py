@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from prospectry.constants import COMBINED_COLUMNS, DEFAULT_MIN_RATING, LISTING_COLUMNS
 from prospectry.functions.lists import parse_categories
-from prospectry.functions.text import blank_to_null, is_blank, strip, to_rating
+from prospectry.functions.text import blank_to_null, is_blank, is_blank_or, strip, to_rating
 from prospectry.sources import schemas
 
 FIRST_VALUE_COLUMNS = ["name", "website", "phone", "address", "reviews_count", "rating", "source_file"]
@@ -26,7 +26,7 @@ def valid_link(link: Column) -> Column:
 
 def valid_link_text(link: Column) -> Column:
     """A link that counts in summaries and status matching."""
-    return F.coalesce(~F.lower(strip(link)).isin("", "nan"), F.lit(False))
+    return ~is_blank_or(link, "nan")
 
 
 def with_listing_columns(rows: DataFrame) -> DataFrame:
