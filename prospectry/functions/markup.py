@@ -13,7 +13,7 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, types as T
-from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.pandas.types import to_arrow_type
 
 # Elements without content, and elements whose text is not page text.
 _VOID = frozenset(
@@ -236,7 +236,7 @@ def parse_column(
     """
     kept = [f for f in pages.schema.fields if f.name != html]
     schema = T.StructType([*kept, T.StructField(out, dtype)])
-    arrow = to_arrow_schema(schema, timezone="UTC")
+    arrow = to_arrow_type(dtype)
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,7 +245,7 @@ def parse_column(
                 part = batch.slice(start, _ROWS_PER_BATCH)
                 found = [None if h is None else facts(h) for h in part.column(html).to_pylist()]
                 columns = [part.column(n) for n in names]
-                columns.append(pa.array(found, type=arrow.field(out).type))
+                columns.append(pa.array(found, type=arrow))
                 yield pa.RecordBatch.from_arrays(columns, names=[*names, out])
 
     return pages.select(*names, html).mapInArrow(run, schema)
