@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from prospectry.catalog import standins as st
 from prospectry.catalog.registry import query
-from prospectry.catalog.site_signals import scored_profile
+from prospectry.catalog.site_signals import PROFILE_SQL, scored_profile
 from prospectry.operators import scoring
 
 AS_OF_YEAR = 2026
@@ -50,7 +50,7 @@ _ROWS = f"WITH m AS ({st.as_sql('lineitem', {**_KEYS, **METRICS})})"
 _SITE = "coalesce(has_website, true)"
 _W, _I, _P = "coalesce(words, 0)", "coalesce(images, 0)", "coalesce(pages, 0)"
 _AGE = f"greatest(0, {AS_OF_YEAR} - coalesce(latest_year, {AS_OF_YEAR}))"
-_HEAVY = "framework LIKE '%Vue%'"
+_HEAVY = "regexp_matches(framework, '(^|,)(Angular|React|Vue|Ember.js)(,|$)')"
 _NO_JS = "framework = 'Unknown' AND coalesce(NOT uses_js, false)"
 _PLAIN = "NOT coalesce(ssl_bad, false) AND http_allowed AND NOT coalesce(to_https, true)"
 _RULES = [
@@ -81,7 +81,7 @@ _RULES = [
     (f"{_SITE} AND {_AGE} > 1", f"concat('Very old content (', CAST({_AGE} AS STRING), ' years old)')", f"least(150, 15 * {_AGE})", None),
     (f"{_SITE} AND sitemap_found IS NOT NULL AND {_P} < 5", f"concat('Small sitemap (', CAST({_P} AS STRING), ' pages)')", f"10 * (5 - {_P})", None),
     (f"{_SITE} AND sitemap_found IS NULL", "'No sitemap found'", 30, 30),
-    (f"{_SITE} AND {_HEAVY}", "'Frameworks detected (Vue, Astro)'", 40, 30),
+    (f"{_SITE} AND {_HEAVY}", "concat('Frameworks detected (', replace(framework, ',', ', '), ')')", 40, 30),
     (f"{_SITE} AND {_NO_JS}", "'No JavaScript'", 30, 30),
     (f"{_SITE} AND framework = 'Unknown' AND NOT coalesce(NOT uses_js, false) AND jquery", "'jQuery'", 30, 30),
     (f"{_SITE} AND seconds > 3", "concat('Slow load time (', format('{:.1f}', seconds), 's)')", "least(50, CAST(floor(5 * (seconds - 3)) AS INT))", None),
@@ -144,7 +144,16 @@ def score_summary(spark, d):
     return _scored(spark, d).groupBy("is_bad").agg(F.count("*").alias("businesses"), F.sum("score").alias("points"))
 
 
-@query("profile_and_score")
+# The profile's columns under the names the rules use.
+_PROFILED = f"""WITH prof AS ({PROFILE_SQL}), m AS (SELECT *, has_image AS gbp_has_image, CAST(NULL AS INT) AS listed,
+    redirects_to_https AS to_https, is_generic AS generic, total_pages AS pages, load_seconds AS seconds FROM prof)"""
+_APPLIED = " + ".join(f"CASE WHEN {c} THEN 1 ELSE 0 END" for c, *_ in _RULES)
+
+
+@query(
+    "profile_and_score",
+    f"{_PROFILED} SELECT page_id, {_points()} AS score, {_points()} >= 60 AS is_bad, CAST({_APPLIED} AS INT) AS reasons FROM m",
+)
 def profile_and_score(spark, d):
-    """Pages to scores in one go; checked against its parts in the tests."""
+    """Pages to scores in one go."""
     return scored_profile(spark, d).select("page_id", "score", "is_bad", F.size("reasons").alias("reasons"))

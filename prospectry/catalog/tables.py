@@ -46,7 +46,7 @@ def scan_with_provenance(spark, d):
 def scan_combined(spark, d):
     """Writes one merged table per file number, then reads them with one that is missing."""
     root = work_path(spark, "combined")
-    st.merged_parent(spark, d).write.partitionBy("file_idx").parquet(root)
+    st.merged_parent(spark, d).drop("row_idx").write.partitionBy("file_idx").parquet(root)
     paths = [f"{root}/file_idx={i}" for i in range(3)] + [f"{root}/absent"]
     rows = readers.scan_combined(spark, paths, "pending")
     return rows.select("file_idx", F.regexp_extract("name", r"(\d+)", 1).cast("long").alias("row_idx"), "name", "status")
