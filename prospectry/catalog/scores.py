@@ -124,16 +124,18 @@ def score_sum(spark, d):
     return _scored(spark, d).select(*_KEYS, "score", "is_bad")
 
 
+_ID = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice"
+
+
 @query(
     "sort_reasons",
-    f"""{_ROWS}, r AS ({_REASONS}) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice,
-        string_agg(concat(reason, '=', CAST(shown AS STRING)), '; ' ORDER BY shown DESC, seq) AS reasons
-    FROM r GROUP BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice""",
+    f"""{_ROWS}, r AS ({_REASONS}) SELECT {_ID},
+        coalesce(string_agg(concat(reason, '=', CAST(shown AS STRING)), '; ' ORDER BY shown DESC, seq), '') AS reasons
+    FROM (SELECT {_ID} FROM m) AS k LEFT JOIN r USING ({_ID}) GROUP BY {_ID}""",
 )
 def sort_reasons(spark, d):
-    text = F.array_join(F.transform("reasons", lambda r: F.concat(r["reason"], F.lit("="), r["penalty"].cast("string"))), "; ")
-    found = _scored(spark, d).where(F.size("reasons") > 0)
-    return found.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", text.alias("reasons"))
+    text = "array_join(transform(reasons, r -> concat(r.reason, '=', r.penalty)), '; ') AS reasons"
+    return _scored(spark, d).selectExpr(*_ID.split(", "), text)
 
 
 @query(

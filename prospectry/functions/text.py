@@ -32,9 +32,9 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def strip(c: Column) -> Column:
     """Trim every kind of blank. Most text has none at its ends, which two characters tell."""
-    blanks = list(BLANKS)
-    ends = F.left(c, F.lit(1)).isin(blanks) | F.right(c, F.lit(1)).isin(blanks)
-    return F.when(ends, F.btrim(c, F.lit(BLANKS))).otherwise(c)
+    blanks = F.lit(BLANKS)
+    ends = blanks.contains(F.left(c, F.lit(1))) | blanks.contains(F.right(c, F.lit(1)))
+    return F.when(ends, F.btrim(c, blanks)).otherwise(c)
 
 
 def is_blank(c: Column) -> Column:

@@ -1,15 +1,17 @@
 """Quality score of a business: penalties with reasons, from the site profile.
 
-The rules are data for Spark: every rule is a nullable struct, one array per row holds those
-that apply, and score and order come from that array. No row leaves the JVM.
+The rules are a table of SQL expressions: when a rule applies, what it says, the points it adds
+and the figure its reason shows. The score is the sum over the table; the reasons are an array
+sorted by struct order. No row leaves the JVM.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from typing import NamedTuple
+
+from pyspark.sql import DataFrame, functions as F
 
 from prospectry.constants import PENALIZED_BUILDERS, PENALIZED_FRAMEWORKS
-from prospectry.functions.text import one_decimal
 from prospectry.operators.site import NOTHING_FOUND
 from prospectry.sources import schemas
 
@@ -17,6 +19,103 @@ from prospectry.sources import schemas
 BAD_FROM = 60
 
 
+class Rule(NamedTuple):
+    when: str
+    reason: str
+    points: str
+    shown: str | None = None
+
+
+def _texts(values: list[str]) -> str:
+    return "array(" + ", ".join(f"'{v}'" for v in values) + ")"
+
+
+# What a missing metric counts as. Rules read these names.
+_KNOWN = {
+    "attributes": "coalesce(attributes, -1)",
+    "listed": "coalesce(gbp_amount_of_attributes, 0)",
+    "has_image": "coalesce(gbp_has_image, false)",
+    "categories": "coalesce(n_categories, 0)",
+    "verified": "coalesce(gbp_is_verified, true)",
+    "phone": "coalesce(hasPhone, false)",
+    "plus": "coalesce(phoneStartsWithPlus, false)",
+    "address": "coalesce(hasAddress, false)",
+    "site": "coalesce(has_website, true)",
+    "bad_tls": "coalesce(isHttpAllowed.ssl_bad, false)",
+    "plain_http": "coalesce(isHttpAllowed.http_allowed, false) AND NOT coalesce(isHttpAllowed.redirects_to_https, true)",
+    "responsive": "coalesce(responsive, true)",
+    "builders": "coalesce(siteBuilder.builders_detected, CAST(array() AS array<string>))",
+    "favicon": "coalesce(favicon, true)",
+    "html5": "coalesce(html5, true)",
+    "generic": "coalesce(genericTitle.is_generic, false)",
+    "described": "coalesce(metaDescription, true)",
+    "h1": "coalesce(h1, true)",
+    "analytics": "coalesce(analytics, true)",
+    "words": "coalesce(words, 0)",
+    "images": "coalesce(images, 0)",
+    "age": "greatest(0, {year} - coalesce(nullif(lastUpdate.latest_year_in_text, 0), {year}))",
+    "mapped": "coalesce(sitemap.sitemap_found <> '', false)",
+    "pages": "coalesce(sitemap.total_pages, 0)",
+    "frameworks": "array_join(coalesce(framework, CAST(array() AS array<string>)), ', ')",
+    "heavy": f"coalesce(arrays_overlap(framework, {_texts(PENALIZED_FRAMEWORKS)}), false)",
+    "unknown": f"coalesce(array_contains(framework, '{NOTHING_FOUND}'), false)",
+    "no_js": "coalesce(NOT usesJs, false)",
+    "jquery": "coalesce(jquery, false)",
+    "seconds": "coalesce(speedMetrics.load_time_seconds, 0D)",
+}
+
+
+def _label(before: str, value: str, after: str = ")") -> str:
+    return f"concat('{before}', CAST({value} AS STRING), '{after}')"
+
+
+_LISTING_RULES = [
+    Rule("m.attributes <> -1 AND m.attributes <= 4", _label("Few GBP attributes (", "m.attributes"), "30"),
+    Rule("NOT m.has_image", "'No image in GBP'", "100"),
+    Rule("m.categories = 1", "'Only one category'", "30"),
+    Rule("NOT m.verified", "'Unverified Google Business Profile'", "120"),
+    Rule("NOT m.phone", "'No phone number'", "10"),
+    Rule("m.phone AND m.plus", "'Phone number starts with +'", "10"),
+    Rule("NOT m.address", "'No address'", "30"),
+    Rule("m.listed <= 1", _label("Few GBP attributes (", "m.listed"), "40"),
+    Rule("NOT m.has_image", "'No image in GBP'", "40"),
+    Rule("NOT m.site", "'No website listed in GBP'", "120"),
+]
+
+_SITE_RULES = [
+    Rule("m.bad_tls", "'Invalid or expired SSL certificate'", "120"),
+    Rule("NOT m.bad_tls AND m.plain_http", "'HTTP access allowed (no forced HTTPS)'", "100"),
+    Rule("NOT m.responsive", "'Not responsive'", "100"),
+    *[Rule(f"array_contains(m.builders, '{b}')", f"'One-page site builder ({b})'", "30", "80") for b in PENALIZED_BUILDERS],
+    Rule("NOT m.favicon", "'No favicon'", "40"),
+    Rule("NOT m.html5", "'Not using HTML5'", "60"),
+    Rule("m.generic", "'Generic title'", "20"),
+    Rule("NOT m.described", "'No meta description'", "20"),
+    Rule("NOT m.h1", "'No H1 tag'", "30"),
+    Rule("NOT m.analytics", "'No analytics or tracking'", "25"),
+    Rule("m.words < 200", _label("Low text content (", "m.words", " words)"), "least(80, CAST(0.2D * (200 - m.words) AS INT))"),
+    Rule("m.images < 3", _label("Few images (", "m.images"), "least(60, 15 * (3 - m.images))"),
+    Rule("m.age > 1", _label("Very old content (", "m.age", " years old)"), "least(150, 15 * m.age)"),
+    Rule("m.mapped AND m.pages < 5", _label("Small sitemap (", "m.pages", " pages)"), "10 * (5 - m.pages)"),
+    Rule("NOT m.mapped", "'No sitemap found'", "30"),
+    Rule("m.heavy", _label("Frameworks detected (", "m.frameworks"), "30", "40"),
+    Rule("NOT m.heavy AND m.unknown AND m.no_js", "'No JavaScript'", "30"),
+    Rule("NOT m.heavy AND m.unknown AND NOT m.no_js AND m.jquery", "'jQuery'", "30"),
+    Rule("m.seconds > 3", _label("Slow load time (", "m.seconds_text", "s)"), "least(50, CAST(5 * (m.seconds - 3) AS INT))"),
+]
+
+RULES = [*_LISTING_RULES, *[r._replace(when=f"m.site AND {r.when}") for r in _SITE_RULES]]
+
+# Load time with one decimal, rounded on the exact binary value: a half-way test on printed
+# digits would round 4.35 up although the stored number is below it. ``8f - h`` and then ``+ 2f``
+# are both exact next to a half-way point ``h`` of the fraction ``f``.
+_TENTHS = """transform(transform(array(coalesce(speedMetrics.load_time_seconds, 0D)),
+    t -> named_struct('w', floor(t), 'f', t - floor(t), 'k', floor((t - floor(t)) * 10))),
+    x -> x.w * 10 + x.k + CASE WHEN (x.f * 8 - (x.k + 0.5D)) + x.f * 2 > 0
+        OR ((x.f * 8 - (x.k + 0.5D)) + x.f * 2 = 0 AND x.k % 2 = 1) THEN 1 ELSE 0 END)[0]"""
+_SECONDS_TEXT = f"transform(array({_TENTHS}), n -> concat(CAST(n DIV 10 AS STRING), '.', CAST(n % 10 AS STRING)))[0]"
+
+
 def with_metric_columns(metrics: DataFrame) -> DataFrame:
     """Add each missing metric as typed null, so that null and absent read alike."""
     missing = {
@@ -25,123 +124,50 @@ def with_metric_columns(metrics: DataFrame) -> DataFrame:
     return metrics.withColumns(missing) if missing else metrics
 
 
-def _known(name: str, default) -> Column:
-    return F.coalesce(F.col(name), F.lit(default))
+def known_metrics(as_of_year: int) -> str:
+    """One struct with every metric a rule reads, unknown values replaced."""
+    fields = [f"'{n}', {e.format(year=as_of_year)}" for n, e in _KNOWN.items()]
+    slow = f"CASE WHEN speedMetrics.load_time_seconds > 3 THEN {_SECONDS_TEXT} END"
+    return f"named_struct({', '.join(fields)}, 'seconds_text', {slow})"
 
 
-def _fail(seq: int, when: Column, reason: Column | str, points: Column | int, shown: Column | int | None = None) -> Column:
-    """One rule: null unless it applies. ``shown`` is the figure in the reason list."""
-    points = F.lit(points) if isinstance(points, int) else points
-    shown = points if shown is None else F.lit(shown) if isinstance(shown, int) else shown
-    text = F.lit(reason) if isinstance(reason, str) else reason
-    return F.when(
-        when,
-        F.struct(
-            F.lit(seq).alias("seq"), text.alias("reason"),
-            shown.cast("int").alias("shown"), points.cast("int").alias("points"),
-        ),
-    )
+def score_sum() -> str:
+    return " + ".join(f"CASE WHEN {r.when} THEN {r.points} ELSE 0 END" for r in RULES)
 
 
-def _label(before: str, value: Column, after: str = ")") -> Column:
-    return F.concat(F.lit(before), value.cast("string"), F.lit(after))
-
-
-def _listing_rules() -> list[Column]:
-    attributes, listed = _known("attributes", -1), _known("gbp_amount_of_attributes", 0)
-    no_image, phone = ~_known("gbp_has_image", False), _known("hasPhone", False)
-    return [
-        _fail(10, (attributes != -1) & (attributes <= 4), _label("Few GBP attributes (", attributes), 30),
-        _fail(20, no_image, "No image in GBP", 100),
-        _fail(30, _known("n_categories", 0) == 1, "Only one category", 30),
-        _fail(40, ~_known("gbp_is_verified", True), "Unverified Google Business Profile", 120),
-        _fail(50, ~phone, "No phone number", 10),
-        _fail(51, phone & _known("phoneStartsWithPlus", False), "Phone number starts with +", 10),
-        _fail(60, ~_known("hasAddress", False), "No address", 30),
-        _fail(70, listed <= 1, _label("Few GBP attributes (", listed), 40),
-        _fail(80, no_image, "No image in GBP", 40),
-    ]
-
-
-def _site_rules(as_of_year: int) -> list[Column]:
-    bad_tls = _known("isHttpAllowed.ssl_bad", False)
-    plain_http = _known("isHttpAllowed.http_allowed", False) & ~_known("isHttpAllowed.redirects_to_https", True)
-    words, images = _known("words", 0), _known("images", 0)
-    latest = F.coalesce(F.nullif(F.col("lastUpdate.latest_year_in_text"), F.lit(0)), F.lit(as_of_year))
-    age = F.greatest(F.lit(0), F.lit(as_of_year) - latest)
-    mapped = F.coalesce(F.col("sitemap.sitemap_found") != "", F.lit(False))
-    pages = _known("sitemap.total_pages", 0)
-    frameworks = F.coalesce("framework", F.array().cast("array<string>"))
-    heavy = F.arrays_overlap(frameworks, F.array(*[F.lit(f) for f in PENALIZED_FRAMEWORKS]))
-    unknown = F.array_contains(frameworks, NOTHING_FOUND)
-    no_js = F.coalesce(~F.col("usesJs"), F.lit(False))
-    seconds = _known("speedMetrics.load_time_seconds", 0.0)
-    return [
-        _fail(100, bad_tls, "Invalid or expired SSL certificate", 120),
-        _fail(101, ~bad_tls & plain_http, "HTTP access allowed (no forced HTTPS)", 100),
-        _fail(110, ~_known("responsive", True), "Not responsive", 100),
-        _fail(130, ~_known("favicon", True), "No favicon", 40),
-        _fail(140, ~_known("html5", True), "Not using HTML5", 60),
-        _fail(150, _known("genericTitle.is_generic", False), "Generic title", 20),
-        _fail(160, ~_known("metaDescription", True), "No meta description", 20),
-        _fail(170, ~_known("h1", True), "No H1 tag", 30),
-        _fail(180, ~_known("analytics", True), "No analytics or tracking", 25),
-        _fail(190, words < 200, _label("Low text content (", words, " words)"),
-              F.least(F.lit(80), ((200 - words) * F.lit(0.2)).cast("int"))),
-        _fail(200, images < 3, _label("Few images (", images), F.least(F.lit(60), (3 - images) * 15)),
-        _fail(210, age > 1, _label("Very old content (", age, " years old)"), F.least(F.lit(150), age * 15)),
-        _fail(220, mapped & (pages < 5), _label("Small sitemap (", pages, " pages)"), (5 - pages) * 10),
-        _fail(221, ~mapped, "No sitemap found", 30),
-        _fail(230, heavy, _label("Frameworks detected (", F.array_join(frameworks, ", ")), 30, 40),
-        _fail(231, ~heavy & unknown & no_js, "No JavaScript", 30),
-        _fail(232, ~heavy & unknown & ~no_js & _known("jquery", False), "jQuery", 30),
-        _fail(240, seconds > 3, _label("Slow load time (", one_decimal(seconds), "s)"),
-              F.least(F.lit(50), ((seconds - 3) * 5).cast("int"))),
-    ]
-
-
-def _builder_rules() -> Column:
-    """One entry per penalized builder, in the order they were detected."""
-    builders = F.coalesce("siteBuilder.builders_detected", F.array().cast("array<string>"))
-    return F.transform(
-        F.filter(builders, lambda b: b.isin(PENALIZED_BUILDERS)),
-        lambda b: F.struct(
-            F.lit(120).alias("seq"), _label("One-page site builder (", b).alias("reason"),
-            F.lit(80).alias("shown"), F.lit(30).alias("points"),
-        ),
-    )
+def sort_reasons() -> str:
+    """Reasons that apply, largest shown penalty first, rule order among equals.
 
+    Descending struct order does it: shown penalty, then place counted backwards. Builders come
+    in the order they were detected.
+    """
+
+    def entry(i: int, r: Rule) -> str:
+        place = f"-{i}000"
+        if "builder (" in r.reason:
+            place = f"-{len(_LISTING_RULES) + 3}000 - array_position(m.builders, {r.when.rsplit(', ', 1)[1]}"
+        return f"CASE WHEN {r.when} THEN named_struct('p', CAST({r.shown or r.points} AS INT), 's', CAST({place} AS BIGINT), 'r', {r.reason}) END"
 
-def score_sum(penalties: Column) -> Column:
-    return F.aggregate(penalties, F.lit(0), lambda total, p: total + p["points"])
+    entries = ", ".join(entry(i, r) for i, r in enumerate(RULES))
+    return f"sort_array(filter(array({entries}), x -> x IS NOT NULL), false)"
 
 
-def sort_reasons(penalties: Column) -> Column:
-    """Largest shown penalty first, rule order among equals.
+def _on(known: str, formula: str) -> str:
+    """A formula over ``m``, bound as a lambda variable.
 
-    Natural struct order does it: negated penalty, then place in the array.
+    Thirty rules pasted into one generated method make it too long for the JVM to compile, and
+    each use of a metric would repeat its expression. Behind a lambda both stay small.
     """
-    keyed = F.transform(
-        penalties, lambda p, i: F.struct((-p["shown"]).alias("k"), i.alias("i"), p["reason"].alias("r"))
-    )
-    return F.transform(
-        F.array_sort(keyed), lambda p: F.struct(p["r"].alias("reason"), (-p["k"]).alias("penalty"))
-    )
+    return f"transform(array({known}), m -> {formula})[0]"
 
 
 def quality_score(metrics: DataFrame, as_of_year: int) -> DataFrame:
     """Adds ``score``, ``is_bad`` and the sorted ``reasons``; the year is an argument so results repeat."""
-    present = lambda rules: F.filter(F.array(*rules), lambda p: p.isNotNull())
-    site = F.when(
-        _known("has_website", True), F.concat(_builder_rules(), present(_site_rules(as_of_year)))
-    ).otherwise(F.array(_fail(90, F.lit(True), "No website listed in GBP", 120)))
-    in_order = F.array_sort(
-        F.transform(site, lambda p, i: F.struct(p["seq"].alias("seq"), i.alias("i"), p.alias("p")))
-    )
-    penalties = F.concat(present(_listing_rules()), F.transform(in_order, lambda x: x["p"]))
-    scored = with_metric_columns(metrics).withColumn("_penalties", penalties)
-    scored = scored.withColumn("score", score_sum(F.col("_penalties")))
-    return scored.select(
-        *metrics.columns, "score", (F.col("score") >= BAD_FROM).alias("is_bad"),
-        sort_reasons(F.col("_penalties")).alias("reasons"),
+    full = with_metric_columns(metrics)
+    own = [f"`{c}`" for c in metrics.columns]
+    known = known_metrics(as_of_year)
+    scored = full.selectExpr(*own, f"{_on(known, score_sum())} AS score", f"{_on(known, sort_reasons())} AS found")
+    return scored.selectExpr(
+        *own, "score", f"score >= {BAD_FROM} AS is_bad",
+        "transform(found, x -> named_struct('reason', x.r, 'penalty', x.p)) AS reasons",
     )
