@@ -35,7 +35,7 @@ def main() -> None:
         "bench", f"local[{cpus}]",
         **{
             "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
-            "spark.sql.shuffle.partitions": cpus, "spark.driver.memory": os.environ.get("BENCH_MEMORY", "8g"),
+            "spark.sql.shuffle.partitions": cpus, "spark.prospectry.parsePartitions": cpus, "spark.driver.memory": os.environ.get("BENCH_MEMORY", "8g"),
         },
     )
     spark.sparkContext.setLogLevel("ERROR")

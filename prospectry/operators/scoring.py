@@ -138,8 +138,9 @@ def score_sum() -> str:
 def sort_reasons() -> str:
     """Reasons that apply, largest shown penalty first, rule order among equals.
 
-    Descending struct order does it: shown penalty, then place counted backwards. Builders come
-    in the order they were detected.
+    Descending struct order does it: shown penalty, then place counted backwards. Rules that do
+    not apply are null and sort to the end, where their count cuts them off; a lambda would take
+    the whole formula out of generated code. Builders come in the order they were detected.
     """
 
     def entry(i: int, r: Rule) -> str:
@@ -149,25 +150,20 @@ def sort_reasons() -> str:
         return f"CASE WHEN {r.when} THEN named_struct('p', CAST({r.shown or r.points} AS INT), 's', CAST({place} AS BIGINT), 'r', {r.reason}) END"
 
     entries = ", ".join(entry(i, r) for i, r in enumerate(RULES))
-    return f"sort_array(filter(array({entries}), x -> x IS NOT NULL), false)"
+    applied = " + ".join(f"CASE WHEN {r.when} THEN 1 ELSE 0 END" for r in RULES)
+    return f"slice(sort_array(array({entries}), false), 1, {applied})"
 
 
-def _on(known: str, formula: str) -> str:
-    """A formula over ``m``, bound as a lambda variable.
+def quality_score(metrics: DataFrame, as_of_year: int) -> DataFrame:
+    """Adds ``score``, ``is_bad`` and the sorted ``reasons``; the year is an argument so results repeat.
 
-    Thirty rules pasted into one generated method make it too long for the JVM to compile, and
-    each use of a metric would repeat its expression. Behind a lambda both stay small.
+    Thirty rules make one long generated method, which the JVM would not compile. The session's
+    ``spark.sql.codegen.hugeMethodLimit`` makes Spark cut such a method into short ones.
     """
-    return f"transform(array({known}), m -> {formula})[0]"
-
-
-def quality_score(metrics: DataFrame, as_of_year: int) -> DataFrame:
-    """Adds ``score``, ``is_bad`` and the sorted ``reasons``; the year is an argument so results repeat."""
-    full = with_metric_columns(metrics)
     own = [f"`{c}`" for c in metrics.columns]
-    known = known_metrics(as_of_year)
-    scored = full.selectExpr(*own, f"{_on(known, score_sum())} AS score", f"{_on(known, sort_reasons())} AS found")
+    known = with_metric_columns(metrics).selectExpr(*own, f"{known_metrics(as_of_year)} AS m")
+    scored = known.selectExpr(*own, f"{score_sum()} AS score", f"{sort_reasons()} AS found")
     return scored.selectExpr(
         *own, "score", f"score >= {BAD_FROM} AS is_bad",
-        "transform(found, x -> named_struct('reason', x.r, 'penalty', x.p)) AS reasons",
+        "CAST(arrays_zip(found.r, found.p) AS array<struct<reason:string,penalty:int>>) AS reasons",
     )

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from prospectry.constants import ANALYTICS_PATTERNS, FRAMEWORKS, GENERIC_TITLES, SITE_BUILDERS
 from prospectry.functions import markup
-from prospectry.functions.text import BLANK_CLASS, BLANKS, count_words, has_updated_phrase, latest_year, strip
+from prospectry.functions.text import BLANK_CLASS, BLANKS, count_words, has_updated_phrase, latest_year, let, strip
 from prospectry.functions.urls import resolve_href, site_urls
 from prospectry.sources import schemas
 
@@ -56,9 +56,13 @@ def site_builders(html: Column) -> Column:
     The catalogue is a handful of constants, so it becomes a chain of substring tests on the
     page instead of a join.
     """
-    lowered = F.lower(html)
-    flags = [(b, contains_any(lowered, [m.lower() for m in marks])) for b, marks in SITE_BUILDERS.items()]
-    return _named_or_unknown(flags)
+
+    def found(lowered: Column) -> Column:
+        return _named_or_unknown(
+            [(b, contains_any(lowered, [m.lower() for m in marks])) for b, marks in SITE_BUILDERS.items()]
+        )
+
+    return let(F.lower(html), found)
 
 
 # --- from the parsed page ------------------------------------------------------------------
@@ -109,6 +113,10 @@ def detect_jquery(page: Column, captured: Column | None = None) -> Column:
 
 
 def detect_frameworks(html: Column, page: Column, captured: Column | None = None) -> Column:
+    return let(html, lambda text: _frameworks_in(text, page, captured))
+
+
+def _frameworks_in(html: Column, page: Column, captured: Column | None) -> Column:
     flags: dict[str, Column] = {}
     for f in FRAMEWORKS:
         tests = [contains_any(html, f["text"])] if "text" in f else []

@@ -17,6 +17,8 @@ DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.parquet.filterPushdown": "true",
+    # The JVM leaves longer methods uncompiled; beyond this Spark generates many short ones instead.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # Call sites are not recorded for every expression, which makes long plans quick to build.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
     # Whole HTML pages travel to Python workers; small batches keep their memory bounded.
