@@ -18,8 +18,8 @@ def collect_listings(
     # Queries with one slug write one table: pick the last that has a page.
     arrived = chosen.join(pages.select("page_id"), "page_id", "left_semi")
     winners = searches.last_query_per_slug(arrived.select("slug", "ord", "page_id", "search_volume", "source_file"))
-    captured = pages.select("page_id", "html").join(winners.select("page_id"), "page_id", "left_semi")
-    found = ex.merge_panel_fields(ex.extract_listings(captured), ex.extract_panels(panels))
+    # Listings are joined, not pages: HTML is read where it lies and never shuffled.
+    found = ex.merge_panel_fields(ex.extract_listings(pages.select("page_id", "html")), ex.extract_panels(panels))
     rows = found.join(winners, "page_id")
     outcomes = searches.query_outcomes(queries, pages, redo, ["page_id"])
     return rows, outcomes

@@ -13,10 +13,11 @@ from prospectry.operators.evaluations import union_evaluations
 def write_listings(listings: DataFrame, root: str) -> None:
     """One output per query slug; a slug written again replaces its old rows only.
 
-    Rows are brought together by slug first, so a slug is one file and not one per task.
+    Rows are brought together by slug first, so a slug is few files and not one per task; adaptive
+    execution splits a slug that is too large for one task.
     """
     (
-        listings.repartition("slug").write.mode("overwrite")
+        listings.hint("rebalance", "slug").write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic").partitionBy("slug").parquet(root)
     )
 
