@@ -141,20 +141,32 @@ def read_html(html: str) -> Element:
 
 # --- facts of one results page -------------------------------------------------------------
 
+# CSS classes that mark the parts of a listing on a results page.
+FULL_CONTAINER = "Nv2PK tH5CWc THOPZb"
+ANY_CONTAINER = "Nv2PK"
+LISTING_ANCHOR = "hfpxzc"
+HEADLINE = "qBF1Pd"
+STARS = "ZkP5Je"
+RATING = "MW4etd"
+REVIEWS = "UY7F9"
+CATEGORY_LIST = "category-list-display"
+TEXT_BLOCK = "W4Efsd"
+PHONE = "UsdlK"
+
 
 def _listing_facts(box: Element) -> dict:
-    link = box.first("a", css="hfpxzc")
-    headline = box.first("div", css="qBF1Pd")
-    stars = box.first("span", css="ZkP5Je", having="aria-label")
-    rating = stars.first("span", css="MW4etd") if stars else None
-    reviews = stars.first("span", css="UY7F9") if stars else None
-    categories = box.first("div", css="category-list-display")
+    link = box.first("a", css=LISTING_ANCHOR)
+    headline = box.first("div", css=HEADLINE)
+    stars = box.first("span", css=STARS, having="aria-label")
+    rating = stars.first("span", css=RATING) if stars else None
+    reviews = stars.first("span", css=REVIEWS) if stars else None
+    categories = box.first("div", css=CATEGORY_LIST)
     labelled = (a for a in box.all("a", having="aria-label") if "website" in a.attrs["aria-label"].lower())
     valued = (a for a in box.all("a") if a.attrs.get("data-value") == "Website")
     website = next(labelled, None) or next(valued, None)
 
     def block(e: Element) -> dict:
-        phone = e.first("span", css="UsdlK")
+        phone = e.first("span", css=PHONE)
         return {"text": e.text(" "), "phone": phone.text() if phone else None}
 
     return {
@@ -164,7 +176,7 @@ def _listing_facts(box: Element) -> dict:
         "rating_text": rating.text() if rating else None,
         "reviews_text": reviews.text() if reviews else None,
         "category_texts": [e.text(" ") for e in categories.all("a", "span", "div")] if categories else [],
-        "blocks": [block(e) for e in box.all("div", css="W4Efsd")],
+        "blocks": [block(e) for e in box.all("div", css=TEXT_BLOCK)],
         "has_website_anchor": website is not None,
         "website_href": website.attrs.get("href") if website else None,
     }
@@ -173,7 +185,7 @@ def _listing_facts(box: Element) -> dict:
 def results_page_facts(html: str) -> list[dict]:
     """Facts of every listing container, in page order."""
     page = read_html(html)
-    boxes = list(page.all("div", css="Nv2PK tH5CWc THOPZb")) or list(page.all("div", css="Nv2PK"))
+    boxes = list(page.all("div", css=FULL_CONTAINER)) or list(page.all("div", css=ANY_CONTAINER))
     return [_listing_facts(b) for b in boxes]
 
 

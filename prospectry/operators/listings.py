@@ -12,8 +12,7 @@ from prospectry.functions.text import (
 from prospectry.functions.urls import kg_url, parse_coords
 from prospectry.sources import schemas
 
-# Marks of the two page parts, as they stand in the HTML.
-_CONTAINER = "Nv2PK"
+# Fixed value: status of a listing whose website anchor has no address.
 _NO_HREF_ERROR = "parse_error: 'NoneType' object has no attribute 'startswith'"
 
 
@@ -112,7 +111,7 @@ def extract_listings(pages: DataFrame, html: str = "html") -> DataFrame:
     """
     boxes = T.ArrayType(schemas.LISTING_MARKUP)
     parsed = markup.parse_column(
-        pages.where(F.col(html).contains(_CONTAINER)), html, markup.results_page_facts, boxes, "_boxes"
+        pages.where(F.col(html).contains(markup.ANY_CONTAINER)), html, markup.results_page_facts, boxes, "_boxes"
     )
     kept = [c for c in parsed.columns if c != "_boxes"]
     ranked = parsed.select(*kept, F.posexplode("_boxes").alias("_i", "_box"))
