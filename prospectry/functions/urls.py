@@ -7,7 +7,7 @@ from pyspark.sql import Column, functions as F
 from prospectry.constants import (
     CID_URL, FALLBACK_SLUG, KG_SEARCH_URL, KG_SHORT_URL, PHOTO_SIZE, PHOTO_URL, PLACE_URL,
 )
-from prospectry.functions.text import BLANK_CLASS, strip
+from prospectry.functions.text import BLANK_CLASS, let, strip
 
 
 def percent_decode(c: Column, plus_is_blank: bool = True) -> Column:
@@ -43,12 +43,11 @@ def query_slug(url: Column) -> Column:
     asked = F.coalesce(_first_value(query, "q"), _first_value(query, "query"))
     searched = F.regexp_extract(path, r"(?s)/maps/search/(.*)$", 1)
     last = F.regexp_extract(path, r"(?s)([^/]*)/*$", 1)
-    raw = (
-        F.when(strip(asked) != "", asked)
-        .when(path.contains("/maps/search/"), searched)
-        .otherwise(last)
+    raw = let(
+        asked,
+        lambda a: F.when(strip(a) != "", a).when(path.contains("/maps/search/"), searched).otherwise(last),
     )
-    text = strip(F.lower(percent_decode(raw)))
+    text = let(F.lower(percent_decode(raw)), strip)
     text = F.regexp_replace(text, r'[\\/:*?"<>|]+', " ")
     text = F.trim(F.regexp_replace(text, BLANK_CLASS + "+", " "))
     slug = F.translate(text, " ,.", "___")
