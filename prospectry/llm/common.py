@@ -42,3 +42,14 @@ def texts_as_bytes(column: pa.Array) -> Iterator[bytes]:
 def fold(id_column: str, parts: int):
     """crc32 of the id as text, modulo ``parts``; rows without an id belong to part 0."""
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % parts, F.lit(0))
+
+
+def spread_join(rows: DataFrame, values: DataFrame, key: str, spread_by: str, salts: int = 32, how: str = "inner") -> DataFrame:
+    """Join rows with a table that has one row per key, so that no key's rows meet in one task.
+
+    Rows get a salt from ``spread_by``. The (key, salt) pairs that occur are found by an aggregation whose
+    partial step shrinks a hot key to ``salts`` rows, get their values, and meet the rows by (key, salt).
+    """
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)))
+    pairs = salted.groupBy(key, "_salt").agg(F.lit(1).alias("_one")).drop("_one").join(values, key)
+    return salted.join(pairs, [key, "_salt"], how).drop("_salt")
