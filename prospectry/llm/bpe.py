@@ -14,6 +14,7 @@ import json
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -154,12 +155,12 @@ def loaded(path: str) -> WordBpe:
     return _LOADED[path]
 
 
-def _map(df: DataFrame, id_column: str, text_column: str, path: str, ddl: str, schema: pa.Schema, row) -> DataFrame:
+def _map(df: DataFrame, id_column: str, text_column: str, path: str, ddl: str, schema: pa.Schema, columns) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
         for batch in batches:
-            rows = [row(i, *bpe.encode(t.as_py() or "")) for i, t in zip(batch.column(0).to_pylist(), batch.column(1))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
+            coded = [bpe.encode(t.as_py() or "") for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns(coded)], schema=schema)
 
     bound_batches(df.sparkSession)
     return df.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")).mapInArrow(run, ddl)
@@ -173,14 +174,24 @@ def encode_texts(df: DataFrame, path: str, id_column: str = "doc_id", text_colum
     null id; an empty table gives no rows. Further columns are ignored. ``path`` must be readable by workers.
     """
     schema, ddl = arrow_schema(doc_id="long", ids="array<int>", decoded="string")
-    return _map(df, id_column, text_column, path, ddl, schema, lambda i, ids, text: (i, memoryview(ids).cast("I").tolist() if ids else [], text))
+
+    def columns(coded: list[tuple[bytes, str]]) -> list[pa.Array]:
+        ends = np.cumsum([0, *(len(ids) // 4 for ids, _ in coded)])
+        ids = np.frombuffer(b"".join(ids for ids, _ in coded), "<i4")
+        return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32())), pa.array([text for _, text in coded], pa.string())]
+
+    return _map(df, id_column, text_column, path, ddl, schema, columns)
 
 
 def encode_digests(df: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row; edge cases as in ``encode_texts``."""
     schema, ddl = arrow_schema(doc_id="long", n_tokens="long", ids_sha256="string", decoded_sha256="string")
 
-    def row(i, ids: bytes, text: str):
-        return i, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text.encode("utf-8")).hexdigest()
+    def columns(coded: list[tuple[bytes, str]]) -> list[pa.Array]:
+        return [
+            pa.array([len(ids) // 4 for ids, _ in coded], pa.int64()),
+            pa.array([hashlib.sha256(ids).hexdigest() for ids, _ in coded], pa.string()),
+            pa.array([hashlib.sha256(text.encode("utf-8")).hexdigest() for _, text in coded], pa.string()),
+        ]
 
-    return _map(df, id_column, text_column, path, ddl, schema, row)
+    return _map(df, id_column, text_column, path, ddl, schema, columns)

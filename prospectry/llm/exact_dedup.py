@@ -14,6 +14,7 @@ texts share a digest, the rows of that digest are matched on content too.
 from __future__ import annotations
 
 import hashlib
+import string
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -79,17 +80,13 @@ def exact_groups(
 
 
 def drop_copies(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of ``df``, all columns, that ``exact_groups`` keeps; of repeated rows one stays."""
-    groups = materialize(exact_groups(df, id_column, text_column).filter("kept").select(F.col(id_column).alias("_keep"), "text_sha256"), "exact-kept")
-    ids = groups.dropDuplicates(["_keep", "text_sha256"])
-    repeated = groups.groupBy("_keep").count().filter("count > 1 OR _keep IS NULL")
-    kept = df.join(ids.select("_keep").distinct(), F.col(id_column).eqNullSafe(F.col("_keep")), "left_semi")
-    return kept if repeated.isEmpty() else _one_of_each(kept, ids, id_column, text_column)
-
-
-def _one_of_each(df: DataFrame, ids: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """Ids that occur more than once: match content as well, and keep one row for each text."""
-    norm = F.sha2(F.translate(F.coalesce(F.col(text_column).cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), 256)
-    with_digest = df.withColumn("_digest", norm)
-    match = with_digest[id_column].eqNullSafe(ids["_keep"]) & (with_digest["_digest"] == ids["text_sha256"])
-    return with_digest.join(ids, match, "left_semi").dropDuplicates([id_column, "_digest"]).drop("_digest")
+    """The rows of ``df``, all columns, that ``exact_groups`` keeps; of repeated rows and of rows without an id one stays."""
+    groups = materialize(exact_groups(df, id_column, text_column).select(F.col(id_column).alias("_id"), "kept", "text_sha256"), "exact-groups")
+    rows, ids = groups.agg(F.count(F.lit(1)), F.count_distinct("_id")).first()
+    if rows == ids:  # ids are a key: the dropped ids are enough
+        return df.join(groups.filter("NOT kept").select("_id"), F.col(id_column) == F.col("_id"), "left_anti")
+    norm = F.translate(F.coalesce(F.col(text_column).cast("string"), F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
+    marked = df.withColumn("_digest", F.sha2(norm, 256))
+    kept = groups.filter("kept").distinct()
+    match = marked[id_column].eqNullSafe(kept["_id"]) & (marked["_digest"] == kept["text_sha256"])
+    return marked.join(kept, match, "left_semi").dropDuplicates([id_column, "_digest"]).drop("_digest")
