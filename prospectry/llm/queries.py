@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from prospectry.llm import bpe, decontaminate, exact_dedup, simhash, toxicity
+from prospectry.llm import bpe, decontaminate, exact_dedup, line_dedup, simhash, toxicity, url_filter
 from prospectry.llm.common import fold, table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,30 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_url_filter")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+@query(
+    "op2_line_dedup",
+    f"""
+    WITH l AS (
+        SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS k
+        FROM documents
+    ), wide AS (
+        SELECT line FROM l WHERE regexp_matches(line, '[^ \t\n\x0B\f\r]') GROUP BY line HAVING count(DISTINCT source) >= {line_dedup.MIN_SITES}
+    ), marked AS (SELECT l.*, wide.line IS NOT NULL AS gone FROM l LEFT JOIN wide USING (line))
+    SELECT doc_id, count(*) AS n_lines, sum(gone::int)::bigint AS n_removed,
+        sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone), '')) AS kept_sha256
+    FROM marked GROUP BY doc_id
+    """,
+)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup.remove_boilerplate(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 @query("op3_decontaminate")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
