@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from prospectry.llm import bpe, decontaminate, exact_dedup, line_dedup, ngram_lm, sharding, simhash, toxicity, url_filter
+from prospectry.llm import bpe, decontaminate, exact_dedup, line_dedup, ngram_lm, sharding, simhash, suffix_dedup, toxicity, url_filter
 from prospectry.llm.common import fold, table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,6 +91,11 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+@query("op5_suffix_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), digests_only=True)
+
+
 @query("op6_simhash_groups")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
