@@ -214,6 +214,9 @@ _POLICY = {
     "ssl_bad": "CASE WHEN page_id % 5 < 2 THEN false WHEN page_id % 5 = 2 THEN true WHEN page_id % 5 = 3 THEN page_id % 2 <> 0 ELSE NULL END",
     "status_code": "CASE WHEN page_id % 7 = 1 THEN 404 ELSE NULL END",
     "error": "CASE page_id % 7 WHEN 2 THEN 'other' WHEN 3 THEN 'Invalid response object' ELSE NULL END",
+    "https_status_code": "CASE WHEN page_id % 5 = 1 THEN 503 ELSE NULL END",
+    "ssl_error": "CASE WHEN page_id % 5 = 2 OR page_id % 5 = 3 AND page_id % 2 <> 0 THEN 'ssl' ELSE NULL END",
+    "https_error": "CASE WHEN page_id % 5 = 4 THEN 'other' ELSE NULL END",
 }
 
 
@@ -224,10 +227,10 @@ def http_policy(spark, d):
     return joined.select("page_id", captures.http_policy(F.col("domain")).alias("h")).select("page_id", "h.*")
 
 
-@query("load_time", "SELECT page_id, url, CASE WHEN page_id % 11 <> 5 THEN CAST(page_id % 90 AS DOUBLE) / 8 ELSE NULL END AS load_time_seconds FROM pages")
+@query("load_time", "SELECT page_id, url, CASE WHEN page_id % 11 <> 5 THEN CAST(page_id % 90 AS DOUBLE) / 8 ELSE NULL END AS load_time_seconds, CASE WHEN page_id % 11 <> 5 THEN concat('start ', CAST(page_id AS STRING)) ELSE NULL END AS performance_timing FROM pages")
 def load_time(spark, d):
     joined = st.raw_pages(spark, d).select("page_id", "url").join(captures.fetch_summary(st.fetch_log(spark, d)), "page_id", "left")
-    return joined.select("page_id", captures.load_time(F.col("url")).alias("s")).select("page_id", "s.url", "s.load_time_seconds")
+    return joined.select("page_id", captures.load_time(F.col("url")).alias("s")).select("page_id", "s.*")
 
 
 # --- the whole profile ---------------------------------------------------------------------

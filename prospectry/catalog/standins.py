@@ -230,13 +230,20 @@ _FETCHES = [
     }),
     ("https", "LOAD", "page_id % 11 <> 5", {
         "final_url": "url", "status_code": "200", "error_kind": "CAST(NULL AS STRING)",
-        "load_seconds": "CAST(page_id % 90 AS DOUBLE) / 8",
+        "load_seconds": "CAST(page_id % 90 AS DOUBLE) / 8", "performance_timing": "concat('start ', CAST(page_id AS STRING))",
+    }),
+    # Failed or older repeats, which must not count, and a GET header that a HEAD reply goes before.
+    ("http", "GET", "page_id % 7 IN (0, 4, 5, 6)", {"final_url": "'http://gone.example.com/'", "status_code": "500", "error_kind": "CAST(NULL AS STRING)", "day": "9"}),
+    ("https", "HEAD", "page_id % 5 = 0", {"final_url": "url", "status_code": "503", "error_kind": "CAST(NULL AS STRING)", "day": "9"}),
+    ("https", "LOAD", "page_id % 11 <> 5", {
+        "final_url": "url", "status_code": "200", "error_kind": "CAST(NULL AS STRING)", "load_seconds": "99.5", "day": "1",
+        "last_modified": "'Wed, 01 Jan 2020 00:00:00 GMT'",
     }),
 ]
 
 
 def fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Up to four replies per page, made by one explode."""
+    """Up to seven replies per page, repeats among them, made by one explode."""
     rows = []
     for scheme, method, made, e in _FETCHES:
         e = {k: v.format(d=DOMAIN) for k, v in e.items()}
@@ -244,7 +251,8 @@ def fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
             f"named_struct('made', {made}, 'scheme', '{scheme}', 'method', '{method}', 'requested_url', url, "
             f"'final_url', {e['final_url']}, 'status_code', CAST({e['status_code']} AS INT), "
             f"'error_kind', {e['error_kind']}, 'last_modified', {e.get('last_modified', 'CAST(NULL AS STRING)')}, "
-            f"'load_seconds', {e.get('load_seconds', 'CAST(NULL AS DOUBLE)')})"
+            f"'load_seconds', CAST({e.get('load_seconds', 'NULL')} AS DOUBLE), 'fetched_at', timestamp'2026-01-0{e.get('day', 5)} 00:00:00', "
+            f"'performance_timing', {e.get('performance_timing', 'CAST(NULL AS STRING)')})"
         )
     exploded = table(spark, sf_dir, "pages").selectExpr("page_id", f"inline(array({', '.join(rows)}))")
     return exploded.where("made").drop("made")
@@ -255,7 +263,9 @@ CSS = {
         ELSE concat('https://cdn.example.com/m', CAST(page_id % 10 AS STRING), '.css') END""",
     "status_code": "CASE WHEN page_id % 10 = 4 THEN 404 ELSE 200 END",
     "body": """CASE WHEN page_id % 10 IN (0, 1, 4) THEN '/* "x */ p{color:red} @MEDIA print{p{margin:0}}'
-        WHEN page_id % 10 = 2 THEN 'p{content:"@media x{}"} @mediafoo{}' ELSE 'p{margin:0}' END""",
+        WHEN page_id % 10 = 2 THEN 'p{content:"@media x{}"} @mediafoo{}'
+        WHEN page_id % 10 = 3 THEN '@import url(a);;@media x{p{}}' WHEN page_id % 10 = 5 THEN 'foo; @media x{p{}}'
+        WHEN page_id % 10 = 6 THEN concat(repeat('@supports(a){x:y;', 8), '@media b{p{}}', repeat('}', 8)) ELSE 'p{margin:0}' END""",
 }
 
 
@@ -276,6 +286,10 @@ _SITEMAPS = [
     ("sitemap-index.xml", 3, 200, "text/xml", "'<urlset><url/><url/></urlset>'"),
     ("sitemap.xml", 4, 200, "text/xml", "'not xml'"),
     ("sitemap.xml", 5, 404, "text/xml", "'<urlset/>'"),
+    # Repeats that failed, later than the good capture.
+    ("sitemap.xml", 0, 503, "text/xml", "'busy'"),
+    ("sitemap_index.xml", 1, 503, "text/html", "'<html></html>'"),
+    ("a.xml", 1, 200, "text/plain", "'<urlset>'"),
 ]
 
 

@@ -86,17 +86,31 @@ def site_urls(url: Column) -> Column:
     )
 
 
+def _without_dots(segments: Column) -> Column:
+    """Path segments with ``.`` and ``..`` resolved; a path that ends in one of them ends in a slash."""
+
+    def step(kept: Column, segment: Column) -> Column:
+        shorter = F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))
+        return F.when(segment == "..", shorter).when(segment == ".", kept).otherwise(F.array_append(kept, segment))
+
+    kept = F.aggregate(segments, F.array().cast("array<string>"), step)
+    return F.when(F.element_at(segments, -1).isin(".", ".."), F.array_append(kept, F.lit(""))).otherwise(kept)
+
+
 def resolve_href(base: Column, href: Column) -> Column:
     """Absolute address of a link found on a page whose base is ``scheme://host``."""
     scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*:)", 1)
-    path = F.regexp_replace(F.regexp_replace(href, "#.*$", ""), r"^(?:\./)+", "")
-    path = F.regexp_replace(path, r"^/?(?:\.\./)+", "/")
+    link = F.regexp_replace(href, "(?s)#.*$", "")
+    path, query = F.regexp_extract(link, r"(?s)^([^?]*)", 1), F.regexp_extract(link, r"(?s)^[^?]*(\?.*)$", 1)
+    segments = F.split(F.regexp_replace(path, "^/", ""), "/")
+    # Empty segments in between only count in a path that starts at the root.
+    relative = F.filter(segments, lambda x, i: (x != "") | (i == F.size(segments) - 1))
+    joined = F.array_join(_without_dots(F.when(path.startswith("/"), segments).otherwise(relative)), "/")
     return (
         F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), href)
         .when(href.startswith("//"), F.concat(scheme, href))
-        .when(path == "", base)
-        .when(path.startswith("/"), F.concat(base, path))
-        .otherwise(F.concat(base, F.lit("/"), path))
+        .when(path == "", F.concat(base, F.when(query == "?", "").otherwise(query)))
+        .otherwise(F.concat(base, F.lit("/"), joined, query))
     )
 
 

@@ -14,23 +14,31 @@ _SITEMAP_OPTIONS = {"ignoreNamespace": "true", "columnNameOfCorruptRecord": "_ma
 _PROLOG = r"(?s)^\s*(?:<\?.*?\?>|<!--.*?-->|<![A-Za-z][^>]*>|\s)*<([^\s/>]+)"
 
 
+def _fetched_at(captures: DataFrame) -> Column:
+    """Time of a capture; captures without that column count as taken at one time."""
+    return F.col("fetched_at") if "fetched_at" in captures.columns else F.lit(None).cast("timestamp")
+
+
 def parse_sitemaps(captures: DataFrame) -> DataFrame:
     """Captured sitemaps as ``(ok, is_index, pages, children)``, one row per address.
 
-    Bodies are parsed where they are read. The shuffle that brings repeated captures of an
+    Of repeated captures of an address, a usable one (status 200, well formed) goes before others, so that
+    a failed retry does not undo it; among equals the latest counts. Bodies are parsed where they are read. The shuffle that brings repeated captures of an
     address together carries only the outcome, and every later use shares that shuffle.
     """
     parsed = captures.withColumn("_x", F.from_xml("body", _SITEMAP_SCHEMA, _SITEMAP_OPTIONS))
     root = F.regexp_extract("body", _PROLOG, 1)
     well_formed = F.col("_x").isNotNull() & F.col("_x._malformed").isNull() & (root != "")
+    answered = F.coalesce(F.col("status_code") == 200, F.lit(False))
     outcome = F.struct(
+        (answered & F.coalesce(well_formed, F.lit(False))).alias("_usable"), answered.alias("_answered"), _fetched_at(captures).alias("_at"),
         "status_code", "content_type",
         F.coalesce(well_formed, F.lit(False)).alias("ok"),
         root.endswith("sitemapindex").alias("is_index"),
         F.coalesce(F.size("_x.url"), F.lit(0)).alias("pages"),
         F.filter(F.col("_x.sitemap.loc"), lambda u: u.isNotNull()).alias("children"),
     )
-    return parsed.groupBy("url").agg(F.max(outcome).alias("c")).select("url", "c.*")
+    return parsed.groupBy("url").agg(F.max(outcome).alias("c")).select("url", "c.*").drop("_usable", "_answered", "_at")
 
 
 def sitemap_page_counts(parsed: DataFrame) -> DataFrame:
@@ -75,18 +83,32 @@ def check_sitemaps(domains: DataFrame, captures: DataFrame) -> DataFrame:
     )
 
 
-def _reply(scheme: str, method: str) -> Column:
-    """The one log row of this kind, as a struct; null when the request was never made."""
-    row = F.struct("status_code", "final_url", "error_kind", "last_modified", "load_seconds")
-    return F.max(F.when((F.col("scheme") == scheme) & (F.col("method") == method), row))
+_OPTIONAL_LOG = {"fetched_at": "timestamp", "error_text": "string", "performance_timing": "string"}
+
+
+def _reply(wanted: Column) -> Column:
+    """The reply that counts among the wanted log rows: a successful one before others, then the latest."""
+    row = F.struct(
+        F.coalesce(F.col("status_code").between(200, 399), F.lit(False)).alias("success"), "fetched_at", "status_code", "final_url",
+        "error_kind", F.coalesce("error_text", "error_kind").alias("error"), "last_modified", "load_seconds", "performance_timing",
+    )
+    return F.max(F.when(wanted, row))
 
 
 def fetch_summary(log: DataFrame, key: str = "page_id") -> DataFrame:
-    """One row per page from its few log rows; combined map-side before the shuffle."""
-    return log.groupBy(key).agg(
-        _reply("http", "GET").alias("http"), _reply("https", "HEAD").alias("head"),
-        _reply("https", "GET").alias("get"), F.max("last_modified").alias("last_modified"),
-        F.max(F.when(F.col("method") == "LOAD", F.col("load_seconds"))).alias("load_seconds"),
+    """One row per page from its few log rows; combined map-side before the shuffle.
+
+    ``last_modified`` is what the HEAD reply says. Log columns fetched_at, error_text and performance_timing may be absent.
+    """
+    log = log.withColumns({n: F.lit(None).cast(t) for n, t in _OPTIONAL_LOG.items() if n not in log.columns})
+    kind = lambda scheme, method: (F.col("scheme") == scheme) & (F.col("method") == method)
+    replies = log.groupBy(key).agg(
+        _reply(kind("http", "GET")).alias("http"), _reply(kind("https", "HEAD")).alias("head"), _reply(kind("https", "GET")).alias("get"),
+        _reply(F.col("method") == "HEAD").alias("_any_head"), _reply(F.col("method") == "LOAD").alias("_load"),
+    )
+    return replies.select(
+        key, "http", "head", "get", F.col("_any_head.last_modified").alias("last_modified"),
+        F.col("_load.load_seconds").alias("load_seconds"), F.col("_load.performance_timing").alias("performance_timing"),
     )
 
 
@@ -98,6 +120,7 @@ def http_policy(domain: Column) -> Column:
     status = F.col("http.status_code")
     allowed = F.coalesce(status.between(200, 399), F.lit(False))
     replied = {m: F.col(f"{m}.status_code").isNotNull() for m in ("head", "get")}
+    secure = F.when(replied["head"], F.col("head.status_code")).when(~F.coalesce(F.col("head.error_kind") == "ssl", F.lit(False)), F.col("get.status_code"))
     bad = {m: F.coalesce(F.col(f"{m}.error_kind") == "ssl", F.lit(False)) for m in ("head", "get")}
     return F.struct(
         domain.alias("domain"),
@@ -106,14 +129,18 @@ def http_policy(domain: Column) -> Column:
         F.when(replied["head"], False).when(bad["head"], True)
         .when(replied["get"], False).when(bad["get"], True).alias("ssl_bad"),
         F.when(~allowed, status).alias("status_code"),
-        F.when(status.isNull(), F.coalesce(F.col("http.error_kind"), F.lit("Invalid response object"))).alias("error"),
+        F.when(status.isNull(), F.coalesce(F.col("http.error"), F.lit("Invalid response object"))).alias("error"),
+        F.when(~secure.between(200, 399), secure).alias("https_status_code"),
+        F.when(~replied["head"] & bad["head"], F.col("head.error"))
+        .when(~replied["head"] & ~replied["get"] & bad["get"], F.col("get.error")).alias("ssl_error"),
+        F.when(~replied["head"] & ~bad["head"] & ~replied["get"] & ~bad["get"], F.col("get.error")).alias("https_error"),
     )
 
 
 def load_time(url: Column) -> Column:
     return F.struct(
         url.alias("url"), F.col("load_seconds").alias("load_time_seconds"),
-        F.lit(None).cast("string").alias("performance_timing"),
+        F.col("performance_timing"),
     )
 
 

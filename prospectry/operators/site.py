@@ -146,18 +146,40 @@ def has_viewport(page: Column) -> Column:
     return _meta(page, "name", "viewport").isNotNull()
 
 
-# Nested rules are cut innermost first; deeper nesting than this does not occur in style sheets.
-_CSS_DEPTH = 6
+# What the fold below looks at: brackets, ends of statements, at-keywords, and that something else stands there.
+_CSS_TOKEN = r"(<!--|-->|@[-\p{L}\p{N}_]+|[{}()\[\];]|[^\s{}()\[\];@<\-]+|\S)"
+_FRESH, _AT_RULE, _QUALIFIED = 0, 1, 2
+
+
+def _css_step(state: Column, token: Column) -> Column:
+    """State after one token: which rule we are in, the closing brackets still due, and the verdict.
+
+    Only a block, or for an at-rule also a semicolon, ends a rule. A closing bracket that is not due is ignored.
+    """
+    mode, due = state["mode"], state["due"]
+    closer = F.element_at(F.create_map(*[F.lit(x) for x in ("{", "}", "(", ")", "[", "]")]), token)
+    inside, closes = due != "", F.substring(due, 1, 1) == token
+    left = F.when(closer.isNotNull(), F.concat(closer, due)).when(inside & closes, F.substr(due, F.lit(2))).otherwise(due)
+    started = F.when(token.startswith("@"), _AT_RULE).when(token.isin("<!--", "-->"), _FRESH).otherwise(_QUALIFIED)
+    after = (
+        F.when(inside, F.when(closes & (F.length(due) == 1) & (token == "}"), _FRESH).otherwise(mode))
+        .when(mode == _FRESH, started)
+        .when((mode == _AT_RULE) & (token == ";"), _FRESH)
+        .otherwise(mode)
+    )
+    found = state["found"] | (~inside & (mode == _FRESH) & (F.lower(token) == "@media"))
+    return F.struct(after.cast("int").alias("mode"), left.alias("due"), found.alias("found"))
 
 
 def has_top_level_media(css: Column) -> Column:
-    """A ``@media`` rule that stands outside every other block, comments and strings aside."""
+    """A ``@media`` rule that stands outside every other rule, at any depth of nesting of the others."""
     bare = F.regexp_replace(css, r"(?s)/\*.*?(?:\*/|$)", " ")
     bare = F.regexp_replace(bare, r"""(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"|'[^'\\]*+(?:\\.[^'\\]*+)*+'""", '""')
-    for _ in range(_CSS_DEPTH):
-        bare = F.regexp_replace(bare, r"\{[^{}]*\}", ";")
-    start = rf"(?i)(?:^|;)(?:{BLANK_CLASS}|<!--|-->)*@media(?![-\p{{L}}\p{{N}}_])"
-    return F.coalesce(bare.rlike(start), F.lit(False))
+    bare = F.regexp_replace(bare, r"(?i)url\(\s*[^\s\"'()\\]*\s*\)", "u")
+    tokens = F.regexp_extract_all(bare, F.lit(_CSS_TOKEN), F.lit(1))
+    start = F.struct(F.lit(_FRESH).alias("mode"), F.lit("").alias("due"), F.lit(False).alias("found"))
+    folded = F.aggregate(tokens, start, _css_step, lambda state: state["found"])
+    return F.coalesce(F.when(css.rlike("(?i)@media"), folded).otherwise(False), F.lit(False))
 
 
 def page_stylesheets(pages: DataFrame, base_url: Column, key: str = "page_id") -> DataFrame:

@@ -48,17 +48,18 @@ PAGE_MARKUP = _struct(
 
 HTTP_POLICY = _struct(
     ("domain", TEXT), ("http_allowed", FLAG), ("redirects_to_https", FLAG), ("ssl_bad", FLAG),
-    ("status_code", INT), ("error", TEXT),
+    ("status_code", INT), ("error", TEXT), ("https_status_code", INT), ("ssl_error", TEXT), ("https_error", TEXT),
 )
 
 # Capture tables that stand where a live probe would be.
 FETCH_LOG = _struct(
     ("page_id", LONG), ("scheme", TEXT), ("method", TEXT), ("requested_url", TEXT), ("final_url", TEXT),
     ("status_code", INT), ("error_kind", TEXT), ("last_modified", TEXT), ("load_seconds", DOUBLE),
+    ("fetched_at", T.TimestampType()), ("error_text", TEXT), ("performance_timing", TEXT),
 )
 PAGES = _struct(("page_id", LONG), ("url", TEXT), ("html", TEXT))
-CSS_CAPTURE = _struct(("css_url", TEXT), ("status_code", INT), ("body", TEXT))
-SITEMAP_CAPTURE = _struct(("url", TEXT), ("status_code", INT), ("content_type", TEXT), ("body", TEXT))
+CSS_CAPTURE = _struct(("css_url", TEXT), ("status_code", INT), ("body", TEXT), ("fetched_at", T.TimestampType()))
+SITEMAP_CAPTURE = _struct(("url", TEXT), ("status_code", INT), ("content_type", TEXT), ("body", TEXT), ("fetched_at", T.TimestampType()))
 PANEL_CAPTURE = _struct(("page_id", LONG), ("position", INT), ("panel_html", TEXT), ("image_src", TEXT))
 
 # Columns the score reads; a table may lack any of them.

@@ -78,6 +78,9 @@ def test_top_level_media(spark):
     cases = {
         "@media print{p{}}": True, "p{} @MEDIA screen{}": True, "@supports(a){@media b{p{}}}": False, "/* @media x{} */": False,
         "p{content:'@media x{}'}": False, "@mediax{}": False, "@import url(a);@media x{a{}": True, "@layer{@supports(x){@media y{p{a:b}}}}": False, None: False,
+        "@supports(a){x:y;" * 8 + "@media b{p{}}" + "}" * 8: False, "@layer{" * 40 + "p{}" + "}" * 40 + "@media b{p{}}": True,
+        "@import url(a);;@media x{p{}}": False, "foo; @media x{p{}}": False, "foo{} ; @media x{p{}} @media y{}": True, "@import url(x;y);@media z{}": True,
+        "@charset 'a'; @media z;": True, "<!-- @media x{} -->": True, "p) { } @media a{}": True, "@page (;{) {} @media a{}": False, "@page (;) {} @media a{}": True,
     }
     rows = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, css string")
     found = rows.select("i", site.has_top_level_media(F.col("css")).alias("m")).orderBy("i").collect()
@@ -109,3 +112,34 @@ def test_sitemaps(spark):
     domains = spark.createDataFrame([(f"{x}.example.com",) for x in "abcd"], "domain string")
     found = {r.domain[0]: (r.sitemap_found and r.sitemap_found.rsplit("/", 1)[1], r.total_pages) for r in captures.check_sitemaps(domains, captured).collect()}
     assert found == {"a": ("sitemap.xml", 3), "b": ("sitemap_index.xml", 1), "c": ("sitemap-index.xml", 0), "d": (None, 0)}
+
+
+def test_repeated_captures(spark):
+    url = "https://a.example.com/sitemap.xml"
+    rows = [(url, 200, "text/xml", "<urlset><url/><url/></urlset>", "2026-01-01"), (url, 503, "text/xml", "busy", "2026-01-02"),
+            (url, 200, "text/xml", "<urlset><url/><url/><url/></urlset>", "2025-01-01")]
+    captured = spark.createDataFrame(rows, "url string, status_code int, content_type string, body string, at string").withColumn("fetched_at", F.to_timestamp("at"))
+    domains = spark.createDataFrame([("a.example.com",)], "domain string")
+    assert captures.check_sitemaps(domains, captured).first().total_pages == 2
+    log = spark.createDataFrame(
+        [(1, "http", "GET", 200, None, None, "Wed, 1 Jan 2020"), (1, "http", "GET", 500, None, None, None), (1, "https", "HEAD", None, "ssl", "bad name", None),
+         (2, "https", "HEAD", 405, None, None, "Mon, 1 Jan 2024"), (2, "https", "GET", 200, None, None, "Wed, 1 Jan 2025"),
+         (3, "https", "HEAD", None, "other", "timeout", None), (3, "https", "GET", None, "other", "reset", None)],
+        "page_id long, scheme string, method string, status_code int, error_kind string, error_text string, last_modified string",
+    ).withColumn("final_url", F.lit("http://x")).withColumn("load_seconds", F.lit(None).cast("double"))
+    found = captures.fetch_summary(log).select("page_id", "last_modified", captures.http_policy(F.lit("d")).alias("h")).orderBy("page_id").collect()
+    one, two, three = found
+    assert (one.h.http_allowed, one.h.status_code, one.h.ssl_bad, one.h.ssl_error, one.last_modified) == (True, None, True, "bad name", None)
+    assert (two.h.https_status_code, two.h.ssl_bad, two.last_modified) == (405, False, "Mon, 1 Jan 2024")
+    assert (three.h.ssl_bad, three.h.https_error, three.h.ssl_error) == (None, "reset", None)
+
+
+def test_resolve_href(spark):
+    from urllib.parse import urldefrag, urljoin
+
+    from prospectry.functions.urls import resolve_href
+
+    links = ["css/../a.css", "/a/./b.css", "?v=1", "../x", "a//b", "/a//b", "./", "..", "a/..", "/..", "x?q=../y", "//c/d", "https://e/f", "a#b", "", "a/../../b/c", "/a/b/.."]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(links)], "i int, href string")
+    found = rows.select("i", resolve_href(F.lit("http://d"), F.col("href")).alias("u")).orderBy("i").collect()
+    assert [r.u for r in found] == [urldefrag(urljoin("http://d", x)).url for x in links]
