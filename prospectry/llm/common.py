@@ -39,6 +39,19 @@ def texts_as_bytes(column: pa.Array) -> Iterator[bytes]:
         yield value.as_py() or b""
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without_ids(df: DataFrame, id_column: str, ids: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose id is not in the only column of ``ids``; rows without an id stay."""
+    return df.join(ids, df[id_column] == ids[ids.columns[0]], "left_anti")
+
+
 def fold(id_column: str, parts: int):
     """crc32 of the id as text, modulo ``parts``; rows without an id belong to part 0."""
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % parts, F.lit(0))

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prospectry.llm.common import arrow_schema, bound_batches
+from prospectry.llm.common import arrow_schema, bound_batches, free_name, without_ids
 from prospectry.session import materialize
 
 SALTS = 32
@@ -84,9 +84,10 @@ def drop_copies(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
     groups = materialize(exact_groups(df, id_column, text_column).select(F.col(id_column).alias("_id"), "kept", "text_sha256"), "exact-groups")
     rows, ids = groups.agg(F.count(F.lit(1)), F.count_distinct("_id")).first()
     if rows == ids:  # ids are a key: the dropped ids are enough
-        return df.join(groups.filter("NOT kept").select("_id"), F.col(id_column) == F.col("_id"), "left_anti")
+        return without_ids(df, id_column, groups.filter("NOT kept").select("_id"))
     norm = F.translate(F.coalesce(F.col(text_column).cast("string"), F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
-    marked = df.withColumn("_digest", F.sha2(norm, 256))
+    digest = free_name(df, "_digest")
+    marked = df.withColumn(digest, F.sha2(norm, 256))
     kept = groups.filter("kept").distinct()
-    match = marked[id_column].eqNullSafe(kept["_id"]) & (marked["_digest"] == kept["text_sha256"])
-    return marked.join(kept, match, "left_semi").dropDuplicates([id_column, "_digest"]).drop("_digest")
+    match = marked[id_column].eqNullSafe(kept["_id"]) & (marked[digest] == kept["text_sha256"])
+    return marked.join(kept, match, "left_semi").dropDuplicates([id_column, digest]).drop(digest)

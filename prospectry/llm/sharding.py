@@ -86,7 +86,10 @@ def shuffle_into_shards(
     """
     if shards < 1:
         raise ValueError("at least one shard")
-    rows = df.drop("_shard", "_slot").withColumn("_hash", F.xxhash64(*by))
+    df = df.drop("_shard", "_slot")
+    # Whole rows travel as one struct, so that their column names cannot meet the ones used here.
+    rows = df.select(F.struct(*[df[c] for c in df.columns]).alias("_row")).withColumn("_hash", F.xxhash64(*[F.col("_row")[c] for c in by]))
+    key = [F.col("_row")[c] for c in by]
     n = rows.count()
     blocks = max(1, -(-n // block_rows))
     pieces = max(1, -(-n // (shards * block_rows)))
@@ -99,7 +102,7 @@ def shuffle_into_shards(
     counts = rows.groupBy(F.col("_block").alias("block")).agg(F.count(F.lit(1)).alias("n"))
     matrix = materialize(_matrix(counts, min(blocks, GROUPS), capacities, seed), "shard-matrix").withColumnRenamed("block", "_block")
 
-    order = Window.partitionBy("_block").orderBy(mixed(1), "_hash", *by)
+    order = Window.partitionBy("_block").orderBy(mixed(1), "_hash", *key)
     ranked = rows.withColumn("_rank", F.row_number().over(order)).join(matrix, "_block")
     placed = (
         ranked.withColumn("_shard", F.expr("size(filter(upto, c -> c < _rank))"))
@@ -109,10 +112,10 @@ def shuffle_into_shards(
     sizes = placed.groupBy("_shard", "_piece").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("_shard").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     starts = materialize(sizes.select("_shard", "_piece", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")), "shard-pieces")
-    inside = Window.partitionBy("_shard", "_piece").orderBy(mixed(3), "_hash", *by)
+    inside = Window.partitionBy("_shard", "_piece").orderBy(mixed(3), "_hash", *key)
     return (
         placed.withColumn("_at", F.row_number().over(inside)).join(starts, ["_shard", "_piece"])
-        .withColumn("_slot", F.col("_start") + F.col("_at") - 1).drop("_start", "_at", "_piece", "_hash")
+        .select("_row.*", "_shard", (F.col("_start") + F.col("_at") - 1).alias("_slot"))
     )
 
 

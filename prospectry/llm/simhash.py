@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prospectry.llm.common import arrow_schema, bound_batches, spread_join, texts_as_bytes
+from prospectry.llm.common import arrow_schema, bound_batches, spread_join, texts_as_bytes, without_ids
 from prospectry.llm.components import components
 from prospectry.session import materialize
 
@@ -229,4 +229,4 @@ def keep_first(df: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     """The rows of ``df``, all columns, whose id is the smallest of their component; rows without an id stay."""
     groups = near_groups(df, id_column, text_column, words, most)
     dropped = groups.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return df.join(dropped, F.col(id_column) == F.col("_gone"), "left_anti")
+    return without_ids(df, id_column, materialize(dropped, "near-copies"))

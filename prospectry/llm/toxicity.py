@@ -201,9 +201,10 @@ def train(
         .orderBy(F.xxhash64("_id"), "_id").limit(sample)
     )
     # At most ``sample`` rows of two numbers: small whatever the input.
-    rows = docs.join(F.broadcast(chosen), F.col(id_column).cast("long") == F.col("_id")).select(
-        F.col("_id").alias("id"), F.col("_label").alias("label"), F.coalesce(F.col(lang_column).cast("string"), F.lit("")).alias("lang"), F.col(text_column).cast("string").alias("text"),
+    named = docs.select(
+        F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(lang_column).cast("string"), F.lit("")).alias("lang"), F.col(text_column).cast("string").alias("text")
     )
+    rows = named.join(F.broadcast(chosen), F.col("id") == F.col("_id")).select("id", F.col("_label").alias("label"), "lang", "text")
     schema, ddl = arrow_schema(id="long", label="int", lang="string", parts="binary")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
