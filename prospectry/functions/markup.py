@@ -15,6 +15,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from prospectry.session import bound_batches
+
 # Elements without content, and elements whose text is not page text.
 _VOID = frozenset(
     "area base basefont bgsound br col command embed frame hr image img input isindex keygen link "
@@ -244,14 +246,10 @@ def parse_column(
 ) -> DataFrame:
     """Replace the HTML column by what ``facts`` finds in it; other columns pass through.
 
-    Batches are cut small on the way out, so a worker holds a few pages at a time. Reading HTML
-    is the dear step, and one row group is one task: ``spark.prospectry.parsePartitions`` spreads
-    pages that come in fewer row groups than there are cores. Leave it unset for large tables,
-    whose splits outnumber the cores, as spreading moves every page over the network.
+    Batches are bounded in bytes on the way in, whatever the session's settings, and cut small on
+    the way out, so a worker holds a few pages at a time.
     """
-    spread = pages.sparkSession.conf.get("spark.prospectry.parsePartitions", None)
-    if spread:
-        pages = pages.repartition(int(spread))
+    bound_batches(pages.sparkSession)
     kept = [f for f in pages.schema.fields if f.name != html]
     schema = T.StructType([*kept, T.StructField(out, dtype)])
     arrow = to_arrow_type(dtype)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from prospectry.constants import NOISE_CATEGORIES
 
@@ -113,6 +113,12 @@ def has_updated_phrase(c: Column) -> Column:
     return F.coalesce(c.rlike(pattern), F.lit(False))
 
 
+def no_match(rows: DataFrame) -> Column:
+    """A key that equals no trimmed text, different for different rows, so that null keys of a join do not meet in one task."""
+    plain = [F.col(n) for n, kind in rows.dtypes if "map<" not in kind and "variant" not in kind]
+    return F.concat(F.lit("\x00 "), F.pmod(F.xxhash64(*plain), F.lit(1 << 16)).cast("string"))
+
+
 def one_decimal(c: Column) -> Column:
     """Text of a non-negative double with one decimal, rounded on its exact binary value.
 

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from prospectry.functions.text import normalize_status, strip
+from prospectry.functions.text import no_match, normalize_status, strip
 
 
 def filter_by_status(rows: DataFrame, wanted: str | None) -> DataFrame:
@@ -46,7 +46,7 @@ def attach_latest_evaluation(merged: DataFrame, latest: DataFrame, by: Sequence[
     )
     saved = F.nullif(normalize_status(F.col("_rating")), F.lit(""))
     return (
-        merged.withColumn("_link", _link_key())
+        merged.withColumn("_link", F.coalesce(_link_key(), no_match(merged)))
         .join(previous, [*by, "_link"], "left")
         .withColumn("rating_tag", F.coalesce(saved, normalize_status(F.col("status"))))
         .withColumn("notes", F.coalesce("_notes", F.lit("")))
@@ -84,7 +84,7 @@ def apply_evaluations(parent: DataFrame, verdicts: DataFrame) -> DataFrame:
     )
     by_row = absent.groupBy("file_idx", "row_idx").agg(last.alias("_b"))
     return (
-        rows.join(by_link, ["file_idx", "_link"], "left")
+        rows.withColumn("_link", F.coalesce("_link", no_match(parent))).join(by_link, ["file_idx", "_link"], "left")
         .join(by_row, ["file_idx", "row_idx"], "left")
         .withColumn("status", F.coalesce(F.greatest("_a", "_b")["rating"], F.col("status")))
         .select(*parent.columns)

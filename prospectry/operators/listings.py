@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from prospectry.functions import markup
 from prospectry.functions.lists import dedupe_ci_ordered
@@ -207,14 +207,14 @@ def default_display(rows: DataFrame) -> DataFrame:
 def category_histogram(listings: DataFrame, by: list[str]) -> DataFrame:
     """Listings per category in each search, plus a ``Total Categories`` row.
 
-    Only named listings count, and a search shows nothing unless its total exceeds one. Counts
-    are made per (search, category) first; totals come from those counts, not from the rows.
+    Only named listings count, and a search shows nothing unless its total exceeds one. One pass
+    over the listings counts both levels; the window sees one row per (search, category).
     """
-    counts = (
-        listings.where(F.col("name").isNotNull())
-        .select(*by, F.explode("categories").alias("category"))
-        .groupBy(*by, "category").agg(F.count("*").alias("listings"))
+    named = listings.where(F.col("name").isNotNull()).select(*by, F.explode("categories").alias("category"))
+    sets = [[F.col(n) for n in (*by, "category")], [F.col(n) for n in by]]
+    counts = named.groupingSets(sets, *by, "category").agg(
+        F.count("*").alias("listings"), F.grouping("category").alias("_total")
     )
-    totals = counts.groupBy(*by).agg(F.sum("listings").alias("listings")).where("listings > 1")
-    shown = counts.join(totals.select(*by), by, "left_semi")
-    return totals.select(*by, F.lit("Total Categories").alias("category"), "listings").unionByName(shown)
+    total = F.max(F.when(F.col("_total") == 1, F.col("listings"))).over(Window.partitionBy(*by))
+    category = F.when(F.col("_total") == 1, "Total Categories").otherwise(F.col("category"))
+    return counts.withColumn("_of", total).where("_of > 1").select(*by, category.alias("category"), "listings")

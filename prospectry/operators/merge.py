@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from prospectry.constants import COMBINED_COLUMNS, DEFAULT_MIN_RATING, LISTING_COLUMNS
 from prospectry.functions.lists import parse_categories
-from prospectry.functions.text import blank_to_null, is_blank, is_blank_or, strip, to_rating
+from prospectry.functions.text import blank_to_null, is_blank, is_blank_or, no_match, strip, to_rating
 from prospectry.sources import schemas
 
 FIRST_VALUE_COLUMNS = ["name", "website", "phone", "address", "reviews_count", "rating", "source_file"]
@@ -111,8 +111,9 @@ def _first(name: str, value: Column) -> Column:
 def _prepare(rows: DataFrame) -> DataFrame:
     """Keyed rows with an integer rank; fractions are cut, text must be a whole number."""
     keyed = rows.where(valid_link(F.col("listing_link")))
-    has_file = ~is_blank(F.col("map_file"))
-    return keyed.withColumn("position", F.when(has_file, F.col("position").try_cast("int")))
+    return keyed.withColumns(
+        {"position": F.col("position").try_cast("int"), "map_file": F.when(~is_blank(F.col("map_file")), F.col("map_file"))}
+    )
 
 
 def merge_appearances(rows: DataFrame) -> DataFrame:
@@ -159,13 +160,18 @@ def combine_partials(partials: DataFrame) -> DataFrame:
 def finish_merge(partials: DataFrame, files: Sequence[str]) -> DataFrame:
     """Second step: gather the distinct appearances of each link."""
     fields = [c for c in partials.columns if c not in (*_APPEARANCE, "first", "categories")]
-    entry = F.struct("first.ord", "position", "map_file", "first.search_volume")
+    volume = F.when(F.col("map_file").isNotNull(), F.col("first.search_volume"))
+    entry = F.struct("first.ord", "position", "map_file", volume.alias("search_volume"))
     merged = partials.groupBy("listing_link").agg(
         F.array_sort(F.collect_list(F.when(F.col("position").isNotNull(), entry))).alias("seen"),
         *[F.min(n).alias(n) for n in ["categories", *fields]],
         *flag_columns(files, F.col("map_file"), _seen),
     )
     no_categories = F.array().cast("array<string>")
+    # A rank without a list counts only if no row before it has the same rank.
+    new_rank = lambda x, i: x["map_file"].isNotNull() | ~F.array_contains(F.slice("seen.position", F.lit(1), i), x["position"])
+    unlisted = F.exists("seen", lambda x: x["map_file"].isNull())
+    merged = merged.withColumn("seen", F.when(unlisted, F.filter("seen", new_rank)).otherwise(F.col("seen")))
     return merged.select(
         "listing_link",
         F.col("seen.position").alias("position"),
@@ -209,9 +215,10 @@ def mark_included(rows: DataFrame, links: DataFrame) -> DataFrame:
     """Status of source rows: ``success`` where the trimmed link was merged, else ``pending``.
 
     ``links`` holds one row per link, so the join never multiplies rows, and a hot link on the
-    row side is split by adaptive skew handling.
+    row side is split by adaptive skew handling. Rows without a link get keys that match nothing and
+    spread over all tasks.
     """
-    key = F.when(valid_link_text(F.col("listing_link")), strip(F.col("listing_link")))
+    key = F.when(valid_link_text(F.col("listing_link")), strip(F.col("listing_link"))).otherwise(no_match(rows))
     included = links.select(F.col("link").alias("_key"), F.lit(True).alias("_in"))
     return (
         rows.withColumn("_key", key)

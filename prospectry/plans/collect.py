@@ -18,8 +18,13 @@ def collect_listings(
     # Queries with one slug write one table: pick the last that has a page.
     arrived = chosen.join(pages.select("page_id"), "page_id", "left_semi")
     winners = searches.last_query_per_slug(arrived.select("slug", "ord", "page_id", "search_volume", "source_file"))
-    # Listings are joined, not pages: HTML is read where it lies and never shuffled.
-    found = ex.merge_panel_fields(ex.extract_listings(pages.select("page_id", "html")), ex.extract_panels(panels))
+    # Only pages and panels of chosen queries are parsed. Their ids are the small side; measured
+    # small, they are broadcast and the HTML is read where it lies.
+    wanted = winners.select("page_id")
+    found = ex.merge_panel_fields(
+        ex.extract_listings(pages.select("page_id", "html").join(wanted, "page_id", "left_semi")),
+        ex.extract_panels(panels.join(wanted, "page_id", "left_semi")),
+    )
     rows = found.join(winners, "page_id")
     outcomes = searches.query_outcomes(queries, pages, redo, ["page_id"])
     return rows, outcomes

@@ -34,6 +34,18 @@ def build_session(app: str = "prospectry", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
+#: Bytes of one Arrow batch sent to a Python worker.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Cut Arrow batches by bytes as well as by rows, unless the session already uses smaller ones."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    text = str(spark.conf.get(key)).lower().removesuffix("b")
+    if not text.isdigit() or not 0 < int(text) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can reach: the one in ``spark.checkpoint.dir``.
 

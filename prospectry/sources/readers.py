@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.utils import AnalysisException
@@ -77,10 +78,16 @@ def scan_listings(spark: SparkSession, path: str, fmt: str = "parquet") -> DataF
     return with_listing_columns(read_table(spark, path, fmt))
 
 
+def _list_name(path: str) -> str:
+    last = path.rstrip("/").rsplit("/", 1)[-1]
+    return f"{unquote(last.removeprefix('slug='))}.xlsx" if last.startswith("slug=") else last
+
+
 def scan_with_provenance(spark: SparkSession, paths: Sequence[str], fmt: str = "parquet") -> DataFrame:
     """Union of several result lists; every row knows its list and its place in the whole.
 
-    A list is a file or a directory of part files, so its name is the last part of its path.
+    A list is a file or a directory of part files, so its name is the last part of its path. One
+    that this library collected (``slug=...``) goes by the name that its query expects.
     The inputs are as many as the caller names, each of any size.
     """
     tables = []
@@ -89,7 +96,7 @@ def scan_with_provenance(spark: SparkSession, paths: Sequence[str], fmt: str = "
         tables.append(
             with_listing_columns(
                 table.select(
-                    "*", F.lit(path.rstrip("/").rsplit("/", 1)[-1]).alias("map_file"),
+                    "*", F.lit(_list_name(path)).alias("map_file"),
                     F.struct(F.lit(index).alias("file_idx"), file_row_order(fmt).alias("place")).alias("ord"),
                 )
             )

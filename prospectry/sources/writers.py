@@ -10,12 +10,18 @@ from prospectry.functions.lists import combined_table_name
 from prospectry.operators.evaluations import union_evaluations
 
 
-def write_listings(listings: DataFrame, root: str) -> None:
+def write_listings(listings: DataFrame, root: str, processed: DataFrame | None = None) -> None:
     """One output per query slug; a slug written again replaces its old rows only.
 
+    ``processed`` names all slugs of this run (column ``slug``). One that has no rows now gets a single
+    row of nulls in place of its old rows; merges drop rows without a link.
+
     Rows are brought together by slug first, so a slug is few files and not one per task; adaptive
     execution splits a slug that is too large for one task.
     """
+    if processed is not None:
+        emptied = processed.select("slug").distinct().join(listings.select("slug").distinct(), "slug", "left_anti")
+        listings = listings.unionByName(emptied, allowMissingColumns=True)
     (
         listings.hint("rebalance", "slug").write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic").partitionBy("slug").parquet(root)
@@ -58,10 +64,6 @@ def _versions(spark: SparkSession, root: str) -> list[int]:
     return sorted(int(n.split("=", 1)[1]) for n in done)
 
 
-def has_version(spark: SparkSession, root: str) -> bool:
-    return bool(_versions(spark, root))
-
-
 def write_version(table: DataFrame, root: str) -> str:
     """Next version of a table. Readers keep the old one until the new one is complete."""
     versions = _versions(table.sparkSession, root)

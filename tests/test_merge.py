@@ -142,3 +142,19 @@ def test_hot_link_stays_whole(spark):
     )
     hot = merge.merge_listings(rows, FILES).where("listing_link = 'hot'").first()
     assert hot.position == list(range(0, 900, 3)) and hot.name == "n0"
+
+
+def test_rank_without_a_list_counts_once(spark):
+    """Such a rank is kept unless a row before it has the same rank; it brings no list and no volume."""
+    rows = [_row("a", "m1", str(p), i, search_volume=7.0) for i, p in enumerate([3, 4, 3, 5])]
+    rows = [(*r[:1], f, *r[2:]) for r, f in zip(rows, [None, "m1", " ", "m2"])]
+    merged = merge.merge_listings(_frame(spark, rows), FILES).first()
+    assert (merged.position, merged.map_files, merged.search_volume) == ([3, 4, 5], [None, "m1", "m2"], [None, 7.0, 7.0])
+    after = [(*r[:1], f, *r[2:]) for r, f in zip([_row("a", "m1", "3", 0), _row("a", "m1", "3", 1)], ["m1", None])]
+    assert merge.merge_listings(_frame(spark, after), FILES).first().position == [3]
+
+
+def test_rows_without_a_link_are_not_joined(spark):
+    rows = spark.createDataFrame([(None, 1), ("nan", 2), (" u ", 3)], "listing_link string, n int")
+    links = spark.createDataFrame([("u",), ("\x00 1",)], "link string")
+    assert {r.n: r.status for r in merge.mark_included(rows, links).collect()} == {1: "pending", 2: "pending", 3: "success"}

@@ -52,3 +52,14 @@ def test_no_query_uses_a_cross_join(spark, sf):
     for name in ("mark_included", "attach_latest_eval", "apply_eval_to_parent", "check_sitemap", "category_histogram", "expected_outputs"):
         plan = _plan(QUERIES[name](spark, sf))
         assert "Cartesian" not in plan and "NestedLoop" not in plan, name
+
+
+def test_only_pages_of_chosen_queries_are_parsed(spark, sf):
+    plan = _plan(QUERIES["collect_listings"](spark, sf))
+    for part in plan.split("MapInArrow")[1:]:
+        assert "LeftSemi" in part
+
+
+def test_histogram_scans_once(spark, sf):
+    plan = _plan(QUERIES["category_histogram"](spark, sf))
+    assert plan.count("FileScan parquet") == 1

@@ -60,3 +60,14 @@ def test_verdicts_reach_their_rows(spark):
     )
     found = {(r.file_idx, r.row_idx): r.status for r in ev.apply_evaluations(parent, verdicts).collect()}
     assert found == {(0, 0): "late", (0, 1): "good", (0, 2): "bad", (1, 0): "pending", (0, 3): "okay"}
+
+
+def test_a_slug_that_finds_nothing_loses_its_rows(spark, tmp_path):
+    from prospectry.sources import readers, writers
+
+    root = str(tmp_path / "maps")
+    rows = spark.createDataFrame([("s 1", "u1"), ("s 1", "u2"), ("s2", "u3")], "slug string, listing_link string")
+    writers.write_listings(rows, root)
+    writers.write_listings(rows.limit(0), root, processed=rows.where("slug = 's 1'").select("slug"))
+    found = readers.scan_with_provenance(spark, [f"{root}/slug=s 1", f"{root}/slug=s2"])
+    assert [(r.map_file, r.listing_link) for r in found.orderBy("map_file").collect()] == [("s 1.xlsx", None), ("s2.xlsx", "u3")]
