@@ -10,7 +10,8 @@ from prospectry.functions.text import BLANK_CLASS, is_blank, let, strip
 
 # Literals as a Python list cell would show them. Possessive repeats keep long cells linear.
 _QUOTED = r"""(?:'[^'\\]*+(?:\\.[^'\\]*+)*+'|"[^"\\]*+(?:\\.[^"\\]*+)*+")"""
-_ATOM = rf"(?:{_QUOTED}|[-+]?[0-9]++(?:\.[0-9]*+)?+|None|True|False)"
+_NUMBER = r"[-+]?(?:[0-9]++(?:\.[0-9]*+)?+|\.[0-9]++)(?:[eE][-+]?+[0-9]++)?+"
+_ATOM = rf"(?:{_QUOTED}|{_NUMBER}|None|True|False)"
 _GAP = BLANK_CLASS + "*+"
 _MORE = rf"(?:{_GAP},{_GAP}{_ATOM})"
 _LIST = rf"(?s)^(?:\[{_GAP}(?:{_ATOM}{_MORE}*+{_GAP},?+{_GAP})?+\])$"
@@ -27,7 +28,7 @@ _MAPPING = (
 
 def _unquote(c: Column) -> Column:
     """Value of one literal: quotes removed, common escapes resolved."""
-    number = F.when(c.contains("."), c.try_cast("double").cast("string")).otherwise(c)
+    number = F.when(c.rlike(r"^[-+]?[0-9.]+[.eE]|^[-+]?\."), c.try_cast("double").cast("string")).otherwise(c)
     inner = F.substring(c, F.lit(2), F.length(c) - 2)
     for mark, text in ((r"(?<!\\)((?:\\\\)*)\\n", "\n"), (r"(?<!\\)((?:\\\\)*)\\t", "\t")):
         inner = F.regexp_replace(inner, mark, "$1" + text)
@@ -40,6 +41,74 @@ def _literal_items(c: Column) -> Column:
     return F.transform(atoms, _unquote)
 
 
+# Parts of a list literal whose items may be lists themselves; anything else is a token of its own.
+_PARTS = rf"(?s)({_QUOTED}|{_NUMBER}|[A-Za-z_]++|[\[\](),]|[^\s])"
+# A tuple of one item keeps its comma.
+_ONE_ITEM = r"""(?s)\((?:'[^']*+'|"[^"]*+"|[^,()\[\]'"]*+), $"""
+_JSON_WORDS = {"true": "True", "false": "False", "null": "None"}
+
+
+def _quoted(text: Column) -> Column:
+    """Text as Python shows it inside a list."""
+    escaped = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n"))
+    double = text.contains("'") & ~text.contains('"')
+    single = F.concat(F.lit("'"), F.replace(escaped, F.lit("'"), F.lit("\\'")), F.lit("'"))
+    return F.when(double, F.concat(F.lit('"'), escaped, F.lit('"'))).otherwise(single)
+
+
+def _nested_step(state: Column, part: Column) -> Column:
+    """State after one part: brackets still open, finished items, the item being read, and whether all is well formed."""
+    due, item, items = state["due"], state["item"], state["items"]
+    closer = F.when(part == "[", "]").when(part == "(", ")")
+    opens, closes = closer.isNotNull(), part.isin("]", ")")
+    top, inner = F.length(due) == 1, F.length(due) > 1
+    text = part.rlike("(?s)^['\"].*['\"]$")
+    word = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in _JSON_WORDS.items() for x in kv]), part), part)
+    atom = F.when(text, F.when(top, _unquote(part)).otherwise(_quoted(_unquote(part)))).otherwise(_unquote(word))
+    after_text = state["last"] == "text"
+    value = text | word.isin("None", "True", "False") | part.rlike(f"^{_NUMBER}$")
+    # Only a value may follow nothing or a comma; strings that follow each other are one.
+    fits = (
+        F.when(due == "", opens & (state["last"] == "start"))
+        .when(closes, (F.substring(due, 1, 1) == part))
+        .when(part == ",", state["last"].isin("text", "value"))
+        .when(opens | value, state["last"].isin("start", "comma") | (text & after_text & top))
+        .otherwise(False)
+    )
+    grown = (
+        F.when(inner & (part == ","), F.concat(item, F.lit(", ")))
+        .when(inner & (part == ")") & item.rlike(_ONE_ITEM), F.concat(F.rtrim(item), part))
+        .when(inner & closes, F.concat(F.regexp_replace(item, ", $", ""), part))
+        .when(top & ((part == ",") | closes), F.lit(None).cast("string"))
+        .when(due == "", item)
+        .when(opens, F.concat(F.coalesce(item, F.lit("")), part))
+        .otherwise(F.concat(F.coalesce(item, F.lit("")), atom))
+    )
+    ended = top & ((part == ",") | closes) & item.isNotNull()
+    return F.struct(
+        F.when(opens, F.concat(closer, due)).when(closes, F.substr(due, F.lit(2))).otherwise(due).alias("due"),
+        F.when(ended, F.array_append(items, item)).otherwise(items).alias("items"),
+        grown.alias("item"),
+        F.when(closes, "value").when(opens, "start").when(part == ",", "comma").when(text, "text").otherwise("value").alias("last"),
+        (state["ok"] & F.coalesce(fits, F.lit(False))).alias("ok"),
+    )
+
+
+def _nested_items(c: Column) -> Column:
+    """Items of a list or tuple literal with lists, tuples or strings side by side in it; null if it is none."""
+    start = F.struct(
+        F.lit("").alias("due"), F.array().cast("array<string>").alias("items"), F.lit(None).cast("string").alias("item"),
+        F.lit("start").alias("last"), F.lit(True).alias("ok"),
+    )
+    parts = F.regexp_extract_all(c, F.lit(_PARTS), F.lit(1))
+    whole = F.aggregate(parts, start, _nested_step, lambda s: F.when(s["ok"] & (s["due"] == ""), s["items"]))
+    return F.when(c.rlike(r"(?s)^(?:\[.*\]|\(.*\))$"), whole)
+
+
+# JSON arrays that hold arrays; texts with coded letters are left to the JSON reader.
+_NESTED = r"(?s)^(?!.*\\u)\[.*\[.*\]$"
+
+
 def _json_items(c: Column) -> Column:
     """Items of a JSON array as text, spelled as Python's ``str`` spells them."""
 
@@ -131,11 +200,11 @@ def parse_categories(c: Column) -> Column:
 
     def other(s: Column, kind: Column) -> Column:
         return (
-            F.when(kind.startswith("ARRAY"), _json_items(s))
+            F.when(kind.startswith("ARRAY"), F.when(s.rlike(_NESTED), F.coalesce(_nested_items(s), _json_items(s))).otherwise(_json_items(s)))
             .when(kind.isNotNull(), F.array(s))
             .when(s.rlike(_LIST) | s.rlike(_TUPLE), _literal_items(s))
             .when(s.rlike(_SCALAR) | s.rlike(_MAPPING), F.array(s))
-            .otherwise(_plain_items(s))
+            .otherwise(F.coalesce(_nested_items(s), _plain_items(s)))
         )
 
     s = strip(c)
@@ -155,14 +224,14 @@ def parse_list_cell(c: Column) -> Column:
         scalar = F.try_variant_get(F.try_parse_json(s), "$", "string")
         nothing = F.lit(None).cast("string")
         return (
-            F.when(kind.startswith("ARRAY"), _json_items(s))
+            F.when(kind.startswith("ARRAY"), F.when(s.rlike(_NESTED), F.coalesce(_nested_items(s), _json_items(s))).otherwise(_json_items(s)))
             .when(kind == "VOID", F.array(nothing))
             .when(kind == "BOOLEAN", F.array(F.initcap(scalar)))
             .when(kind.isNotNull(), F.array(F.coalesce(scalar, s)))
             .when(s.rlike(_LIST) | s.rlike(_TUPLE), _literal_items(s))
             .when(s == "None", F.array(nothing))
             .when(s.rlike(rf"(?s)^{_ATOM}$"), F.array(_unquote(s)))
-            .otherwise(F.array(s))
+            .otherwise(F.coalesce(_nested_items(s), F.array(s)))
         )
 
     parsed = let(strip(c), lambda s: let(_json_kind(s), lambda kind: items(s, kind)))

@@ -20,6 +20,9 @@ def test_parse_categories(spark):
         "[1.50, 2]": ["1.5", "2"], "[]": [], "[ ]": [], "()": [], "None": ["None"], "5": ["5"], "5 rooms, 2 baths": ["5 rooms", "2 baths"],
         '"x, y"': ['"x, y"'], ' "a" , "b" ': ["a", "b"], "['it\\'s', 'a\\nb']": ["it's", "a\nb"], "[A, B]": ["[A", "B]"],
         "x,,y,": ["x", "y"], "[None, True, 3]": ["None", "True", "3"], "nan": ["nan"],
+        "['a', ['b', 'c']]": ["a", "['b', 'c']"], "['a', ('b',)]": ["a", "('b',)"], "['a' 'b']": ["ab"], "['a', 1e3]": ["a", "1000.0"],
+        '["a", ["b", "c"], null]': ["a", "['b', 'c']", "None"], "[['a',\"b's\"], 'c',]": ["['a', \"b's\"]", "c"], "[[1, 2], [3.0,[]]]": ["[1, 2]", "[3.0, []]"],
+        "(['a, b'], ('c', 'd'))": ["['a, b']", "('c', 'd')"], "['a', ['b']": ["['a'", "['b']"], "[['a'] 'b']": ["[['a'] 'b']"], "['a',, ['b']]": ["['a'", "['b']]"],
     }
     assert _map(spark, lists.parse_categories, list(cases)) == list(cases.values())
 
@@ -27,7 +30,7 @@ def test_parse_categories(spark):
 def test_parse_list_cell(spark):
     cases = {
         None: [], " ": [], "[1, 2]": ["1", "2"], "['a', 'b']": ["a", "b"], "A, b": ["A, b"], "7": ["7"], '"q"': ["q"],
-        "'q, r'": ["q, r"], "(1, 'x')": ["1", "x"], "None": [None], "true": ["True"],
+        "'q, r'": ["q, r"], "(1, 'x')": ["1", "x"], "['a', ['b', 'c']]": ["a", "['b', 'c']"], "['a' 'b']": ["ab"], "[1e3, ['x']": ["[1e3, ['x']"], "None": [None], "true": ["True"],
     }
     assert _map(spark, lists.parse_list_cell, list(cases)) == list(cases.values())
 
