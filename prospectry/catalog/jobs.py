@@ -12,7 +12,7 @@ from prospectry.functions.lists import parse_categories
 from prospectry.plans.collect import collect_listings
 from prospectry.session import work_path
 from prospectry.streaming.incremental import incremental_listings
-from prospectry.streaming.verdicts import current_evaluations, stream_latest_evaluation
+from prospectry.streaming.verdicts import apply_current, compact_evaluations, current_evaluations, stream_latest_evaluation
 
 _BOXES = f"""WITH b AS ({st.BOXES_SQL}), s AS ({st.SEARCHES_SQL.replace('SELECT ', f'SELECT {st.SEARCH_SLUG_SQL} AS slug, ', 1)}),
     q AS (SELECT slug, arg_max(page_id, ord) AS page_id FROM s WHERE trim(coalesce(query_url, '')) <> ''
@@ -49,3 +49,19 @@ def stream_latest(spark, d):
     arrivals = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
     stream_latest_evaluation(arrivals, ["seq"], root).awaitTermination()
     return current_evaluations(spark, root, ["seq"])
+
+
+@query(
+    "stream_apply_verdicts",
+    f"{_LATEST} SELECT file_idx, row_idx, listing_link, name, coalesce(latest.eval_rating, p.status) AS status FROM p LEFT JOIN latest ON trim(p.listing_link) = latest.link",
+)
+def stream_apply(spark, d):
+    """Verdicts arrive in two runs with a compaction in between, then reach the merged table."""
+    source, root = work_path(spark, "verdicts"), work_path(spark, "stream")
+    rows = st.verdicts(spark, d).select("listing_link", "seq", "eval_rating", "eval_time", "notes")
+    for part in range(2):
+        rows.where(F.col("seq") % 2 == part).write.mode("append").parquet(source)
+        stream_latest_evaluation(spark.readStream.schema(rows.schema).parquet(source), ["seq"], root).awaitTermination()
+        if part == 0:
+            compact_evaluations(spark, root, ["seq"])
+    return apply_current(st.merged_parent(spark, d), current_evaluations(spark, root, ["seq"]))

@@ -69,6 +69,7 @@ def _label(before: str, value: str, after: str = ")") -> str:
     return f"concat('{before}', CAST({value} AS STRING), '{after}')"
 
 
+# The texts of the reasons and their points.
 _LISTING_RULES = [
     Rule("m.attributes <> -1 AND m.attributes <= 4", _label("Few GBP attributes (", "m.attributes"), "30"),
     Rule("NOT m.has_image", "'No image in GBP'", "100"),

@@ -49,7 +49,7 @@ def compact_evaluations(log: DataFrame, rows: DataFrame, path: str) -> None:
     union_evaluations(log, rows).write.mode("errorifexists").parquet(path)
 
 
-def _versions(spark: SparkSession, root: str) -> list[int]:
+def versions(spark: SparkSession, root: str) -> list[int]:
     """Finished versions; a version counts once its success marker is there."""
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(root)
@@ -66,14 +66,14 @@ def _versions(spark: SparkSession, root: str) -> list[int]:
 
 def write_version(table: DataFrame, root: str) -> str:
     """Next version of a table. Readers keep the old one until the new one is complete."""
-    versions = _versions(table.sparkSession, root)
-    path = f"{root}/version={(versions[-1] + 1) if versions else 1}"
+    done = versions(table.sparkSession, root)
+    path = f"{root}/version={(done[-1] + 1) if done else 1}"
     table.write.mode("overwrite").parquet(path)
     return path
 
 
 def read_version(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
-    version = version if version is not None else _versions(spark, root)[-1]
+    version = version if version is not None else versions(spark, root)[-1]
     return spark.read.parquet(f"{root}/version={version}")
 
 

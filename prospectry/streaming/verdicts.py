@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from prospectry.functions.text import no_match, strip
 from prospectry.operators.evaluations import latest_evaluation
+from prospectry.sources.writers import read_version, versions, write_version
 
 
 def stream_latest_evaluation(log: DataFrame, order: Sequence[str], root: str) -> StreamingQuery:
@@ -31,6 +33,26 @@ def stream_latest_evaluation(log: DataFrame, order: Sequence[str], root: str) ->
 
 
 def current_evaluations(spark: SparkSession, root: str, order: Sequence[str]) -> DataFrame:
-    """Latest stored change of every link."""
-    changes = spark.read.parquet(f"{root}/changes").drop("batch")
-    return latest_evaluation(changes.withColumnRenamed("link", "listing_link"), order)
+    """Latest stored change of every link: the compacted base, if there is one, and the changes since."""
+    log = spark.read.parquet(f"{root}/changes")
+    if versions(spark, f"{root}/base"):
+        base = read_version(spark, f"{root}/base")
+        last = base.agg(F.max("batch")).first()[0]
+        log = log.where(F.col("batch") > last).unionByName(base)
+    return latest_evaluation(log.drop("batch").withColumnRenamed("link", "listing_link"), order)
+
+
+def compact_evaluations(spark: SparkSession, root: str, order: Sequence[str]) -> str:
+    """Write the current verdicts as a new base, so that reading costs follow the changes since, not all ever made."""
+    last = spark.read.parquet(f"{root}/changes").agg(F.max("batch")).first()[0]
+    return write_version(current_evaluations(spark, root, order).withColumn("batch", F.lit(last)), f"{root}/base")
+
+
+def apply_current(merged: DataFrame, current: DataFrame) -> DataFrame:
+    """The merged table with each business's latest verdict as its status; a business without one keeps its own."""
+    verdicts = current.select(F.col("link").alias("_link"), F.col("eval_rating").alias("_rating"))
+    link = F.nullif(strip(F.coalesce(F.col("listing_link"), F.lit(""))), F.lit(""))
+    return (
+        merged.withColumn("_link", F.coalesce(link, no_match(merged))).join(verdicts, "_link", "left")
+        .withColumn("status", F.coalesce("_rating", "status")).select(*merged.columns)
+    )

@@ -35,7 +35,7 @@ def test_latest_verdict_needs_no_window(spark, sf):
 def test_python_runs_only_where_pages_are_read(spark, sf):
     reads_pages = {
         n for n in QUERIES
-        if n not in ("incremental_listings", "stream_latest_evaluation", "is_responsive", "site_profile", "profile_and_score")
+        if n not in ("incremental_listings", "stream_latest_evaluation", "stream_apply_verdicts", "is_responsive", "site_profile", "profile_and_score")
         and not n.startswith(("write", "append", "scan_combined"))
         and "MapInArrow" in _plan(QUERIES[n](spark, sf))
     }
