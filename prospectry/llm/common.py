@@ -8,22 +8,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of one Arrow batch sent to a Python worker, so that very long texts stay within memory.
-BATCH_BYTES = 8 << 20
+from prospectry.session import bound_batches  # noqa: F401  (the operators take it from here)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Cut Arrow batches by bytes as well as by rows, unless the session already uses smaller ones."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    text = str(spark.conf.get(key)).lower().removesuffix("b")
-    if not text.isdigit() or not 0 < int(text) <= BATCH_BYTES:
-        spark.conf.set(key, str(BATCH_BYTES))
-
-
 def arrow_schema(**kinds: str) -> tuple[pa.Schema, str]:
     """Arrow and Spark schemas of one list of columns: name=kind."""
     of = {
