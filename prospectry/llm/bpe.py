@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -24,12 +25,14 @@ from tokenizers import Tokenizer
 from prospectry.llm.common import arrow_schema, bound_batches
 
 #: Words remembered by a worker, in each of two generations; only speed depends on it.
-REMEMBERED = 250_000
+REMEMBERED = 120_000
 #: Low bits of a queue entry: a place in a word.
 PLACE = (1 << 40) - 1
 #: Letters from here on are split by the tokenizers library's own Unicode tables.
 BEYOND = "\u0250"
+FAR = re.compile(f"[{BEYOND}-\U0010ffff]")
 WHITE = regex.compile(r"\s+")
+SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
 def byte_letters() -> list[str]:
@@ -105,7 +108,7 @@ class WordBpe:
         """Ids, as little-endian 32-bit integers, and decoded text of a run without white space."""
         found = self.old.get(chunk)
         if found is None:
-            if chunk < BEYOND and max(chunk) < BEYOND:
+            if not FAR.search(chunk):
                 words = [w.encode("utf-8").decode("latin-1").translate(self.letters) for w in self.words.findall(chunk)]
             else:
                 words = [w for w, _ in self.split(chunk)]
@@ -117,19 +120,17 @@ class WordBpe:
         return found
 
     def _plain(self, text: str) -> list[tuple[bytes, str]]:
-        if text and max(text) >= BEYOND:
-            text = self.normalise(text)
+        if not text.isascii() and FAR.search(text):
+            chunks = self.normalise(text).split(" ")
         else:
-            text = WHITE.sub(" ", unicodedata.normalize("NFC", text)).lower()
+            text = unicodedata.normalize("NFC", text)
+            # Python counts four control characters as white space that a tokenizer does not.
+            chunks = WHITE.sub(" ", text).lower().split(" ") if SEPARATORS.search(text) else text.lower().split()
         known = self.new
-        out = []
-        for chunk in filter(None, text.split(" ")):
-            found = known.get(chunk)
-            if found is None:
-                found = self._chunk(chunk)
-                known = self.new
-            out.append(found)
-        return out
+        found = [known.get(c) for c in chunks]
+        if None in found:
+            found = [self._chunk(c) if f is None else f for c, f in zip(chunks, found)]
+        return found
 
     def encode(self, text: str) -> tuple[bytes, str]:
         """Ids as little-endian 32-bit integers, and the text that they decode to."""
@@ -142,7 +143,7 @@ class WordBpe:
                 parts.append((self.special[m[0]].to_bytes(4, "little"), m[0]))
                 start = m.end()
             parts += self._plain(text[start:])
-        return b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts if p[0]])
+        return b"".join([p[0] for p in parts]), " ".join(filter(None, [p[1] for p in parts]))
 
 
 _LOADED: dict[str, WordBpe] = {}
