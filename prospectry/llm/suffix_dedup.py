@@ -155,6 +155,12 @@ def listed(setup: Setup, name: str, shard: int) -> EliasFano | None:
     return opened[shard]
 
 
+@lru_cache(maxsize=4096)
+def results(setup: Setup, shard: int, name: str) -> np.ndarray:
+    """One mapped array of a shard's contexts."""
+    return load(f"{setup.folder}/contexts-{shard}", name)
+
+
 def repeated_only(texts: Texts) -> None:
     """Keep the anchors whose gram is listed as repeated."""
     setup = texts.setup
@@ -386,11 +392,11 @@ def covered(texts: Texts, ids: np.ndarray) -> np.ndarray:
     """Whether each byte is covered by a window that also starts earlier."""
     setup = texts.setup
     n = len(texts.bytes)
-    change = np.zeros(n + 1, np.int64)
+    firsts, lasts = [], []
 
     def mark(first: np.ndarray, last: np.ndarray) -> None:
-        nonlocal change
-        change += np.bincount(first, minlength=n + 1) - np.bincount(last, minlength=n + 1)
+        firsts.append(first)
+        lasts.append(last)
 
     repeated_only(texts)
     if not len(texts.anchors):
@@ -399,11 +405,10 @@ def covered(texts: Texts, ids: np.ndarray) -> np.ndarray:
     first_doc, first_place, masks = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), np.zeros((len(keys), 2), U)
     for s in np.unique(shard):
         own = np.flatnonzero(shard == s)
-        place = f"{setup.folder}/contexts-{s}"
         at = listed(setup, "contexts", int(s)).find(keys[own])
         if (at < 0).any():
             raise ValueError("a context is missing: the texts have changed since they were counted")
-        first_doc[own], first_place[own], masks[own] = (load(place, name)[at] for name in ("docs", "places", "masks"))
+        first_doc[own], first_place[own], masks[own] = (results(setup, int(s), name)[at] for name in ("docs", "places", "masks"))
     later = (ids[texts.doc] != first_doc) | (texts.anchors - texts.starts[texts.doc] != first_place)
     some = np.flatnonzero(later & (texts.left + texts.right >= setup.length))
     # All windows of a context that has been before.
@@ -413,6 +418,7 @@ def covered(texts: Texts, ids: np.ndarray) -> np.ndarray:
         hit = rest[(masks[rest, k >> 6] >> U(k & 63)) & U(1) == 1]
         if len(hit):
             mark(texts.anchors[hit] - k, texts.anchors[hit] - k + setup.length)
+    change = np.bincount(np.concatenate(firsts), minlength=n + 1) - np.bincount(np.concatenate(lasts), minlength=n + 1)
     return np.cumsum(change[:-1]) > 0
 
 
