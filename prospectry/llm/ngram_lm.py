@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from prospectry.llm.common import arrow_schema, bound_batches, texts_as_bytes
 from prospectry.llm.elias_fano import EliasFano, U, load, save
-from prospectry.session import work_path
+from prospectry.session import materialize, work_path
 
 #: Bytes of training text for each shard, words that a counting task gathers before it sends, words remembered.
 SHARD_BYTES, RUN_WORDS, REMEMBERED = 64 << 20, 1 << 20, 300_000
@@ -93,13 +93,13 @@ def merged(keys: np.ndarray, more: np.ndarray, counts: np.ndarray) -> tuple[np.n
     return keys[first], more[first], np.add.reduceat(counts[order], first)
 
 
-def _send(keys: np.ndarray, more: np.ndarray, counts: np.ndarray, shard: np.ndarray) -> dict[str, list]:
-    """Rows of BLOCKS: one for each shard that gets something."""
+def _send(keys: np.ndarray, more: np.ndarray, counts: np.ndarray, shard: np.ndarray, ordered: bool = False) -> dict[str, list]:
+    """Rows of BLOCKS: one for each shard that gets something. ``ordered``: keys are distinct and in order already."""
     rows: dict[str, list] = {k: [] for k in ("shard", "part", "keys", "more", "counts")}
     order = np.argsort(shard, kind="stable")
-    for s, at in zip(*np.unique(shard[order], return_index=True)):
-        own = order[at : at + int((shard == s).sum())]
-        k, m, c = merged(keys[own], more[own], counts[own])
+    names, first = np.unique(shard[order], return_index=True)
+    for s, own in zip(names, np.split(order, first[1:])):
+        k, m, c = (keys[own], more[own], counts[own]) if ordered else merged(keys[own], more[own], counts[own])
         for name, value in (("shard", int(s)), ("part", 0), ("keys", pack(k)), ("more", pack(m)), ("counts", pack(c))):
             rows[name].append(value)
     return rows
@@ -120,6 +120,24 @@ class Model:
     distinct: int
 
 
+def filter_place(first: np.ndarray, second: np.ndarray, bits: int) -> np.ndarray:
+    x = (first.astype(U) + U(1)) * U(0xD6E8FEB86659FD93) ^ (second.astype(U) + U(1)) * U(0xA0761D6478BD642F)
+    return (((x ^ (x >> U(32))) * U(0xE7037ED1A0B428DB)) >> U(64 - bits)).astype(np.int64)
+
+
+def filter_of(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Bit set with about 16 bits for each kept n-gram; an n-gram whose bit is unset is not kept."""
+    bits = max(6, int(16 * max(1, len(first)) - 1).bit_length())
+    out = np.zeros(1 << bits, bool)
+    out[filter_place(first, second, bits)] = True
+    return np.packbits(out, bitorder="little")
+
+
+def may_hold(bitset: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    at = filter_place(first, second, (len(bitset) * 8 - 1).bit_length())
+    return (bitset[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
 class Reader:
     """Memory-mapped shards of one model, and the ids of the words met last."""
 
@@ -170,23 +188,24 @@ class Reader:
     @staticmethod
     def _children(pointers: EliasFano, successors: EliasFano, node: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Place of ``word`` among the successors of each node, or -1."""
-        begin, end = pointers.access(node), pointers.access(node + 1)
-        out = np.full(len(node), -1, np.int64)
-        some = np.flatnonzero(end > begin)
-        begin, end = begin[some], end[some]
-        base = np.zeros(len(some), np.int64)
-        after = begin > 0
+        # Where a node's successors lie is looked up once for a run of equal nodes.
+        one = np.flatnonzero(np.diff(node, prepend=-1))
+        back = np.cumsum(np.diff(node, prepend=-1) != 0) - 1
+        begin, end = pointers.access(node[one]), pointers.access(node[one] + 1)
+        base = np.zeros(len(one), np.int64)
+        after = np.flatnonzero((begin > 0) & (end > begin))
         base[after] = successors.access(begin[after] - 1)
-        place = successors.find(base + word[some] + 1)
-        out[some] = np.where((place >= begin) & (place < end), place, -1)
-        return out
+        place = successors.find(base[back] + word + 1)
+        return np.where((place >= begin[back]) & (place < end[back]), place, -1)
 
     def pairs(self, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Shard and node of each pair of word ids; node -1 if the pair is not kept."""
         shard, node = pair_shard(first, second, self.model.shards), np.full(len(first), -1, np.int64)
         for s in np.unique(shard):
             own = np.flatnonzero(shard == s)
-            context = self._list(f"pairs-{s}", "contexts").find(first[own])
+            own = own[may_hold(self._array(f"pairs-{s}", "filter2"), first[own], second[own])]
+            distinct, back = np.unique(first[own], return_inverse=True)
+            context = self._list(f"pairs-{s}", "contexts").find(distinct)[back]
             own, context = own[context >= 0], context[context >= 0]
             if len(own):
                 node[own] = self._children(self._list(f"pairs-{s}", "pointers"), self._list(f"pairs-{s}", "successors"), context, second[own])
@@ -204,6 +223,8 @@ class Reader:
         out = np.full(len(node), -1, np.int64)
         for s in np.unique(shard):
             own = np.flatnonzero(shard == s)
+            own = own[may_hold(self._array(f"pairs-{s}", "filter3"), node[own], third[own])]
+            own = own[np.argsort(node[own], kind="stable")]
             place = self._children(self._list(f"pairs-{s}", "pointers3"), self._list(f"pairs-{s}", "successors3"), node[own], third[own])
             own, place = own[place >= 0], place[place >= 0]
             out[own] = self._array(f"pairs-{s}", "log3")[place]
@@ -263,6 +284,47 @@ def coded(probability: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(-np.log10(np.maximum(probability, 1e-12)) * STEPS), 0, 255).astype(np.uint8)
 
 
+def encode_texts(df: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, held, ids) from (doc_id, held, text): word ids as unsigned 32-bit integers, the largest one for unknown words."""
+    schema, ddl = arrow_schema(doc_id="long", held="boolean", ids="binary")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = opened(model)
+        for batch in batches:
+            texts = [words_of(t) for t in texts_as_bytes(batch.column(2))]
+            ids = reader.word_ids([w for t in texts for w in t]).astype(np.uint32)
+            ends = np.cumsum([len(t) for t in texts])[:-1] if texts else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in np.split(ids, ends)][: len(texts)], pa.binary())], schema=schema)
+
+    return df.mapInArrow(run, ddl)
+
+
+def decoded(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids (-1 for unknown words) of all texts of a column of ``encode_texts``, and where each text ends."""
+    values = [x.as_py() for x in column]
+    ids = np.frombuffer(b"".join(values), np.uint32)
+    return np.where(ids == 0xFFFFFFFF, -1, ids.astype(np.int64)), np.cumsum([len(x) // 4 for x in values])
+
+
+def _counted_ids(coded_texts: DataFrame, count) -> DataFrame:
+    """Rows of BLOCKS from runs of whole coded texts of about RUN_WORDS words."""
+    schema, ddl = arrow_schema(shard="int", part="int", keys="binary", more="binary", counts="binary")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for value in batch.column(0):
+                held.append(value.as_py())
+                size += len(held[-1]) // 4
+                if size >= RUN_WORDS:
+                    yield pa.RecordBatch.from_pydict(count(decoded(pa.array(held, pa.binary()))[0]), schema=schema)
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_pydict(count(decoded(pa.array(held, pa.binary()))[0]), schema=schema)
+
+    return coded_texts.mapInArrow(run, ddl)
+
+
 def _counted(texts: DataFrame, count) -> DataFrame:
     """Rows of BLOCKS from runs of whole texts of about RUN_WORDS words."""
     schema, ddl = arrow_schema(shard="int", part="int", keys="binary", more="binary", counts="binary")
@@ -285,14 +347,15 @@ def _per_shard(blocks: DataFrame, build, ddl: str) -> list:
     return blocks.groupBy("shard").applyInPandas(build, ddl).collect()  # one small row for each shard
 
 
-def train(df: DataFrame, held_out: Column, text_column: str = "text") -> Model:
-    """Count and write the model of the texts that are not held out; gives where it lies.
+def train(df: DataFrame, held_out: Column, id_column: str = "doc_id", text_column: str = "text") -> tuple[Model, DataFrame]:
+    """Count and write the model of the texts that are not held out; gives where it lies, and all texts as word ids.
 
     Null and empty texts count as texts without words (one end each). An empty table gives a model without words.
     """
     spark = df.sparkSession
     bound_batches(spark)
-    texts = df.filter(~held_out).select(F.col(text_column).cast("string").alias("text"))
+    named = df.select(F.col(id_column).cast("long").alias("doc_id"), held_out.alias("held"), F.col(text_column).cast("string").alias("text"))
+    texts = named.filter("NOT held").select("text")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // SHARD_BYTES))
     folder = local_folder(work_path(spark, "ngram-model"))
@@ -319,16 +382,17 @@ def train(df: DataFrame, held_out: Column, text_column: str = "text") -> Model:
     if model.distinct >= 1 << 32:
         raise ValueError("more than 2**32 distinct words")
     starts = np.array(model.starts)
+    every_text = materialize(encode_texts(named, model), "coded-texts")
+    training = every_text.filter("NOT held").select("ids")
 
-    def count_pairs(words: list[bytes]):
+    def count_pairs(ids: np.ndarray):
         reader = opened(model)
-        ids = reader.word_ids(words)
         distinct, back = np.unique(ids, return_inverse=True)
         often = (reader.of_words(distinct, "count") >= LEAST)[back]
-        end = reader.ids[END] if END in reader.ids else -1
+        end = int(reader.word_ids([END])[0])
         at = np.flatnonzero(often[:-1] & often[1:] & (ids[:-1] != end))
         keys, counts = np.unique((ids[at].astype(U) << U(32)) | ids[at + 1].astype(U), return_counts=True)
-        return _send(keys, np.zeros(len(keys), U), counts, pair_shard(keys >> U(32), keys & U(0xFFFFFFFF), shards))
+        return _send(keys, np.zeros(len(keys), U), counts, pair_shard(keys >> U(32), keys & U(0xFFFFFFFF), shards), ordered=True)
 
     def build_pairs(rows: pd.DataFrame) -> pd.DataFrame:
         keys, _, counts = _joined(rows)
@@ -343,6 +407,7 @@ def train(df: DataFrame, held_out: Column, text_column: str = "text") -> Model:
         EliasFano.of(np.append(begin, len(first))).save(place, "pointers")
         EliasFano.of(increasing(second, begin, sizes)).save(place, "successors")
         save(place, "count2", counts)
+        save(place, "filter2", filter_of(first, second))
         # For each context, what it kept: number of successors and their counts, for the vocabulary's shard.
         if not len(keys):
             return pd.DataFrame({"shard": [], "part": [], "keys": [], "more": [], "counts": []})
@@ -351,7 +416,7 @@ def train(df: DataFrame, held_out: Column, text_column: str = "text") -> Model:
         two = [_send(contexts.astype(U), np.full(len(contexts), k, U), v.astype(np.int64), home) for k, v in ((0, kinds), (1, sums))]
         return pd.DataFrame({k: [*two[0][k], *two[1][k]] for k in two[0]})
 
-    partial = _counted(texts, count_pairs).groupBy("shard").applyInPandas(build_pairs, BLOCKS)
+    partial = _counted_ids(training, count_pairs).groupBy("shard").applyInPandas(build_pairs, BLOCKS)
 
     def backoffs(rows: pd.DataFrame) -> pd.DataFrame:
         shard = int(rows["shard"].iloc[0])
@@ -388,10 +453,9 @@ def train(df: DataFrame, held_out: Column, text_column: str = "text") -> Model:
 
     _per_shard(every, smooth_pairs, "shard int")
 
-    def count_triples(words: list[bytes]):
+    def count_triples(ids: np.ndarray):
         reader = opened(model)
-        ids = reader.word_ids(words)
-        end = reader.ids[END] if END in reader.ids else -1
+        end = int(reader.word_ids([END])[0])
         at = np.flatnonzero(ids[:-1] != end)
         key, back = np.unique((ids[at].astype(U) << U(32)) | ids[at + 1].astype(U), return_inverse=True)
         shard, node = reader.pairs((key >> U(32)).astype(np.int64), (key & U(0xFFFFFFFF)).astype(np.int64))
@@ -412,6 +476,7 @@ def train(df: DataFrame, held_out: Column, text_column: str = "text") -> Model:
         kinds = np.bincount(node, minlength=len(total)).astype(np.int64) if len(total) else np.zeros(0, np.int64)
         sums = np.bincount(node, counts, minlength=len(total)) if len(total) else np.zeros(0)
         off = coded(np.maximum(1 - (sums - DISCOUNT * kinds) / total, 1e-9)) if len(total) else np.zeros(0, np.uint8)
+        save(place, "filter3", filter_of(node, word))
         begin = np.concatenate([[0], np.cumsum(kinds)])
         EliasFano.of(begin).save(place, "pointers3")
         EliasFano.of(increasing(word, begin[:-1][kinds > 0], kinds[kinds > 0])).save(place, "successors3")
@@ -429,7 +494,7 @@ def train(df: DataFrame, held_out: Column, text_column: str = "text") -> Model:
         save(place, "backoff2", off)
         return pd.DataFrame({"shard": [shard]})
 
-    _per_shard(_counted(texts, count_triples), build_triples, "shard int")
+    _per_shard(_counted_ids(training, count_triples), build_triples, "shard int")
 
     def fill(rows: pd.DataFrame) -> pd.DataFrame:
         shard = int(rows["shard"].iloc[0])
@@ -438,7 +503,7 @@ def train(df: DataFrame, held_out: Column, text_column: str = "text") -> Model:
         return pd.DataFrame({"shard": [shard]})
 
     _per_shard(every, fill, "shard int")
-    return model
+    return model, every_text
 
 
 def increasing(words: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -463,26 +528,30 @@ def pair_words(place: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def score_texts(df: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, n_tokens, n_known, base_score, score of each row, a narrow step.
+    """``score_coded`` of any texts."""
+    named = df.select(F.col(id_column).cast("long").alias("doc_id"), F.lit(False).alias("held"), F.col(text_column).cast("string").alias("text"))
+    bound_batches(df.sparkSession)
+    return score_coded(encode_texts(named, model), model).drop("held")
+
+
+def score_coded(coded_texts: DataFrame, model: Model) -> DataFrame:
+    """doc_id, held, n_tokens, n_known, base_score, score of each row, a narrow step.
 
     Null and empty texts have one token, the end. Repeated rows are scored alike; rows without an id keep a null
     id; an empty table gives no rows; further columns are ignored.
     """
-    schema, ddl = arrow_schema(doc_id="long", n_tokens="long", n_known="long", base_score="double", score="double")
+    schema, ddl = arrow_schema(doc_id="long", held="boolean", n_tokens="long", n_known="long", base_score="double", score="double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = opened(model)
         for batch in batches:
-            texts = [words_of(t) for t in texts_as_bytes(batch.column(1))]
-            if not texts:
+            if not batch.num_rows:
                 continue
-            sizes = np.array([len(t) for t in texts])
-            ends = np.cumsum(sizes)
-            ids = reader.word_ids([w for t in texts for w in t])
+            ids, ends = decoded(batch.column(2))
+            sizes = np.diff(ends, prepend=0)
             log, base = reader.score(ids, ends)
             first = np.concatenate([[0], ends[:-1]])
             totals = [np.add.reduceat(x, first) for x in ((ids >= 0).astype(np.int64), base, log)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), *map(pa.array, totals)], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes), *map(pa.array, totals)], schema=schema)
 
-    bound_batches(df.sparkSession)
-    return df.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")).mapInArrow(run, ddl)
+    return coded_texts.select("doc_id", "held", "ids").mapInArrow(run, ddl)

@@ -230,7 +230,8 @@ def test_language_model_against_plain_counts(spark, monkeypatch, small):
     rows += [(1000, None), (1001, ""), (None, "The cat unseen"), (7, "repeated row"), (7, "repeated row")]
     docs = table(spark, rows)
     held = F.coalesce(F.col("doc_id") % 3 == 1, F.lit(False))
-    model = ngram_lm.train(docs, held)
+    model, coded = ngram_lm.train(docs, held)
+    assert coded.count() == len(rows)
     found = ngram_lm.score_texts(docs, model).collect()
     tokens = [((i, t), [*(t or "").encode().lower().split(), b""]) for i, t in rows]
     train = [t for (i, _), t in tokens if i is None or i % 3 != 1]
@@ -256,5 +257,5 @@ def test_language_model_against_plain_counts(spark, monkeypatch, small):
 
 def test_language_model_of_nothing(spark):
     docs = table(spark, ODD)
-    model = ngram_lm.train(docs.limit(0), F.lit(False))
+    model, _ = ngram_lm.train(docs.limit(0), F.lit(False))
     assert model.tokens == 0 and all(r.n_known == 0 and r.score == r.base_score == 0 for r in ngram_lm.score_texts(docs, model).collect())
