@@ -3,8 +3,8 @@
 Building counts the training corpus in three passes (words, pairs, triples). A task counts a run of its texts in
 numpy and sends each shard one packed block of sorted keys and counts, so common n-grams shrink before the
 shuffle; a shard adds up its blocks. Which shard holds an n-gram is a hash of its first two words, so no
-context can fill one. Pairs and triples seen once are left out, which triples can tell beforehand from their
-pairs. A shard is a small trie:
+context can fill one. Pairs and triples seen ``least`` times or more are kept; the registered query keeps all of
+them. A shard is a small trie:
 
 * contexts: Elias-Fano list of the first words that occur in the shard;
 * pointers: Elias-Fano list of where each context's successors begin;
@@ -36,8 +36,8 @@ from prospectry.llm.elias_fano import EliasFano, U, load, save
 from prospectry.session import materialize, work_path
 
 #: Bytes of training text for each shard, words that a counting task gathers before it sends, words remembered.
-SHARD_BYTES, RUN_WORDS, REMEMBERED = 64 << 20, 1 << 20, 300_000
-#: Least count of pairs and triples, discount, and steps of a stored logarithm (base 10) for each unit.
+SHARD_BYTES, RUN_WORDS, REMEMBERED = 16 << 20, 1 << 20, 300_000
+#: Least count of pairs and triples unless the caller names one, discount, and steps of a stored logarithm (base 10) for each unit.
 LEAST, DISCOUNT, STEPS = 2, 0.75, 24
 END = b""
 BLOCKS = "shard int, part int, keys binary, more binary, counts binary"
@@ -347,7 +347,7 @@ def _per_shard(blocks: DataFrame, build, ddl: str) -> list:
     return blocks.groupBy("shard").applyInPandas(build, ddl).collect()  # one small row for each shard
 
 
-def train(df: DataFrame, held_out: Column, id_column: str = "doc_id", text_column: str = "text") -> tuple[Model, DataFrame]:
+def train(df: DataFrame, held_out: Column, id_column: str = "doc_id", text_column: str = "text", least: int = LEAST) -> tuple[Model, DataFrame]:
     """Count and write the model of the texts that are not held out; gives where it lies, and all texts as word ids.
 
     Null and empty texts count as texts without words (one end each). An empty table gives a model without words.
@@ -387,16 +387,19 @@ def train(df: DataFrame, held_out: Column, id_column: str = "doc_id", text_colum
 
     def count_pairs(ids: np.ndarray):
         reader = opened(model)
-        distinct, back = np.unique(ids, return_inverse=True)
-        often = (reader.of_words(distinct, "count") >= LEAST)[back]
         end = int(reader.word_ids([END])[0])
-        at = np.flatnonzero(often[:-1] & often[1:] & (ids[:-1] != end))
+        goes = ids[:-1] != end
+        if least > 1:
+            distinct, back = np.unique(ids, return_inverse=True)
+            often = (reader.of_words(distinct, "count") >= least)[back]
+            goes &= often[:-1] & often[1:]
+        at = np.flatnonzero(goes)
         keys, counts = np.unique((ids[at].astype(U) << U(32)) | ids[at + 1].astype(U), return_counts=True)
         return _send(keys, np.zeros(len(keys), U), counts, pair_shard(keys >> U(32), keys & U(0xFFFFFFFF), shards), ordered=True)
 
     def build_pairs(rows: pd.DataFrame) -> pd.DataFrame:
         keys, _, counts = _joined(rows)
-        kept = counts >= LEAST
+        kept = counts >= least
         keys, counts = keys[kept], counts[kept]
         shard = int(rows["shard"].iloc[0])
         place = f"{folder}/pairs-{shard}"
@@ -468,7 +471,7 @@ def train(df: DataFrame, held_out: Column, id_column: str = "doc_id", text_colum
 
     def build_triples(rows: pd.DataFrame) -> pd.DataFrame:
         node, word, counts = _joined(rows)
-        kept = counts >= LEAST
+        kept = counts >= least
         node, word, counts = node[kept].astype(np.int64), word[kept].astype(np.int64), counts[kept].astype(np.float64)
         shard = int(rows["shard"].iloc[0])
         place = f"{folder}/pairs-{shard}"

@@ -104,7 +104,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_lm_score")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model, coded = ngram_lm.train(docs, fold("doc_id", 7) == 2)
+    model, coded = ngram_lm.train(docs, fold("doc_id", 7) == 2, least=1)
     return ngram_lm.score_coded(coded, model).select(
         "doc_id", F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score"
     )
