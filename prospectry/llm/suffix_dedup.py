@@ -12,6 +12,9 @@ same places, so only suffixes at anchors are sorted, and only where an anchor's
    search over prefix polynomial hashes. Common lengths of neighbours are verified byte by byte, and a group in
    which a hash lied is sorted again by its bytes. Two contexts share a window if they agree far enough to
    both sides, so the sorted lengths say which windows of a context also start earlier.
+   A gram with more than ``hot`` different contexts is not sorted: each window around its anchors goes to the shard
+   of its own 128-bit digest, where only the earliest place counts. So no task holds all surroundings of one gram.
+   A sample of the contexts, taken by their hash, says which grams these are; either way gives the same result.
 4. Each text looks up its anchors and marks the covered bytes. The steps are narrow: no text is shuffled.
 
 The lists and results are memory-mapped, so the shared folder must be mounted on the executors.
@@ -38,6 +41,8 @@ from prospectry.session import work_path
 
 #: Window, bytes of a gram, bytes of text for each shard, and bytes that a task gathers before it sends.
 LENGTH, GRAM, SHARD_BYTES, RUN_BYTES = 100, 32, 32 << 20, 2 << 20
+#: Different contexts of a gram that one task may sort.
+HOT = 50_000
 #: Base of the polynomial hashes (modulo 2**64), and its inverse.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -50,6 +55,12 @@ class Setup:
     shards: int
     length: int
     gram: int
+    hot: int = HOT
+
+    @property
+    def sampled(self) -> int:
+        """One context of so many is counted to find hot grams."""
+        return max(1, min(64, self.hot // 16))
 
     @property
     def reach(self) -> int:
@@ -142,7 +153,7 @@ def runs(batches: Iterator[pa.RecordBatch], size: int = RUN_BYTES) -> Iterator[t
         yield ids, texts
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=4)
 def lists(setup: Setup, name: str) -> dict[int, EliasFano | None]:
     return {}
 
@@ -156,9 +167,9 @@ def listed(setup: Setup, name: str, shard: int) -> EliasFano | None:
 
 
 @lru_cache(maxsize=4096)
-def results(setup: Setup, shard: int, name: str) -> np.ndarray:
-    """One mapped array of a shard's contexts."""
-    return load(f"{setup.folder}/contexts-{shard}", name)
+def results(setup: Setup, shard: int, name: str, kind: str = "contexts") -> np.ndarray:
+    """One mapped array of a shard's contexts or windows."""
+    return load(f"{setup.folder}/{kind}-{shard}", name)
 
 
 def repeated_only(texts: Texts) -> None:
@@ -174,6 +185,32 @@ def repeated_only(texts: Texts) -> None:
         texts.keep(np.flatnonzero(hit))
 
 
+def hot_windows(texts: Texts) -> np.ndarray:
+    """Takes out the anchors with a hot gram; gives where the windows around them start."""
+    setup, hit = texts.setup, np.zeros(len(texts.anchors), bool)
+    if not len(hit):
+        return np.zeros(0, np.int64)
+    shard = texts.grams % setup.shards
+    for s in np.unique(shard):
+        if (keys := listed(setup, "hot", int(s))) is not None:
+            own = np.flatnonzero(shard == s)
+            hit[own] = keys.find(texts.grams[own] // setup.shards) >= 0
+    if not hit.any():
+        return np.zeros(0, np.int64)
+    near = np.zeros(len(texts.bytes), bool)
+    for a, left, right in zip(texts.anchors[hit].tolist(), texts.left[hit].tolist(), texts.right[hit].tolist()):
+        near[a - left : max(a - left, a + right - setup.length + 1)] = True
+    texts.keep(np.flatnonzero(~hit))
+    return np.flatnonzero(near)
+
+
+def digests(texts: Texts, starts: np.ndarray) -> np.ndarray:
+    """Two words for the 128-bit digest of each window."""
+    data, length = texts.bytes.tobytes(), texts.setup.length
+    made = b"".join(hashlib.blake2b(data[s : s + length], digest_size=16).digest() for s in starts.tolist())
+    return np.frombuffer(made, ">u8").astype(U).reshape(-1, 2)
+
+
 class Suffixes:
     """Strings of up to ``width`` bytes in groups, sorted inside each group by hash-compared merge sort."""
 
@@ -292,7 +329,7 @@ def windows_seen(bytes_: np.ndarray, left: np.ndarray, right: np.ndarray, group:
 
 
 def _count_grams(setup: Setup):
-    schema, ddl = arrow_schema(shard="int", keys="binary", counts="binary")
+    schema, ddl = arrow_schema(shard="int", keys="binary", counts="binary", grams="binary", contexts="binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, some in runs(batches):
@@ -301,7 +338,14 @@ def _count_grams(setup: Setup):
                 continue
             grams, counts = np.unique(texts.grams, return_counts=True)
             shard = grams % setup.shards
-            rows = [(int(s), pack(grams[shard == s] // setup.shards), pack(np.minimum(counts[shard == s], 2))) for s in np.unique(shard)]
+            contexts = texts.context_keys()
+            some_of = np.flatnonzero(contexts % setup.sampled == 0)
+            pairs = np.unique(np.stack([texts.grams[some_of], contexts[some_of]], 1), axis=0)
+            home = pairs[:, 0] % setup.shards
+            rows = [
+                (int(s), pack(grams[shard == s] // setup.shards), pack(np.minimum(counts[shard == s], 2)), pack(pairs[home == s, 0] // setup.shards), pack(pairs[home == s, 1]))
+                for s in np.unique(shard)
+            ]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     def gather(rows: pd.DataFrame) -> pd.DataFrame:
@@ -310,6 +354,10 @@ def _count_grams(setup: Setup):
         grams, back = np.unique(keys, return_inverse=True)
         shard = int(rows["shard"].iloc[0])
         EliasFano.of(grams[np.bincount(back, counts) >= 2]).save(f"{setup.folder}/repeated-{shard}", "keys")
+        pairs = np.unique(np.stack([np.concatenate([unpack(x) for x in rows[name]]) for name in ("grams", "contexts")], 1), axis=0)
+        grams, counts = np.unique(pairs[:, 0], return_counts=True)
+        if (counts * setup.sampled > setup.hot).any():
+            EliasFano.of(grams[counts * setup.sampled > setup.hot]).save(f"{setup.folder}/hot-{shard}", "keys")
         return pd.DataFrame({"shard": [shard]})
 
     return run, ddl, gather
@@ -318,10 +366,43 @@ def _count_grams(setup: Setup):
 def _send_contexts(setup: Setup):
     schema, ddl = arrow_schema(shard="int", grams="binary", keys="binary", left="binary", right="binary", docs="binary", places="binary", bytes="binary")
 
+    def windows(texts: Texts, starts: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        """The two earliest places of each window, for shards after those of the grams."""
+        made = digests(texts, starts)
+        doc = np.searchsorted(texts.ends, starts, "right")
+        docs, places = ids[doc], starts - texts.starts[doc]
+        order = np.lexsort((places, docs, made[:, 1], made[:, 0]))
+        third = np.zeros(len(order), bool)
+        third[2:] = (made[order][2:] == made[order][:-2]).all(1)
+        order = order[~third]
+        shard = (made[order, 1] % U(setup.shards)).astype(np.int64)
+        rows = []
+        for s in np.unique(shard):
+            own = order[shard == s]
+            rows.append((setup.shards + int(s), b"", pack(made[own, 0]), b"", b"", pack(docs[own]), pack(places[own]), made[own, 1].tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    def gather_windows(rows: pd.DataFrame) -> pd.DataFrame:
+        high, docs, places = (np.concatenate([unpack(x) for x in rows[name]]) for name in ("keys", "docs", "places"))
+        low = np.frombuffer(b"".join(rows["bytes"]), U)
+        docs, places = docs.astype(np.int64), places.astype(np.int64)
+        order = np.lexsort((places, docs, low, high))
+        high, low, docs, places = high[order], low[order], docs[order], places[order]
+        same = (high[1:] == high[:-1]) & (low[1:] == low[:-1])
+        first = np.flatnonzero(np.concatenate([[True], ~same]) & np.append(same, False))  # of those that occur twice
+        shard = int(rows["shard"].iloc[0]) - setup.shards
+        both = np.stack([high[first], low[first]], 1).astype(">u8")
+        for name, value in (("digests", np.ascontiguousarray(both).view("S16").ravel()), ("docs", docs[first]), ("places", places[first])):
+            save(f"{setup.folder}/windows-{shard}", name, value)
+        return pd.DataFrame({"shard": [shard]})
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, some in runs(batches):
             texts = Texts(some, setup)
             repeated_only(texts)
+            starts = hot_windows(texts)
+            if len(starts):
+                yield windows(texts, starts, np.array(ids, np.int64))
             if not len(texts.anchors):
                 continue
             docs = np.array(ids, np.int64)[texts.doc]
@@ -343,6 +424,8 @@ def _send_contexts(setup: Setup):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     def gather(rows: pd.DataFrame) -> pd.DataFrame:
+        if rows["shard"].iloc[0] >= setup.shards:
+            return gather_windows(rows)
         grams, keys, left, right, docs, places = (
             np.concatenate([unpack(x) for x in rows[name]]).astype(np.int64) for name in ("grams", "keys", "left", "right", "docs", "places")
         )
@@ -399,7 +482,22 @@ def covered(texts: Texts, ids: np.ndarray) -> np.ndarray:
         lasts.append(last)
 
     repeated_only(texts)
-    if not len(texts.anchors):
+    starts = hot_windows(texts)
+    if len(starts):
+        made = digests(texts, starts)
+        doc = np.searchsorted(texts.ends, starts, "right")
+        home = (made[:, 1] % U(setup.shards)).astype(np.int64)
+        names = np.ascontiguousarray(made.astype(">u8")).view("S16").ravel()
+        for s in np.unique(home):
+            known = results(setup, int(s), "digests", "windows")
+            if not len(known):
+                continue
+            own = np.flatnonzero(home == s)
+            at = np.minimum(np.searchsorted(known, names[own]), len(known) - 1)
+            own, at = own[known[at] == names[own]], at[known[at] == names[own]]
+            differs = (results(setup, int(s), "docs", "windows")[at] != ids[doc[own]]) | (results(setup, int(s), "places", "windows")[at] != starts[own] - texts.starts[doc[own]])
+            mark(starts[own[differs]], starts[own[differs]] + setup.length)
+    if not len(texts.anchors) and not firsts:
         return np.zeros(n, bool)
     keys, shard = texts.context_keys(), texts.grams % setup.shards
     first_doc, first_place, masks = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), np.zeros((len(keys), 2), U)
@@ -424,7 +522,7 @@ def covered(texts: Texts, ids: np.ndarray) -> np.ndarray:
 
 def remove_repeats(
     df: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES,
-    digests_only: bool = False,
+    digests_only: bool = False, hot: int = HOT,
 ) -> DataFrame:
     """doc_id, n_bytes, spans (first byte and end of each removed run, one after another), kept (bytes) of each row.
 
@@ -439,7 +537,7 @@ def remove_repeats(
     bound_batches(spark)
     docs = df.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    setup = Setup(local_folder(work_path(spark, "suffixes")), max(1, -(-size // shard_bytes)), length, gram)
+    setup = Setup(local_folder(work_path(spark, "suffixes")), max(1, -(-size // shard_bytes)), length, gram, hot)
     for step in (_count_grams, _send_contexts):
         run, ddl, gather = step(setup)
         docs.mapInArrow(run, ddl).groupBy("shard").applyInPandas(gather, "shard int").collect()  # one number for each shard
