@@ -6,10 +6,18 @@ from pyspark.sql import Row
 from prospectry.operators.scoring import quality_score
 from prospectry.sources import schemas
 
+
+
+def policy(*known):
+    """An HTTP verdict; the fields after the known ones are null."""
+    names = schemas.HTTP_POLICY.fieldNames()
+    return Row(**dict(zip(names, [*known, *[None] * (len(names) - len(known))])))
+
+
 # A business and site without any fault, as of 2026.
 FINE = dict(
     attributes=9, gbp_has_image=True, n_categories=2, gbp_is_verified=True, hasPhone=True, phoneStartsWithPlus=False, hasAddress=True,
-    gbp_amount_of_attributes=5, has_website=True, isHttpAllowed=Row("d", True, True, False, None, None), responsive=True,
+    gbp_amount_of_attributes=5, has_website=True, isHttpAllowed=policy("d", True, True, False), responsive=True,
     siteBuilder=Row(["Unknown"]), favicon=True, html5=True, genericTitle=Row("t", False), metaDescription=True, h1=True, analytics=True,
     words=200, images=3, lastUpdate=Row(None, None, 2025, False), sitemap=Row("d", "s", 5), framework=["Unknown"], usesJs=True, jquery=False,
     speedMetrics=Row("u", 3.0, None), domain="d",
@@ -24,9 +32,9 @@ CASES = [
     ({"phoneStartsWithPlus": True}, 10, [("Phone number starts with +", 10)]), ({"hasAddress": None}, 30, [("No address", 30)]),
     ({"gbp_amount_of_attributes": None}, 40, [("Few GBP attributes (0)", 40)]),
     ({"has_website": False, "words": 0, "h1": False}, 120, [("No website listed in GBP", 120)]), ({"has_website": None}, 0, []),
-    ({"isHttpAllowed": Row("d", True, False, True, None, None)}, 120, [("Invalid or expired SSL certificate", 120)]),
-    ({"isHttpAllowed": Row("d", True, False, None, None, None)}, 100, [("HTTP access allowed (no forced HTTPS)", 100)]),
-    ({"isHttpAllowed": Row("d", True, None, None, None, None)}, 0, []),
+    ({"isHttpAllowed": policy("d", True, False, True)}, 120, [("Invalid or expired SSL certificate", 120)]),
+    ({"isHttpAllowed": policy("d", True, False, None)}, 100, [("HTTP access allowed (no forced HTTPS)", 100)]),
+    ({"isHttpAllowed": policy("d", True, None, None)}, 0, []),
     ({"siteBuilder": Row(["Squarespace", "Webflow", "Wix"])}, 60, [("One-page site builder (Squarespace)", 80), ("One-page site builder (Wix)", 80)]),
     ({"words": 199}, 0, [("Low text content (199 words)", 0)]), ({"words": 195}, 1, [("Low text content (195 words)", 1)]),
     ({"words": None}, 40, [("Low text content (0 words)", 40)]), ({"images": 2}, 15, [("Few images (2)", 15)]), ({"images": None}, 45, [("Few images (0)", 45)]),
