@@ -12,6 +12,7 @@ import hashlib
 import heapq
 import json
 import re
+import struct
 import unicodedata
 from collections.abc import Iterator
 
@@ -65,6 +66,8 @@ class WordBpe:
         self.letters = {ord(b): x for b, x in zip(map(chr, range(256)), byte_letters())}
         self.new: dict[str, tuple[bytes, str]] = {}
         self.old: dict[str, tuple[bytes, str]] = {}
+        self.new_words: dict[str, tuple[bytes, str]] = {}
+        self.old_words: dict[str, tuple[bytes, str]] = {}
 
     def word_ids(self, letters: str) -> list[int]:
         """Ids of one word in byte letters, by merging the best-ranked pair until no pair has a rank.
@@ -104,16 +107,33 @@ class WordBpe:
                     heapq.heappush(queue, rank << 40 | left)
         return [s for s in symbols if s >= 0]
 
+    def _word(self, word: str) -> tuple[bytes, str]:
+        """Ids and decoded text of one word; the same word stands beside many kinds of punctuation."""
+        found = self.new_words.get(word)
+        if found is not None:
+            return found
+        found = self.old_words.get(word)
+        if found is None:
+            ids = self.word_ids(word)
+            found = struct.pack(f"<{len(ids)}I", *ids), " ".join([self.strings[i] for i in ids])
+        if len(self.new_words) >= REMEMBERED:
+            self.old_words, self.new_words = self.new_words, {}
+        self.new_words[word] = found
+        return found
+
     def _chunk(self, chunk: str) -> tuple[bytes, str]:
         """Ids, as little-endian 32-bit integers, and decoded text of a run without white space."""
+        found = self.new.get(chunk)  # it may have come up since the text was looked up
+        if found is not None:
+            return found
         found = self.old.get(chunk)
         if found is None:
             if not FAR.search(chunk):
                 words = [w.encode("utf-8").decode("latin-1").translate(self.letters) for w in self.words.findall(chunk)]
             else:
                 words = [w for w, _ in self.split(chunk)]
-            ids = [i for word in words for i in self.word_ids(word)]
-            found = b"".join(i.to_bytes(4, "little") for i in ids), " ".join(self.strings[i] for i in ids)
+            parts = [self._word(w) for w in words]
+            found = parts[0] if len(parts) == 1 else (b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts]))
         if len(self.new) >= REMEMBERED:
             self.old, self.new = self.new, {}
         self.new[chunk] = found
