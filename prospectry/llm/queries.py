@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from prospectry.llm import bpe, decontaminate, exact_dedup, line_dedup, ngram_lm, sharding, simhash, suffix_dedup, toxicity, url_filter
+from prospectry.llm import bpe, decontaminate, exact_dedup, line_dedup, ngram_lm, ranked_search, sharding, simhash, spelling, suffix_dedup, toxicity, url_filter, window_dedup
 from prospectry.llm.common import fold, table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,6 +110,60 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_TERMS = r"""unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term"""
+
+
+@query(
+    "op11_ranked_search",
+    f"""
+    WITH t AS (
+        SELECT rowid AS r, doc_id, {_TERMS}
+        FROM (SELECT row_number() OVER () AS rowid, * FROM documents)
+    ), d AS (SELECT r, any_value(doc_id) AS doc_id, count(*) AS n FROM t GROUP BY r), s AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM d),
+    q AS (
+        SELECT item_id, term, count(*) AS times FROM (
+            SELECT item_id, {_TERMS} FROM benchmark
+        ) GROUP BY 1, 2
+    ), f AS (SELECT r, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM q) GROUP BY 1, 2),
+    w AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM f, s GROUP BY term),
+    scored AS (
+        SELECT q.item_id, d.doc_id, d.r, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * d.n * s.docs) // s.terms))))::BIGINT AS score
+        FROM q JOIN f USING (term) JOIN w USING (term) JOIN d USING (r), s GROUP BY ALL
+    )
+    SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+    FROM scored WHERE score > 0 QUALIFY rank <= 10
+    """,
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_spelling_variants")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op13_window_dedup",
+    r"""
+    WITH d AS (
+        SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+    ), w AS (SELECT r, doc_id, k, words[k : k + 12] AS win FROM (SELECT *, unnest(range(1, len(words) - 11)) AS k FROM d)),
+    f AS (SELECT *, min(doc_id) OVER (PARTITION BY win) AS first FROM w),
+    gone AS (SELECT DISTINCT r, k + o AS k FROM f, range(13) AS t(o) WHERE first < doc_id),
+    x AS (
+        SELECT d.r, count(*) AS n_removed, list(gone.k) AS ks FROM d JOIN gone USING (r) GROUP BY d.r
+    ), e AS (SELECT r, unnest(words) AS word, generate_subscripts(words, 1) AS k FROM d),
+    kept AS (SELECT e.r, string_agg(word, ' ' ORDER BY e.k) AS kept FROM e ANTI JOIN gone USING (r, k) GROUP BY e.r)
+    SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+    FROM d LEFT JOIN x USING (r) LEFT JOIN kept USING (r)
+    """,
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return window_dedup.remove_windows(table(spark, sf_dir, "documents"), digests_only=True)
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
