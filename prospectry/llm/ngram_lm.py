@@ -38,7 +38,9 @@ from prospectry.session import materialize, work_path
 #: Bytes of training text for each shard, words that a counting task gathers before it sends, words remembered.
 SHARD_BYTES, RUN_WORDS, REMEMBERED = 16 << 20, 1 << 20, 300_000
 #: Least count of pairs and triples unless the caller names one, discount, and steps of a stored logarithm (base 10) for each unit.
-LEAST, DISCOUNT, STEPS = 2, 0.75, 24
+LEAST, DISCOUNT, STEPS = 1, 0.75, 24
+#: Tokens that are scored at once; a longer batch goes in pieces.
+PIECE = 200_000
 END = b""
 BLOCKS = "shard int, part int, keys binary, more binary, counts binary"
 
@@ -551,10 +553,15 @@ def score_coded(coded_texts: DataFrame, model: Model) -> DataFrame:
             if not batch.num_rows:
                 continue
             ids, ends = decoded(batch.column(2))
-            sizes = np.diff(ends, prepend=0)
-            log, base = reader.score(ids, ends)
+            log, base = np.empty(len(ids)), np.empty(len(ids))
+            for at in range(0, len(ids), PIECE):
+                # Two tokens before the piece are scored again, so that its first ones have their contexts.
+                seen, end = max(0, at - 2), min(len(ids), at + PIECE)
+                inner = ends[(ends > seen) & (ends < end)] - seen
+                some_log, some_base = reader.score(ids[seen:end], np.append(inner, end - seen))
+                log[at:end], base[at:end] = some_log[at - seen :], some_base[at - seen :]
             first = np.concatenate([[0], ends[:-1]])
             totals = [np.add.reduceat(x, first) for x in ((ids >= 0).astype(np.int64), base, log)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes), *map(pa.array, totals)], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(ends, prepend=0)), *map(pa.array, totals)], schema=schema)
 
     return coded_texts.select("doc_id", "held", "ids").mapInArrow(run, ddl)

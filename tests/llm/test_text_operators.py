@@ -230,7 +230,7 @@ def test_language_model_against_plain_counts(spark, monkeypatch, small):
     rows += [(1000, None), (1001, ""), (None, "The cat unseen"), (7, "repeated row"), (7, "repeated row")]
     docs = table(spark, rows)
     held = F.coalesce(F.col("doc_id") % 3 == 1, F.lit(False))
-    model, coded = ngram_lm.train(docs, held)
+    model, coded = ngram_lm.train(docs, held, least=2)
     assert coded.count() == len(rows)
     found = ngram_lm.score_texts(docs, model).collect()
     tokens = [((i, t), [*(t or "").encode().lower().split(), b""]) for i, t in rows]
