@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from prospectry.catalog import standins as st
+from prospectry.catalog.listing_pages import FIELDS
 from prospectry.catalog.merging import FILES, MERGED_SQL, shown
 from prospectry.catalog.registry import query
 from prospectry.catalog.reviewing import _LATEST
 from prospectry.functions.lists import parse_categories
+from prospectry.plans.chained import run_pipeline
 from prospectry.plans.collect import collect_listings
 from prospectry.session import work_path
-from prospectry.streaming.incremental import incremental_listings
+from prospectry.streaming.incremental import current_listings, incremental_listings
 from prospectry.streaming.verdicts import apply_current, compact_evaluations, current_evaluations, stream_latest_evaluation
 
 _BOXES = f"""WITH b AS ({st.BOXES_SQL}), s AS ({st.SEARCHES_SQL.replace('SELECT ', f'SELECT {st.SEARCH_SLUG_SQL} AS slug, ', 1)}),
@@ -29,16 +31,59 @@ def collect(spark, d):
     return rows.select("slug", "page_id", "position", "listing_link", "search_volume", "source_file")
 
 
+# Every fortieth page shows the same businesses, so that lists share links.
+_SHARED = "(p_partkey % 40)"
+_CATEGORIES = """CASE WHEN v % 2 = 1 THEN CASE WHEN v % 4 = 1 THEN NULL ELSE 'Roofer|Painter' END
+    WHEN v % 5 = 0 THEN concat(p_type, '|', p_brand) ELSE p_type END"""
+_FOUND = {n: e for n, e in FIELDS.items() if n not in ("categories", "status")}
+_CHAIN = f"""WITH b AS ({st.boxes_sql(_SHARED)}), s AS ({st.SEARCHES_SQL.replace('SELECT ', f'SELECT {st.SEARCH_SLUG_SQL} AS slug, ', 1)}),
+    o AS (SELECT *, CASE WHEN trim(coalesce(query_url, '')) = '' THEN 'pending' WHEN lower(trim(coalesce(status, ''))) = 'success' THEN 'success'
+        WHEN page_id IN (SELECT p_partkey FROM part) THEN 'success' ELSE 'error' END AS after FROM s),
+    q AS (SELECT slug, arg_max(page_id, ord) AS page_id FROM s WHERE trim(coalesce(query_url, '')) <> ''
+        AND lower(trim(coalesce(status, ''))) <> 'success' AND page_id IN (SELECT p_partkey FROM part) GROUP BY slug),
+    lists AS (SELECT o.slug, o.ord, q.page_id FROM o JOIN q USING (slug) WHERE after = 'success'),
+    l AS (SELECT lists.ord, concat(lists.slug, '.xlsx') AS map_file, b.position, {', '.join(f'{e} AS {n}' for n, e in _FOUND.items())},
+            {_CATEGORIES} AS categories, s.search_volume, s.source_file
+        FROM lists JOIN b ON lists.page_id = b.page_id JOIN s ON lists.page_id = s.page_id),
+    k AS (SELECT * FROM l WHERE rating >= 4.2 AND listing_link IS NOT NULL),
+    p AS (SELECT *, row_number() OVER (PARTITION BY listing_link, map_file, position ORDER BY ord) AS rn FROM k),
+    seen AS (SELECT listing_link, string_agg(CAST(position AS STRING), ',' ORDER BY ord, position) AS positions, string_agg(map_file, ',' ORDER BY ord, position) AS map_files,
+        string_agg(coalesce(CAST(search_volume AS STRING), '-'), ',' ORDER BY ord, position) AS search_volumes FROM p WHERE rn = 1 GROUP BY listing_link),
+    f AS (SELECT listing_link, {', '.join(f"first({n} ORDER BY ord, position) FILTER (WHERE {n} IS NOT NULL) AS {n}" for n in (*_FOUND, 'categories', 'source_file') if n != 'listing_link')}
+        FROM k GROUP BY listing_link)"""
+
+
+@query(
+    "run_pipeline",
+    f"""{_CHAIN} SELECT f.listing_link, positions, name, coalesce(categories, '') AS categories, website, phone, address, reviews_count, rating, source_file,
+        search_volumes, map_files, 'pending' AS status FROM f JOIN seen USING (listing_link)""",
+)
+def chained(spark, d):
+    """All searches through collection, choice of the lists that exist, and the merge; the merged table is read back."""
+    made = run_pipeline(st.searches(spark, d), st.results_pages(spark, d, _SHARED), st.panel_capture(spark, d, _SHARED), work_path(spark, "chain"), flags=False)
+    return shown(spark.read.parquet(made.combined))
+
+
+@query(
+    "run_pipeline_sources",
+    f"""{_CHAIN} SELECT l.ord AS list, map_file, position, listing_link, CASE WHEN listing_link IN (SELECT listing_link FROM k) THEN 'success' ELSE 'pending' END AS status FROM l""",
+)
+def chained_sources(spark, d):
+    """Rows of the merged lists as the chain writes them back."""
+    made = run_pipeline(st.searches(spark, d), st.results_pages(spark, d, _SHARED), st.panel_capture(spark, d, _SHARED), work_path(spark, "chain"), flags=False)
+    return spark.read.parquet(made.sources).select(F.col("ord.file_idx").alias("list"), "map_file", "position", "listing_link", "status")
+
+
 @query("incremental_listings", MERGED_SQL)
 def incremental(spark, d):
-    """The flagship merge, fed as a stream of four files and kept by bucket."""
+    """The flagship merge, fed as a stream of four files to a store that compacts after every second one."""
     source, root = work_path(spark, "arrivals"), work_path(spark, "stream")
     rows = st.listings(spark, d)
     rows.repartition(4, "l_orderkey").write.parquet(source)
     arrivals = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
     parsed = arrivals.withColumn("categories", parse_categories(F.col("categories")))
-    incremental_listings(parsed, FILES, root, 4.2, buckets=8).awaitTermination()
-    return shown(spark.read.parquet(f"{root}/merged").drop("bucket"))
+    incremental_listings(parsed, FILES, root, 4.2, compact_every=2, slice_rows=2000).awaitTermination()
+    return shown(current_listings(st.parsed_listings(spark, d), FILES, root))
 
 
 @query("stream_latest_evaluation", f"{_LATEST} SELECT * FROM latest")

@@ -20,11 +20,11 @@ def _unless_broken(expr: str) -> str:
 
 
 # What each field must be, from the numbers the container was built of.
-_FIELDS = {
+FIELDS = {
     "name": _unless_broken(f"CASE WHEN v % 3 = 0 THEN concat('Shop ', p_name, ' ', {_V}) ELSE concat('Firm & Co ', {_V}) END"),
     "categories": f"CASE WHEN {_BROKEN} THEN '' WHEN v % 5 = 0 THEN concat(p_type, '/', p_brand) ELSE p_type END",
     "rating": _unless_broken("CASE WHEN v % 4 = 0 THEN NULL ELSE CAST(concat(CAST(3 + v % 2 AS STRING), '.', CAST(v % 10 AS STRING)) AS DOUBLE) END"),
-    "reviews_count": _unless_broken("CASE WHEN v % 4 = 0 THEN NULL ELSE CAST(1100 + v % 900 AS INT) END"),
+    "reviews_count": _unless_broken("CASE WHEN v % 4 = 0 THEN NULL ELSE CAST(1100 + v % 900 AS BIGINT) END"),
     "address": _unless_broken(f"concat({_V}, ' Main St')"),
     "phone": _unless_broken(f"CASE WHEN v % 2 = 1 THEN concat('+1 555 ', {_V}) ELSE NULL END"),
     "website": _unless_broken(f"CASE WHEN v % 6 = 0 THEN concat('https://www.site', {_V}, '.example.com/') ELSE NULL END"),
@@ -35,7 +35,7 @@ _FIELDS = {
 
 
 def _sql(*fields: str) -> str:
-    return f"{_ROWS} SELECT page_id, position, {', '.join(f'{_FIELDS[f]} AS {f}' for f in fields)} FROM b"
+    return f"{_ROWS} SELECT page_id, position, {', '.join(f'{FIELDS[f]} AS {f}' for f in fields)} FROM b"
 
 
 def _listings(spark, d):
@@ -47,9 +47,9 @@ def _shown(df, *fields):
     return df.select("page_id", "position", *[joined if f == "categories" else F.col(f) for f in fields])
 
 
-@query("extract_listings", _sql(*_FIELDS))
+@query("extract_listings", _sql(*FIELDS))
 def extract_listings(spark, d):
-    return _shown(_listings(spark, d), *_FIELDS)
+    return _shown(_listings(spark, d), *FIELDS)
 
 
 @query("listing_fields", _sql("name", "listing_link", "rating", "reviews_count"))
@@ -80,7 +80,7 @@ def result_position(spark, d):
     return _listings(spark, d).groupBy("position").agg(F.count("*").alias("listings"), F.sum("page_id").alias("pages"))
 
 
-@query("first_match", f"{_ROWS} SELECT page_id, max(CASE WHEN position = 1 THEN {_FIELDS['name']} END) AS name FROM b GROUP BY page_id")
+@query("first_match", f"{_ROWS} SELECT page_id, max(CASE WHEN position = 1 THEN {FIELDS['name']} END) AS name FROM b GROUP BY page_id")
 def first_match(spark, d):
     boxes = markup.parse_column(
         st.results_pages(spark, d), "html", markup.results_page_facts, T.ArrayType(schemas.LISTING_MARKUP), "boxes"
@@ -129,8 +129,8 @@ def has_listing_image(spark, d):
 
 @query(
     "merge_panel_fields",
-    f"""{_ROWS}, p AS ({_PANEL_ROWS}) SELECT b.page_id, b.position, {_FIELDS['name']} AS name,
-        coalesce(p.categories, {_FIELDS['categories']}) AS categories, p.place_id, p.gbp_is_verified, p.attributes, p.gbp_has_image
+    f"""{_ROWS}, p AS ({_PANEL_ROWS}) SELECT b.page_id, b.position, {FIELDS['name']} AS name,
+        coalesce(p.categories, {FIELDS['categories']}) AS categories, p.place_id, p.gbp_is_verified, p.attributes, p.gbp_has_image
     FROM b LEFT JOIN p ON b.page_id = p.page_id AND b.position = p.position""",
 )
 def merge_panel_fields(spark, d):

@@ -100,6 +100,27 @@ def merge_appearances(spark, d):
     return seen.select("listing_link", "map_file", "position", "search_volume", F.col("ord.l_orderkey").alias("first_row"))
 
 
+@query(
+    "merge_listings_long",
+    f"""{_KEPT}, p AS (
+        SELECT listing_link, map_file, CAST(position AS INT) AS position, search_volume, {_ORDER},
+            row_number() OVER (PARTITION BY listing_link, map_file, position ORDER BY {_ORDER}) AS rn
+        FROM k WHERE {_VALID} AND position IS NOT NULL AND position <> '6.0'),
+    n AS (SELECT *, (row_number() OVER (PARTITION BY listing_link ORDER BY {_ORDER}) - 1) // 3 AS chunk FROM p WHERE rn = 1),
+    c AS (SELECT listing_link, chunk, string_agg(CAST(position AS STRING), ',' ORDER BY {_ORDER}) AS positions, string_agg(map_file, ',' ORDER BY {_ORDER}) AS map_files,
+        string_agg(coalesce(CAST(search_volume AS STRING), '-'), ',' ORDER BY {_ORDER}) AS search_volumes FROM n GROUP BY 1, 2),
+    f AS (SELECT listing_link, {_first('name')} AS name, {_first('rating')} AS rating FROM k WHERE {_VALID} GROUP BY listing_link)
+    SELECT listing_link, coalesce(chunk, 0) AS chunk, name, rating, coalesce(positions, '') AS positions, coalesce(map_files, '') AS map_files,
+        coalesce(search_volumes, '') AS search_volumes FROM f LEFT JOIN c USING (listing_link)""",
+)
+def merge_listings_long(spark, d):
+    """Appearances in numbered chunks of three, so that most links have several."""
+    long = merge.merge_listings_long(_kept(spark, d), chunk=3)
+    return long.select(
+        "listing_link", "chunk", "name", "rating", _text("position").alias("positions"), _text("map_files").alias("map_files"), _text("search_volume", "-").alias("search_volumes")
+    )
+
+
 @query("filter_min_rating", f"{_ROWS} SELECT listing_link, map_file, l_orderkey, rating FROM l WHERE rating >= 4.2")
 def filter_min_rating(spark, d):
     return merge.filter_min_rating(st.listings(spark, d)).select("listing_link", "map_file", "l_orderkey", "rating")

@@ -332,9 +332,10 @@ _BOX = """concat('<div class="', CASE WHEN p_partkey % 5 = 0 THEN 'Nv2PK' ELSE '
     '</div>')"""
 
 
-def results_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def results_pages(spark: SparkSession, sf_dir: str, of: str = "p_partkey") -> DataFrame:
+    """Pages of one to four containers. ``of`` numbers them; pages with equal numbers show the same businesses."""
     # A lambda binds ``v``, so the container text is built per rank without a shuffle.
-    numbers = "transform(sequence(1, CAST(1 + p_partkey % 4 AS INT)), i -> p_partkey * 10 + i)"
+    numbers = f"transform(sequence(1, CAST(1 + p_partkey % 4 AS INT)), i -> {of} * 10 + i)"
     containers = F.expr(f"transform({numbers}, v -> {_BOX})")
     return table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("page_id"),
@@ -343,9 +344,13 @@ def results_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # One row per container: page, rank and number.
-BOXES_SQL = """SELECT p_partkey AS page_id, CAST(i AS INT) AS position, p_partkey * 10 + i AS v, p_name, p_type, p_brand
+def boxes_sql(of: str = "p_partkey") -> str:
+    return f"""SELECT p_partkey AS page_id, CAST(i AS INT) AS position, {of} * 10 + i AS v, p_name, p_type, p_brand
     FROM part, unnest(range(1, 2 + p_partkey % 4)) AS t(i)"""
 
+
+BOXES_SQL = boxes_sql()
+
 PANEL = """concat('<table><tr><td colspan="2"><strong> Firm ', CAST(v AS STRING), ' </strong><small>',
     CASE v % 3 WHEN 0 THEN 'Not Verified' WHEN 1 THEN 'Verified' ELSE '' END, '</small></td></tr>',
     '<tr><td>Categories<br>(<strong>2</strong>)</td><td>', CASE WHEN v % 4 = 1 THEN ' , ' ELSE 'Roofer, ,Painter' END, '</td></tr>',
@@ -357,16 +362,16 @@ PANEL = """concat('<table><tr><td colspan="2"><strong> Firm ', CAST(v AS STRING)
         ELSE concat('<tr><td>Attributes</td><td>', CAST(v % 12 AS STRING), ' - Show</td></tr>') END, '</table>')"""
 
 
-def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def boxes(spark: SparkSession, sf_dir: str, of: str = "p_partkey") -> DataFrame:
     return table(spark, sf_dir, "part").selectExpr(
-        "p_partkey AS page_id", "p_name", "p_type", "p_brand",
+        "p_partkey AS page_id", f"{of} AS _of", "p_name", "p_type", "p_brand",
         "explode(sequence(1, CAST(1 + p_partkey % 4 AS INT))) AS position",
-    ).withColumn("v", F.expr("page_id * 10 + position"))
+    ).withColumn("v", F.expr("_of * 10 + position")).drop("_of")
 
 
-def panel_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
+def panel_capture(spark: SparkSession, sf_dir: str, of: str = "p_partkey") -> DataFrame:
     """Panels of the odd-numbered containers."""
-    return boxes(spark, sf_dir).where("v % 2 = 1").selectExpr(
+    return boxes(spark, sf_dir, of).where("v % 2 = 1").selectExpr(
         "page_id", "position", f"{PANEL} AS panel_html",
         "CASE v % 3 WHEN 0 THEN '//maps.example.com/default_geocode-1x.png' WHEN 1 THEN NULL ELSE 'https://lh5.example.com/p' END AS image_src",
     )

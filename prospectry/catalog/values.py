@@ -32,7 +32,7 @@ _NUMBER_TEXT = f"concat('about (', {_s('c_custkey % 999 + 1')}, ',', {_s('c_cust
 
 @query(
     "extract_int",
-    "SELECT c_custkey, CAST((c_custkey % 999 + 1) * 1000 + (c_custkey % 10) * 100 AS INT) AS n FROM customer WHERE c_custkey % 10 > 0 "
+    "SELECT c_custkey, CAST((c_custkey % 999 + 1) * 1000 + (c_custkey % 10) * 100 AS BIGINT) AS n FROM customer WHERE c_custkey % 10 > 0 "
     "UNION ALL SELECT c_custkey, CAST(concat(CAST(c_custkey % 999 + 1 AS STRING), '000') AS INT) FROM customer WHERE c_custkey % 10 = 0",
 )
 def extract_int(spark, d):

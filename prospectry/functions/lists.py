@@ -41,72 +41,98 @@ def _literal_items(c: Column) -> Column:
     return F.transform(atoms, _unquote)
 
 
-# Parts of a list literal whose items may be lists themselves; anything else is a token of its own.
-_PARTS = rf"(?s)({_QUOTED}|{_NUMBER}|[A-Za-z_]++|[\[\](),]|[^\s])"
-# A tuple of one item keeps its comma.
-_ONE_ITEM = r"""(?s)\((?:'[^']*+'|"[^"]*+"|[^,()\[\]'"]*+), $"""
+# Parts of a literal: strings, numbers, words, and any other letter by itself, brackets among them.
+_PARTS = rf"(?s)({_QUOTED}|{_NUMBER}|[A-Za-z_]++|[^\s])"
+_PYTHON_WORDS = {"True": "True", "False": "False", "None": "None"}
 _JSON_WORDS = {"true": "True", "false": "False", "null": "None"}
+# The stack of open brackets, one letter each, the innermost first: a list; a tuple with no, one or more commas so
+# far; a brace before its first comma or colon, a set, a dict at a key, a dict at a value.
+_LIST_OPEN, _TUPLES, _BRACE, _SET, _KEY, _VALUE = "L", "tuv", "b", "s", "k", "w"
+_BRACES = [_BRACE, _SET, _KEY, _VALUE]
 
 
 def _quoted(text: Column) -> Column:
     """Text as Python shows it inside a list."""
-    escaped = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n"))
+    escaped = F.replace(F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")), F.lit("\t"), F.lit("\\t"))
     double = text.contains("'") & ~text.contains('"')
     single = F.concat(F.lit("'"), F.replace(escaped, F.lit("'"), F.lit("\\'")), F.lit("'"))
     return F.when(double, F.concat(F.lit('"'), escaped, F.lit('"'))).otherwise(single)
 
 
-def _nested_step(state: Column, part: Column) -> Column:
+def _after_comma(top: Column) -> Column:
+    """The innermost bracket once a comma was read in it."""
+    chain = F.when(top == _TUPLES[0], _TUPLES[1]).when(top == _TUPLES[1], _TUPLES[2])
+    return chain.when(top == _BRACE, _SET).when(top == _VALUE, _KEY).otherwise(top)
+
+
+def _nested_step(state: Column, part: Column, words: dict[str, str]) -> Column:
     """State after one part: brackets still open, finished items, the item being read, and whether all is well formed."""
-    due, item, items = state["due"], state["item"], state["items"]
-    closer = F.when(part == "[", "]").when(part == "(", ")")
-    opens, closes = closer.isNotNull(), part.isin("]", ")")
-    top, inner = F.length(due) == 1, F.length(due) > 1
+    due, item, items, last = state["due"], state["item"], state["items"], state["last"]
+    pushed = F.when(part == "[", _LIST_OPEN).when(part == "(", _TUPLES[0]).when(part == "{", _BRACE)
+    opens, closes, comma, colon = pushed.isNotNull(), part.isin("]", ")", "}"), part == ",", part == ":"
+    top, outer, inner = F.substring(due, 1, 1), F.length(due) == 1, F.length(due) > 1
+    in_tuple = top.isin(*_TUPLES)
     text = part.rlike("(?s)^['\"].*['\"]$")
-    word = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in _JSON_WORDS.items() for x in kv]), part), part)
-    atom = F.when(text, F.when(top, _unquote(part)).otherwise(_quoted(_unquote(part)))).otherwise(_unquote(word))
-    after_text = state["last"] == "text"
-    value = text | word.isin("None", "True", "False") | part.rlike(f"^{_NUMBER}$")
-    # Only a value may follow nothing or a comma; strings that follow each other are one.
+    word = F.element_at(F.create_map(*[F.lit(x) for pair in words.items() for x in pair]), part)
+    value = text | word.isNotNull() | part.rlike(f"^{_NUMBER}$")
+    atom = F.when(text, F.when(outer, _unquote(part)).otherwise(_quoted(_unquote(part)))).otherwise(_unquote(F.coalesce(word, part)))
+    complete = last.isin("text", "value")
+    # Keys and members of sets cannot be lists, sets or dicts, nor tuples that hold such.
+    hashed = F.substring(F.regexp_replace(due, f"^[{_TUPLES}]+", ""), 1, 1).isin(_BRACE, _SET, _KEY)
     fits = (
-        F.when(due == "", opens & (state["last"] == "start"))
-        .when(closes, (F.substring(due, 1, 1) == part))
-        .when(part == ",", state["last"].isin("text", "value"))
-        .when(opens | value, state["last"].isin("start", "comma") | (text & after_text & top))
+        F.when(due == "", part.isin("[", "(") & (last == "start"))
+        .when(part == "]", (top == _LIST_OPEN))
+        .when(part == ")", in_tuple)
+        .when(part == "}", top.isin(_BRACE, _SET) | ((top == _VALUE) & complete) | ((top == _KEY) & (last == "comma")))
+        .when(comma, complete & (top != _KEY))
+        .when(colon, complete & top.isin(_BRACE, _KEY))
+        # Strings that follow each other are one.
+        .when(opens | value, (last.isin("start", "comma", "colon") | (text & (last == "text") & outer)) & ~(part.isin("[", "{") & hashed))
         .otherwise(False)
     )
+    closed = F.when(in_tuple & (top == _TUPLES[1]) & (last == "comma"), F.rtrim(item)).otherwise(F.regexp_replace(item, ", $", ""))
     grown = (
-        F.when(inner & (part == ","), F.concat(item, F.lit(", ")))
-        .when(inner & (part == ")") & item.rlike(_ONE_ITEM), F.concat(F.rtrim(item), part))
-        .when(inner & closes, F.concat(F.regexp_replace(item, ", $", ""), part))
-        .when(top & ((part == ",") | closes), F.lit(None).cast("string"))
+        F.when(outer & (comma | closes), F.lit(None).cast("string"))
         .when(due == "", item)
-        .when(opens, F.concat(F.coalesce(item, F.lit("")), part))
-        .otherwise(F.concat(F.coalesce(item, F.lit("")), atom))
+        .when(comma, F.concat(item, F.lit(", ")))
+        .when(colon, F.concat(item, F.lit(": ")))
+        .when(closes, F.concat(closed, part))
+        .otherwise(F.concat(F.coalesce(item, F.lit("")), F.when(opens, part).otherwise(atom)))
     )
-    ended = top & ((part == ",") | closes) & item.isNotNull()
+    rest = F.substr(due, F.lit(2))
     return F.struct(
-        F.when(opens, F.concat(closer, due)).when(closes, F.substr(due, F.lit(2))).otherwise(due).alias("due"),
-        F.when(ended, F.array_append(items, item)).otherwise(items).alias("items"),
+        F.when(opens, F.concat(pushed, due)).when(closes, rest).when(comma, F.concat(_after_comma(top), rest))
+        .when(colon, F.concat(F.lit(_VALUE), rest)).otherwise(due).alias("due"),
+        F.when(outer & (comma | closes) & item.isNotNull(), F.array_append(items, item)).otherwise(items).alias("items"),
         grown.alias("item"),
-        F.when(closes, "value").when(opens, "start").when(part == ",", "comma").when(text, "text").otherwise("value").alias("last"),
+        F.when(closes, "value").when(opens, "start").when(comma, "comma").when(colon, "colon").when(text, "text").otherwise("value").alias("last"),
         (state["ok"] & F.coalesce(fits, F.lit(False))).alias("ok"),
     )
 
 
-def _nested_items(c: Column) -> Column:
-    """Items of a list or tuple literal with lists, tuples or strings side by side in it; null if it is none."""
+def _nested_items(c: Column, words: dict[str, str] = _PYTHON_WORDS) -> Column:
+    """Items of a list or tuple literal that holds lists, tuples, dicts, sets or strings side by side; null if it is none.
+
+    An item that is such a literal itself is shown as Python shows it; keys that repeat stay, and members of a set
+    keep the order in which they are written.
+    """
     start = F.struct(
         F.lit("").alias("due"), F.array().cast("array<string>").alias("items"), F.lit(None).cast("string").alias("item"),
         F.lit("start").alias("last"), F.lit(True).alias("ok"),
     )
     parts = F.regexp_extract_all(c, F.lit(_PARTS), F.lit(1))
-    whole = F.aggregate(parts, start, _nested_step, lambda s: F.when(s["ok"] & (s["due"] == ""), s["items"]))
+    whole = F.aggregate(parts, start, lambda state, part: _nested_step(state, part, words), lambda s: F.when(s["ok"] & (s["due"] == ""), s["items"]))
     return F.when(c.rlike(r"(?s)^(?:\[.*\]|\(.*\))$"), whole)
 
 
-# JSON arrays that hold arrays; texts with coded letters are left to the JSON reader.
-_NESTED = r"(?s)^(?!.*\\u)\[.*\[.*\]$"
+def _braced(c: Column) -> Column:
+    """A cell that is one dict or set literal, as its only item; null if it is none."""
+    inside = _nested_items(F.concat(F.lit("["), c, F.lit(",]")))
+    return F.when(c.rlike(r"(?s)^\{.*\}$"), F.when(F.size(inside) == 1, F.array(c)))
+
+
+# JSON arrays that hold arrays or objects; texts with coded letters are left to the JSON reader.
+_NESTED = r"(?s)^(?!.*\\u)\[.*[\[{].*\]$"
 
 
 def _json_items(c: Column) -> Column:
@@ -200,11 +226,11 @@ def parse_categories(c: Column) -> Column:
 
     def other(s: Column, kind: Column) -> Column:
         return (
-            F.when(kind.startswith("ARRAY"), F.when(s.rlike(_NESTED), F.coalesce(_nested_items(s), _json_items(s))).otherwise(_json_items(s)))
+            F.when(kind.startswith("ARRAY"), F.when(s.rlike(_NESTED), F.coalesce(_nested_items(s, _JSON_WORDS), _json_items(s))).otherwise(_json_items(s)))
             .when(kind.isNotNull(), F.array(s))
             .when(s.rlike(_LIST) | s.rlike(_TUPLE), _literal_items(s))
             .when(s.rlike(_SCALAR) | s.rlike(_MAPPING), F.array(s))
-            .otherwise(F.coalesce(_nested_items(s), _plain_items(s)))
+            .otherwise(F.coalesce(_nested_items(s), _braced(s), _plain_items(s)))
         )
 
     s = strip(c)
@@ -224,7 +250,7 @@ def parse_list_cell(c: Column) -> Column:
         scalar = F.try_variant_get(F.try_parse_json(s), "$", "string")
         nothing = F.lit(None).cast("string")
         return (
-            F.when(kind.startswith("ARRAY"), F.when(s.rlike(_NESTED), F.coalesce(_nested_items(s), _json_items(s))).otherwise(_json_items(s)))
+            F.when(kind.startswith("ARRAY"), F.when(s.rlike(_NESTED), F.coalesce(_nested_items(s, _JSON_WORDS), _json_items(s))).otherwise(_json_items(s)))
             .when(kind == "VOID", F.array(nothing))
             .when(kind == "BOOLEAN", F.array(F.initcap(scalar)))
             .when(kind.isNotNull(), F.array(F.coalesce(scalar, s)))

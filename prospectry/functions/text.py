@@ -62,8 +62,8 @@ def normalize_status(c: Column) -> Column:
 
 
 def extract_int(c: Column) -> Column:
-    """First digit run, thousands commas dropped."""
-    return F.replace(F.regexp_extract(c, r"(\d[\d,]*)", 1), F.lit(",")).try_cast("int")
+    """First digit run, thousands commas dropped; a number beyond 64 bits is null."""
+    return F.replace(F.regexp_extract(c, r"(\d[\d,]*)", 1), F.lit(",")).try_cast("long")
 
 
 def extract_float(c: Column) -> Column:

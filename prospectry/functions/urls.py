@@ -128,10 +128,36 @@ def classify_place_id(c: Column) -> Column:
     return F.struct(kind.alias("kind"), F.concat(prefix, strip(c)).alias("lookup_url"))
 
 
+# Numbers are kept as decimal groups, the lowest first. Six hex digits more multiply them by 16**6.
+_GROUP, _GROUP_DIGITS, _HEX_DIGITS = 10**9, 9, 6
+
+
+def _times_and_add(groups: Column, digits: Column) -> Column:
+    """``groups`` * 16**6 + ``digits`` (six hex digits), group by group with a carry, which always fits one group."""
+
+    def step(state: Column, group: Column) -> Column:
+        total = group * 16**_HEX_DIGITS + state["carry"]
+        rest = total % _GROUP
+        # A multiple of the group, so the division is exact.
+        return F.struct(F.array_append(state["out"], rest).alias("out"), ((total - rest) / _GROUP).cast("long").alias("carry"))
+
+    start = F.struct(F.array().cast("array<bigint>").alias("out"), F.conv(digits, 16, 10).cast("long").alias("carry"))
+    return F.aggregate(groups, start, step, lambda s: F.array_append(s["out"], s["carry"]))
+
+
+def hex_to_decimal(digits: Column) -> Column:
+    """Decimal text of a hexadecimal number of any length; null for other text."""
+    short = F.conv(digits, 16, 10)  # exact up to 64 bits
+    padded = F.lpad(digits, F.ceil(F.length(digits) / _HEX_DIGITS).cast("int") * _HEX_DIGITS, "0")
+    groups = F.aggregate(F.regexp_extract_all(padded, F.lit("(.{%d})" % _HEX_DIGITS), F.lit(1)), F.array().cast("array<bigint>"), _times_and_add)
+    text = F.array_join(F.transform(F.reverse(groups), lambda g: F.lpad(g.cast("string"), _GROUP_DIGITS, "0")), "")
+    long = F.regexp_replace(text, "^0+(?=.)", "")
+    return F.when(digits.rlike("^[0-9A-Fa-f]{1,16}$"), short).when(digits.rlike("^[0-9A-Fa-f]+$"), long)
+
+
 def fid_to_cid(fid: Column) -> Column:
-    """Unsigned 64-bit number, as text, behind the second half of a feature id."""
-    digits = F.lower(F.regexp_extract(fid, r":0x([0-9A-Fa-f]{1,16})(?![0-9A-Fa-f])", 1))
-    return F.when(digits != "", F.conv(digits, 16, 10))
+    """The number, as text, behind the second half of a feature id."""
+    return hex_to_decimal(F.regexp_extract(fid, r":0x([0-9A-Fa-f]+)", 1))
 
 
 def extract_place_ids(html: Column, url: Column) -> Column:

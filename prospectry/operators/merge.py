@@ -9,13 +9,16 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from prospectry.constants import COMBINED_COLUMNS, DEFAULT_MIN_RATING, LISTING_COLUMNS
 from prospectry.functions.lists import parse_categories
 from prospectry.functions.text import blank_to_null, is_blank, is_blank_or, no_match, strip, to_rating
 from prospectry.sources import schemas
 
+#: Appearances in one row of the long form.
+CHUNK = 1000
+
 FIRST_VALUE_COLUMNS = ["name", "website", "phone", "address", "reviews_count", "rating", "source_file"]
 
 
@@ -157,19 +160,23 @@ def combine_partials(partials: DataFrame) -> DataFrame:
     return partials.groupBy(*_APPEARANCE).agg(*[F.min(c).alias(c) for c in values])
 
 
-def finish_merge(partials: DataFrame, files: Sequence[str]) -> DataFrame:
-    """Second step: gather the distinct appearances of each link."""
+def finish_merge(partials: DataFrame, files: Sequence[str], flags: bool = True) -> DataFrame:
+    """Second step: gather the distinct appearances of each link.
+
+    Without ``flags`` there is no column per input; ``map_files`` still tells where a link was seen.
+    """
     fields = [c for c in partials.columns if c not in (*_APPEARANCE, "first", "categories")]
     volume = F.when(F.col("map_file").isNotNull(), F.col("first.search_volume"))
     entry = F.struct("first.ord", "position", "map_file", volume.alias("search_volume"))
     merged = partials.groupBy("listing_link").agg(
         F.array_sort(F.collect_list(F.when(F.col("position").isNotNull(), entry))).alias("seen"),
         *[F.min(n).alias(n) for n in ["categories", *fields]],
-        *flag_columns(files, F.col("map_file"), _seen),
+        *(flag_columns(files, F.col("map_file"), _seen) if flags else []),
     )
     no_categories = F.array().cast("array<string>")
-    # A rank without a list counts only if no row before it has the same rank.
-    new_rank = lambda x, i: x["map_file"].isNotNull() | ~F.array_contains(F.slice("seen.position", F.lit(1), i), x["position"])
+    # A rank without a list counts only if no row before it has the same rank. There is at most one such entry for
+    # each rank, and the search ends at the first equal rank.
+    new_rank = lambda x, i: x["map_file"].isNotNull() | (F.array_position("seen.position", x["position"]) == i + 1)
     unlisted = F.exists("seen", lambda x: x["map_file"].isNull())
     merged = merged.withColumn("seen", F.when(unlisted, F.filter("seen", new_rank)).otherwise(F.col("seen")))
     return merged.select(
@@ -180,29 +187,84 @@ def finish_merge(partials: DataFrame, files: Sequence[str]) -> DataFrame:
         F.col("seen.search_volume").alias("search_volume"),
         F.col("seen.map_file").alias("map_files"),
         F.lit("pending").alias("status"),
-        *[f"query_filename{i}" for i in range(1, len(files) + 1)],
+        *[f"query_filename{i}" for i in range(1, len(files) + 1) if flags],
     )
 
 
-def merge_listings(rows: DataFrame, files: Sequence[str], extra_first: Iterable[str] = ()) -> DataFrame:
+def merge_listings(rows: DataFrame, files: Sequence[str], extra_first: Iterable[str] = (), flags: bool = True) -> DataFrame:
     """One row per link: first known value of each field, every appearance, a flag per input.
 
     Two aggregations, both with map-side partial steps. The first is keyed on
     (link, list, rank), which spreads a link that fills a large share of the input over many
     tasks and shrinks it to its distinct appearances. The second gathers those per link: at
     most (inputs x ranks on one result page) entries, since inputs are the caller's ``files``
-    and ranks come from one page. :func:`merge_appearances` is the form without that bound.
+    and ranks come from one page. :func:`merge_listings_long` is the form without that bound.
+    """
+    return finish_merge(appearance_partials(rows, extra_first), files, flags)
+
+
+def _list_number(partials: DataFrame) -> Column:
+    """The leading field of ``ord``: the list a row came from."""
+    ord_type = partials.schema["first"].dataType["ord"].dataType
+    if ord_type.typeName() != "struct":
+        raise ValueError("ord must be a struct that starts with the number of the list")
+    return F.col("first.ord")[ord_type.names[0]]
+
+
+def number_appearances(partials: DataFrame) -> DataFrame:
+    """(listing_link, index, position, map_file, search_volume): the place of each appearance among those of its link.
+
+    No task sorts all appearances of a link. They are counted for each (link, list), the counts are summed up along the
+    lists, and only the ranks of one list are sorted together; ``ord`` grows list by list.
     """
-    return finish_merge(appearance_partials(rows, extra_first), files)
+    entry = partials.where(F.col("position").isNotNull()).select(
+        "listing_link", "map_file", "position", F.col("first.ord").alias("ord"), "first.search_volume", _list_number(partials).alias("_list")
+    )
+    listed = entry.where(F.col("map_file").isNotNull())
+    # A rank without a list counts only if no row before it has the same rank.
+    first = listed.groupBy("listing_link", "position").agg(F.min("ord").alias("_first"))
+    unlisted = (
+        entry.where(F.col("map_file").isNull()).join(first, ["listing_link", "position"], "left")
+        .where(F.col("_first").isNull() | (F.col("ord") < F.col("_first")))
+        .withColumn("search_volume", F.lit(None).cast("double")).select(*entry.columns)
+    )
+    seen = listed.unionByName(unlisted)
+    before = F.sum("_n").over(Window.partitionBy("listing_link").orderBy("_list").rowsBetween(Window.unboundedPreceding, -1))
+    counts = seen.groupBy("listing_link", "_list").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(before, F.lit(0)))
+    within = F.row_number().over(Window.partitionBy("listing_link", "_list").orderBy("ord"))
+    return seen.withColumn("_within", within).join(counts.drop("_n"), ["listing_link", "_list"]).select(
+        "listing_link", (F.col("_before") + F.col("_within") - 1).alias("index"), "position", "map_file", "search_volume"
+    )
+
+
+def merge_listings_long(rows: DataFrame, chunk: int = CHUNK, extra_first: Iterable[str] = ()) -> DataFrame:
+    """The merge for links with any number of appearances: one row per (link, chunk) of at most ``chunk`` of them.
+
+    Chunks are numbered from 0 in encounter order; together their arrays are those of :func:`merge_listings`. Every
+    chunk carries the link's fields; a link without a usable rank has one chunk with empty arrays.
+    """
+    partials = appearance_partials(rows, extra_first)
+    fields = [c for c in partials.columns if c not in (*_APPEARANCE, "first", "categories")]
+    known = partials.groupBy("listing_link").agg(*[F.min(n).alias(n) for n in ["categories", *fields]])
+    entry = F.struct("index", "position", "map_file", "search_volume")
+    seen = number_appearances(partials).withColumn("chunk", F.floor(F.col("index") / chunk))
+    chunks = seen.groupBy("listing_link", "chunk").agg(F.array_sort(F.collect_list(entry)).alias("seen"))
+    nothing = F.array().cast(chunks.schema["seen"].dataType)
+    whole = known.join(chunks, "listing_link", "left").withColumn("seen", F.coalesce("seen", nothing))
+    return whole.select(
+        "listing_link", F.coalesce("chunk", F.lit(0)).alias("chunk"), F.col("seen.position").alias("position"),
+        F.coalesce("categories.v", F.array().cast("array<string>")).alias("categories"), *[F.col(f"{n}.v").alias(n) for n in fields],
+        F.col("seen.search_volume").alias("search_volume"), F.col("seen.map_file").alias("map_files"), F.lit("pending").alias("status"),
+    )
 
 
-def combined_projection(merged: DataFrame, files: Sequence[str], extra: Iterable[str] = ()) -> DataFrame:
+def combined_projection(merged: DataFrame, files: Sequence[str], extra: Iterable[str] = (), flags: bool = True) -> DataFrame:
     """Fixed column order; a flag that is missing reads false."""
-    flags = [
+    shown = [
         F.coalesce(F.col(n), F.lit(False)).alias(n) if n in merged.columns else F.lit(False).alias(n)
-        for n in (f"query_filename{i}" for i in range(1, len(files) + 1))
+        for n in (f"query_filename{i}" for i in range(1, len(files) + 1) if flags)
     ]
-    return merged.select(*COMBINED_COLUMNS, *flags, *extra)
+    return merged.select(*COMBINED_COLUMNS, *shown, *extra)
 
 
 def distinct_links(merged: DataFrame) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
-from urllib.parse import unquote
+from urllib.parse import unquote, urlsplit
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.utils import AnalysisException
 
 from prospectry.constants import JSON_GUARD, QUERY_URL_HEADERS, SEARCH_VOLUME_HEADERS
 from prospectry.operators.evaluations import filter_by_status
@@ -83,24 +84,93 @@ def _list_name(path: str) -> str:
     return f"{unquote(last.removeprefix('slug='))}.xlsx" if last.startswith("slug=") else last
 
 
+def _place(uri: str) -> tuple[str, str]:
+    """Store and decoded path of an address; a bare path has no store."""
+    parts = urlsplit(uri)
+    return (f"{parts.scheme}://{parts.netloc}", unquote(parts.path)) if parts.scheme else ("", uri)
+
+
+def list_places(paths: Sequence[str], files: Sequence[str]) -> list[tuple[str, bool, int, str]]:
+    """(address, whether it is a file, list number, list name) for the lists at ``paths``, given the addresses of their files.
+
+    A list that is a file stands under its own address, one that is a folder under each folder that holds
+    files of it. So the table is as long as the lists are many, not as long as their files.
+    """
+    lists: dict[tuple[str, str], list[int]] = {}
+    for number, path in enumerate(paths):
+        store, bare = _place(path.rstrip("/"))
+        lists.setdefault((store, re.sub(r"^(\.\.?/)+", "", bare)), []).append(number)
+    found = set()
+    for uri in files:
+        store, whole = _place(uri)
+        names = whole.strip("/").split("/")
+        for depth in range(len(names), 0, -1):
+            # A path that starts at the root, or a relative one, which is known by its end.
+            ways = [(store, "/" + "/".join(names[:depth])), ("", "/" + "/".join(names[:depth]))]
+            ways += [("", "/".join(names[k:depth])) for k in range(1, depth)]
+            for number in (n for way in ways for n in lists.get(way, ())):
+                is_file = depth == len(names)
+                found.add((uri if is_file else uri.rsplit("/", 1)[0], is_file, number, _list_name(paths[number])))
+    return sorted(found)
+
+
+# Addresses without a host are written with one slash or three.
+_NO_ROOT = "^([a-z]+):/(?=[^/])"
+
+
+def _with_root(uri: str) -> str:
+    return re.sub(_NO_ROOT, r"\1:///", uri)
+
+
+def compact_place(fmt: str) -> Column:
+    """Place of a row in its list as numbers: part file, a hash of its name for parts that share a number, block, row."""
+    name = F.col("_metadata.file_name")
+    part = F.coalesce(F.regexp_extract(name, r"^part-(\d{1,9})", 1).try_cast("int"), F.lit(0))
+    row = [F.lit(0).cast("long"), F.col("_metadata.row_index")] if fmt == "parquet" else [F.col("_metadata.file_block_start"), F.monotonically_increasing_id()]
+    return F.struct(part.alias("part"), F.xxhash64(name).alias("file"), row[0].alias("block"), row[1].alias("row_idx"))
+
+
+# Columns of different types, and lists that are partitioned beside lists that are not.
+_NOT_TOGETHER = ["CANNOT_MERGE_SCHEMAS", "CONFLICTING_DIRECTORY_STRUCTURES", "CONFLICTING_PARTITION_COLUMN_NAMES"]
+
+
+def _read_together(spark: SparkSession, paths: Sequence[str], fmt: str) -> list[DataFrame]:
+    """The lists as one table where their columns fit together, else one table each.
+
+    CSV lists may differ in their headers, and one read takes a single header, so they are read one by one.
+    """
+    distinct = list(dict.fromkeys(paths))
+    if fmt != "csv":
+        try:
+            reader = spark.read.format(fmt)
+            return [(reader.option("mergeSchema", True) if fmt == "parquet" else reader).load(distinct)]
+        except Exception as error:  # raised by a job that reads the footers, so not always an analysis error
+            if not any(known in str(error) for known in _NOT_TOGETHER):
+                raise
+    return [read_table(spark, p, fmt) for p in distinct]
+
+
 def scan_with_provenance(spark: SparkSession, paths: Sequence[str], fmt: str = "parquet") -> DataFrame:
     """Union of several result lists; every row knows its list and its place in the whole.
 
     A list is a file or a directory of part files, so its name is the last part of its path. One
-    that this library collected (``slug=...``) goes by the name that its query expects.
-    The inputs are as many as the caller names, each of any size.
+    that this library collected (``slug=...``) goes by the name that its query expects. A path that is named
+    twice gives its rows twice; paths are no patterns.
+
+    All lists are one scan. A small table, one row for each folder of a list, says which list a row belongs to;
+    what travels with a row is its list's name and ``ord``, which holds numbers only.
     """
     tables = []
-    for index, path in enumerate(paths):
-        table = read_table(spark, path, fmt)
-        tables.append(
-            with_listing_columns(
-                table.select(
-                    "*", F.lit(_list_name(path)).alias("map_file"),
-                    F.struct(F.lit(index).alias("file_idx"), file_row_order(fmt).alias("place")).alias("ord"),
-                )
-            )
-        )
+    for table in _read_together(spark, paths, fmt):
+        places = [(_with_root(address), is_file, number, name) for address, is_file, number, name in list_places(paths, table.inputFiles())]
+        uri = F.regexp_replace("_metadata.file_path", _NO_ROOT, "$1:///")
+        folder = F.regexp_extract(uri, "^(.*)/[^/]*$", 1)
+        kinds = {p[1] for p in places}
+        address = F.explode(F.array(folder, uri)) if len(kinds) == 2 else uri if kinds == {True} else folder
+        placed = table.select("*", compact_place(fmt).alias("_place"), address.alias("_address"))
+        numbers = spark.createDataFrame(places, "_address string, is_file boolean, file_idx int, map_file string")
+        joined = placed.join(numbers, "_address")
+        tables.append(with_listing_columns(joined.select(*table.columns, "map_file", F.struct("file_idx", F.col("_place").alias("place")).alias("ord"))))
     return union_listings(tables)
 
 

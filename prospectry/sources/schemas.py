@@ -18,7 +18,7 @@ QUERIES = _struct(("query_url", TEXT), ("status", TEXT), ("search_volume", DOUBL
 
 LISTINGS = _struct(
     ("listing_link", TEXT), ("position", TEXT), ("name", TEXT), ("categories", TEXT),
-    ("website", TEXT), ("phone", TEXT), ("address", TEXT), ("reviews_count", INT),
+    ("website", TEXT), ("phone", TEXT), ("address", TEXT), ("reviews_count", LONG),
     ("rating", DOUBLE), ("status", TEXT), ("source_file", TEXT), ("search_volume", DOUBLE),
 )
 

@@ -71,3 +71,42 @@ def test_a_slug_that_finds_nothing_loses_its_rows(spark, tmp_path):
     writers.write_listings(rows.limit(0), root, processed=rows.where("slug = 's 1'").select("slug"))
     found = readers.scan_with_provenance(spark, [f"{root}/slug=s 1", f"{root}/slug=s2"])
     assert [(r.map_file, r.listing_link) for r in found.orderBy("map_file").collect()] == [("s 1.xlsx", None), ("s2.xlsx", "u3")]
+
+
+def test_many_lists_are_one_scan(spark, tmp_path):
+    """One scan for hundreds of lists, and no path in what a row carries."""
+    root = str(tmp_path / "maps")
+    spark.range(900).selectExpr("concat('l', id % 50) AS listing_link", "concat('q', id % 300) AS slug").repartition(1).write.partitionBy("slug").parquet(root)
+    paths = [f"{root}/slug=q{i}" for i in reversed(range(300))]
+    rows = readers.scan_with_provenance(spark, paths)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1
+    assert {f.dataType.typeName() for f in rows.schema["ord"].dataType["place"].dataType} == {"integer", "long"}
+    found = rows.groupBy("ord.file_idx", "map_file").count().collect()
+    assert {(r.file_idx, r.map_file, r["count"]) for r in found} == {(299 - i, f"q{i}.xlsx", 3) for i in range(300)}
+
+
+def test_lists_of_every_kind(spark, tmp_path):
+    """Files beside folders, odd names, folders in folders, a list named twice, other columns, relative paths."""
+    import os
+
+    one, odd, deep = str(tmp_path / "one.parquet"), str(tmp_path / "ä b%:c"), str(tmp_path / "deep")
+    spark.range(2).selectExpr("'a' AS listing_link", "id AS position").coalesce(1).write.parquet(str(tmp_path / "aside"))
+    part = next(p for p in os.listdir(tmp_path / "aside") if p.endswith(".parquet"))
+    os.link(tmp_path / "aside" / part, one)
+    spark.range(3).selectExpr("'b' AS listing_link", "1.5D AS rating").write.parquet(odd)
+    spark.range(4).selectExpr("'c' AS listing_link", "id % 2 AS p").write.partitionBy("p").parquet(deep)
+    paths = [deep, one, odd, one, "file://" + str(tmp_path / "aside") + "/"]
+    rows = readers.scan_with_provenance(spark, paths)
+    found = {(r.file_idx, r.map_file, r.listing_link, r["count"]) for r in rows.groupBy("ord.file_idx", "map_file", "listing_link").count().collect()}
+    assert found == {(0, "deep", "c", 4), (1, "one.parquet", "a", 2), (2, "ä b%:c", "b", 3), (3, "one.parquet", "a", 2), (4, "aside", "a", 2)}
+    assert rows.select("ord").distinct().count() == 13
+    here = os.path.relpath(tmp_path / "aside")
+    assert {r.map_file for r in readers.scan_with_provenance(spark, [here]).collect()} == {"aside"}
+
+
+def test_lists_whose_columns_do_not_fit(spark, tmp_path):
+    for name, kind in (("m", "int"), ("n", "string")):
+        spark.range(2).selectExpr("'x' AS listing_link", f"CAST(id AS {kind}) AS reviews_count").write.parquet(str(tmp_path / name))
+    rows = readers.scan_with_provenance(spark, [str(tmp_path / "n"), str(tmp_path / "m")])
+    assert sorted((r.ord.file_idx, str(r.reviews_count)) for r in rows.collect()) == [(0, "0"), (0, "1"), (1, "0"), (1, "1")]

@@ -35,6 +35,77 @@ def test_parse_list_cell(spark):
     assert _map(spark, lists.parse_list_cell, list(cases)) == list(cases.values())
 
 
+def _random_value(rng, depth, hashed=False):
+    """A literal's value; keys and members of sets hold nothing that can change."""
+    kinds = ["text"] * 3 + ["number", "word"] + (["tuple"] if depth else []) + (["list", "dict", "set"] if depth and not hashed else [])
+    kind = rng.choice(kinds)
+    some = lambda: [_random_value(rng, depth - 1, hashed) for _ in range(rng.randrange(4))]
+    if kind == "text":
+        return "".join(rng.choice("abé '\",[]{}():|\\\n\t1") for _ in range(rng.randrange(6)))
+    if kind == "number":
+        return rng.choice([rng.randrange(-99, 9999), rng.randrange(-400, 400) / 4])
+    if kind == "word":
+        return rng.choice([None, True, False])
+    if kind == "dict":
+        return {_random_value(rng, depth - 1, True): _random_value(rng, depth - 1) for _ in range(rng.randrange(3))}
+    if kind == "set":  # of one member, since the order of more is not fixed
+        return {_random_value(rng, depth - 1, True)}
+    return tuple(some()) if kind == "tuple" else some()
+
+
+def _as_read(value):
+    """The rule for a cell that is a list or tuple: texts trimmed, blank ones dropped, first spelling of each."""
+    out = {}
+    for item in value:
+        if str(item).strip():
+            out.setdefault(str(item).strip().lower(), str(item).strip())
+    return list(out.values())
+
+
+def test_nested_literals(spark):
+    import ast
+    import json
+    import random
+
+    rng = random.Random(11)
+    python = [_random_value(rng, 4) for _ in range(3000)]
+    python = [v for v in python if isinstance(v, (list, tuple)) and "[" in repr(v)[1:] + "{"][:700]
+    spelled = [rng.choice([repr, lambda v: repr(v).replace(", ", " ,\n") if "'" not in repr(v) else repr(v)])(v) for v in python]
+    assert all(ast.literal_eval(t) == v for t, v in zip(spelled, python))
+    found = _map(spark, lists.parse_categories, spelled)
+    assert [(t, f) for t, f, v in zip(spelled, found, python) if f != _as_read(v)] == []
+
+    plain = lambda v: json.loads(json.dumps(v, default=list, skipkeys=True))
+    nested = [plain([x for x in v if not isinstance(x, set)]) for v in python]
+    texts = [json.dumps(v, ensure_ascii=False) for v in nested]
+    found = _map(spark, lists.parse_categories, texts)
+    assert [(t, f) for t, f, v in zip(texts, found, nested) if f != _as_read(v)] == []
+
+
+def test_dicts_and_sets_in_cells(spark):
+    cases = {
+        "['a', {'k': 1}]": ["a", "{'k': 1}"], "[{'k': [1, (2,)], 'm': {}}, {3}]": ["{'k': [1, (2,)], 'm': {}}", "{3}"],
+        '[{"k": true, "m": null}, "b"]': ["{'k': True, 'm': None}", "b"], "({'a': 1,}, {'b', })": ["{'a': 1}", "{'b'}"],
+        "[({'k': 1},), 'x']": ["({'k': 1},)", "x"], "{'a': [1, 2]}": ["{'a': [1, 2]}"], "{1, (2, 3)}": ["{1, (2, 3)}"],
+        # No literals: a list as a key or member, a dict without a value, a key without one, words of the other kind.
+        "[{[1]: 2}|x]": ["[{[1]: 2}", "x]"], "[{[1]}, 'b']": ["[{[1]}", "'b']"], "[{'a': }, 1]": ["[{'a': }", "1]"], "[{'a': 1, 'b'}, 1]": ["[{'a': 1", "'b'}", "1]"],
+        "[{'a': true}|1]": ["[{'a': true}", "1]"], "[{'a': 1: 2}|1]": ["[{'a': 1: 2}", "1]"], "{(1, [2])}|x": ["{(1, [2])}", "x"], "[{,}|1]": ["[{,}", "1]"],
+    }
+    assert _map(spark, lists.parse_categories, list(cases)) == list(cases.values())
+    listed = {"['a', {'k': 1}]": ["a", "{'k': 1}"], "{'k': [1]}": ["{'k': [1]}"], "[{'a': }]": ["[{'a': }]"]}
+    assert _map(spark, lists.parse_list_cell, list(listed)) == list(listed.values())
+
+
+def test_long_numbers(spark):
+    import random
+
+    rng = random.Random(2)
+    digits = ["".join(rng.choice("0123456789abcdefABCDEF") for _ in range(n)) for n in (1, 6, 7, 15, 16, 17, 18, 24, 25, 40, 300)] + ["f" * 17, "0" * 30, "0" * 20 + "1a", "1" + "0" * 18]
+    assert _map(spark, urls.fid_to_cid, [f"0x1:0x{d}" for d in digits]) == [str(int(d, 16)) for d in digits]
+    assert _map(spark, urls.fid_to_cid, ["0x1:0xzz", "0x1:", None]) == [None, None, None]
+    assert _map(spark, text.extract_int, ["99,999,999,999 reviews", "2147483648"]) == [99_999_999_999, 2_147_483_648]
+
+
 def test_query_slug(spark):
     cases = {
         "https://g.com/maps?q=a%20b": "a_b", "https://g.com/maps?query=X+Y": "x_y", "https://g.com/maps/tail?q=%20&query=z": "tail",
