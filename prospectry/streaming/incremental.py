@@ -71,7 +71,7 @@ class ListingStore:
         found = read_if_present(self.spark, f"{self.root}/{kind}", schema=schema)
         if found is None:
             return self.spark.createDataFrame([], schema)
-        rows = found.where(F.col("batch") > after)
+        rows = found.drop("place").where(F.col("batch") > after)
         return rows if upto is None else rows.where(F.col("batch") <= upto)
 
     def base_rows(self, base: Base, slices: Sequence[int] | None = None) -> DataFrame:

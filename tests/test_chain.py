@@ -41,7 +41,7 @@ def test_flags_and_repeats(spark, tmp_path):
          (3, "https://maps.example.com/maps?q=50%25+%2B+a:b", "", 3.0, "q", 3), (4, "https://maps.example.com/maps?q=gone", "", 4.0, "q", 4)],
         "page_id long, query_url string, status string, search_volume double, source_file string, ord int",
     )
-    box = lambda v: f'<div class="Nv2PK"><a class="hfpxzc" aria-label="B{v}" href="https://maps.example.com/place/{v}"></a><span class="ZkP5Je"><span class="MW4etd">4.5</span></span></div>'
+    box = lambda v: f'<div class="Nv2PK"><a class="hfpxzc" aria-label="B{v}" href="https://maps.example.com/place/{v}"></a><span class="ZkP5Je" aria-label="stars"><span class="MW4etd">4.5</span></span></div>'
     pages = spark.createDataFrame([(1, box(1)), (2, box(1) + box(2)), (3, box(1) + box(3))], "page_id long, html string")
     panels = spark.createDataFrame([], "page_id long, position int, panel_html string, image_src string")
     made = run_pipeline(queries, pages, panels, str(tmp_path / "chain"))
