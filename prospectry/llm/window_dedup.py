@@ -37,7 +37,7 @@ from prospectry.llm.suffix_dedup import LAST_ID, mix, powers, runs, slide
 from prospectry.session import work_path
 
 #: Words of a window and of a minimiser, bytes of text for each bucket, and super-k-mers of a minimiser that one bucket sorts.
-WINDOW, GRAM, BUCKET_BYTES, CROWDED = 13, 5, 32 << 20, 20_000
+WINDOW, GRAM, BUCKET_BYTES, CROWDED = 13, 5, 16 << 20, 20_000
 #: Windows of one super-k-mer, as many as its mask has bits.
 LONGEST = 32
 
