@@ -1,8 +1,8 @@
 """Quality score of a business: penalties with reasons, from the site profile.
 
 The rules are a table of SQL expressions: when a rule applies, what it says, the points it adds
-and the figure its reason shows. The score is the sum over the table; the reasons are an array
-sorted by struct order. No row leaves the JVM.
+and the figure its reason shows. Each condition is looked at once and becomes a bit; score and reasons
+follow from the bits. No row leaves the JVM.
 """
 
 from __future__ import annotations
@@ -110,11 +110,16 @@ RULES = [*_LISTING_RULES, *[r._replace(when=f"m.site AND {r.when}") for r in _SI
 # Load time with one decimal, rounded on the exact binary value: a half-way test on printed
 # digits would round 4.35 up although the stored number is below it. ``8f - h`` and then ``+ 2f``
 # are both exact next to a half-way point ``h`` of the fraction ``f``.
-_TENTHS = """transform(transform(array(coalesce(speedMetrics.load_time_seconds, 0D)),
-    t -> named_struct('w', floor(t), 'f', t - floor(t), 'k', floor((t - floor(t)) * 10))),
-    x -> x.w * 10 + x.k + CASE WHEN (x.f * 8 - (x.k + 0.5D)) + x.f * 2 > 0
-        OR ((x.f * 8 - (x.k + 0.5D)) + x.f * 2 = 0 AND x.k % 2 = 1) THEN 1 ELSE 0 END)[0]"""
-_SECONDS_TEXT = f"transform(array({_TENTHS}), n -> concat(CAST(n DIV 10 AS STRING), '.', CAST(n % 10 AS STRING)))[0]"
+def _tenths(t: str) -> str:
+    fraction = f"({t} - floor({t}))"
+    digit = f"floor({fraction} * 10)"
+    past_half = f"(({fraction} * 8 - ({digit} + 0.5D)) + {fraction} * 2)"
+    return f"(floor({t}) * 10 + {digit} + CASE WHEN {past_half} > 0 OR ({past_half} = 0 AND {digit} % 2 = 1) THEN 1 ELSE 0 END)"
+
+
+def _seconds_text(t: str) -> str:
+    """Repeats are worked out once: generated code shares equal parts, while a lambda would not be generated."""
+    return f"concat(CAST({_tenths(t)} DIV 10 AS STRING), '.', CAST({_tenths(t)} % 10 AS STRING))"
 
 
 def with_metric_columns(metrics: DataFrame) -> DataFrame:
@@ -128,31 +133,50 @@ def with_metric_columns(metrics: DataFrame) -> DataFrame:
 def known_metrics(as_of_year: int) -> str:
     """One struct with every metric a rule reads, unknown values replaced."""
     fields = [f"'{n}', {e.format(year=as_of_year)}" for n, e in _KNOWN.items()]
-    slow = f"CASE WHEN speedMetrics.load_time_seconds > 3 THEN {_SECONDS_TEXT} END"
+    slow = f"CASE WHEN speedMetrics.load_time_seconds > 3 THEN {_seconds_text('speedMetrics.load_time_seconds')} END"
     return f"named_struct({', '.join(fields)}, 'seconds_text', {slow})"
 
 
+def hits() -> str:
+    """One bit for each rule that applies; no rule's condition is looked at anywhere else."""
+    return " + ".join(f"CASE WHEN {r.when} THEN {1 << i}L ELSE 0L END" for i, r in enumerate(RULES))
+
+
+def _applies(i: int) -> str:
+    return f"(hits & {1 << i}L) <> 0"
+
+
 def score_sum() -> str:
-    return " + ".join(f"CASE WHEN {r.when} THEN {r.points} ELSE 0 END" for r in RULES)
+    """Points of the rules that apply, from ``hits`` and the metrics ``m``."""
+    return " + ".join(f"CASE WHEN {_applies(i)} THEN {r.points} ELSE 0 END" for i, r in enumerate(RULES))
+
+
+# A key holds the negative penalty, the place among equals and the rule, so ascending keys are reasons in order.
+_PENALTY_BITS, _RULE_BITS = 22, 6
+_NO_KEY = (1 << 63) - 1
 
 
-def sort_reasons() -> str:
-    """Reasons that apply, largest shown penalty first, rule order among equals.
+def sort_keys() -> str:
+    """Keys of the rules that apply, largest shown penalty first, rule order among equals.
 
-    Descending struct order does it: shown penalty, then place counted backwards. Rules that do
-    not apply are null and sort to the end, where their count cuts them off; a lambda would take
-    the whole formula out of generated code. Builders come in the order they were detected.
+    Sorting an array of numbers without nulls needs no comparisons of structs; rules that do not apply sort to the
+    end, where the number of bits cuts them off. Builders come in the order they were detected.
     """
 
-    def entry(i: int, r: Rule) -> str:
-        place = f"-{i}000"
+    def key(i: int, r: Rule) -> str:
+        place = f"{i}000"
         if "builder (" in r.reason:
-            place = f"-{len(_LISTING_RULES) + 3}000 - array_position(m.builders, {r.when.rsplit(', ', 1)[1]}"
-        return f"CASE WHEN {r.when} THEN named_struct('p', CAST({r.shown or r.points} AS INT), 's', CAST({place} AS BIGINT), 'r', {r.reason}) END"
+            builder = r.reason.split("(")[1].split(")")[0]
+            place = f"{len(_LISTING_RULES) + 3}000 + array_position(m.builders, '{builder}')"
+        value = f"-CAST({r.shown or r.points} AS BIGINT) * {1 << _PENALTY_BITS}L + ({place}) * {1 << _RULE_BITS}L + {i}L"
+        return f"CASE WHEN {_applies(i)} THEN {value} ELSE {_NO_KEY}L END"
+
+    return f"slice(sort_array(array({', '.join(key(i, r) for i, r in enumerate(RULES))})), 1, bit_count(hits))"
+
 
-    entries = ", ".join(entry(i, r) for i, r in enumerate(RULES))
-    applied = " + ".join(f"CASE WHEN {r.when} THEN 1 ELSE 0 END" for r in RULES)
-    return f"slice(sort_array(array({entries}), false), 1, {applied})"
+def reason_texts() -> str:
+    """The text of every rule; those with a figure only where they apply."""
+    return "array(" + ", ".join(r.reason if r.reason.startswith("'") else f"CASE WHEN {_applies(i)} THEN {r.reason} END" for i, r in enumerate(RULES)) + ")"
 
 
 def quality_score(metrics: DataFrame, as_of_year: int) -> DataFrame:
@@ -162,9 +186,9 @@ def quality_score(metrics: DataFrame, as_of_year: int) -> DataFrame:
     ``spark.sql.codegen.hugeMethodLimit`` makes Spark cut such a method into short ones.
     """
     own = [f"`{c}`" for c in metrics.columns]
-    known = with_metric_columns(metrics).selectExpr(*own, f"{known_metrics(as_of_year)} AS m")
-    scored = known.selectExpr(*own, f"{score_sum()} AS score", f"{sort_reasons()} AS found")
-    return scored.selectExpr(
-        *own, "score", f"score >= {BAD_FROM} AS is_bad",
-        "CAST(arrays_zip(found.r, found.p) AS array<struct<reason:string,penalty:int>>) AS reasons",
-    )
+    known = with_metric_columns(metrics).selectExpr(*own, f"{known_metrics(as_of_year)} AS m").selectExpr(*own, "m", f"{hits()} AS hits")
+    scored = known.selectExpr(*own, f"{score_sum()} AS score", f"{sort_keys()} AS keys", f"{reason_texts()} AS texts")
+    # Only the reasons that apply are looked up, outside the generated code. Keys and texts are named twice, which
+    # keeps the optimizer from pasting their formulas into the look-up of each reason.
+    reason = f"named_struct('reason', texts[CAST(k & {(1 << _RULE_BITS) - 1} AS INT)], 'penalty', CAST(-shiftright(k, {_PENALTY_BITS}) AS INT))"
+    return scored.selectExpr(*own, "score", f"score >= {BAD_FROM} AS is_bad", f"CASE WHEN size(keys) > 0 AND size(texts) > 0 THEN transform(keys, k -> {reason}) ELSE array() END AS reasons")
