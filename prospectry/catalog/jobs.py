@@ -82,7 +82,7 @@ def incremental(spark, d):
     rows.repartition(4, "l_orderkey").write.parquet(source)
     arrivals = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
     parsed = arrivals.withColumn("categories", parse_categories(F.col("categories")))
-    incremental_listings(parsed, FILES, root, 4.2, compact_every=2, slice_rows=2000).awaitTermination()
+    incremental_listings(parsed, FILES, root, 4.2, compact_every=2, slice_rows=20_000).awaitTermination()
     return shown(current_listings(st.parsed_listings(spark, d), FILES, root))
 
 

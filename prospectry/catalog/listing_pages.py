@@ -8,7 +8,8 @@ from prospectry.catalog import standins as st
 from prospectry.catalog.registry import query
 from prospectry.functions import markup
 from prospectry.operators import listings as ex, profile
-from prospectry.sources import schemas
+from prospectry.session import work_path
+from prospectry.sources import schemas, writers
 
 _V = "CAST(v AS STRING)"
 _ROWS = f"WITH b AS ({st.BOXES_SQL})"
@@ -38,8 +39,13 @@ def _sql(*fields: str) -> str:
     return f"{_ROWS} SELECT page_id, position, {', '.join(f'{FIELDS[f]} AS {f}' for f in fields)} FROM b"
 
 
+def _captured(spark, pages, text="html"):
+    """Pages as a capture job stores them: in files that a task each can parse."""
+    return writers.write_pages(pages, work_path(spark, "pages"), text)
+
+
 def _listings(spark, d):
-    return ex.extract_listings(st.results_pages(spark, d))
+    return ex.extract_listings(_captured(spark, st.results_pages(spark, d)))
 
 
 def _shown(df, *fields):
@@ -108,7 +114,7 @@ _PANEL_ROWS = f"SELECT page_id, position, {', '.join(f'{e} AS {n}' for n, e in _
 
 
 def _panels(spark, d):
-    return ex.extract_panels(st.panel_capture(spark, d))
+    return ex.extract_panels(_captured(spark, st.panel_capture(spark, d), "panel_html"))
 
 
 @query("extract_panels", f"{_ROWS} {_PANEL_ROWS}")

@@ -24,10 +24,6 @@ def _features(spark, d):
     return site.page_features(st.site_pages(spark, d))
 
 
-def _with_source(spark, d):
-    return site.page_features(st.site_pages(spark, d).withColumn("source", F.col("html")))
-
-
 @query(
     "page_features",
     f"""{_ROWS} SELECT page_id, CAST(len(regexp_extract_all(html, '<h1>')) AS INT) AS h1_count, CAST(len(regexp_extract_all(html, '<img ')) AS INT) AS img_count,
@@ -113,8 +109,9 @@ _FRAMEWORKS = """concat_ws(',', CASE WHEN page_id % 9 = 0 THEN 'Next.js' WHEN pa
 
 @query("detect_frameworks", f"SELECT page_id, coalesce(nullif({_FRAMEWORKS}, ''), 'Unknown') AS frameworks FROM pages")
 def detect_frameworks(spark, d):
-    found = site.detect_frameworks(F.col("source"), _page(), _browser("Vue"))
-    return _with_source(spark, d).select("page_id", F.array_join(found, ",").alias("frameworks"))
+    found = site.frameworks_of(F.col("marks"), _page(), _browser("Vue"))
+    marked = st.site_pages(spark, d).withColumn("marks", site.framework_marks(F.col("html")))
+    return site.page_features(marked).select("page_id", F.array_join(found, ",").alias("frameworks"))
 
 
 _BUILDERS = "CASE page_id % 8 WHEN 0 THEN 'WordPress' WHEN 1 THEN 'Wix,Squarespace' WHEN 2 THEN 'Drupal' ELSE 'Unknown' END"

@@ -36,7 +36,7 @@ def page_signals(rendered: DataFrame, captured: Column | None = None) -> DataFra
     The profile reads this table twice, so write it out first when pages are many; parsing is
     the dear step.
     """
-    features = site.page_features(rendered.withColumn("source", F.col("html")))
+    features = site.page_features(rendered.withColumn("source", site.source_signals(F.col("html"))))
     metrics = {**site.page_metrics(F.col("source"), captured), **site.layout_signals()}
     page = F.struct(*[F.col(f"page.{n}").alias(n) for n in ("metas", "text", "full_text")])
     return features.select(
@@ -52,14 +52,17 @@ def site_profile(
 ) -> DataFrame:
     """Listing signals left-joined to page, fetch, style-sheet and sitemap signals.
 
-    All but the sitemap join on ``page_id``, so the inputs are partitioned once on it. Pages
-    travel to the joins as signals, never as HTML. Sitemaps are judged per domain, once.
+    Every join is on ``page_id``, so a wide row moves once, to the partition of its page. What belongs to a domain comes
+    to its pages through a narrow (page_id, domain) look-up. Pages travel to the joins as signals, never as HTML.
+    Sitemaps are judged per domain, once.
     """
-    raw_page = site.page_features(raw.withColumn("source", F.col("html"))).select(
-        "page_id", site.words(F.col("page")).alias("_raw_words"), site.is_html5(F.col("source")).alias("html5")
+    raw_page = site.page_features(raw.select("page_id", "html", site.is_html5(F.col("html")).alias("html5"))).select(
+        "page_id", site.words(F.col("page")).alias("_raw_words"), "html5"
     )
     responsive = site.is_responsive(signals, css_capture, site.base_url(F.col("url")))
     sitemaps = captures.check_sitemaps(captures.domains_of(signals), sitemap_capture)
+    sitemap = F.struct("domain", "sitemap_found", "total_pages").alias("sitemap")
+    of_page = signals.select("page_id", "domain").join(sitemaps, "domain", "left").select("page_id", sitemap)
     joined = (
         signals.join(raw_page, "page_id", "left").join(responsive, "page_id", "left")
         .join(captures.fetch_summary(fetch_log), "page_id", "left")
@@ -71,10 +74,8 @@ def site_profile(
                 "usesJs": F.col("words") > F.col("_raw_words"),
             }
         )
-        .join(sitemaps, "domain", "left")
-        .withColumn("sitemap", F.struct("domain", "sitemap_found", "total_pages"))
-        .drop("url", "_raw_words", "http", "head", "get", "last_modified", "load_seconds",
-              "sitemap_found", "total_pages", "viewport", "inline_media", "stylesheets")
+        .join(of_page, "page_id", "left")
+        .drop("url", "_raw_words", "http", "head", "get", "last_modified", "load_seconds", "viewport", "inline_media", "stylesheets")
     )
     own = listings.select("page_id", *[c.alias(n) for n, c in listing_signals().items()])
     return own.join(joined, "page_id", "left")

@@ -65,6 +65,23 @@ def site_builders(html: Column) -> Column:
     return let(F.lower(html), found)
 
 
+def framework_marks(html: Column) -> Column:
+    """Names of the frameworks whose text marks occur in the page source."""
+    return let(
+        html, lambda text: F.filter(F.array(*[F.when(contains_any(text, f["text"]), f["name"]) for f in FRAMEWORKS if "text" in f]), lambda n: n.isNotNull())
+    )
+
+
+def source_signals(html: Column) -> Column:
+    """All that is read from the page source alone, as one small struct.
+
+    It is made before the page is parsed, so the source goes into the parser once and never comes out of it.
+    """
+    return F.struct(
+        has_favicon(html).alias("favicon"), is_html5(html).alias("html5"), site_builders(html).alias("builders"), framework_marks(html).alias("framework_marks")
+    )
+
+
 # --- from the parsed page ------------------------------------------------------------------
 
 
@@ -113,23 +130,27 @@ def detect_jquery(page: Column, captured: Column | None = None) -> Column:
 
 
 def detect_frameworks(html: Column, page: Column, captured: Column | None = None) -> Column:
-    return let(html, lambda text: _frameworks_in(text, page, captured))
+    return frameworks_of(framework_marks(html), page, captured)
+
+
+def frameworks_of(marks: Column, page: Column, captured: Column | None = None) -> Column:
+    """Frameworks by their marks in the source, metas, attributes and browser globals; some hide others."""
 
+    def found(named: Column) -> Column:
+        flags: dict[str, Column] = {}
+        for f in FRAMEWORKS:
+            tests = [F.array_contains(named, f["name"])] if "text" in f else []
+            if "meta" in f:
+                tests.append(_meta(page, "name", f["meta"]).isNotNull())
+            if "attribute" in f:
+                tests.append(F.array_contains(page["marked_attributes"], f["attribute"]))
+            if "global" in f:
+                tests.append(_in_browser(captured, f["global"]))
+            hidden_by = f.get("hidden_by")
+            flags[f["name"]] = _any(tests) & ~flags[hidden_by] if hidden_by else _any(tests)
+        return _named_or_unknown(list(flags.items()))
 
-def _frameworks_in(html: Column, page: Column, captured: Column | None) -> Column:
-    flags: dict[str, Column] = {}
-    for f in FRAMEWORKS:
-        tests = [contains_any(html, f["text"])] if "text" in f else []
-        if "meta" in f:
-            tests.append(_meta(page, "name", f["meta"]).isNotNull())
-        if "attribute" in f:
-            tests.append(F.array_contains(page["marked_attributes"], f["attribute"]))
-        if "global" in f:
-            tests.append(_in_browser(captured, f["global"]))
-        found = _any(tests)
-        hidden_by = f.get("hidden_by")
-        flags[f["name"]] = found & ~flags[hidden_by] if hidden_by else found
-    return _named_or_unknown(list(flags.items()))
+    return let(marks, found)
 
 
 def last_update(page: Column, last_modified: Column) -> Column:
@@ -229,20 +250,20 @@ def uses_js(rendered: DataFrame, raw: DataFrame, key: str = "page_id") -> DataFr
     return after.join(before, key).select(key, (F.col("_after") > F.col("_before")).alias("usesJs"))
 
 
-def page_metrics(html: Column, captured: Column | None = None) -> dict[str, Column]:
-    """Named signals that need nothing but one page."""
+def page_metrics(source: Column, captured: Column | None = None) -> dict[str, Column]:
+    """Named signals that need nothing but one page: its :func:`source_signals` and its parsed features."""
     page = F.col("page")
     return {
-        "framework": detect_frameworks(html, page, captured),
+        "framework": frameworks_of(source["framework_marks"], page, captured),
         "genericTitle": generic_title(page),
         "images": page["img_count"],
         "words": words(page),
-        "siteBuilder": F.struct(site_builders(html).alias("builders_detected")),
+        "siteBuilder": F.struct(source["builders"].alias("builders_detected")),
         "jquery": detect_jquery(page, captured),
         "analytics": has_analytics(page),
         "metaDescription": has_meta_description(page),
         "h1": has_h1(page),
-        "favicon": has_favicon(html),
+        "favicon": source["favicon"],
     }
 
 

@@ -28,6 +28,24 @@ def write_listings(listings: DataFrame, root: str, processed: DataFrame | None =
     )
 
 
+#: Bytes of text in one file of captured pages, about two seconds of parsing.
+PAGE_FILE_BYTES = 4 << 20
+#: Pages whose mean length stands for all; it only says how large files get.
+PAGE_LENGTHS = 10_000
+
+
+def write_pages(pages: DataFrame, path: str, text: str = "html", file_bytes: int = PAGE_FILE_BYTES) -> DataFrame:
+    """Store captured pages in files of about ``file_bytes`` of text each, and read them back.
+
+    A file is the least that a task takes, and pages compress well, so files bounded by their size on disk would give
+    whole captures to one task. Parsing is the dear step; here its tasks follow from bytes of text.
+    """
+    mean = pages.select(F.octet_length(text).alias("n")).limit(PAGE_LENGTHS).agg(F.avg("n")).first()[0] or 1
+    records = max(1, int(file_bytes / max(1, mean)))
+    pages.write.option("maxRecordsPerFile", records).parquet(path)
+    return pages.sparkSession.read.schema(pages.schema).parquet(path)
+
+
 def write_combined(merged: DataFrame, folder: str, files: Sequence[str]) -> str:
     """Overwrite the merged table of these inputs; its name follows from theirs."""
     path = f"{folder}/{combined_table_name(list(files))}"

@@ -63,3 +63,34 @@ def test_only_pages_of_chosen_queries_are_parsed(spark, sf):
 def test_histogram_scans_once(spark, sf):
     plan = _plan(QUERIES["category_histogram"](spark, sf))
     assert plan.count("FileScan parquet") == 1
+
+
+def test_profile_moves_wide_rows_once(spark, sf):
+    """Every wide exchange is on page_id; by domain only narrow rows move, and no HTML leaves the parser."""
+    plan = _plan(QUERIES["site_profile"](spark, sf))
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert exchanges and all("page_id" in e or "url" in e or "domain" in e for e in exchanges)
+    for part in plan.split("Exchange hashpartitioning(domain")[1:]:
+        child = part.splitlines()[1]
+        assert "framework" not in child and "genericTitle" not in child
+    for line in plan.splitlines():
+        if "MapInArrow" in line:
+            assert "html#" not in line.rsplit("[", 1)[1]
+
+
+def test_source_goes_into_the_parser_once(spark, sf):
+    from prospectry.operators import profile
+
+    plan = _plan(profile.page_signals(st.site_pages(spark, sf)))
+    parsed = next(line for line in plan.splitlines() if "MapInArrow" in line)
+    assert "html" not in parsed.rsplit("[", 1)[1] and "source" in parsed
+
+
+def test_stored_pages_give_many_tasks(spark, tmp_path):
+    from prospectry.sources import writers
+
+    pages = spark.range(1000).coalesce(1).selectExpr("id AS page_id", "repeat('<p>word</p>', 200) AS html")
+    stored = writers.write_pages(pages, str(tmp_path / "pages"), file_bytes=200_000)
+    assert len(stored.inputFiles()) >= 10 and stored.count() == 1000 and stored.dtypes == pages.dtypes
+    empty = writers.write_pages(pages.limit(0), str(tmp_path / "none"))
+    assert empty.count() == 0
