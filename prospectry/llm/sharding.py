@@ -1,6 +1,7 @@
 """Sharding by a hypergeometric communication matrix: a uniform shuffle with exact shard sizes.
 
-Rows lie in blocks, given by a hash of the row, so that a task that runs again sees the same blocks. How many rows
+Rows lie in blocks, given by a hash of the row and its number among its copies, so that a task that runs again sees the
+same blocks and copies spread. How many rows
 a block sends to each shard is drawn from the multivariate hypergeometric distribution, block after block,
 without replacement, which is how often a uniform shuffle would send them; the shards' sizes come out
 exactly. Each block then permutes its rows and hands them out by these counts. Inside the shard they are permuted
@@ -82,41 +83,50 @@ def shuffle_into_shards(
 
     Shard sizes differ by one at most. The result depends on ``seed`` and on the rows' content in the columns
     ``by``, nulls included, not on how the table is partitioned. Rows equal in ``by`` are interchangeable and
-    each get a place of their own. An empty table gives no rows. Columns called _shard or _slot are replaced.
+    each get a place of their own; content is known by 128 bits of hashes. An empty table gives no rows. Columns called _shard or _slot are replaced.
     """
     if shards < 1:
         raise ValueError("at least one shard")
     df = df.drop("_shard", "_slot")
-    # Whole rows travel as one struct, so that their column names cannot meet the ones used here.
-    rows = df.select(F.struct(*[df[c] for c in df.columns]).alias("_row")).withColumn("_hash", F.xxhash64(*[F.col("_row")[c] for c in by]))
+    # Whole rows travel as one struct, so that their column names cannot meet the ones used here. They are written once, with
+    # a number that stays; all drawing and ordering is done on numbers and hashes, and each row moves once, to its place.
+    whole = df.select(F.struct(*[df[c] for c in df.columns]).alias("_row"))
     key = [F.col("_row")[c] for c in by]
-    n = rows.count()
+    whole = materialize(
+        whole.select("_row", F.xxhash64(*key).alias("_a"), F.xxhash64(F.lit("shards"), *key).alias("_b"), F.monotonically_increasing_id().alias("_id")), "shard-rows"
+    )
+    narrow = whole.select("_a", "_b", "_id")
+    n = narrow.count()
     blocks = max(1, -(-n // block_rows))
     pieces = max(1, -(-n // (shards * block_rows)))
+    # The copies of a row are numbered: counted for each part of the table, summed up over the parts, ranked inside a part.
+    narrow = narrow.withColumn("_part", F.shiftright("_id", 33))
+    copies = narrow.groupBy("_a", "_b", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    parts_before = Window.partitionBy("_a", "_b").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    copies = copies.select("_a", "_b", "_part", F.coalesce(F.sum("_n").over(parts_before), F.lit(0)).alias("_first"))
+    in_part = F.row_number().over(Window.partitionBy("_a", "_b", "_part").orderBy("_id"))
+    rows = narrow.withColumn("_k", in_part).join(copies, ["_a", "_b", "_part"]).withColumn("_k", F.col("_k") + F.col("_first")).drop("_part", "_first")
 
     def mixed(purpose: int) -> Column:
-        return F.xxhash64(F.lit(seed), F.lit(purpose), "_hash")
+        return F.xxhash64(F.lit(seed), F.lit(purpose), "_a", "_b", "_k")
 
-    rows = rows.withColumn("_block", F.pmod("_hash", F.lit(blocks)))
+    rows = materialize(rows.withColumn("_block", F.pmod(mixed(0), F.lit(blocks))), "shard-keys")
     capacities = np.array([n // shards + (s < n % shards) for s in range(shards)], np.int64)
     counts = rows.groupBy(F.col("_block").alias("block")).agg(F.count(F.lit(1)).alias("n"))
     matrix = materialize(_matrix(counts, min(blocks, GROUPS), capacities, seed), "shard-matrix").withColumnRenamed("block", "_block")
 
-    order = Window.partitionBy("_block").orderBy(mixed(1), "_hash", *key)
+    order = Window.partitionBy("_block").orderBy(mixed(1), "_a", "_b", "_k")
     ranked = rows.withColumn("_rank", F.row_number().over(order)).join(matrix, "_block")
-    placed = (
+    placed = materialize(
         ranked.withColumn("_shard", F.expr("size(filter(upto, c -> c < _rank))"))
-        .withColumn("_piece", F.pmod(mixed(2), F.lit(pieces))).drop("upto", "_rank", "_block")
+        .withColumn("_piece", F.pmod(mixed(2), F.lit(pieces))).drop("upto", "_rank", "_block"), "shard-places"
     )
-    # The same rows without their payload give the pieces' sizes.
     sizes = placed.groupBy("_shard", "_piece").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("_shard").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    starts = materialize(sizes.select("_shard", "_piece", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")), "shard-pieces")
-    inside = Window.partitionBy("_shard", "_piece").orderBy(mixed(3), "_hash", *key)
-    return (
-        placed.withColumn("_at", F.row_number().over(inside)).join(starts, ["_shard", "_piece"])
-        .select("_row.*", "_shard", (F.col("_start") + F.col("_at") - 1).alias("_slot"))
-    )
+    starts = sizes.select("_shard", "_piece", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("_shard", "_piece").orderBy(mixed(3), "_a", "_b", "_k")
+    slots = placed.withColumn("_at", F.row_number().over(inside)).join(starts, ["_shard", "_piece"]).select("_id", "_shard", (F.col("_start") + F.col("_at") - 1).alias("_slot"))
+    return whole.select("_id", "_row").join(slots, "_id").select("_row.*", "_shard", "_slot")
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:

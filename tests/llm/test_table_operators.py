@@ -186,3 +186,19 @@ def test_pipeline_stages(spark, sf):
     bench = [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     kept = [r.text for r in texts.join(docs.select("doc_id"), "doc_id").collect()]
     assert len(set(kept)) == len(kept) and not any(b in t for b in bench for t in kept)
+
+
+def test_a_repeated_row_spreads_over_the_shards(spark):
+    """A third of the rows are one row; shards stay exact, and the copies lie in all of them, whatever the partitions."""
+    rows = [(i, f"t{i}") for i in range(400)] + [(7, "same")] * 200
+    found = []
+    for parts in (1, 5):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        placed = sharding.shuffle_into_shards(df, shards=7, block_rows=50)
+        found.append(sorted((r._shard, r._slot, r.doc_id, r.text) for r in placed.collect()))
+    assert found[0] == found[1] and len(found[0]) == 600
+    sizes = Counter(s for s, *_ in found[0])
+    assert sorted(sizes.values()) == [85] * 2 + [86] * 5
+    assert all([slot for s, slot, *_ in found[0] if s == k] == list(range(sizes[k])) for k in range(7))
+    copies = Counter(s for s, _, _, t in found[0] if t == "same")
+    assert len(copies) == 7 and min(copies.values()) > 10
