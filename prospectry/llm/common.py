@@ -43,6 +43,11 @@ def without_ids(df: DataFrame, id_column: str, ids: DataFrame) -> DataFrame:
     return df.join(ids, df[id_column] == ids[ids.columns[0]], "left_anti")
 
 
+def row_key(id_column: str, text_column: str):
+    """Hash of a row's id and text, null without an id; it tells texts under one id apart."""
+    return F.when(F.col(id_column).isNotNull(), F.xxhash64(F.col(id_column).cast("long"), F.col(text_column).cast("string")))
+
+
 def fold(id_column: str, parts: int):
     """crc32 of the id as text, modulo ``parts``; rows without an id belong to part 0."""
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % parts, F.lit(0))

@@ -21,7 +21,8 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     )
     before = None
     while True:
-        seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
+        # The rows are distinct, so their number and 128 bits of combined hashes say whether a round changed them.
+        seen = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64(F.lit("again"), "v", "u"))).first()
         if seen[0] == 0 or seen == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
                 now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
