@@ -12,7 +12,9 @@ from prospectry.catalog.reviewing import _LATEST
 from prospectry.functions.lists import parse_categories
 from prospectry.plans.chained import run_pipeline
 from prospectry.plans.collect import collect_listings
+from prospectry.plans.reviewing import review_round, rows_to_review
 from prospectry.session import work_path
+from prospectry.sources.writers import read_evaluations, write_version
 from prospectry.streaming.incremental import current_listings, incremental_listings
 from prospectry.streaming.verdicts import apply_current, compact_evaluations, current_evaluations, stream_latest_evaluation
 
@@ -110,3 +112,48 @@ def stream_apply(spark, d):
         if part == 0:
             compact_evaluations(spark, root, ["seq"])
     return apply_current(st.merged_parent(spark, d), current_evaluations(spark, root, ["seq"]))
+
+
+_ROUNDS = f"""WITH v AS ({st.VERDICTS_SQL}), p AS ({st.PARENT_SQL}),
+    e1 AS (SELECT row_idx, arg_max(eval_rating, seq) AS rating, arg_max(notes, seq) AS notes FROM v WHERE seq % 2 = 0 GROUP BY row_idx),
+    one AS (SELECT p.*, e1.rating AS r1, e1.notes AS n1, coalesce(e1.rating, p.status) AS s1 FROM p LEFT JOIN e1 USING (row_idx)),
+    e2 AS (SELECT row_idx, arg_max(eval_rating, seq) AS rating, arg_max(notes, seq) AS notes FROM v WHERE seq % 2 = 1 GROUP BY row_idx),
+    two AS (SELECT one.*, e2.rating AS r2, e2.notes AS n2, coalesce(e2.rating, s1) AS s2 FROM one LEFT JOIN e2
+        ON one.row_idx = e2.row_idx AND lower(trim(s1)) = 'pending')"""
+
+
+def _reviewed(spark, d):
+    """Two rounds of review over three merged tables; the second one looks at pending rows only."""
+    root, order = work_path(spark, "review"), ["round", "seq"]
+    tables = [f"{root}/table{i}" for i in range(3)]
+    parent = st.merged_parent(spark, d)
+    for i, path in enumerate(tables):
+        write_version(parent.where(F.col("file_idx") == i).select(F.col("row_idx").alias("row_id"), "listing_link", "name", "status"), path)
+    verdicts = st.verdicts(spark, d).drop("listing_link")
+    for number, status in ((1, None), (2, "Pending ")):
+        given = verdicts.where(F.col("seq") % 2 == number - 1).withColumn("round", F.lit(number).cast("long"))
+        review_round(spark, tables, f"{root}/log", given, order, status)
+    return tables, read_evaluations(spark, f"{root}/log"), order
+
+
+@query(
+    "review_round",
+    f"""{_ROUNDS} SELECT file_idx, row_idx, listing_link, name, s2 AS status,
+        CASE WHEN trim(coalesce(listing_link, '')) = '' THEN lower(trim(s2)) ELSE coalesce(nullif(lower(trim(coalesce(r2, r1))), ''), lower(trim(s2))) END AS rating_tag,
+        CASE WHEN trim(coalesce(listing_link, '')) = '' THEN '' ELSE coalesce(trim(n2), trim(n1), '') END AS notes FROM two""",
+)
+def reviewed(spark, d):
+    """The merged tables as the next reviewer sees them."""
+    tables, log, order = _reviewed(spark, d)
+    return rows_to_review(spark, tables, log, order).select("file_idx", "row_idx", "listing_link", "name", "status", "rating_tag", "notes")
+
+
+@query(
+    "review_log",
+    f"""{_ROUNDS} SELECT v.seq, v.row_idx, two.name, v.eval_rating, date_trunc('second', v.eval_time) AS eval_time, trim(coalesce(v.notes, '')) AS notes,
+        CASE WHEN v.seq % 2 = 0 THEN two.status ELSE s1 END AS status
+    FROM v JOIN two ON v.row_idx = two.row_idx WHERE v.seq % 2 = 0 OR lower(trim(s1)) = 'pending'""",
+)
+def review_log(spark, d):
+    """The log of both rounds: each verdict with the whole row as it was shown."""
+    return _reviewed(spark, d)[1].select("seq", "row_idx", "name", "eval_rating", "eval_time", "notes", "status")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from prospectry.catalog import standins as st
+from prospectry.catalog.merging import MERGED_SQL, shown
 from prospectry.catalog.registry import query
 from prospectry.catalog.searching import outcomes
 from prospectry.functions.urls import query_slug
@@ -85,22 +86,20 @@ _SLUGGED = f"SELECT o_orderkey AS page_id, {st.SEARCH_SLUG_SQL} AS slug, o_custk
 
 @query(
     "write_listings",
-    """SELECT l_suppkey % 40 AS supplier, concat('s', CAST(l_suppkey % 40 AS STRING)) AS slug, count(*) AS listings,
-        sum(l_quantity + CASE WHEN l_suppkey % 40 < 5 THEN 1 ELSE 0 END) AS total FROM lineitem WHERE l_suppkey % 40 <> 5 GROUP BY 1, 2""",
+    """SELECT l_orderkey, l_linenumber, l_suppkey % 40 AS supplier, concat('s', CAST(l_suppkey % 40 AS STRING)) AS slug,
+        l_quantity + CASE WHEN l_suppkey % 40 < 5 THEN 1 ELSE 0 END AS l_quantity FROM lineitem WHERE l_suppkey % 40 <> 5""",
 )
 def write_listings(spark, d):
     """Writes every slug, then five of them again with changed rows; the others must stay."""
     root = work_path(spark, "maps")
     rows = st.table(spark, d, "lineitem").selectExpr(
-        "l_suppkey % 40 AS supplier", "concat('s', CAST(l_suppkey % 40 AS STRING)) AS slug", "l_quantity"
+        "l_orderkey", "l_linenumber", "l_suppkey % 40 AS supplier", "concat('s', CAST(l_suppkey % 40 AS STRING)) AS slug", "l_quantity"
     )
     writers.write_listings(rows, root)
     again = rows.where("supplier < 5").withColumn("l_quantity", F.col("l_quantity") + 1)
     # The sixth was processed again and found nothing, so its old rows must go.
     writers.write_listings(again, root, processed=rows.where("supplier < 6").select("slug"))
-    return spark.read.parquet(root).where("supplier IS NOT NULL").groupBy("supplier", "slug").agg(
-        F.count("*").alias("listings"), F.sum("l_quantity").alias("total")
-    )
+    return spark.read.parquet(root).where("supplier IS NOT NULL")
 
 
 @query(
@@ -116,46 +115,37 @@ def write_query_status(spark, d):
     return writers.read_version(spark, root).select("page_id", "status")
 
 
-@query(
-    "write_combined",
-    f"""WITH l AS ({st.LISTINGS_SQL}), k AS (SELECT * FROM l WHERE rating >= 4.2 AND trim(coalesce(listing_link, '')) <> '')
-    SELECT count(DISTINCT listing_link) AS listings,
-        count(DISTINCT concat(listing_link, map_file, position)) FILTER (WHERE position <> '6.0') AS appearances FROM k""",
-)
+@query("write_combined", MERGED_SQL)
 def write_combined(spark, d):
     rows = merge.filter_min_rating(st.parsed_listings(spark, d))
     merged = merge.combined_projection(merge.merge_listings(rows, st.MAP_FILES), st.MAP_FILES)
     path = writers.write_combined(merged, work_path(spark, "combined"), st.MAP_FILES)
-    return spark.read.parquet(path).agg(F.count("*").alias("listings"), F.sum(F.size("position")).alias("appearances"))
+    return shown(spark.read.parquet(path))
 
 
-@query(
-    "append_evaluation",
-    "SELECT event_type, count(*) AS verdicts, count(*) FILTER (WHERE event_id % 2 = 1) AS with_notes FROM events GROUP BY event_type",
-)
+@query("append_evaluation", "SELECT event_id, event_type, CASE WHEN event_id % 2 = 1 THEN props END AS notes FROM events")
 def append_evaluation(spark, d):
     """Two appends; the second brings a column the first lacks."""
     path = work_path(spark, "log")
     log = st.table(spark, d, "events")
     writers.append_evaluations(log.where("event_id % 2 = 0").select("event_id", "event_type"), path)
     writers.append_evaluations(log.where("event_id % 2 = 1").select("event_id", "event_type", F.col("props").alias("notes")), path)
-    return writers.read_evaluations(spark, path).groupBy("event_type").agg(
-        F.count("*").alias("verdicts"), F.count("notes").alias("with_notes")
-    )
+    return writers.read_evaluations(spark, path).select("event_id", "event_type", "notes")
 
 
 @query(
     "write_back_status",
     f"""WITH l AS ({st.LISTINGS_SQL}), k AS (SELECT DISTINCT trim(listing_link) AS link FROM l WHERE rating >= 4.2 AND trim(coalesce(listing_link, '')) <> '')
-    SELECT map_file, CASE WHEN k.link IS NULL THEN 'pending' ELSE 'success' END AS status, count(*) AS listings
-    FROM l LEFT JOIN k ON trim(l.listing_link) = k.link GROUP BY 1, 2""",
+    SELECT l_orderkey, l_linenumber, l_suppkey, map_file, listing_link, rating, CASE WHEN k.link IS NULL THEN 'pending' ELSE 'success' END AS status
+    FROM l LEFT JOIN k ON trim(l.listing_link) = k.link""",
 )
 def write_back_status(spark, d):
     root = work_path(spark, "sources")
-    writers.write_version(st.listings(spark, d).select("map_file", "listing_link", "rating", "status"), root)
+    columns = ["l_orderkey", "l_linenumber", "l_suppkey", "map_file", "listing_link", "rating", "status"]
+    writers.write_version(st.listings(spark, d).select(*columns), root)
     rows = writers.read_version(spark, root)
     writers.write_back_status(merge.mark_included(rows, merge.distinct_links(merge.filter_min_rating(rows))), root)
-    return writers.read_version(spark, root).groupBy("map_file", "status").agg(F.count("*").alias("listings"))
+    return writers.read_version(spark, root).select(*columns)
 
 
 @query(

@@ -107,7 +107,7 @@ def list_places(paths: Sequence[str], files: Sequence[str]) -> list[tuple[str, b
         for depth in range(len(names), 0, -1):
             # A path that starts at the root, or a relative one, which is known by its end.
             ways = [(store, "/" + "/".join(names[:depth])), ("", "/" + "/".join(names[:depth]))]
-            ways += [("", "/".join(names[k:depth])) for k in range(1, depth)]
+            ways += [("", "/".join(names[k:depth])) for k in range(depth)]
             for number in (n for way in ways for n in lists.get(way, ())):
                 is_file = depth == len(names)
                 found.add((uri if is_file else uri.rsplit("/", 1)[0], is_file, number, _list_name(paths[number])))
@@ -177,12 +177,17 @@ def scan_with_provenance(spark: SparkSession, paths: Sequence[str], fmt: str = "
 def scan_combined(
     spark: SparkSession, paths: Sequence[str], status: str | None = None, fmt: str = "parquet"
 ) -> DataFrame:
-    """Merged tables with a (file, row) id; missing ones are passed over."""
+    """Merged tables with a (file, row) id; missing ones are passed over.
+
+    The row's id is the number that was written with it, which a rewrite keeps. Tables without one get a hash of the
+    row's place, which holds for as long as the file does.
+    """
     tables = []
     for index, path in enumerate(paths):
         table = read_if_present(spark, path, fmt)
         if table is not None:
-            placed = table.select("*", F.lit(index).alias("file_idx"), file_row_order(fmt).alias("row_idx"))
+            row = F.col("row_id") if "row_id" in table.columns else F.xxhash64(file_row_order(fmt))
+            placed = table.select("*", F.lit(index).alias("file_idx"), row.alias("row_idx")).drop("row_id")
             tables.append(filter_by_status(placed, status))
     if not tables:
         raise ValueError("none of the merged tables exists")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from prospectry.functions.lists import combined_table_name
 from prospectry.operators.evaluations import union_evaluations
+from prospectry.sources.store import Store
 
 
 def write_listings(listings: DataFrame, root: str, processed: DataFrame | None = None) -> None:
@@ -28,6 +31,8 @@ def write_listings(listings: DataFrame, root: str, processed: DataFrame | None =
     )
 
 
+#: Number of a row of a merged table.
+ROW_ID = "row_id"
 #: Bytes of text in one file of captured pages, about two seconds of parsing.
 PAGE_FILE_BYTES = 4 << 20
 #: Pages whose mean length stands for all; it only says how large files get.
@@ -46,10 +51,15 @@ def write_pages(pages: DataFrame, path: str, text: str = "html", file_bytes: int
     return pages.sparkSession.read.schema(pages.schema).parquet(path)
 
 
+def with_row_ids(table: DataFrame) -> DataFrame:
+    """Give each row a number that is written with it, so that it names the row in every later version."""
+    return table if ROW_ID in table.columns else table.withColumn(ROW_ID, F.monotonically_increasing_id())
+
+
 def write_combined(merged: DataFrame, folder: str, files: Sequence[str]) -> str:
     """Overwrite the merged table of these inputs; its name follows from theirs."""
     path = f"{folder}/{combined_table_name(list(files))}"
-    merged.write.mode("overwrite").parquet(path)
+    with_row_ids(merged).write.mode("overwrite").parquet(path)
     return path
 
 
@@ -67,32 +77,71 @@ def compact_evaluations(log: DataFrame, rows: DataFrame, path: str) -> None:
     union_evaluations(log, rows).write.mode("errorifexists").parquet(path)
 
 
+# A version is a folder of rows under ``data`` and a manifest that names it. The manifest's name is the version's number.
+_MANIFESTS, _DATA = "versions", "data"
+
+
+class VersionTaken(Exception):
+    """Another writer has made the next version since this one looked."""
+
+
 def versions(spark: SparkSession, root: str) -> list[int]:
-    """Finished versions; a version counts once its success marker is there."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(root)
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(folder):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(folder)]
-    done = [
-        n for n in names
-        if n.startswith("version=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{root}/{n}/_SUCCESS"))
-    ]
-    return sorted(int(n.split("=", 1)[1]) for n in done)
-
-
-def write_version(table: DataFrame, root: str) -> str:
-    """Next version of a table. Readers keep the old one until the new one is complete."""
-    done = versions(table.sparkSession, root)
-    path = f"{root}/version={(done[-1] + 1) if done else 1}"
-    table.write.mode("overwrite").parquet(path)
-    return path
+    """Finished versions; a version counts once its manifest is there."""
+    return sorted(int(n.removesuffix(".json")) for n in Store(spark, root).names(_MANIFESTS) if n.endswith(".json"))
 
 
-def read_version(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
+def _manifest(version: int) -> str:
+    return f"{_MANIFESTS}/{version:010d}.json"
+
+
+def version_path(spark: SparkSession, root: str, version: int | None = None) -> str:
+    """Folder of the rows of a version, the last one unless named."""
     version = version if version is not None else versions(spark, root)[-1]
-    return spark.read.parquet(f"{root}/version={version}")
+    return f"{root}/{json.loads(Store(spark, root).read(_manifest(version)))['rows']}"
+
+
+def write_version(table: DataFrame, root: str, after: int | None = None) -> str:
+    """Next version of a table. Readers keep the old one until the new one is complete.
+
+    Rows are written to a folder of their own first; the version is made by creating its manifest, which only one
+    writer can. With ``after``, the version that the rows were derived from, a version made by another writer in the
+    meantime raises :class:`VersionTaken`; without, the rows stand for themselves and take the next free number.
+    """
+    spark = table.sparkSession
+    store, rows = Store(spark, root), f"{_DATA}/{uuid.uuid4().hex}"
+    table.write.mode("errorifexists").parquet(f"{root}/{rows}")
+    known = versions(spark, root)
+    number = (known[-1] if known else 0) + 1 if after is None else after + 1
+    while (known and number <= known[-1]) or not store.create(_manifest(number), json.dumps({"rows": rows, "after": number - 1})):
+        if after is not None:
+            store.remove(rows)
+            raise VersionTaken(f"version {number} of {root}")
+        number += 1
+    return f"{root}/{rows}"
+
+
+def update_version(spark: SparkSession, root: str, change: Callable[[DataFrame], DataFrame], attempts: int = 10) -> str:
+    """Make the next version by ``change`` of the last one; if another writer was faster, start again from that one's."""
+    for _ in range(attempts):
+        last = versions(spark, root)[-1]
+        try:
+            return write_version(change(read_version(spark, root, last)), root, after=last)
+        except VersionTaken:
+            continue
+    raise VersionTaken(f"{root}: {attempts} attempts")
+
+
+def read_version(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
+    return spark.read.parquet(version_path(spark, root, version))
+
+
+def expire_versions(spark: SparkSession, root: str, keep: int = 2) -> None:
+    """Remove all but the last ``keep`` versions: the manifest first, so that no reader finds one without rows."""
+    store = Store(spark, root)
+    for version in versions(spark, root)[: -max(1, keep)]:
+        rows = json.loads(store.read(_manifest(version)))["rows"]
+        store.remove(_manifest(version))
+        store.remove(rows)
 
 
 def write_query_status(outcomes: DataFrame, root: str) -> str:

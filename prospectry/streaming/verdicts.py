@@ -9,13 +9,19 @@ from pyspark.sql.streaming import StreamingQuery
 
 from prospectry.functions.text import no_match, strip
 from prospectry.operators.evaluations import latest_evaluation
-from prospectry.sources.writers import read_version, versions, write_version
+from prospectry.sources.store import Store
+from prospectry.sources.writers import expire_versions, read_version, versions, write_version
 
 
-def stream_latest_evaluation(log: DataFrame, order: Sequence[str], root: str) -> StreamingQuery:
+#: Batches between compactions of a followed log.
+COMPACT_EVERY = 32
+
+
+def stream_latest_evaluation(log: DataFrame, order: Sequence[str], root: str, compact_every: int = COMPACT_EVERY) -> StreamingQuery:
     """Follow the log. State is one row per link, and each batch stores the links it changed.
 
-    A batch replaces its own partition, so running it again after a failure changes nothing.
+    A batch replaces its own partition, so running it again after a failure changes nothing. Every ``compact_every``
+    batches the changes become a new base, and what the base before it held already is removed.
     """
 
     def publish(changed: DataFrame, batch_id: int) -> None:
@@ -24,6 +30,9 @@ def stream_latest_evaluation(log: DataFrame, order: Sequence[str], root: str) ->
             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             .partitionBy("batch").parquet(f"{root}/changes")
         )
+        if (batch_id + 1) % compact_every == 0:
+            compact_evaluations(changed.sparkSession, root, order)
+            forget_changes(changed.sparkSession, root)
 
     return (
         latest_evaluation(log, order).writeStream.outputMode("update").foreachBatch(publish)
@@ -48,6 +57,22 @@ def compact_evaluations(spark: SparkSession, root: str, order: Sequence[str]) ->
     return write_version(current_evaluations(spark, root, order).withColumn("batch", F.lit(last)), f"{root}/base")
 
 
+def forget_changes(spark: SparkSession, root: str) -> None:
+    """Remove the changes that the base before the last one holds, and bases older than that.
+
+    One generation stays behind, for readers that have looked up the base and not yet read it.
+    """
+    known = versions(spark, f"{root}/base")
+    if len(known) < 2:
+        return
+    held = read_version(spark, f"{root}/base", known[-2]).agg(F.max("batch")).first()[0]
+    store = Store(spark, root)
+    for name in store.names("changes"):
+        if name.startswith("batch=") and held is not None and int(name.removeprefix("batch=")) <= held:
+            store.remove(f"changes/{name}")
+    expire_versions(spark, f"{root}/base")
+
+
 def apply_current(merged: DataFrame, current: DataFrame) -> DataFrame:
     """The merged table with each business's latest verdict as its status; a business without one keeps its own."""
     verdicts = current.select(F.col("link").alias("_link"), F.col("eval_rating").alias("_rating"))
