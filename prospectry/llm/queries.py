@@ -67,9 +67,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_toxicity")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = toxicity.train(docs, table(spark, sf_dir, "labels").filter(fold("doc_id", 5) != 0))
-    return toxicity.score_texts(docs, model).select(
-        "doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    labels = table(spark, sf_dir, "labels").filter(fold("doc_id", 5) != 0)
+    model = toxicity.calibrate(docs, labels, toxicity.train(docs, labels))
+    return toxicity.score_texts(docs, model, lang_column="lang").select(
+        "doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "threshold",
+        (F.col("score") >= F.col("threshold")).alias("flagged"),
     )
 
 

@@ -4,8 +4,8 @@ A word's embedding is the sum of hashed rows: one for the word and one for each
 that unseen forms of a seen stem are known. Filters of several widths run over the words of the whole text, each
 filter keeps its greatest value (max pooling), and a logistic layer gives the score. Rows start from smoothed
 log-odds of the labels and are trained together with the filters by Adagrad; the gradient only passes through
-the windows that won the pooling. Part of the training rows is kept aside for calibration: a scale and an
-offset for the score, and a decision threshold for each language.
+the windows that won the pooling. Part of the sample is kept aside to fit a scale and an offset of the score; the decision
+thresholds, one for each language, come from all labelled rows that the fit has not seen.
 """
 
 from __future__ import annotations
@@ -14,14 +14,16 @@ import pickle
 import string
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prospectry.llm.common import arrow_schema, bound_batches
+from prospectry.session import materialize
 
 #: Bound of the training sample, in labelled documents.
 SAMPLE = 12_000
@@ -51,6 +53,10 @@ class Model:
     thresholds: dict[str, float] = field(default_factory=dict)
     threshold: float = 0.5
 
+    def limit(self, lang: str | None) -> float:
+        """Score from which a text of this language counts as toxic."""
+        return self.thresholds.get(lang or "", self.threshold)
+
     def pooled(self, words: np.ndarray, ends: np.ndarray, winners: bool = False):
         """Pooled filter values of documents that lie one after another in ``words`` (n x DIM).
 
@@ -186,6 +192,19 @@ def _buckets(text: str, known: dict[str, tuple[int, ...]]) -> np.ndarray:
     return np.array(out or [word_rows("")], np.int32)
 
 
+def _labelled(labels: DataFrame, id_column: str, label_column: str) -> DataFrame:
+    """(_id, _label) of the documents with a usable label."""
+    return (
+        labels.filter(F.col(label_column).isin(0, 1) & F.col(id_column).isNotNull())
+        .groupBy(F.col(id_column).cast("long").alias("_id")).agg(F.max(label_column).cast("int").alias("_label"))
+    )
+
+
+def _aside(doc_id: int) -> bool:
+    """Whether a document of the sample is kept from fitting, for calibration."""
+    return zlib.crc32(f"aside {doc_id}".encode()) % 5 == 0
+
+
 def train(
     docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang",
     label_column: str = "toxic", sample: int = SAMPLE, epochs: int = 4, seed: int = 7,
@@ -195,16 +214,15 @@ def train(
     Rows whose label is neither 0 nor 1, or that have no id, are not used; of several labels of one document
     the greatest counts. Without any labelled document the model scores everything as not toxic.
     """
-    chosen = (
-        labels.filter(F.col(label_column).isin(0, 1) & F.col(id_column).isNotNull())
-        .groupBy(F.col(id_column).cast("long").alias("_id")).agg(F.max(label_column).cast("int").alias("_label"))
-        .orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    )
+    chosen = _labelled(labels, id_column, label_column).orderBy(F.xxhash64("_id"), "_id").limit(sample)
     # At most ``sample`` rows of two numbers: small whatever the input.
     named = docs.select(
         F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(lang_column).cast("string"), F.lit("")).alias("lang"), F.col(text_column).cast("string").alias("text")
     )
     rows = named.join(F.broadcast(chosen), F.col("id") == F.col("_id")).select("id", F.col("_label").alias("label"), "lang", "text")
+    # One text for an id, the same one in every run, so the sample is bounded in rows as well as in ids.
+    one = rows.groupBy("id").agg(F.min(F.xxhash64("text")).alias("_one"))
+    rows = rows.join(F.broadcast(one), "id").filter(F.xxhash64("text") == F.col("_one")).dropDuplicates(["id"]).select("id", "label", "lang", "text")
     schema, ddl = arrow_schema(id="long", label="int", lang="string", parts="binary")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,7 +238,7 @@ def train(
         rows.sort(key=lambda r: (zlib.crc32(str(r["id"]).encode()), r["id"], len(r["parts"])))
         docs = [np.frombuffer(r["parts"], np.int32).reshape(-1, PARTS) for r in rows]
         y = np.array([r["label"] for r in rows], np.float32)
-        aside = np.arange(len(rows)) % 5 == 0
+        aside = np.array([_aside(r["id"]) for r in rows], bool)
         fitting = np.flatnonzero(~aside)
         if not len(fitting):
             model = _train([np.array([word_rows("")], np.int32)], np.zeros(1, np.float32), 0, seed)
@@ -238,6 +256,62 @@ def train(
     return pickle.loads(zlib.decompress(found["model"]))
 
 
+#: Steps of the score within which rows are counted together when thresholds are chosen, and toxic rows that a language needs.
+STEPS, LEAST_TOXIC = 10_000, 10
+
+
+def calibrate(
+    docs: DataFrame, labels: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang",
+    label_column: str = "toxic", sample: int = SAMPLE,
+) -> Model:
+    """The model with thresholds of greatest F1, common and by language, over all labelled rows that were not fitted on.
+
+    Rows are scored where they lie and counted by language and step of the score; every language is judged from its
+    counts. ``sample`` is that of :func:`train`. Languages with fewer than LEAST_TOXIC toxic rows use the common
+    threshold; without any rows to go by, thresholds stay as they were.
+    """
+    known = _labelled(labels, id_column, label_column)
+    aside = F.crc32(F.concat(F.lit("aside "), F.col("_id").cast("string")).cast("binary")) % 5 == 0
+    fitted = known.orderBy(F.xxhash64("_id"), "_id").limit(sample).filter(~aside).select("_id")
+    unseen = known.join(F.broadcast(fitted), "_id", "left_anti")  # at most ``sample`` numbers
+    named = docs.select(
+        F.col(id_column).cast("long").alias("_id"), F.coalesce(F.col(lang_column).cast("string"), F.lit("")).alias("lang"), F.col(text_column).cast("string").alias("text")
+    )
+    rows = named.join(unseen, "_id").select("lang", F.col("_label").alias("label"), "text")
+    schema, ddl = arrow_schema(lang="string", label="int", score="double")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for batch in batches:
+            scores = scorer.score([t.as_py() or "" for t in batch.column(2)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64())], schema=schema)
+
+    step = F.floor(F.col("score") * STEPS)
+    counted = rows.mapInArrow(run, ddl).groupBy("lang", step.alias("step")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("label").alias("toxic"), F.min("score").alias("low"), F.max("score").alias("high")
+    )
+    counted = materialize(counted, "toxicity-scores")
+    shared.destroy()
+
+    def judge(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("step", ascending=False)
+        toxic = int(part["toxic"].sum())
+        f1 = 2 * part["toxic"].cumsum().to_numpy() / (part["n"].cumsum().to_numpy() + max(1, toxic))
+        k = int(f1.argmax())
+        below = part["high"].iloc[k + 1] if k + 1 < len(part) else 0.0
+        return pd.DataFrame({"lang": part["lang"].iloc[:1], "toxic": [toxic], "threshold": [(part["low"].iloc[k] + below) / 2]})
+
+    kinds = "lang string, toxic long, threshold double"
+    whole = counted.groupBy("step").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"), F.min("low").alias("low"), F.max("high").alias("high"))
+    common = whole.withColumn("lang", F.lit("")).groupBy("lang").applyInPandas(judge, kinds).first()
+    own = counted.groupBy("lang").applyInPandas(judge, kinds).filter(F.col("toxic") >= LEAST_TOXIC).collect()  # one row for each language
+    return replace(
+        model, threshold=float(common["threshold"]) if common and common["toxic"] else model.threshold,
+        thresholds={r["lang"]: float(r["threshold"]) for r in own} if common else model.thresholds,
+    )
+
+
 class Scorer:
     """A worker's copy of the model with the embeddings of the words it met last."""
 
@@ -290,19 +364,26 @@ class Scorer:
         return self.model.score(pooled)
 
 
-def score_texts(df: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, score) of each row, a narrow step. Null and empty texts get the score of a text without words."""
-    schema, ddl = arrow_schema(doc_id="long", score="double")
+def score_texts(df: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text", lang_column: str | None = None) -> DataFrame:
+    """(doc_id, score) of each row, a narrow step. Null and empty texts get the score of a text without words.
+
+    With ``lang_column``, also the threshold of the row's language, which has no part in the score.
+    """
+    kinds = {"doc_id": "long", "score": "double"} | ({"threshold": "double"} if lang_column else {})
+    schema, ddl = arrow_schema(**kinds)
     shared = df.sparkSession.sparkContext.broadcast(model)  # size fixed by BUCKETS and DIM
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            scores = scorer.score([t.as_py() or "" for t in batch.column(1)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], schema=schema)
+            columns = [batch.column(0), pa.array(scorer.score([t.as_py() or "" for t in batch.column(1)]), pa.float64())]
+            if lang_column:
+                columns.append(pa.array([scorer.model.limit(x) for x in batch.column(2).to_pylist()], pa.float64()))
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     bound_batches(df.sparkSession)
-    return df.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")).mapInArrow(run, ddl)
+    named = [F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")]
+    return df.select(*named, *([F.col(lang_column).cast("string").alias("lang")] if lang_column else [])).mapInArrow(run, ddl)
 
 
 def reject_toxic(df: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
@@ -319,7 +400,7 @@ def reject_toxic(df: DataFrame, model: Model, id_column: str = "doc_id", text_co
             names = batch.schema.names
             scores = scorer.score([t.as_py() or "" for t in batch.column(names.index(text_column)).cast(pa.string())])
             langs = batch.column(names.index(lang_column)).cast(pa.string()).to_pylist()
-            limits = np.array([scorer.model.thresholds.get(x, scorer.model.threshold) for x in langs])
+            limits = np.array([scorer.model.limit(x) for x in langs])
             yield batch.filter(pa.array(scores < limits))
 
     bound_batches(df.sparkSession)

@@ -156,6 +156,16 @@ def test_toxicity_finds_held_out_words_and_stems(spark):
     assert len(odd) == len(ODD) and all(0 <= r.score <= 1 for r in odd)
     kept = toxicity.reject_toxic(docs, model)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, s in scores.items() if s < model.thresholds.get("en", model.threshold)}
+    # Thresholds come from all labelled rows that were not fitted on, here most of them, and tell the classes apart.
+    small = toxicity.train(docs, train, sample=120)
+    judged = toxicity.calibrate(docs, train, small, sample=120)
+    by_id = {r.doc_id: (r.score, r.threshold) for r in toxicity.score_texts(docs, judged, lang_column="lang").collect()}
+    fitted = {i for i, _ in labels if i < 400} - {r[0] for r in train.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").select("doc_id").collect()}
+    assert not fitted
+    f1 = lambda limit: (lambda hit, called, true: 2 * hit / (called + true))(
+        sum(s >= limit(i) and i % 5 == 0 for i, (s, _) in by_id.items()), sum(s >= limit(i) for i, (s, _) in by_id.items()), 100)
+    assert f1(lambda i: by_id[i][1]) >= max(f1(lambda i: small.limit("en")), f1(lambda i: 0.5)) - 0.03
+    assert toxicity.calibrate(docs, train.limit(0), small).threshold == small.threshold
     nothing = toxicity.train(docs, train.limit(0))
     assert {r.score < 0.5 for r in toxicity.score_texts(docs, nothing).collect()} == {True}
 
@@ -259,3 +269,23 @@ def test_language_model_of_nothing(spark):
     docs = table(spark, ODD)
     model, _ = ngram_lm.train(docs.limit(0), F.lit(False))
     assert model.tokens == 0 and all(r.n_known == 0 and r.score == r.base_score == 0 for r in ngram_lm.score_texts(docs, model).collect())
+
+
+def test_an_id_with_many_rows_is_one_row_of_the_sample(spark):
+    """The sample is bounded in rows: one text of each chosen id, the same in every run."""
+    docs = table(spark, [(1, f"word{i} other") for i in range(300)] + [(2, "zonk zonk"), (2, "zonk")])
+    train = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, toxic int")
+    one, two = (toxicity.train(docs.repartition(n), train, sample=2) for n in (1, 4))
+    assert (one.rows == two.rows).all() and one.bias == two.bias
+
+
+def test_benchmark_items_with_repeated_words(spark):
+    """Words count as often as the item has them; and an item is found whatever other items there are."""
+    item = " ".join(["tick"] * 20 + [f"u{i}" for i in range(10)])
+    other = [(100 + i, " ".join(f"x{i}y{j}" for j in range(30))) for i in range(600)]
+    docs = table(spark, [(1, "tick " * 20 + "and then " + " ".join(f"u{i}" for i in range(3))), (2, "quite different words " * 10)])
+    found = {}
+    for more in ([], other):
+        bench = spark.createDataFrame([(7, item), *more], "item_id long, text string")
+        found[len(more)] = [(r.doc_id, r.item_id, round(r.lcs, 6)) for r in decontaminate.matches(docs, bench, cosine=0.3).collect()]
+    assert found[0] == found[600] == [(1, 7, round(23 / 30, 6))]
