@@ -179,8 +179,11 @@ def links(codes: DataFrame, most: int = 2, leaf: int = LEAF) -> DataFrame:
             .select("fp", "home", (F.col("spent") + F.col("flip.n")).alias("spent"), F.col("prefix").bitwiseXOR(F.col("flip.m")).alias("prefix"))
             .filter((F.col("spent") <= most) & (F.col("prefix") <= F.col("home")))
         )
-        counts = entries.groupBy("prefix").count()
-        heavy = materialize(counts.filter(F.col("count") > 4 * leaf).select("prefix"), "heavy-prefixes")
+        # Beside a crowded prefix even a small one has many visitors; deeper bits turn most of them away.
+        counts = entries.groupBy("prefix").agg(F.count(F.lit(1)).alias("own"))
+        coming = visits.filter(F.col("prefix") != F.col("home")).groupBy("prefix").agg(F.count(F.lit(1)).alias("coming"))
+        many = (F.col("own") > 4 * leaf) | (F.coalesce("coming", F.lit(0)) > 4 * leaf * len(_masks(bits, most)))
+        heavy = materialize(counts.join(coming, "prefix", "left").filter(many).select("prefix"), "heavy-prefixes")
         last = bits >= 60 or heavy.isEmpty()
         small = lambda df: df if last else df.join(heavy, "prefix", "left_anti")
         own = small(entries).select("prefix", "fp", F.lit(True).alias("own"))

@@ -33,6 +33,8 @@ STEMS = (4, 5, 6)
 #: Words of a piece of text that is pooled at once, and words that a worker remembers; speed and memory only.
 PIECE, REMEMBERED = 1 << 15, 300_000
 PARTS = 1 + len(STEMS)
+#: Steps of the score within which rows are counted together when thresholds are chosen, and toxic rows that a threshold needs.
+STEPS, LEAST_TOXIC = 10_000, 10
 
 
 def word_rows(word: str) -> tuple[int, ...]:
@@ -172,11 +174,11 @@ def _calibrate(model: Model, logits: np.ndarray, labels: np.ndarray, langs: list
         low = s[order[k + 1]] if k + 1 < len(s) else 0.0
         return float((s[order[k]] + low) / 2)
 
-    model.threshold = best(scores, labels) if labels.sum() else 0.5
+    model.threshold = best(scores, labels) if labels.sum() >= LEAST_TOXIC else 0.5
     of = np.array(langs)
     for lang in sorted(set(langs)):
         here = of == lang
-        if labels[here].sum() >= 10:
+        if labels[here].sum() >= LEAST_TOXIC:
             model.thresholds[lang] = best(scores[here], labels[here])
 
 
@@ -256,8 +258,6 @@ def train(
     return pickle.loads(zlib.decompress(found["model"]))
 
 
-#: Steps of the score within which rows are counted together when thresholds are chosen, and toxic rows that a language needs.
-STEPS, LEAST_TOXIC = 10_000, 10
 
 
 def calibrate(
@@ -268,7 +268,7 @@ def calibrate(
 
     Rows are scored where they lie and counted by language and step of the score; every language is judged from its
     counts. ``sample`` is that of :func:`train`. Languages with fewer than LEAST_TOXIC toxic rows use the common
-    threshold; without any rows to go by, thresholds stay as they were.
+    threshold; with fewer in all, thresholds stay as they were: 0.5 after a fit that had as few.
     """
     known = _labelled(labels, id_column, label_column)
     aside = F.crc32(F.concat(F.lit("aside "), F.col("_id").cast("string")).cast("binary")) % 5 == 0
@@ -307,8 +307,8 @@ def calibrate(
     common = whole.withColumn("lang", F.lit("")).groupBy("lang").applyInPandas(judge, kinds).first()
     own = counted.groupBy("lang").applyInPandas(judge, kinds).filter(F.col("toxic") >= LEAST_TOXIC).collect()  # one row for each language
     return replace(
-        model, threshold=float(common["threshold"]) if common and common["toxic"] else model.threshold,
-        thresholds={r["lang"]: float(r["threshold"]) for r in own} if common else model.thresholds,
+        model, threshold=float(common["threshold"]) if common and common["toxic"] >= LEAST_TOXIC else model.threshold,
+        thresholds={r["lang"]: float(r["threshold"]) for r in own} or model.thresholds,
     )
 
 

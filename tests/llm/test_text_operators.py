@@ -289,3 +289,30 @@ def test_benchmark_items_with_repeated_words(spark):
         bench = spark.createDataFrame([(7, item), *more], "item_id long, text string")
         found[len(more)] = [(r.doc_id, r.item_id, round(r.lcs, 6)) for r in decontaminate.matches(docs, bench, cosine=0.3).collect()]
     assert found[0] == found[600] == [(1, 7, round(23 / 30, 6))]
+
+
+def test_crowded_regions_and_their_neighbours(spark):
+    """Half of the fingerprints share their first bits, others lie one flip beside them; links are those of all pairs."""
+    rng = random.Random(6)
+    crowd = [0xABC << 52 | rng.getrandbits(14) for _ in range(400)]
+    beside = [(0xABC ^ 1 << rng.randrange(12)) << 52 | (x & (1 << 52) - 1) ^ (1 << rng.randrange(14) if rng.random() < 0.5 else 0) for x in rng.sample(crowd, 60)]
+    codes = sorted({*crowd, *beside, *(rng.getrandbits(64) for _ in range(300))})
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    root = {x: x for x in codes}
+    for i, x in enumerate(codes):
+        for y in codes[:i]:
+            if (x ^ y).bit_count() <= 2 and root[x] != root[y]:
+                a, b = sorted((root[x], root[y]))
+                root = {k: a if v == b else v for k, v in root.items()}
+    df = spark.createDataFrame([(signed(x),) for x in codes], "fp long")
+    for leaf in (4, 20):
+        found = {r.node: r.root for r in components(simhash.links(df, 2, leaf), "a", "b").collect()}
+        groups = lambda of: {frozenset(g) for g in _grouped(of).values() if len(g) > 1}
+        assert groups({signed(x): r for x, r in root.items()}) == groups({signed(x): found.get(signed(x), signed(x)) for x in codes})
+
+
+def _grouped(of):
+    out = {}
+    for k, v in of.items():
+        out.setdefault(v, set()).add(k)
+    return out
