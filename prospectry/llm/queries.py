@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from prospectry.llm import bpe, decontaminate, exact_dedup, line_dedup, ngram_lm, ranked_search, sharding, simhash, spelling, suffix_dedup, toxicity, url_filter, window_dedup
 from prospectry.llm.common import fold, table
+from prospectry.session import materialize
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_SQL: dict[str, str] = {}
@@ -68,10 +69,14 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").filter(fold("doc_id", 5) != 0)
-    model = toxicity.calibrate(docs, labels, toxicity.train(docs, labels))
-    return toxicity.score_texts(docs, model, lang_column="lang").select(
-        "doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "threshold",
-        (F.col("score") >= F.col("threshold")).alias("flagged"),
+    model = toxicity.train(docs, labels)
+    # Texts are scored once; thresholds and results both come from the written scores.
+    scored = materialize(toxicity.score_texts(docs, model, lang_column="lang"), "toxicity-scores")
+    model = toxicity.calibrate(scored, labels, model)
+    threshold = toxicity.threshold_of(model, F.col("lang"))
+    return scored.select(
+        "doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), threshold.alias("threshold"),
+        (F.col("score") >= threshold).alias("flagged"),
     )
 
 

@@ -19,7 +19,7 @@ from dataclasses import dataclass, field, replace
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prospectry.llm.common import arrow_schema, bound_batches
@@ -261,12 +261,12 @@ def train(
 
 
 def calibrate(
-    docs: DataFrame, labels: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang",
-    label_column: str = "toxic", sample: int = SAMPLE,
+    scored: DataFrame, labels: DataFrame, model: Model, id_column: str = "doc_id", label_column: str = "toxic", sample: int = SAMPLE,
 ) -> Model:
     """The model with thresholds of greatest F1, common and by language, over all labelled rows that were not fitted on.
 
-    Rows are scored where they lie and counted by language and step of the score; every language is judged from its
+    ``scored`` has (doc_id, lang, score) of all documents, as :func:`score_texts` gives them, so that no text is moved to
+    meet its label. Rows are counted by language and step of the score; every language is judged from its
     counts. ``sample`` is that of :func:`train`. Languages with fewer than LEAST_TOXIC toxic rows use the common
     threshold; with fewer in all, thresholds stay as they were: 0.5 after a fit that had as few.
     """
@@ -274,25 +274,12 @@ def calibrate(
     aside = F.crc32(F.concat(F.lit("aside "), F.col("_id").cast("string")).cast("binary")) % 5 == 0
     fitted = known.orderBy(F.xxhash64("_id"), "_id").limit(sample).filter(~aside).select("_id")
     unseen = known.join(F.broadcast(fitted), "_id", "left_anti")  # at most ``sample`` numbers
-    named = docs.select(
-        F.col(id_column).cast("long").alias("_id"), F.coalesce(F.col(lang_column).cast("string"), F.lit("")).alias("lang"), F.col(text_column).cast("string").alias("text")
-    )
-    rows = named.join(unseen, "_id").select("lang", F.col("_label").alias("label"), "text")
-    schema, ddl = arrow_schema(lang="string", label="int", score="double")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
-        for batch in batches:
-            scores = scorer.score([t.as_py() or "" for t in batch.column(2)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64())], schema=schema)
-
+    rows = scored.select(F.col("doc_id").alias("_id"), F.coalesce("lang", F.lit("")).alias("lang"), "score").join(unseen, "_id").withColumnRenamed("_label", "label")
     step = F.floor(F.col("score") * STEPS)
-    counted = rows.mapInArrow(run, ddl).groupBy("lang", step.alias("step")).agg(
+    counted = rows.groupBy("lang", step.alias("step")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("label").alias("toxic"), F.min("score").alias("low"), F.max("score").alias("high")
     )
-    counted = materialize(counted, "toxicity-scores")
-    shared.destroy()
+    counted = materialize(counted, "toxicity-counts")
 
     def judge(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("step", ascending=False)
@@ -367,25 +354,30 @@ class Scorer:
 def score_texts(df: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text", lang_column: str | None = None) -> DataFrame:
     """(doc_id, score) of each row, a narrow step. Null and empty texts get the score of a text without words.
 
-    With ``lang_column``, also the threshold of the row's language, which has no part in the score.
+    With ``lang_column``, also the row's language, which has no part in the score.
     """
-    kinds = {"doc_id": "long", "score": "double"} | ({"threshold": "double"} if lang_column else {})
+    named = [F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")]
+    kinds = {"doc_id": "long", "score": "double"} | ({"lang": "string"} if lang_column else {})
     schema, ddl = arrow_schema(**kinds)
     shared = df.sparkSession.sparkContext.broadcast(model)  # size fixed by BUCKETS and DIM
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            columns = [batch.column(0), pa.array(scorer.score([t.as_py() or "" for t in batch.column(1)]), pa.float64())]
-            if lang_column:
-                columns.append(pa.array([scorer.model.limit(x) for x in batch.column(2).to_pylist()], pa.float64()))
-            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+            scores = scorer.score([t.as_py() or "" for t in batch.column(1)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), *batch.columns[2:]], schema=schema)
 
     bound_batches(df.sparkSession)
-    named = [F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")]
     return df.select(*named, *([F.col(lang_column).cast("string").alias("lang")] if lang_column else [])).mapInArrow(run, ddl)
 
 
+def threshold_of(model: Model, lang: Column) -> Column:
+    """The threshold of a row's language."""
+    known = [F.lit(x) for pair in sorted(model.thresholds.items()) for x in pair]
+    own = F.try_element_at(F.create_map(*known), F.coalesce(lang, F.lit(""))) if known else F.lit(None).cast("double")
+    return F.coalesce(own, F.lit(model.threshold))
+
+
 def reject_toxic(df: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
     """The rows of ``df``, all columns, whose score stays below the threshold of their language.
 

@@ -158,14 +158,15 @@ def test_toxicity_finds_held_out_words_and_stems(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, s in scores.items() if s < model.thresholds.get("en", model.threshold)}
     # Thresholds come from all labelled rows that were not fitted on, here most of them, and tell the classes apart.
     small = toxicity.train(docs, train, sample=120)
-    judged = toxicity.calibrate(docs, train, small, sample=120)
-    by_id = {r.doc_id: (r.score, r.threshold) for r in toxicity.score_texts(docs, judged, lang_column="lang").collect()}
+    scored = toxicity.score_texts(docs, small, lang_column="lang")
+    judged = toxicity.calibrate(scored, train, small, sample=120)
+    by_id = {r.doc_id: (r.score, r.t) for r in scored.withColumn("t", toxicity.threshold_of(judged, F.col("lang"))).collect()}
     fitted = {i for i, _ in labels if i < 400} - {r[0] for r in train.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").select("doc_id").collect()}
     assert not fitted
     f1 = lambda limit: (lambda hit, called, true: 2 * hit / (called + true))(
         sum(s >= limit(i) and i % 5 == 0 for i, (s, _) in by_id.items()), sum(s >= limit(i) for i, (s, _) in by_id.items()), 100)
     assert f1(lambda i: by_id[i][1]) >= max(f1(lambda i: small.limit("en")), f1(lambda i: 0.5)) - 0.03
-    assert toxicity.calibrate(docs, train.limit(0), small).threshold == small.threshold
+    assert toxicity.calibrate(scored, train.limit(0), small).threshold == small.threshold
     nothing = toxicity.train(docs, train.limit(0))
     assert {r.score < 0.5 for r in toxicity.score_texts(docs, nothing).collect()} == {True}
 
