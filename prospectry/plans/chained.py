@@ -22,11 +22,16 @@ class Chained(NamedTuple):
 
 
 def available_lists(spark: SparkSession, root: str) -> DataFrame:
-    """(slug, map_file) of the result lists that lie in an output folder, from its file listing alone."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(root)
-    folder = F.regexp_extract("path", "/slug=([^/]*)/[^/]*$", 1)
-    slug = F.url_decode(F.replace(folder, F.lit("+"), F.lit("%2B")))  # a folder escapes some letters as %XX
-    return files.select(slug.alias("slug")).where("slug <> ''").distinct().withColumn("map_file", F.concat("slug", F.lit(".xlsx")))
+    """(slug, map_file) of the result lists that lie in an output folder: from the slugs of their common table, or of lists
+    that have a folder each from the file listing alone.
+    """
+    if writers.versions(spark, root):
+        slugs = writers.read_version(spark, root).select("slug")
+    else:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(root)
+        folder = F.regexp_extract("path", "/slug=([^/]*)/[^/]*$", 1)
+        slugs = files.select(F.url_decode(F.replace(folder, F.lit("+"), F.lit("%2B"))).alias("slug"))  # a folder escapes some letters as %XX
+    return slugs.where("slug <> ''").distinct().withColumn("map_file", F.concat("slug", F.lit(".xlsx")))
 
 
 def read_lists(spark: SparkSession, root: str, lists: DataFrame, schema) -> DataFrame:
@@ -35,7 +40,7 @@ def read_lists(spark: SparkSession, root: str, lists: DataFrame, schema) -> Data
     ``lists`` has ``slug, map_file`` and ``ord``, the place of a list among the chosen ones; one that is chosen
     twice gives its rows twice. Folders of other slugs are pruned where the engine finds it worthwhile.
     """
-    rows = spark.read.schema(schema).parquet(root).select("*", readers.compact_place("parquet").alias("_place"))
+    rows = writers.read_listings(spark, root, schema).select("*", readers.compact_place("parquet").alias("_place"))
     chosen = lists.select("slug", "map_file", F.col("ord").alias("_list"))
     joined = rows.join(chosen, "slug").withColumn("ord", F.struct(F.col("_list").alias("file_idx"), F.col("_place").alias("place")))
     return joined.drop("_list", "_place", "slug")
@@ -47,7 +52,7 @@ def run_pipeline(
 ) -> Chained:
     """Collect the pending queries, then merge the lists that the finished ones should have made and that exist.
 
-    Below ``root``: ``maps`` (one folder per slug, kept from earlier runs), ``queries`` (the list with its new
+    Below ``root``: ``maps`` (the table of all lists, kept from earlier runs), ``queries`` (the list with its new
     statuses), ``combined`` (the merged table) and ``sources`` (the merged lists' rows with their statuses), the last two as
     versions of tables. Status 1 means that no list was there to merge. ``flags`` adds one column per list; leave it out
     where lists are many. Names of lists, one for each finished query, are the only data the driver holds.
@@ -56,7 +61,7 @@ def run_pipeline(
     maps = f"{root}/maps"
     found, outcomes = collect_listings(queries, pages, panels, redo)
     written = found.drop("page_id", "ord")
-    writers.write_listings(written, maps)
+    writers.write_listings(written, maps, folders=False)
     writers.write_query_status(outcomes, f"{root}/queries")
     finished = writers.read_version(spark, f"{root}/queries")
     # Order and repeats of the finished queries stay; only the list names that exist are kept.

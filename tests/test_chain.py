@@ -100,3 +100,16 @@ def test_long_form_of_ranks_without_a_list(spark):
     whole = {r.listing_link: (r.position, r.map_files, r.search_volume) for r in merge.merge_listings(df, ["m1", "m2"]).collect()}
     long = {r.listing_link: (r.position, r.map_files, r.search_volume) for r in merge.merge_listings_long(df).collect()}
     assert whole == long == {"a": ([3, 4, 3], [None, "m1", "m2"], [None, 7.0, 7.0]), "b": ([], [], [])}
+
+
+def test_many_lists_are_few_files(spark, tmp_path):
+    """The chain keeps its lists in one table; lists written again lose their old rows, others stay, folders of old are taken in."""
+    root = str(tmp_path / "maps")
+    rows = spark.range(600).selectExpr("concat('l', id) AS listing_link", "CAST(id AS int) AS position", "concat('q', id % 300) AS slug")
+    writers.write_listings(rows.where("id % 300 < 10"), root)
+    writers.write_listings(rows.where("id % 300 >= 5").withColumn("position", F.lit(7)), root, folders=False)
+    writers.write_listings(rows.where("slug = 'q299'").limit(1), root, folders=False)
+    assert len([p for p in (tmp_path / "maps").rglob("*.parquet") if "slug=" not in str(p)]) < 50
+    found = {r.slug: (r.n, r.p) for r in writers.read_listings(spark, root, rows.schema).groupBy("slug").agg(F.count("*").alias("n"), F.max("position").alias("p")).collect()}
+    assert found == {f"q{i}": (2, 300 + i) if i < 5 else (2, 7) if i < 299 else (1, 299) for i in range(300)}
+    assert available_lists(spark, root).count() == 300
