@@ -143,3 +143,11 @@ def test_resolve_href(spark):
     rows = spark.createDataFrame([(i, x) for i, x in enumerate(links)], "i int, href string")
     found = rows.select("i", resolve_href(F.lit("http://d"), F.col("href")).alias("u")).orderBy("i").collect()
     assert [r.u for r in found] == [urldefrag(urljoin("http://d", x)).url for x in links]
+
+
+def test_pages_are_made_by_many_tasks(spark):
+    from prospectry.catalog import standins
+
+    spread = standins.spread(spark.range(3 * standins.PAGE_ROWS).coalesce(1))
+    sizes = [len(p) for p in spread.rdd.glom().collect()]
+    assert len(sizes) == 3 and sum(sizes) == 3 * standins.PAGE_ROWS and max(sizes) < 2 * standins.PAGE_ROWS
