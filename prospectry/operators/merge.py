@@ -41,6 +41,14 @@ def with_listing_columns(rows: DataFrame) -> DataFrame:
     return rows.withColumns(missing) if missing else rows
 
 
+def free_name(rows: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column of ``rows`` has."""
+    taken = {c.lower() for c in rows.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def normalize_listings(rows: DataFrame) -> DataFrame:
     """Numeric rating and array categories, once, at ingest."""
     types = dict(rows.dtypes)
@@ -290,15 +298,21 @@ def mark_included(rows: DataFrame, links: DataFrame) -> DataFrame:
     )
 
 
+def _by_link(rows: DataFrame, key: Column, links: DataFrame, how: str) -> DataFrame:
+    """The key is a column of its own: sorting for a join would work out an expression again for each comparison."""
+    name = free_name(rows, "_key")
+    return rows.withColumn(name, key).join(links.select(F.col("link").alias(name)), name, how).drop(name)
+
+
 def included_rows(rows: DataFrame, links: DataFrame) -> DataFrame:
-    key = strip(F.col("listing_link"))
     usable = rows.where(valid_link_text(F.col("listing_link")))
-    return usable.join(links, key == F.col("link"), "left_semi")
+    return _by_link(usable, strip(F.col("listing_link")), links, "left_semi")
 
 
 def excluded_rows(rows: DataFrame, links: DataFrame) -> DataFrame:
-    key = F.when(valid_link_text(F.col("listing_link")), strip(F.col("listing_link")))
-    return rows.join(links, key == F.col("link"), "left_anti")
+    """Rows without a usable link are among them; they spread over all tasks."""
+    key = F.when(valid_link_text(F.col("listing_link")), strip(F.col("listing_link"))).otherwise(no_match(rows))
+    return _by_link(rows, key, links, "left_anti")
 
 
 def dedup_summary(rows: DataFrame, min_rating: float = DEFAULT_MIN_RATING) -> DataFrame:

@@ -158,3 +158,16 @@ def test_rows_without_a_link_are_not_joined(spark):
     rows = spark.createDataFrame([(None, 1), ("nan", 2), (" u ", 3)], "listing_link string, n int")
     links = spark.createDataFrame([("u",), ("\x00 1",)], "link string")
     assert {r.n: r.status for r in merge.mark_included(rows, links).collect()} == {1: "pending", 2: "pending", 3: "success"}
+
+
+def test_sides_are_joined_on_a_column(spark):
+    """The join's key is no expression, which sorting would work out again for each comparison."""
+    from prospectry.operators import merge as m
+
+    rows = spark.createDataFrame([(" a ", 1), ("a", 2), ("b", 3), (None, 4), (" ", 5), ("NaN", 6)], "listing_link string, _key int")
+    links = spark.createDataFrame([("a",), ("c",)], "link string").hint("merge")
+    sides = m.included_rows(rows, links), m.excluded_rows(rows, links)
+    assert [sorted(r[1] for r in s.collect()) for s in sides] == [[1, 2], [3, 4, 5, 6]]
+    for side in sides:
+        join = next(line for line in side._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join" in line)
+        assert "SortMergeJoin [_key" in join and "CASE" not in join
