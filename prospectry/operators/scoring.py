@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from prospectry.constants import PENALIZED_BUILDERS, PENALIZED_FRAMEWORKS
 from prospectry.operators.site import NOTHING_FOUND
+from prospectry.session import bound_methods
 from prospectry.sources import schemas
 
 # Fixed value: from this score on a business counts as bad.
@@ -182,9 +183,10 @@ def reason_texts() -> str:
 def quality_score(metrics: DataFrame, as_of_year: int) -> DataFrame:
     """Adds ``score``, ``is_bad`` and the sorted ``reasons``; the year is an argument so results repeat.
 
-    Thirty rules make one long generated method, which the JVM would not compile. The session's
-    ``spark.sql.codegen.hugeMethodLimit`` makes Spark cut such a method into short ones.
+    Thirty rules make one long generated method, which the JVM would not compile.
+    ``spark.sql.codegen.hugeMethodLimit`` makes Spark cut such a method into short ones, whatever session runs it.
     """
+    bound_methods(metrics.sparkSession)
     own = [f"`{c}`" for c in metrics.columns]
     known = with_metric_columns(metrics).selectExpr(*own, f"{known_metrics(as_of_year)} AS m").selectExpr(*own, "m", f"{hits()} AS hits")
     scored = known.selectExpr(*own, f"{score_sum()} AS score", f"{sort_keys()} AS keys", f"{reason_texts()} AS texts")

@@ -71,3 +71,15 @@ def test_load_label(spark, seconds):
     row = spark.createDataFrame([(Row("u", seconds, None),)], f"speedMetrics {schemas.SITE_METRICS['speedMetrics'].dataType.simpleString()}")
     labels = [r.reason for r in quality_score(row, 2026).first().reasons]
     assert f"Slow load time ({seconds:.1f}s)" in labels
+
+
+def test_long_methods_are_cut_in_any_session(spark):
+    key = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(key)
+    try:
+        for given, left in (("65535", "8000"), ("4000", "4000")):
+            spark.conf.set(key, given)
+            scoring.quality_score(spark.range(1).selectExpr("true AS has_website"), 2026)
+            assert spark.conf.get(key) == left
+    finally:
+        spark.conf.set(key, before)
