@@ -76,15 +76,23 @@ def chained_sources(spark, d):
     return spark.read.parquet(made.sources).select(F.col("ord.file_idx").alias("list"), "map_file", "position", "listing_link", "status")
 
 
+def _arrive_in_four(rows, key, source, run):
+    """Rows arrive in four loads, each of as many files as it takes and one batch of the stream that ``run`` starts."""
+    for load in range(4):
+        rows.where(F.pmod(F.xxhash64(key), F.lit(4)) == load).write.mode("append").parquet(source)
+        run(rows.sparkSession.readStream.schema(rows.schema).parquet(source)).awaitTermination()
+
+
 @query("incremental_listings", MERGED_SQL)
 def incremental(spark, d):
-    """The flagship merge, fed as a stream of four files to a store that compacts after every second one."""
+    """The flagship merge, fed as a stream of four loads to a store that compacts after every second one."""
     source, root = work_path(spark, "arrivals"), work_path(spark, "stream")
-    rows = st.listings(spark, d)
-    rows.repartition(4, "l_orderkey").write.parquet(source)
-    arrivals = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    parsed = arrivals.withColumn("categories", parse_categories(F.col("categories")))
-    incremental_listings(parsed, FILES, root, 4.2, compact_every=2, slice_rows=20_000).awaitTermination()
+
+    def merge_load(arrivals):
+        parsed = arrivals.withColumn("categories", parse_categories(F.col("categories")))
+        return incremental_listings(parsed, FILES, root, 4.2, compact_every=2, slice_rows=20_000)
+
+    _arrive_in_four(st.listings(spark, d), "l_orderkey", source, merge_load)
     return shown(current_listings(st.parsed_listings(spark, d), FILES, root))
 
 
@@ -92,9 +100,7 @@ def incremental(spark, d):
 def stream_latest(spark, d):
     source, root = work_path(spark, "verdicts"), work_path(spark, "stream")
     rows = st.verdicts(spark, d).select("listing_link", "seq", "eval_rating", "eval_time", "notes")
-    rows.repartition(4, "seq").write.parquet(source)
-    arrivals = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    stream_latest_evaluation(arrivals, ["seq"], root).awaitTermination()
+    _arrive_in_four(rows, "seq", source, lambda arrivals: stream_latest_evaluation(arrivals, ["seq"], root))
     return current_evaluations(spark, root, ["seq"])
 
 

@@ -98,3 +98,16 @@ def test_verdicts_after_a_restart(spark, sf, tmp_path):
         stream_latest_evaluation(spark.readStream.schema(rows.schema).parquet(source), ["seq"], root).awaitTermination()
     batch = ev.latest_evaluation(rows, ["seq"])
     assert _rows(current_evaluations(spark, root, ["seq"]).select(*batch.columns)) == _rows(batch)
+
+
+def test_a_load_is_as_many_files_as_it_takes(spark, tmp_path):
+    from prospectry.catalog.jobs import _arrive_in_four
+
+    source, seen = str(tmp_path / "source"), []
+
+    def run(arrivals):
+        note = lambda batch, _: seen.append((batch.count(), len(batch.inputFiles())))
+        return arrivals.writeStream.foreachBatch(note).option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start()
+
+    _arrive_in_four(spark.range(0, 4000, 1, 5), "id", source, run)
+    assert len(seen) == 4 and sum(n for n, _ in seen) == 4000 and all(files > 1 for _, files in seen)
