@@ -79,7 +79,7 @@ def test_long_methods_are_cut_in_any_session(spark):
     try:
         for given, left in (("65535", "8000"), ("4000", "4000")):
             spark.conf.set(key, given)
-            scoring.quality_score(spark.range(1).selectExpr("true AS has_website"), 2026)
+            quality_score(spark.range(1).selectExpr("true AS has_website"), 2026)
             assert spark.conf.get(key) == left
     finally:
         spark.conf.set(key, before)
