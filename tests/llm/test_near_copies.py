@@ -107,3 +107,25 @@ def test_contaminated_texts_under_a_shared_id(spark):
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
     kept = decontaminate.drop_contaminated(docs, bench)
     assert Counter(map(tuple, kept.collect())) == Counter(r for r in rows if r != rows[30])
+
+
+def test_the_index_gives_candidates_and_links_are_checked(spark):
+    """Near copies within two bits come from the SimHash index itself; texts that only share a fingerprint are not linked."""
+    rng = random.Random(4)
+    words = [f"x{i}" for i in range(3000)]
+    base = [rng.choice(words) for _ in range(1500)]
+    near = [*base[:-1], "other"]
+    far = [rng.choice(words) for _ in range(1500)]
+    sets = [near_copies.shingles(" ".join(t).encode()) for t in (base, base, near, far)]
+    prints = [near_copies.fingerprint(s) for s in sets]
+    assert prints[0] == prints[1] and (prints[0] ^ prints[2]).bit_count() <= near_copies.BITS < (prints[0] ^ prints[3]).bit_count()
+    nodes = spark.createDataFrame([*enumerate(prints), (9, prints[0])], "node long, fp long").repartition(3)
+    found = [(*sorted(r.nodes), r.cut) for r in near_copies.index_lists(nodes).collect()]
+    label = list(range(10))
+    for a, b, cut in found:
+        assert cut == 0
+        label = [label[a] if x == label[b] else x for x in label]
+    assert len({label[k] for k in (0, 1, 2, 9)}) == 1 and label[3] not in {label[0], label[9]}
+    assert near_copies.index_lists(nodes.limit(0)).collect() == []
+    # The same fingerprint stands beside sets that differ: whole sets decide.
+    assert near_copies.forest([sets[0], sets[3]], 0) == [] and near_copies.forest([sets[0], sets[2]], 0) == [(0, 1)]
