@@ -1,12 +1,12 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. Vocabulary: the words of the benchmark and the most frequent words of a bounded sample of documents.
-2. Document frequencies of the vocabulary over the whole corpus, added up as arrays of fixed size.
-3. A randomised SVD of the TF-IDF matrix of the sample's passages and the benchmark's passages: tasks multiply
+1. Vocabulary: the words of the benchmark and the most frequent words of all documents, with the document frequencies
+   of the whole corpus. Texts are then written as numbers of these terms, once for all further steps.
+2. A randomised SVD of the TF-IDF matrix of the passages of all documents and the benchmark's passages: tasks multiply
    their sparse rows, partial products are summed by blocks of terms, and only (terms x rank) matrices, whose
    size is fixed by parameters, reach the driver.
-4. Every passage of every document is projected, and the cosine with each benchmark passage gives candidates.
-5. Around each candidate, the longest common subsequence of words decides; pairs in a middle range count as
+3. Every passage of every document is projected, and the cosine with each benchmark passage gives candidates.
+4. Around each candidate, the longest common subsequence of words decides; pairs in a middle range count as
    paraphrases only if the item's answer, its last words, is found too.
 
 The benchmark is the stated query set: it is held by the driver and sent to the tasks, which compare passages with
@@ -18,6 +18,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -29,8 +30,8 @@ from prospectry.llm.common import arrow_schema, bound_batches, free_name, row_ke
 from prospectry.session import materialize
 
 WINDOW, BLOCK = 32, 256
-#: Bound of the sample that the latent space is fitted on (not of what is searched), and of its extra words.
-SAMPLE_DOCS, SAMPLE_WORDS = 2000, 8192
+#: Words of the vocabulary besides the benchmark's, and words and their bytes that a counting task gathers before it sends.
+MORE_WORDS, RUN_WORDS, RUN_BYTES = 8192, 1 << 19, 16 << 20
 RANK, OVERSAMPLE, POWER = 192, 16, 2
 #: Weight of all benchmark passages in the decomposition, against all of the sample's.
 OWN_WEIGHT = 1.5
@@ -38,13 +39,18 @@ OWN_WEIGHT = 1.5
 COSINE, SAME, PARAPHRASE, ANSWER = 0.35, 0.75, 0.5, 0.6
 DROP = b".,;:!?\"'()[]{}*|"
 TERMS_A_BLOCK = 1024
+MATCHES = {"doc_id": "long", "item_id": "long", "cosine": "double", "lcs": "double", "answer": "double", "at_word": "long"}
+#: Passages for each task of the decomposition at least, beyond one task a core, since each sends a whole (terms x rank) matrix.
+TASK_ROWS = 250_000
+#: Passages that are multiplied at a time, and occurrences from which a term among them counts as frequent.
+ROWS, OFTEN = 1024, 32
 
 
 def words_of(text: bytes) -> list[bytes]:
     return text.lower().translate(None, DROP).split()
 
 
-def common(item: dict[bytes, int], size: int, words: list[bytes]) -> int:
+def common(item: dict, size: int, words: list) -> int:
     """Length of the longest common subsequence; ``item`` gives each of its words the bits of its places."""
     full = row = (1 << size) - 1
     for word in words:
@@ -55,62 +61,97 @@ def common(item: dict[bytes, int], size: int, words: list[bytes]) -> int:
     return size - row.bit_count()
 
 
-def places(words: list[bytes]) -> dict[bytes, int]:
-    out: dict[bytes, int] = {}
+def places(words: list) -> dict:
+    out: dict = {}
     for i, w in enumerate(words):
         out[w] = out.get(w, 0) | 1 << i
     return out
 
 
-def answer_of(words: list[bytes]) -> list[bytes]:
+def answer_of(words: list) -> list:
     """An item's last quarter, at least three words."""
     return words[-max(3, len(words) // 4) :]
 
 
 @dataclass
 class Space:
-    """What a search task needs: term places, projection of terms, and the projected benchmark passages."""
+    """What a search task needs: projection of terms, and the projected benchmark passages."""
 
-    terms: dict[bytes, int]
     project: np.ndarray  # (terms + 1) x rank, times IDF; the last row, for other words, is zero
     energy: np.ndarray  # squared IDF of terms; other words count as a term of mean IDF
-    items: list[tuple[int, list[bytes]]]
+    items: list[tuple[int, list[int]]]  # words as numbers of terms
     passages: np.ndarray  # passages x rank, unit length
     owner: np.ndarray  # item of each passage
 
 
-def nothing() -> Space:
-    return Space({}, np.zeros((1, 1), np.float32), np.ones(1, np.float32), [], np.zeros((0, 1), np.float32), np.zeros(0, np.int64))
-
-
-def _sparse(words: list[bytes], terms: dict[bytes, int]) -> np.ndarray:
-    return np.array([i for i in map(terms.get, words) if i is not None], np.int32)
-
-
-def _document_frequency(docs: DataFrame, terms: dict[bytes, int]) -> np.ndarray:
-    shared = docs.sparkSession.sparkContext.broadcast(terms)
-    schema, ddl = arrow_schema(block="int", counts="binary")
+def vocabulary(texts: DataFrame, items: list[list[bytes]]) -> tuple[dict[bytes, int], np.ndarray]:
+    """Place of each term, and its IDF over all texts; terms are the items' words and the MORE_WORDS most frequent ones."""
+    spark = texts.sparkSession
+    schema, ddl = arrow_schema(word="binary", n="long")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = shared.value.get
-        df = np.zeros(len(shared.value) + 1, np.int64)
+        def send() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([*seen, None], pa.binary()), pa.array([*seen.values(), rows], pa.int64())], schema=schema)
+
+        seen: Counter[bytes] = Counter()
+        rows = held = 0
         for batch in batches:
             for text in texts_as_bytes(batch.column(0)):
-                found = set(map(get, set(words_of(text))))
-                found.discard(None)
-                df[list(found)] += 1
-                df[-1] += 1
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([df.tobytes()], pa.binary())], schema=schema)
+                seen.update(set(words_of(text)))
+                rows += 1
+                held += len(text)
+                # Long texts are what fills memory with few words.
+                if len(seen) >= RUN_WORDS or held >= RUN_BYTES:
+                    yield send()
+                    seen, rows, held = Counter(), 0, 0
+        yield send()
+
+    # The row without a word has the number of texts.
+    counts = materialize(texts.mapInArrow(count, ddl).groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
+    total = (counts.filter("word IS NULL").first() or (None, 0))[1]
+    top = counts.filter("word IS NOT NULL").orderBy(F.desc("n"), "word").limit(MORE_WORDS).collect()
+    own = list(dict.fromkeys(w for words in items for w in words))
+    mine = counts.join(spark.createDataFrame([(w,) for w in own], "word binary"), "word").collect()
+    df = {bytes(r["word"]): r["n"] for r in [*top, *mine]}
+    terms = {w: k for k, w in enumerate(dict.fromkeys([*own, *(bytes(r["word"]) for r in top)]))}
+    return terms, np.log((1 + total) / (1 + np.array([df.get(w, 0) for w in terms], np.int64))) + 1e-3
+
+
+def encode(named: DataFrame, terms: dict[bytes, int]) -> DataFrame:
+    """(id, ids) from (id, text): the words of each text as numbers of terms; ``len(terms)`` stands for other words."""
+    shared = named.sparkSession.sparkContext.broadcast(terms)
+    schema, ddl = arrow_schema(id="long", ids="binary")
+    kind, none = kind_of(len(terms)), len(terms)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = shared.value.get
+        for batch in batches:
+            out = []
+            for text in texts_as_bytes(batch.column(1)):
+                words = words_of(text)
+                out.append(np.fromiter(map(get, words, repeat(none)), kind, len(words)).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], schema=schema)
 
-    df = _summed(docs.mapInArrow(count, ddl), np.int64, len(terms) + 1)
+    coded = materialize(named.mapInArrow(run, ddl), "coded-texts")
     shared.destroy()
-    return df
+    return coded
+
+
+def kind_of(terms: int) -> np.dtype:
+    return np.dtype(np.uint16 if terms < 1 << 16 else np.uint32)
+
+
+def decoded(column: pa.Array, terms: int) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_py(), kind_of(terms)) for x in column]
 
 
 def _summed(parts: DataFrame, kind, size: int) -> np.ndarray:
     """Sum of arrays given in blocks, added up on the cluster in two steps; the driver gets one array."""
     def add(rows: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum([np.frombuffer(x, kind) for x in rows["counts"]], axis=0, dtype=kind)
+        total = np.zeros(len(rows["counts"].iloc[0]) // np.dtype(kind).itemsize)
+        for x in rows["counts"]:
+            total += np.frombuffer(x, kind)
+        total = total.astype(kind)
         return pd.DataFrame({"block": rows["block"].iloc[:1], "part": [0], "counts": [total.tobytes()]})
 
     spread = parts.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(16)))
@@ -120,115 +161,168 @@ def _summed(parts: DataFrame, kind, size: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(size, kind)
 
 
-def _right_vectors(rows: DataFrame, idf: np.ndarray, own: list[np.ndarray], rank: int, seed: int) -> np.ndarray:
-    """Right singular vectors (terms x rank) of the sample's and the benchmark's TF-IDF rows."""
+def passages_of(texts: list[np.ndarray], none: int) -> np.ndarray:
+    """Passages of texts, a row each, filled up with ``none``."""
+    sizes = [-(-len(t) // WINDOW) for t in texts]
+    out = np.full((sum(sizes), WINDOW), none, kind_of(none))
+    flat, at = out.reshape(-1), 0
+    for t, n in zip(texts, sizes):
+        flat[at : at + len(t)] = t
+        at += n * WINDOW
+    return out
+
+
+def sums_of(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """For each row of places, the sum of these rows of ``table``."""
+    out = table[rows[:, 0]]
+    more = np.empty_like(out)
+    for k in range(1, rows.shape[1]):
+        np.take(table, rows[:, k], axis=0, out=more, mode="clip")
+        out += more
+    return out
+
+
+def _lengths(rows: np.ndarray, energy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of terms in order, and the squared length of their TF-IDF rows."""
+    some = np.sort(rows, axis=1)
+    new = np.ones(some.shape, bool)
+    new[:, 1:] = some[:, 1:] != some[:, :-1]
+    first = np.flatnonzero(new)
+    times = np.diff(np.append(first, some.size)).astype(np.float64)
+    return some, np.bincount(first // some.shape[1], times * times * energy[some.reshape(-1)[first]], len(some))
+
+
+def _inner_products(rows: np.ndarray, basis: np.ndarray, energy: np.ndarray) -> np.ndarray:
+    """(C basis)'(C basis) for the rows of terms, C as in ``_add_products``."""
+    out = np.zeros((basis.shape[1], basis.shape[1]))
+    for at in range(0, len(rows), ROWS):
+        some, length = _lengths(rows[at : at + ROWS], energy)
+        y = sums_of(basis, some) * np.sqrt(np.divide(1, length, out=np.zeros(len(some)), where=length > 0)).astype(np.float32)[:, None]
+        out += y.T @ y
+    return out
+
+
+def _add_products(rows: np.ndarray, basis: np.ndarray, energy: np.ndarray, total: np.ndarray) -> None:
+    """Adds C'C basis to ``total`` for the rows of terms, C being counts divided by the length of the TF-IDF row.
+
+    ``basis`` and ``energy`` (squared IDF) are zero for other words. Terms that occur OFTEN among the rows are multiplied as a
+    matrix of counts, the others summed together with those that occur as often as they do.
+    """
+    none = len(energy) - 1
+    for at in range(0, len(rows), ROWS):
+        some, length = _lengths(rows[at : at + ROWS], energy)
+        width = some.shape[1]
+        y = sums_of(basis, some) * np.divide(1, length, out=np.zeros(len(some)), where=length > 0).astype(np.float32)[:, None]
+        flat = some.reshape(-1)
+        order = np.argsort(flat, kind="stable")
+        flat = flat[order]
+        inside = int(np.searchsorted(flat, none))
+        flat, row = flat[:inside], order[:inside] // width
+        first = np.flatnonzero(np.diff(flat.astype(np.int64), prepend=-1))
+        often = np.diff(np.append(first, inside))
+        many = often >= OFTEN
+        terms = flat[first[many]]
+        if len(terms):
+            term = np.repeat(np.arange(len(terms)), often[many])
+            counts = np.bincount(term * len(some) + row[np.repeat(many, often)], minlength=len(terms) * len(some))
+            total[terms] += counts.reshape(len(terms), len(some)).astype(np.float32) @ y
+        for n in np.unique(often[~many]).tolist():
+            own = first[often == n]
+            for x in range(0, len(own), ROWS):
+                places = own[x : x + ROWS]
+                part = y[row[places]]
+                for k in range(1, n):
+                    part += y[row[places + k]]
+                total[flat[places]] += part
+
+
+def _right_vectors(coded: DataFrame, idf: np.ndarray, own: list[np.ndarray], rank: int, seed: int) -> np.ndarray:
+    """Right singular vectors (terms x rank) of the documents' and the benchmark's TF-IDF rows."""
     n = len(idf)
     width = min(n, rank + OVERSAMPLE)
-    spark = rows.sparkSession
+    spark = coded.sparkSession
     q = np.linalg.qr(np.random.default_rng(seed).normal(size=(n, width)))[0].astype(np.float32)
     schema, ddl = arrow_schema(block="int", counts="binary")
-
-    def times(lists: list[np.ndarray], basis: np.ndarray) -> np.ndarray:
-        """A'A basis for the rows in ``lists``; each row scaled to unit length."""
-        out = np.zeros(basis.shape, np.float64)
-        lists = [x for x in lists if len(x)]
-        for at in range(0, len(lists), 512):
-            some = lists[at : at + 512]
-            row = np.repeat(np.arange(len(some)), [len(x) for x in some])
-            pair, count = np.unique(row * n + np.concatenate(some), return_counts=True)
-            row, term = pair // n, pair % n
-            value = count * idf[term]
-            value = (value / np.sqrt(np.bincount(row, value * value))[row]).astype(np.float32)
-            y = np.add.reduceat(basis[term] * value[:, None], np.flatnonzero(np.diff(row, prepend=-1)), axis=0)
-            by_term = np.argsort(term, kind="stable")
-            first = np.flatnonzero(np.diff(term[by_term], prepend=-1))
-            out[term[by_term][first]] += np.add.reduceat(y[row[by_term]] * value[by_term, None], first, axis=0)
-        return out
-
-    own_weight = OWN_WEIGHT * max(1, rows.count()) / max(1, len(own))
-    for _ in range(POWER + 1):
-        shared = spark.sparkContext.broadcast(q)
+    energy = np.append(idf**2, 0)
+    by_size: dict[int, list[np.ndarray]] = {}
+    for w in own:
+        by_size.setdefault(len(w), []).append(w)
+
+    def weighted(basis: np.ndarray) -> np.ndarray:
+        """Rows of the basis times IDF, and a zero row for other words."""
+        return np.concatenate([basis * idf[:, None], np.zeros((1, width))]).astype(np.float32)
+
+    passages = F.ceil(F.octet_length("ids") / (kind_of(n).itemsize * WINDOW))
+    rows = coded.agg(F.sum(passages)).first()[0] or 0
+    own_weight = OWN_WEIGHT * max(1, rows) / max(1, len(own))
+    few = coded.select("ids").coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // TASK_ROWS)))
+    for _ in range(POWER):
+        basis = weighted(q)
+        shared = spark.sparkContext.broadcast(basis)
 
         def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            basis = shared.value
-            total = np.zeros(basis.shape, np.float64)
+            total = np.zeros((n + 1, width), np.float32)
             for batch in batches:
-                total += times([np.frombuffer(x.as_py(), np.int32) for x in batch.column(0)], basis)
+                _add_products(passages_of(decoded(batch.column(0), n), n), shared.value, energy, total)
+            total = (total[:n] * idf[:, None]).astype(np.float32)
             blocks = [total[at : at + TERMS_A_BLOCK].tobytes() for at in range(0, n, TERMS_A_BLOCK)]
             yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array(blocks, pa.binary())], schema=schema)
 
-        w = _summed(rows.mapInArrow(multiply, ddl), np.float64, n * width).reshape(n, width) + own_weight * times(own, q)
+        mine = np.zeros((n + 1, width), np.float32)
+        for windows in by_size.values():
+            _add_products(np.stack(windows), basis, energy, mine)
+        w = _summed(few.mapInArrow(multiply, ddl), np.float32, n * width).reshape(n, width) + own_weight * mine[:n] * idf[:, None]
         shared.destroy()
-        small = q.T.astype(np.float64) @ w
-        last, q = q, np.linalg.qr(w)[0].astype(np.float32)
+        q = np.linalg.qr(w)[0].astype(np.float32)
+
+    # The matrix within the span of q: products of the projected rows with each other are all that is needed.
+    basis = weighted(q)
+    shared = spark.sparkContext.broadcast(basis)
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((width, width))
+        for batch in batches:
+            total += _inner_products(passages_of(decoded(batch.column(0), n), n), shared.value, energy)
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())], schema=schema)
+
+    small = _summed(few.mapInArrow(project, ddl), np.float64, width * width).reshape(width, width)
+    small = small + own_weight * sum(_inner_products(np.stack(windows), basis, energy) for windows in by_size.values())
+    shared.destroy()
     values, vectors = np.linalg.eigh((small + small.T) / 2)
-    return last @ vectors[:, np.argsort(-values)[:rank]].astype(np.float32)
+    return q @ vectors[:, np.argsort(-values)[:rank]].astype(np.float32)
 
 
-def _item_windows(words: list[bytes]) -> list[list[bytes]]:
+def _item_windows(words: list[int]) -> list[list[int]]:
     """An item as a whole, and the windows of one that is much longer than a passage."""
     if len(words) <= WINDOW * 3 // 2:
         return [words]
     return [words, *[words[at : at + WINDOW] for at in range(0, len(words) - WINDOW // 2, WINDOW // 2)]]
 
 
-def fit(docs: DataFrame, items: list[tuple[int, bytes]], id_column: str, text_column: str, rank: int = RANK, seed: int = 11) -> Space:
-    """Latent space of the benchmark items and a bounded sample of the documents."""
-    spark = docs.sparkSession
-    named = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
-    texts = named.select("text")
-    chosen = named.select(F.col("id").alias("chosen")).filter("chosen IS NOT NULL").orderBy(F.xxhash64("chosen"), "chosen").limit(SAMPLE_DOCS)
-    # At most SAMPLE_DOCS numbers are broadcast.
-    sample = named.join(F.broadcast(chosen), F.col("id") == F.col("chosen"), "left_semi").select("text")
+def fit(named: DataFrame, items: list[tuple[int, bytes]], rank: int = RANK, seed: int = 11) -> tuple[Space, DataFrame]:
+    """Latent space of the benchmark items and all documents (id, text), and the documents as numbers of its terms."""
     split = [(i, words_of(t)) for i, t in items]
-    schema, ddl = arrow_schema(word="binary", n="long")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen: dict[bytes, int] = {}
-            for text in texts_as_bytes(batch.column(0)):
-                for w in set(words_of(text)):
-                    seen[w] = seen.get(w, 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], schema=schema)
-
-    top = sample.mapInArrow(count, ddl).groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(SAMPLE_WORDS).collect()
-    terms = {w: k for k, w in enumerate(dict.fromkeys([*(w for _, words in split for w in words), *(bytes(r["word"]) for r in top)]))}
-    if not terms:
-        return nothing()
-    df = _document_frequency(texts, terms)
-    idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1e-3
-    shared = spark.sparkContext.broadcast(terms)
-    schema_rows, ddl_rows = arrow_schema(terms="binary")
-
-    def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for text in texts_as_bytes(batch.column(0)):
-                words = words_of(text)
-                out += [_sparse(words[at : at + WINDOW], shared.value).tobytes() for at in range(0, len(words), WINDOW)]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], schema=schema_rows)
-
-    rows = materialize(sample.mapInArrow(passages, ddl_rows), "sample-passages")
-    shared.destroy()
-    windows = [(k, w) for k, (_, words) in enumerate(split) for w in _item_windows(words) if w]
-    own = [_sparse(w, terms) for _, w in windows]
-    vectors = _right_vectors(rows, idf, own, rank, seed)
+    terms, idf = vocabulary(named.select("text"), [words for _, words in split])
+    coded = encode(named, terms)
+    numbers = [(i, [terms[w] for w in words]) for i, words in split]
+    windows = [(k, w) for k, (_, words) in enumerate(numbers) for w in _item_windows(words) if w]
+    own = [np.array(w, kind_of(len(terms))) for _, w in windows]
+    vectors = _right_vectors(coded, idf, own, rank, seed)
     project = np.concatenate([vectors * idf[:, None], np.zeros((1, vectors.shape[1]))]).astype(np.float32)
     inside = np.array([project[x].sum(0) for x in own]).reshape(len(own), -1)
     inside /= np.maximum(np.linalg.norm(inside, axis=1, keepdims=True), 1e-9)
     energy = np.append(idf**2, np.mean(idf) ** 2).astype(np.float32)
-    return Space(terms, project, energy, split, inside.astype(np.float32), np.array([k for k, _ in windows], np.int64))
+    return Space(project, energy, numbers, inside.astype(np.float32), np.array([k for k, _ in windows], np.int64)), coded
 
 
-def candidates(space: Space, docs: list[list[bytes]], cosine: float) -> Iterator[tuple[int, int, int, float]]:
+def candidates(space: Space, docs: list[np.ndarray], cosine: float) -> Iterator[tuple[int, int, int, float]]:
     """(document, first word, item, cosine) of the passages near a benchmark passage.
 
     The cosine is that of the passage itself, the part of it outside the latent space included, and the
     projected benchmark passage: what two passages share only in the space's main directions stays small.
     """
     half = WINDOW // 2
-    none = len(space.terms)
-    get = space.terms.get
+    none = len(space.energy) - 1
     for at, upto in _slices(docs):
         some = docs[at:upto]
         sizes = np.array([max(2, -(-len(d) // half)) for d in some])  # in half windows; short texts count as one window
@@ -236,9 +330,10 @@ def candidates(space: Space, docs: list[list[bytes]], cosine: float) -> Iterator
         ids, energy = np.full(first[-1] * half, none, np.int64), np.zeros(first[-1] * half, np.float32)
         for k, d in enumerate(some):
             here = slice(first[k] * half, first[k] * half + len(d))
-            ids[here] = [get(w, none) for w in d]
+            ids[here] = d
             energy[here] = space.energy[ids[here]]
-        halves = np.concatenate([space.project[ids[x : x + half * 512]].reshape(-1, half, space.project.shape[1]).sum(1) for x in range(0, len(ids), half * 512)])
+        rows = ids.reshape(-1, half)
+        halves = np.concatenate([sums_of(space.project, rows[x : x + 512]) for x in range(0, len(rows), 512)])
         near = halves[:-1] + halves[1:]
         energy = energy.reshape(-1, half).sum(1)
         length = np.sqrt(energy[:-1] + energy[1:])
@@ -255,7 +350,7 @@ def candidates(space: Space, docs: list[list[bytes]], cosine: float) -> Iterator
                 yield from zip((doc + at).tolist(), ((part[r] - first[doc]) * half).tolist(), space.owner[y + c].tolist(), score[r, c].tolist())
 
 
-def _slices(docs: list[list[bytes]]) -> Iterator[tuple[int, int]]:
+def _slices(docs: list[np.ndarray]) -> Iterator[tuple[int, int]]:
     at, size = 0, 0
     for k, d in enumerate(docs):
         size += len(d) + WINDOW
@@ -264,8 +359,8 @@ def _slices(docs: list[list[bytes]]) -> Iterator[tuple[int, int]]:
             at, size = k + 1, 0
 
 
-def _portions(batches: Iterator[pa.RecordBatch], size: int = 1 << 20) -> Iterator[tuple[list, list[bytes]]]:
-    """Ids and whole texts, about ``size`` bytes at a time: split into words they take many times that memory."""
+def _portions(batches: Iterator[pa.RecordBatch], size: int = 1 << 18) -> Iterator[tuple[list, list[bytes]]]:
+    """Ids and whole coded texts, about ``size`` bytes at a time: what is computed for them takes many times that memory."""
     for batch in batches:
         ids, texts, held = [], [], 0
         for i, t in zip(batch.column(0).to_pylist(), texts_as_bytes(batch.column(1))):
@@ -279,18 +374,19 @@ def _portions(batches: Iterator[pa.RecordBatch], size: int = 1 << 20) -> Iterato
             yield ids, texts
 
 
-def _match(docs: DataFrame, space: Space, id_column: str, text_column: str, cosine: float) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(space)
-    schema, ddl = arrow_schema(doc_id="long", item_id="long", cosine="double", lcs="double", answer="double", at_word="long")
+def _match(coded: DataFrame, space: Space, cosine: float) -> DataFrame:
+    shared = coded.sparkSession.sparkContext.broadcast(space)
+    schema, ddl = arrow_schema(**MATCHES)
+    kind = kind_of(len(space.energy) - 1)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space = shared.value
         ready = {k: (i, words, places(words), frozenset(words), Counter(words), answer_of(words)) for k, (i, words) in enumerate(space.items)}
         for ids, held in _portions(batches):
-            texts = [words_of(t) for t in held]
+            texts = [np.frombuffer(t, kind) for t in held]
             best: dict[tuple[int, int], tuple] = {}
             done: set[tuple[int, int, int]] = set()
-            for doc, first, k, score in candidates(space, texts, cosine) if len(space.passages) else ():
+            for doc, first, k, score in candidates(space, texts, cosine):
                 item_id, words, bits, distinct, times, answer = ready[k]
                 reach = len(words)
                 if (doc, k, first // reach) in done:
@@ -298,7 +394,7 @@ def _match(docs: DataFrame, space: Space, id_column: str, text_column: str, cosi
                 done.add((doc, k, first // reach))
                 # Around all windows of this stretch, wide enough to hold the item wherever it lies.
                 start = max(0, first // reach * reach - reach)
-                near = texts[doc][start : first // reach * reach + 2 * reach + WINDOW]
+                near = texts[doc][start : first // reach * reach + 2 * reach + WINDOW].tolist()
                 # As many of the item's words as occur nearby is the most that the sequences can share.
                 if sum(map(times.__getitem__, distinct.intersection(near))) < PARAPHRASE * len(words):
                     continue
@@ -314,10 +410,10 @@ def _match(docs: DataFrame, space: Space, id_column: str, text_column: str, cosi
             columns = list(zip(*rows)) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")).mapInArrow(search, ddl)
+    return coded.mapInArrow(search, ddl)
 
 
-def _best_share(bits: dict[bytes, int], size: int, words: list[bytes]) -> float:
+def _best_share(bits: dict, size: int, words: list) -> float:
     """Greatest share of the item found in sequence within a stretch of one and a half times its length."""
     span = size + size // 2 + 2
     step = max(1, size // 4)
@@ -341,8 +437,10 @@ def matches(
     rows = benchmark.select(F.col(item_column).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).filter("i IS NOT NULL AND t IS NOT NULL").collect()
     items = sorted((r["i"], r["t"].encode("utf-8")) for r in rows)
     items = [x for x in items if words_of(x[1])]
-    space = fit(docs, items, id_column, text_column, rank) if items else nothing()
-    return _match(docs, space, id_column, text_column, cosine)
+    if not items:
+        return docs.sparkSession.createDataFrame([], arrow_schema(**MATCHES)[1])
+    space, coded = fit(docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text")), items, rank)
+    return _match(coded, space, cosine)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
