@@ -18,7 +18,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -30,8 +30,8 @@ from prospectry.llm.common import arrow_schema, bound_batches, free_name, row_ke
 from prospectry.session import materialize
 
 WINDOW, BLOCK = 32, 256
-#: Words of the vocabulary besides the benchmark's, and words and their bytes that a counting task gathers before it sends.
-MORE_WORDS, RUN_WORDS, RUN_BYTES = 8192, 1 << 19, 16 << 20
+#: Words of the vocabulary besides the benchmark's, and counts of words and bytes of text that a counting task gathers before it sends.
+MORE_WORDS, RUN_WORDS, RUN_BYTES = 8192, 1 << 20, 32 << 20
 RANK, OVERSAMPLE, POWER = 192, 16, 2
 #: Weight of all benchmark passages in the decomposition, against all of the sample's.
 OWN_WEIGHT = 1.5
@@ -43,13 +43,119 @@ MATCHES = {"doc_id": "long", "item_id": "long", "cosine": "double", "lcs": "doub
 #: Passages for each task of the decomposition at least, beyond one task a core, since each sends a whole (terms x rank) matrix.
 TASK_ROWS = 250_000
 #: Passages that are multiplied at a time, and occurrences from which a term among them counts as frequent.
-ROWS, OFTEN = 1024, 32
+ROWS, OFTEN = 2048, 64
+#: Bytes of texts whose words are hashed, and counted, at a time.
+CHUNK, GROUP = 1 << 18, 1 << 20
+LOWER = bytes(range(256)).lower()
+SPACE = bytes(not bytes([b]).split() for b in range(256))
+#: A word's hash is its length times LENGTH and the sum of its bytes, each times BASE to the power of its place.
+BASE, LENGTH = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 
 def words_of(text: bytes) -> list[bytes]:
     return text.lower().translate(None, DROP).split()
 
 
+@lru_cache(maxsize=1)
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of BASE and of its inverse, modulo 2**64."""
+    both = [np.full(size, x, np.uint64) for x in (BASE, pow(BASE, -1, 1 << 64))]
+    for x in both:
+        x[0] = 1
+    return np.cumprod(both[0]), np.cumprod(both[1])
+
+
+def _hashed(clean: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hash, begin and end of each word of ``clean``, which begins and ends with white space."""
+    raw = np.frombuffer(clean, np.uint8)
+    power, inverse = _powers(max(2 * CHUNK, 1 << len(raw).bit_length()))
+    space = np.frombuffer(clean.translate(SPACE), bool)
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    begin, end = edges[::2], edges[1::2]
+    sums = np.cumsum(raw * power[: len(raw)])
+    return (sums[end - 1] - sums[begin - 1]) * inverse[begin] + (end - begin).astype(np.uint64) * np.uint64(LENGTH), begin, end
+
+
+def hashes_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, bytes, np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, number of words of each text, and the cleaned texts with the begin and end of each word.
+
+    The words are those of ``words_of``. Long input is cut between words, so that what is computed for its bytes stays small.
+    """
+    clean = [t.translate(LOWER, DROP) for t in texts]
+    first = np.cumsum([1, *(len(t) + 1 for t in clean)])
+    joined = b" ".join([b"", *clean, b""])
+    parts, at = [], 0
+    while at < len(joined) - 1:
+        # A piece ends with the first white space from CHUNK bytes on, with which the next one begins.
+        upto = at + CHUNK
+        while upto < len(joined) and not SPACE[joined[upto]]:
+            upto += 1
+        piece = _hashed(joined[at : upto + 1])
+        parts.append((piece[0], piece[1] + at, piece[2] + at))
+        at = upto
+    hashes, begin, end = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, k) for k in (np.uint64, np.int64, np.int64))
+    return hashes, np.diff(np.searchsorted(begin, first)), joined, begin, end
+
+
+def _groups(texts: Iterator[bytes]) -> Iterator[list[bytes]]:
+    """Whole texts, about GROUP bytes at a time."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text)
+        if size >= GROUP:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _distinct(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Hashes of the different words of texts, in order, the number of texts that hold each, and the words."""
+    hashes, sizes, joined, begin, end = hashes_of(texts)
+    order = np.argsort(hashes)
+    new = np.concatenate([[True], np.diff(hashes[order]) != 0])[: len(order)]
+    one = order[new]
+    # A word that repeats in its text counts once.
+    of = np.repeat(np.arange(len(texts)), sizes)
+    pairs = np.sort((np.cumsum(new) - 1) * len(texts) + of[order])
+    pairs = pairs[np.concatenate([[True], np.diff(pairs) != 0])[: len(pairs)]]
+    size = end[one] - begin[one]
+    ends = np.cumsum(np.append(0, size))
+    letters = np.frombuffer(joined, np.uint8)[np.repeat(begin[one] - ends[:-1], size) + np.arange(ends[-1])]
+    words = pa.Array.from_buffers(pa.binary(), len(one), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(letters)])
+    return hashes[one], np.bincount(pairs // max(1, len(texts)), minlength=len(one)), words
+
+
+class Numbers:
+    """Numbers of terms by the hash of the word, as a table of buckets by the hash's first bits."""
+
+    BITS = 16
+
+    def __init__(self, terms: dict[bytes, int]) -> None:
+        hashes = self.mixed(hashes_of([b" ".join(terms)])[0])
+        order = np.argsort(hashes)
+        self.none = len(terms)
+        self.begin = np.searchsorted(hashes[order] >> np.uint64(64 - self.BITS), np.arange(1 << self.BITS)).astype(np.int32)
+        self.most = int(np.diff(self.begin, append=len(order)).max())
+        self.hashes = np.append(hashes[order], np.zeros(self.most + 1, np.uint64))
+        self.numbers = np.append(np.fromiter(terms.values(), np.int64, len(terms))[order], np.full(self.most + 1, self.none)).astype(kind_of(self.none))
+
+    @staticmethod
+    def mixed(hashes: np.ndarray) -> np.ndarray:
+        return (hashes ^ (hashes >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        """Number of each word, ``none`` for other words."""
+        wanted = self.mixed(hashes)
+        place = self.begin[wanted >> np.uint64(64 - self.BITS)]
+        out = np.full(len(hashes), self.none, self.numbers.dtype)
+        for _ in range(self.most):
+            np.copyto(out, self.numbers[place], where=self.hashes[place] == wanted)
+            place += 1
+        return out
+
+
 def common(item: dict, size: int, words: list) -> int:
     """Length of the longest common subsequence; ``item`` gives each of its words the bits of its places."""
     full = row = (1 << size) - 1
@@ -91,19 +197,25 @@ def vocabulary(texts: DataFrame, items: list[list[bytes]]) -> tuple[dict[bytes,
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def send() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([*seen, None], pa.binary()), pa.array([*seen.values(), rows], pa.int64())], schema=schema)
-
-        seen: Counter[bytes] = Counter()
+            hashes, times = np.concatenate([np.zeros(0, np.uint64), *seen[0]]), np.concatenate([np.zeros(0, np.int64), *seen[1]])
+            order = np.argsort(hashes)
+            first = np.flatnonzero(np.diff(hashes[order], prepend=~hashes[order[:1]]))
+            n = np.add.reduceat(times[order], first) if len(first) else times
+            words = pa.concat_arrays([pa.array([], pa.binary()), *seen[2]]).take(pa.array(order[first]))
+            return pa.RecordBatch.from_arrays([pa.concat_arrays([words, pa.array([None], pa.binary())]), pa.array(np.append(n, rows))], schema=schema)
+
+        seen: tuple[list, list, list] = ([], [], [])
         rows = held = 0
         for batch in batches:
-            for text in texts_as_bytes(batch.column(0)):
-                seen.update(set(words_of(text)))
-                rows += 1
-                held += len(text)
+            for texts in _groups(texts_as_bytes(batch.column(0))):
+                for all_of, own in zip(seen, _distinct(texts)):
+                    all_of.append(own)
+                rows += len(texts)
+                held += sum(map(len, texts))
                 # Long texts are what fills memory with few words.
-                if len(seen) >= RUN_WORDS or held >= RUN_BYTES:
+                if sum(map(len, seen[0])) >= RUN_WORDS or held >= RUN_BYTES:
                     yield send()
-                    seen, rows, held = Counter(), 0, 0
+                    seen, rows, held = ([], [], []), 0, 0
         yield send()
 
     # The row without a word has the number of texts.
@@ -119,17 +231,17 @@ def vocabulary(texts: DataFrame, items: list[list[bytes]]) -> tuple[dict[bytes,
 
 def encode(named: DataFrame, terms: dict[bytes, int]) -> DataFrame:
     """(id, ids) from (id, text): the words of each text as numbers of terms; ``len(terms)`` stands for other words."""
-    shared = named.sparkSession.sparkContext.broadcast(terms)
+    shared = named.sparkSession.sparkContext.broadcast(Numbers(terms))
     schema, ddl = arrow_schema(id="long", ids="binary")
-    kind, none = kind_of(len(terms)), len(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = shared.value.get
+        numbers = shared.value
         for batch in batches:
             out = []
-            for text in texts_as_bytes(batch.column(1)):
-                words = words_of(text)
-                out.append(np.fromiter(map(get, words, repeat(none)), kind, len(words)).tobytes())
+            for texts in _groups(texts_as_bytes(batch.column(1))):
+                hashes, sizes = hashes_of(texts)[:2]
+                ids, end = numbers.of(hashes), np.cumsum(sizes).tolist()
+                out += [ids[a:b].tobytes() for a, b in zip([0, *end], end)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], schema=schema)
 
     coded = materialize(named.mapInArrow(run, ddl), "coded-texts")
@@ -172,32 +284,36 @@ def passages_of(texts: list[np.ndarray], none: int) -> np.ndarray:
     return out
 
 
-def sums_of(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """For each row of places, the sum of these rows of ``table``."""
+def sums_of(table: np.ndarray, rows: np.ndarray, upto: list[int] | None = None) -> np.ndarray:
+    """For each row of places, the sum of these rows of ``table``; ``upto``: column k counts in so many rows, for the others it adds zero."""
     out = table[rows[:, 0]]
     more = np.empty_like(out)
     for k in range(1, rows.shape[1]):
-        np.take(table, rows[:, k], axis=0, out=more, mode="clip")
-        out += more
+        size = len(rows) if upto is None else upto[k]
+        np.take(table, rows[:size, k], axis=0, out=more[:size], mode="clip")
+        out[:size] += more[:size]
     return out
 
 
-def _lengths(rows: np.ndarray, energy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of terms in order, and the squared length of their TF-IDF rows."""
+def _lengths(rows: np.ndarray, energy: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Rows of terms in order, those with the most terms first, the squared length of their TF-IDF rows, and how many rows have more than k terms."""
     some = np.sort(rows, axis=1)
+    size = np.count_nonzero(some != len(energy) - 1, axis=1)
+    some = some[np.argsort(-size, kind="stable")]
+    upto = (len(some) - np.cumsum(np.bincount(size, minlength=some.shape[1] + 1))).tolist()
     new = np.ones(some.shape, bool)
     new[:, 1:] = some[:, 1:] != some[:, :-1]
     first = np.flatnonzero(new)
     times = np.diff(np.append(first, some.size)).astype(np.float64)
-    return some, np.bincount(first // some.shape[1], times * times * energy[some.reshape(-1)[first]], len(some))
+    return some, np.bincount(first // some.shape[1], times * times * energy[some.reshape(-1)[first]], len(some)), upto
 
 
 def _inner_products(rows: np.ndarray, basis: np.ndarray, energy: np.ndarray) -> np.ndarray:
     """(C basis)'(C basis) for the rows of terms, C as in ``_add_products``."""
     out = np.zeros((basis.shape[1], basis.shape[1]))
     for at in range(0, len(rows), ROWS):
-        some, length = _lengths(rows[at : at + ROWS], energy)
-        y = sums_of(basis, some) * np.sqrt(np.divide(1, length, out=np.zeros(len(some)), where=length > 0)).astype(np.float32)[:, None]
+        some, length, upto = _lengths(rows[at : at + ROWS], energy)
+        y = sums_of(basis, some, upto) * np.sqrt(np.divide(1, length, out=np.zeros(len(some)), where=length > 0)).astype(np.float32)[:, None]
         out += y.T @ y
     return out
 
@@ -206,13 +322,13 @@ def _add_products(rows: np.ndarray, basis: np.ndarray, energy: np.ndarray, total
     """Adds C'C basis to ``total`` for the rows of terms, C being counts divided by the length of the TF-IDF row.
 
     ``basis`` and ``energy`` (squared IDF) are zero for other words. Terms that occur OFTEN among the rows are multiplied as a
-    matrix of counts, the others summed together with those that occur as often as they do.
+    matrix of counts, the others summed together, the most frequent ones first.
     """
     none = len(energy) - 1
     for at in range(0, len(rows), ROWS):
-        some, length = _lengths(rows[at : at + ROWS], energy)
+        some, length, upto = _lengths(rows[at : at + ROWS], energy)
         width = some.shape[1]
-        y = sums_of(basis, some) * np.divide(1, length, out=np.zeros(len(some)), where=length > 0).astype(np.float32)[:, None]
+        y = sums_of(basis, some, upto) * np.divide(1, length, out=np.zeros(len(some)), where=length > 0).astype(np.float32)[:, None]
         flat = some.reshape(-1)
         order = np.argsort(flat, kind="stable")
         flat = flat[order]
@@ -226,14 +342,17 @@ def _add_products(rows: np.ndarray, basis: np.ndarray, energy: np.ndarray, total
             term = np.repeat(np.arange(len(terms)), often[many])
             counts = np.bincount(term * len(some) + row[np.repeat(many, often)], minlength=len(terms) * len(some))
             total[terms] += counts.reshape(len(terms), len(some)).astype(np.float32) @ y
-        for n in np.unique(often[~many]).tolist():
-            own = first[often == n]
-            for x in range(0, len(own), ROWS):
-                places = own[x : x + ROWS]
-                part = y[row[places]]
-                for k in range(1, n):
-                    part += y[row[places + k]]
-                total[flat[places]] += part
+        rest = np.flatnonzero(~many)
+        rest = rest[np.argsort(-often[rest], kind="stable")]
+        for x in range(0, len(rest), ROWS):
+            own = rest[x : x + ROWS]
+            places, part = first[own], y[row[first[own]]]
+            more = np.empty_like(part)
+            for k in range(1, int(often[own[0]])):
+                upto = int(np.searchsorted(-often[own], -k))  # terms that occur more than k times
+                np.take(y, row[places[:upto] + k], axis=0, out=more[:upto], mode="clip")
+                part[:upto] += more[:upto]
+            total[flat[places]] += part
 
 
 def _right_vectors(coded: DataFrame, idf: np.ndarray, own: list[np.ndarray], rank: int, seed: int) -> np.ndarray:
@@ -345,7 +464,7 @@ def candidates(space: Space, docs: list[np.ndarray], cosine: float) -> Iterator[
             query = near[part] / length[part, None]
             for y in range(0, len(space.passages), BLOCK):
                 score = query @ space.passages[y : y + BLOCK].T
-                r, c = np.nonzero(score >= cosine)
+                r, c = np.divmod(np.flatnonzero(score >= cosine), score.shape[1])
                 doc = np.searchsorted(first, part[r], "right") - 1
                 yield from zip((doc + at).tolist(), ((part[r] - first[doc]) * half).tolist(), space.owner[y + c].tolist(), score[r, c].tolist())
 
