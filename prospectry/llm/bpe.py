@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from prospectry.llm.common import arrow_schema, bound_batches
+from prospectry.llm.common import arrow_schema, bound_batches, kept
 
 #: Words remembered by a worker, in each of two generations; only speed depends on it.
 REMEMBERED = 120_000
@@ -166,14 +166,9 @@ class WordBpe:
         return b"".join([p[0] for p in parts]), " ".join(filter(None, [p[1] for p in parts]))
 
 
-_LOADED: dict[str, WordBpe] = {}
-
-
 def loaded(path: str) -> WordBpe:
     """The worker's copy of a tokenizer; read once and kept for its later tasks."""
-    if path not in _LOADED:
-        _LOADED[path] = WordBpe(path)
-    return _LOADED[path]
+    return kept(("bpe", path), lambda: WordBpe(path))
 
 
 def _map(df: DataFrame, id_column: str, text_column: str, path: str, ddl: str, schema: pa.Schema, columns) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +33,29 @@ def texts_as_bytes(column: pa.Array) -> Iterator[bytes]:
         yield value.as_py() or b""
 
 
+_KEPT: dict[object, object] = {}
+
+
+def kept(name: object, make: Callable[[], object]) -> object:
+    """``make()``, which a worker keeps for its later tasks until a task calls ``forget``."""
+    if name not in _KEPT:
+        forget()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
+def forget() -> None:
+    """Give up what this worker has kept for tasks of another operator, and give freed memory back to the system.
+
+    Workers live on from one job to the next, and memory that they hold adds up with that of the next job.
+    """
+    _KEPT.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, or a longer one that no column of ``df`` has."""
     taken = {c.lower() for c in df.columns}

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prospectry.llm.common import arrow_schema, bound_batches, free_name, row_key, texts_as_bytes
+from prospectry.llm.common import arrow_schema, bound_batches, forget, free_name, row_key, texts_as_bytes
 from prospectry.session import materialize
 
 WINDOW, BLOCK = 32, 256
@@ -196,6 +196,7 @@ def vocabulary(texts: DataFrame, items: list[list[bytes]]) -> tuple[dict[bytes,
     schema, ddl = arrow_schema(word="binary", n="long")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         def send() -> pa.RecordBatch:
             hashes, times = np.concatenate([np.zeros(0, np.uint64), *seen[0]]), np.concatenate([np.zeros(0, np.int64), *seen[1]])
             order = np.argsort(hashes)
@@ -499,6 +500,7 @@ def _match(coded: DataFrame, space: Space, cosine: float) -> DataFrame:
     kind = kind_of(len(space.energy) - 1)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         space = shared.value
         ready = {k: (i, words, places(words), frozenset(words), Counter(words), answer_of(words)) for k, (i, words) in enumerate(space.items)}
         for ids, held in _portions(batches):

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prospectry.llm.common import arrow_schema, bound_batches
+from prospectry.llm.common import arrow_schema, bound_batches, forget
 from prospectry.session import materialize
 
 #: Bound of the training sample, in labelled documents.
@@ -228,6 +228,7 @@ def train(
     schema, ddl = arrow_schema(id="long", label="int", lang="string", parts="binary")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         known: dict[str, tuple[int, ...]] = {}
         for batch in batches:
             parts = [_buckets(t.as_py() or "", known).tobytes() for t in batch.column(3)]
@@ -362,6 +363,7 @@ def score_texts(df: DataFrame, model: Model, id_column: str = "doc_id", text_col
     shared = df.sparkSession.sparkContext.broadcast(model)  # size fixed by BUCKETS and DIM
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         scorer = Scorer(shared.value)
         for batch in batches:
             scores = scorer.score([t.as_py() or "" for t in batch.column(1)])
