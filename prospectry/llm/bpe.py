@@ -27,6 +27,8 @@ from prospectry.llm.common import arrow_schema, bound_batches, kept
 
 #: Words remembered by a worker, in each of two generations; only speed depends on it.
 REMEMBERED = 120_000
+#: Bytes of ids and decoded text that go out in one batch, or one row if that is longer.
+PIECE = 2 << 20
 #: Low bits of a queue entry: a place in a word.
 PLACE = (1 << 40) - 1
 #: Letters from here on are split by the tokenizers library's own Unicode tables.
@@ -55,19 +57,21 @@ class WordBpe:
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix: str = model["end_of_word_suffix"] or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.strings = {i: s for s, i in [*self.vocab.items(), *self.special.items()]}
+        strings = {i: s for s, i in [*self.vocab.items(), *self.special.items()]}
+        self.strings = [strings.get(i, "") for i in range(max(strings, default=-1) + 1)]
         self.pairs = [self.vocab[left] << 20 | self.vocab[right] for left, right in model["merges"]]
         self.merged = [self.vocab[left + right] for left, right in model["merges"]]
         self.ranks = {pair: rank for rank, pair in enumerate(self.pairs)}
         self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        library = Tokenizer.from_file(path)
+        # The library only normalises and splits here, so it gets no vocabulary to hold.
+        library = Tokenizer.from_str(json.dumps({**spec, "added_tokens": [], "model": {"type": "BPE", "vocab": {}, "merges": []}}))
         self.normalise, self.split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         self.specials = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self.letters = {ord(b): x for b, x in zip(map(chr, range(256)), byte_letters())}
-        self.new: dict[str, tuple[bytes, str]] = {}
-        self.old: dict[str, tuple[bytes, str]] = {}
-        self.new_words: dict[str, tuple[bytes, str]] = {}
-        self.old_words: dict[str, tuple[bytes, str]] = {}
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.new_words: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
 
     def word_ids(self, letters: str) -> list[int]:
         """Ids of one word in byte letters, by merging the best-ranked pair until no pair has a rank.
@@ -107,39 +111,40 @@ class WordBpe:
                     heapq.heappush(queue, rank << 40 | left)
         return [s for s in symbols if s >= 0]
 
-    def _word(self, word: str) -> tuple[bytes, str]:
-        """Ids and decoded text of one word; the same word stands beside many kinds of punctuation."""
+    def _word(self, word: str) -> bytes:
+        """Ids of one word; the same word stands beside many kinds of punctuation."""
         found = self.new_words.get(word)
         if found is not None:
             return found
         found = self.old_words.get(word)
         if found is None:
             ids = self.word_ids(word)
-            found = struct.pack(f"<{len(ids)}I", *ids), " ".join([self.strings[i] for i in ids])
+            found = struct.pack(f"<{len(ids)}I", *ids)
         if len(self.new_words) >= REMEMBERED:
             self.old_words, self.new_words = self.new_words, {}
         self.new_words[word] = found
         return found
 
-    def _chunk(self, chunk: str) -> tuple[bytes, str]:
-        """Ids, as little-endian 32-bit integers, and decoded text of a run without white space."""
+    def _chunk(self, chunk: str) -> bytes:
+        """Ids, as little-endian 32-bit integers, of a run without white space."""
         found = self.new.get(chunk)  # it may have come up since the text was looked up
         if found is not None:
             return found
         found = self.old.get(chunk)
         if found is None:
-            if not FAR.search(chunk):
+            if chunk.isascii() and chunk.isprintable():  # these bytes stand for themselves
+                words = self.words.findall(chunk)
+            elif not FAR.search(chunk):
                 words = [w.encode("utf-8").decode("latin-1").translate(self.letters) for w in self.words.findall(chunk)]
             else:
                 words = [w for w, _ in self.split(chunk)]
-            parts = [self._word(w) for w in words]
-            found = parts[0] if len(parts) == 1 else (b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts]))
+            found = self._word(words[0]) if len(words) == 1 else b"".join(map(self._word, words))
         if len(self.new) >= REMEMBERED:
             self.old, self.new = self.new, {}
         self.new[chunk] = found
         return found
 
-    def _plain(self, text: str) -> list[tuple[bytes, str]]:
+    def _plain(self, text: str) -> list[bytes]:
         if not text.isascii() and FAR.search(text):
             chunks = self.normalise(text).split(" ")
         else:
@@ -160,10 +165,11 @@ class WordBpe:
             parts, start = [], 0
             for m in self.specials.finditer(text):
                 parts += self._plain(text[start : m.start()])
-                parts.append((self.special[m[0]].to_bytes(4, "little"), m[0]))
+                parts.append(self.special[m[0]].to_bytes(4, "little"))
                 start = m.end()
             parts += self._plain(text[start:])
-        return b"".join([p[0] for p in parts]), " ".join(filter(None, [p[1] for p in parts]))
+        ids = b"".join(parts)
+        return ids, " ".join(map(self.strings.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 def loaded(path: str) -> WordBpe:
@@ -175,8 +181,13 @@ def _map(df: DataFrame, id_column: str, text_column: str, path: str, ddl: str, s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
         for batch in batches:
-            coded = [bpe.encode(t.as_py() or "") for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns(coded)], schema=schema)
+            start, size, coded = 0, 0, []
+            for at, text in enumerate(batch.column(1), 1):
+                coded.append(bpe.encode(text.as_py() or ""))
+                size += len(coded[-1][0]) + len(coded[-1][1])
+                if size >= PIECE or at == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, at - start), *columns(coded)], schema=schema)
+                    start, size, coded = at, 0, []
 
     bound_batches(df.sparkSession)
     return df.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")).mapInArrow(run, ddl)

@@ -41,15 +41,21 @@ def kept(name: object, make: Callable[[], object]) -> object:
     if name not in _KEPT:
         forget()
         _KEPT[name] = make()
+        give_back()  # what only the making took
     return _KEPT[name]
 
 
 def forget() -> None:
-    """Give up what this worker has kept for tasks of another operator, and give freed memory back to the system.
+    """Give up what this worker has kept for tasks of another operator, and the memory with it.
 
     Workers live on from one job to the next, and memory that they hold adds up with that of the next job.
     """
     _KEPT.clear()
+    give_back()
+
+
+def give_back() -> None:
+    """Hand freed memory over to the system."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     with suppress(OSError, AttributeError):  # only glibc has it
