@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prospectry.llm.common import arrow_schema, bound_batches, texts_as_bytes
-from prospectry.llm.elias_fano import EliasFano, U, load, save
+from prospectry.llm.elias_fano import EliasFano, U, load, narrow, save
 from prospectry.session import materialize, work_path
 
 #: Bytes of training text for each shard, words that a counting task gathers before it sends, words remembered.
@@ -122,24 +122,31 @@ class Model:
     distinct: int
 
 
-def filter_place(first: np.ndarray, second: np.ndarray, bits: int) -> np.ndarray:
+def filter_place(first: np.ndarray, second: np.ndarray, size: int) -> np.ndarray:
     x = (first.astype(U) + U(1)) * U(0xD6E8FEB86659FD93) ^ (second.astype(U) + U(1)) * U(0xA0761D6478BD642F)
-    return (((x ^ (x >> U(32))) * U(0xE7037ED1A0B428DB)) >> U(64 - bits)).astype(np.int64)
+    return ((((x ^ (x >> U(32))) * U(0xE7037ED1A0B428DB) >> U(32)) * U(size)) >> U(32)).astype(np.int64)
 
 
 def filter_of(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """Bit set with about 16 bits for each kept n-gram; an n-gram whose bit is unset is not kept."""
-    bits = max(6, int(16 * max(1, len(first)) - 1).bit_length())
-    out = np.zeros(1 << bits, bool)
-    out[filter_place(first, second, bits)] = True
+    """Bit set with 8 bits for each kept n-gram; an n-gram whose bit is unset is not kept."""
+    size = 8 * max(8, len(first))
+    out = np.zeros(size, bool)
+    out[filter_place(first, second, size)] = True
     return np.packbits(out, bitorder="little")
 
 
 def may_hold(bitset: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    at = filter_place(first, second, (len(bitset) * 8 - 1).bit_length())
+    at = filter_place(first, second, len(bitset) * 8)
     return (bitset[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
+def by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each shard that occurs, and its places in order."""
+    order = np.argsort(narrow(shard), kind="stable")
+    names, first = np.unique(shard[order], return_index=True)
+    return zip(names.tolist(), np.split(order, first[1:]))
+
+
 class Reader:
     """Memory-mapped shards of one model, and the ids of the words met last."""
 
@@ -171,8 +178,7 @@ class Reader:
             hashes = np.array([word_hash(w) for w in new], np.int64)
             found = np.full(len(new), -1, np.int64)
             shard = hashes % self.model.shards
-            for s in np.unique(shard):
-                own = np.flatnonzero(shard == s)
+            for s, own in by_shard(shard):
                 place = self._list(f"words-{s}", "hash").find(hashes[own] // self.model.shards)
                 found[own] = np.where(place >= 0, place + self.starts[s], -1)
             self.ids.update(zip(new, found.tolist()))
@@ -182,8 +188,7 @@ class Reader:
         """A number kept for each word id (all known)."""
         out = np.zeros(len(ids), np.int64)
         shard = np.searchsorted(self.starts, ids, "right") - 1
-        for s in np.unique(shard):
-            own = np.flatnonzero(shard == s)
+        for s, own in by_shard(shard):
             out[own] = self._array(f"words-{s}", name)[ids[own] - self.starts[s]]
         return out
 
@@ -203,8 +208,7 @@ class Reader:
     def pairs(self, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Shard and node of each pair of word ids; node -1 if the pair is not kept."""
         shard, node = pair_shard(first, second, self.model.shards), np.full(len(first), -1, np.int64)
-        for s in np.unique(shard):
-            own = np.flatnonzero(shard == s)
+        for s, own in by_shard(shard):
             own = own[may_hold(self._array(f"pairs-{s}", "filter2"), first[own], second[own])]
             distinct, back = np.unique(first[own], return_inverse=True)
             context = self._list(f"pairs-{s}", "contexts").find(distinct)[back]
@@ -215,16 +219,14 @@ class Reader:
 
     def of_pairs(self, shard: np.ndarray, node: np.ndarray, name: str) -> np.ndarray:
         out = np.zeros(len(node), np.int64)
-        for s in np.unique(shard):
-            own = np.flatnonzero(shard == s)
+        for s, own in by_shard(shard):
             out[own] = self._array(f"pairs-{s}", name)[node[own]]
         return out
 
     def triples(self, shard: np.ndarray, node: np.ndarray, third: np.ndarray) -> np.ndarray:
         """Stored logarithm of each triple's probability, or -1 if the triple is not kept."""
         out = np.full(len(node), -1, np.int64)
-        for s in np.unique(shard):
-            own = np.flatnonzero(shard == s)
+        for s, own in by_shard(shard):
             own = own[may_hold(self._array(f"pairs-{s}", "filter3"), node[own], third[own])]
             own = own[np.argsort(node[own], kind="stable")]
             place = self._children(self._list(f"pairs-{s}", "pointers3"), self._list(f"pairs-{s}", "successors3"), node[own], third[own])
@@ -372,7 +374,7 @@ def train(df: DataFrame, held_out: Column, id_column: str = "doc_id", text_colum
         keys, _, counts = _joined(rows)
         shard = int(rows["shard"].iloc[0])
         EliasFano.of(keys).save(f"{folder}/words-{shard}", "hash")
-        save(f"{folder}/words-{shard}", "count", counts)
+        save(f"{folder}/words-{shard}", "count", narrow(counts))
         save(f"{folder}/words-{shard}", "backoff", np.zeros(len(counts), np.uint8))
         return pd.DataFrame({"shard": [shard], "n": [len(keys)], "tokens": [int(counts.sum())]})
 
@@ -411,7 +413,7 @@ def train(df: DataFrame, held_out: Column, id_column: str = "doc_id", text_colum
         EliasFano.of(contexts).save(place, "contexts")
         EliasFano.of(np.append(begin, len(first))).save(place, "pointers")
         EliasFano.of(increasing(second, begin, sizes)).save(place, "successors")
-        save(place, "count2", counts)
+        save(place, "count2", narrow(counts))
         save(place, "filter2", filter_of(first, second))
         # For each context, what it kept: number of successors and their counts, for the vocabulary's shard.
         if not len(keys):
