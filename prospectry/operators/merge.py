@@ -195,7 +195,7 @@ def finish_merge(partials: DataFrame, files: Sequence[str], flags: bool = True)
         F.col("seen.search_volume").alias("search_volume"),
         F.col("seen.map_file").alias("map_files"),
         F.lit("pending").alias("status"),
-        *[f"query_filename{i}" for i in range(1, len(files) + 1) if flags],
+        *[f"query_filename{i}" for i in range(1, len(files) + 1 if flags else 1)],
     )
 
 
@@ -270,7 +270,7 @@ def combined_projection(merged: DataFrame, files: Sequence[str], extra: Iterable
     """Fixed column order; a flag that is missing reads false."""
     shown = [
         F.coalesce(F.col(n), F.lit(False)).alias(n) if n in merged.columns else F.lit(False).alias(n)
-        for n in (f"query_filename{i}" for i in range(1, len(files) + 1) if flags)
+        for n in (f"query_filename{i}" for i in range(1, len(files) + 1 if flags else 1))
     ]
     return merged.select(*COMBINED_COLUMNS, *shown, *extra)
 

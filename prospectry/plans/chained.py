@@ -2,20 +2,54 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+from itertools import islice
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from prospectry.constants import DEFAULT_MIN_RATING
+from prospectry.functions.lists import digest_table_name
 from prospectry.operators import searches
 from prospectry.plans.collect import collect_listings
 from prospectry.plans.merging import merge_lists
+from prospectry.session import materialize
 from prospectry.sources import readers, writers
 
+#: Names of merged lists that the driver holds; more stay in their table.
+HELD_NAMES = 10_000
+
+
+class ListNames(Sequence):
+    """Names of merged lists in their order, read from their table (``map_file, ord``) when asked for, a part at a time."""
+
+    def __init__(self, lists: DataFrame, count: int) -> None:
+        self.lists, self.count = lists.select("map_file", "ord"), count
+
+    def __len__(self) -> int:
+        return self.count
+
+    def __iter__(self) -> Iterator[str]:
+        return (r.map_file for r in self.lists.orderBy("ord").toLocalIterator())
+
+    def __getitem__(self, at):
+        if isinstance(at, slice):
+            start, stop, step = at.indices(self.count)
+            return list(islice(self, start, stop, step)) if step > 0 else list(self)[at]
+        at = at + self.count if at < 0 else at
+        if not 0 <= at < self.count:
+            raise IndexError(at)
+        return next(islice(self, at, None))
+
+    def digest(self) -> int:
+        """64 bits that follow from all names and their places, added up where the names lie."""
+        total = self.lists.agg(F.sum(F.xxhash64("ord", "map_file").cast("decimal(38,0)"))).first()[0]
+        return int(total) % (1 << 64)
+
 
 class Chained(NamedTuple):
     status: int
-    files: list[str]
+    files: Sequence[str]
     combined: str | None
     sources: str | None
     summary: DataFrame | None
@@ -55,7 +89,7 @@ def run_pipeline(
     Below ``root``: ``maps`` (the table of all lists, kept from earlier runs), ``queries`` (the list with its new
     statuses), ``combined`` (the merged table) and ``sources`` (the merged lists' rows with their statuses), the last two as
     versions of tables. Status 1 means that no list was there to merge. ``flags`` adds one column per list; leave it out
-    where lists are many. Names of lists, one for each finished query, are the only data the driver holds.
+    where lists are many. The driver holds the names of up to ``HELD_NAMES`` lists; more stay in a table that ``files`` reads.
     """
     spark = queries.sparkSession
     maps = f"{root}/maps"
@@ -67,13 +101,18 @@ def run_pipeline(
     # Order and repeats of the finished queries stay; only the list names that exist are kept.
     expected = searches.expected_outputs(finished, "source_file").select("map_file", "ord")
     available = available_lists(spark, maps)
-    existing = searches.existing_outputs(expected, available)
-    files = [r.map_file for r in existing.orderBy("ord").collect()]
-    if not files:
+    existing = materialize(searches.existing_outputs(expected, available), "merged-lists")
+    count, name = existing.count(), None
+    if not count:
         return Chained(1, [], None, None, None)
+    if count <= HELD_NAMES:
+        files = [r.map_file for r in existing.orderBy("ord").collect()]
+    else:
+        files = ListNames(existing, count)
+        name = digest_table_name(count, f"{files.digest():016x}", "xlsx")
     lists = existing.join(available, "map_file")
     rows = read_lists(spark, maps, lists, written.schema)
     merged = merge_lists(rows, files, min_rating, flags=flags)
-    combined = writers.write_combined(merged.combined, f"{root}/combined", files)
+    combined = writers.write_combined(merged.combined, f"{root}/combined", files, name)
     sources = writers.write_back_status(merged.sources, f"{root}/sources")
     return Chained(0, files, combined, sources, merged.summary)
