@@ -109,6 +109,20 @@ class EliasFano:
         i = np.asarray(i, np.int64)
         return ((self._select(i, self.ones, U(0)) - i) << self.bits) | self._low(i).astype(np.int64)
 
+    def neighbours(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values at places ``i`` and at the places after them, which exist: one search for both."""
+        one = self._select(i, self.ones, U(0))
+        next_one = one + 1
+        word = next_one >> 6
+        bits = self.high[word] & (~U(0) << (next_one & 63).astype(U))
+        going = np.flatnonzero(bits == 0)
+        while len(going):
+            word[going] += 1
+            bits[going] = self.high[word[going]]
+            going = going[bits[going] == 0]
+        next_one = (word << 6) + np.bitwise_count(bits ^ (bits - U(1))) - 1
+        return ((one - i) << self.bits) | self._low(i).astype(np.int64), ((next_one - i - 1) << self.bits) | self._low(i + 1).astype(np.int64)
+
     def find(self, values: np.ndarray) -> np.ndarray:
         """Place of each value, or -1: the successor of a value in its bucket of equal high bits, if equal to it."""
         values = np.asarray(values, np.int64)
@@ -119,22 +133,39 @@ class EliasFano:
         inside = np.flatnonzero((values >= 0) & (high < self.buckets))
         high = high[inside]
         flip = ~U(0)
-        end = self._select(high, self.zeros, flip) - high
-        start = np.where(high > 0, self._select(np.maximum(high - 1, 0), self.zeros, flip) - high + 1, 0)
+        begin = np.where(high > 0, self._select(np.maximum(high - 1, 0), self.zeros, flip) + 1, 0)
+        start = begin - high
+        # The bucket's values are the ones up to the next zero; those that reach the end of a word are counted up to that zero's place.
+        shift = begin & 63
+        bits = ~(self.high[begin >> 6] >> shift.astype(U))
+        count = np.bitwise_count(bits ^ (bits - U(1))).astype(np.int64) - 1
+        over = np.flatnonzero(count + shift >= 63)
+        count[over] = self._select(high[over], self.zeros, flip) - begin[over]
         want = (values[inside] & ((1 << self.bits) - 1)).astype(U)
-        last = end
-        while True:
-            going = np.flatnonzero(start < end)
-            if not len(going):
-                break
-            middle = (start[going] + end[going]) >> 1
-            less = self._low(middle) < want[going]
-            start[going] = np.where(less, middle + 1, start[going])
-            end = end.copy()
-            end[going] = np.where(less, end[going], middle)
-        hit = start < last
-        hit[hit] = self._low(start[hit]) == want[hit]
-        out[inside[hit]] = start[hit]
+        place = start.copy()
+        # Low bits spread evenly where words are numbered by hashes, so a value's place is guessed from its neighbours'; halving bounds the rest.
+        going = np.flatnonzero(count > 1)
+        least, most, below = start[going], start[going] + count[going], want[going].astype(np.int64)
+        floor, top = np.zeros(len(going), np.int64), np.full(len(going), 1 << self.bits, np.int64)
+        turn = 0
+        while len(going):
+            turn += 1
+            span = most - least
+            if turn > 5 and turn % 2:
+                guess = least + (span >> 1)
+            else:
+                guess = least + np.minimum(((below - floor) / (top - floor) * span).astype(np.int64), span - 1)
+            found = self._low(guess).astype(np.int64)
+            less = found < below
+            least, most = np.where(less, guess + 1, least), np.where(less, most, guess)
+            floor, top = np.where(less, found + 1, floor), np.where(less, top, found)
+            ended = (found == below) | (least >= most)
+            place[going[ended]] = guess[ended]
+            left = np.flatnonzero(~ended)
+            going, least, most, below, floor, top = (x[left] for x in (going, least, most, below, floor, top))
+        hit = np.flatnonzero(count > 0)
+        hit = hit[self._low(place[hit]) == want[hit]]
+        out[inside[hit]] = place[hit]
         return out
 
 

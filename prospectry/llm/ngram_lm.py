@@ -27,20 +27,21 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prospectry.llm.common import arrow_schema, bound_batches, texts_as_bytes
 from prospectry.llm.elias_fano import EliasFano, U, load, narrow, save
-from prospectry.session import materialize, work_path
+from prospectry.session import brief_shuffles, materialize, work_path
 
 #: Bytes of training text for each shard, words that a counting task gathers before it sends, words remembered.
 SHARD_BYTES, RUN_WORDS, REMEMBERED = 16 << 20, 1 << 20, 300_000
 #: Least count of pairs and triples unless the caller names one, discount, and steps of a stored logarithm (base 10) for each unit.
 LEAST, DISCOUNT, STEPS = 1, 0.75, 24
 #: Tokens that are scored at once; a longer batch goes in pieces.
-PIECE = 200_000
+PIECE = 1_000_000
 END = b""
 BLOCKS = "shard int, part int, keys binary, more binary, counts binary"
 
@@ -63,6 +64,20 @@ def words_of(text: bytes) -> list[bytes]:
     return [*text.lower().split(), END]
 
 
+def split_words(column: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """Words of all texts of a string column without their ends: number of each among the distinct ones, these, and how many each text has."""
+    texts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column, "")))
+    flat = texts.flatten().dictionary_encode()
+    number, distinct = flat.indices.to_numpy(zero_copy_only=False), flat.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+    counts = texts.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    if b"" in distinct:  # beside blanks at the ends of a text, which separate no words
+        real = number != distinct.index(b"")
+        kept = np.concatenate([[0], np.cumsum(real)])
+        ends = np.cumsum(counts)
+        number, counts = number[real], kept[ends] - kept[ends - counts]
+    return number, distinct, counts
+
+
 def pair_shard(first: np.ndarray, second: np.ndarray, shards: int) -> np.ndarray:
     x = first.astype(U) * U(0x9E3779B97F4A7C15) ^ second.astype(U) * U(0xC2B2AE3D27D4EB4F)
     return ((x * U(0x165667B19E3779F9)) >> U(33)).astype(np.int64) % shards
@@ -85,6 +100,20 @@ def unpack(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(U).ravel(), dtype=U)
 
 
+def squeeze(values: np.ndarray) -> bytes:
+    """Numbers, none negative, in the smallest type that holds them, Zstandard; the type's size goes before."""
+    values = narrow(values)
+    return len(values).to_bytes(8, "little") + bytes([values.itemsize]) + pa.compress(np.ascontiguousarray(values), codec="zstd", asbytes=True) if len(values) else b""
+
+
+def widen(data: bytes) -> np.ndarray:
+    """What ``squeeze`` was given."""
+    if not data:
+        return np.zeros(0, np.uint8)
+    n, size = int.from_bytes(data[:8], "little"), data[8]
+    return np.frombuffer(pa.decompress(data[9:], decompressed_size=n * size, codec="zstd", asbytes=True), f"<u{size}")
+
+
 def merged(keys: np.ndarray, more: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys (two parts) in order, with the counts of equal ones added."""
     if not len(keys):
@@ -196,14 +225,21 @@ class Reader:
     def _children(pointers: EliasFano, successors: EliasFano, node: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Place of ``word`` among the successors of each node, or -1."""
         # Where a node's successors lie is looked up once for a run of equal nodes.
-        one = np.flatnonzero(np.diff(node, prepend=-1))
-        back = np.cumsum(np.diff(node, prepend=-1) != 0) - 1
-        begin, end = pointers.access(node[one]), pointers.access(node[one] + 1)
-        base = np.zeros(len(one), np.int64)
+        new = np.diff(node, prepend=-1) != 0
+        one, back = np.flatnonzero(new), np.cumsum(new) - 1
+        begin, end = pointers.neighbours(node[one])
+        base, first = np.zeros(len(one), np.int64), np.full(len(one), -1, np.int64)
         after = np.flatnonzero((begin > 0) & (end > begin))
-        base[after] = successors.access(begin[after] - 1)
-        place = successors.find(base[back] + word + 1)
-        return np.where((place >= begin[back]) & (place < end[back]), place, -1)
+        base[after], first[after] = successors.neighbours(begin[after] - 1)
+        at_start = np.flatnonzero((begin == 0) & (end > 0))
+        first[at_start] = successors.access(begin[at_start])
+        # The first successor is known by now; only words behind it are searched.
+        begin, end, first, want = begin[back], end[back], first[back], base[back] + word + 1
+        place = np.where(first == want, begin, -1)
+        more = np.flatnonzero((end > begin + 1) & (first < want))
+        found = successors.find(want[more])
+        place[more] = np.where((found > begin[more]) & (found < end[more]), found, -1)
+        return place
 
     def pairs(self, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Shard and node of each pair of word ids; node -1 if the pair is not kept."""
@@ -238,7 +274,7 @@ class Reader:
         """log10 of the add-one probability of each word."""
         count = np.zeros(len(ids), np.int64)
         known = np.flatnonzero(ids >= 0)
-        distinct, back = np.unique(ids[known], return_inverse=True)
+        distinct, _, back = distinct_of(ids[known])
         count[known] = self.of_words(distinct, "count")[back]
         return np.log10((count + 1) / (self.model.tokens + self.model.distinct + 1))
 
@@ -260,10 +296,9 @@ class Reader:
         inside = np.ones(len(ids), bool)
         inside[np.concatenate([[0], ends[:-1]])] = False
         at = np.flatnonzero(inside)
-        key = np.stack([ids[at - 1], ids[at]], 1)
-        packed = ((key[:, 0] + 1).astype(U) << U(32)) | (key[:, 1] + 1).astype(U)
-        _, one, back = np.unique(packed, return_index=True, return_inverse=True)
-        log2, shard, node = self.log_pairs(key[one, 0], key[one, 1], base[at[one]])
+        _, one, back = distinct_of(((ids[at - 1] + 1).astype(U) << U(32)) | (ids[at] + 1).astype(U))
+        one = at[one]
+        log2, shard, node = self.log_pairs(ids[one - 1], ids[one], base[one])
         log[at] = log2[back]
         shard_at, node_at = np.zeros(len(ids), np.int64), np.full(len(ids), -1, np.int64)
         shard_at[at], node_at[at] = shard[back], node[back]
@@ -278,6 +313,16 @@ class Reader:
         return log, base
 
 
+def distinct_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values in order, a place of each, and which of them each value is."""
+    order = np.argsort(values)
+    ranked = values[order]
+    new = np.concatenate([[True], ranked[1:] != ranked[:-1]])[: len(values)]
+    back = np.empty(len(values), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return ranked[new], order[new], back
+
+
 @lru_cache(maxsize=2)
 def opened(model: Model) -> Reader:
     return Reader(model)
@@ -295,19 +340,29 @@ def encode_texts(df: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = opened(model)
         for batch in batches:
-            texts = [words_of(t) for t in texts_as_bytes(batch.column(2))]
-            ids = reader.word_ids([w for t in texts for w in t]).astype(np.uint32)
-            ends = np.cumsum([len(t) for t in texts])[:-1] if texts else []
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in np.split(ids, ends)][: len(texts)], pa.binary())], schema=schema)
+            number, words, counts = split_words(batch.column(2))
+            known = reader.word_ids([*words, END]).astype(np.uint32)
+            ends = np.cumsum(counts + 1)
+            ids = np.full(int(ends[-1]) if len(ends) else 0, known[-1])
+            inside = np.ones(len(ids), bool)
+            inside[ends - 1] = False
+            ids[inside] = known[number]
+            offsets = np.concatenate([[0], 4 * ends]).astype(np.int32)
+            column = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), column], schema=schema)
 
     return df.mapInArrow(run, ddl)
 
 
 def decoded(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Ids (-1 for unknown words) of all texts of a column of ``encode_texts``, and where each text ends."""
-    values = [x.as_py() for x in column]
-    ids = np.frombuffer(b"".join(values), np.uint32)
-    return np.where(ids == 0xFFFFFFFF, -1, ids.astype(np.int64)), np.cumsum([len(x) // 4 for x in values])
+    if not len(column):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    column = column.cast(pa.binary())
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    ids = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].view(np.uint32)
+    return np.where(ids == 0xFFFFFFFF, -1, ids.astype(np.int64)), (offsets[1:] - offsets[0]) // 4
 
 
 def _counted_ids(coded_texts: DataFrame, count) -> DataFrame:
@@ -317,32 +372,41 @@ def _counted_ids(coded_texts: DataFrame, count) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for value in batch.column(0):
-                held.append(value.as_py())
-                size += len(held[-1]) // 4
+            ids, ends = decoded(batch.column(0))
+            at = 0
+            while at < len(ids):
+                to = int(ends[min(np.searchsorted(ends, at + RUN_WORDS - size), len(ends) - 1)])
+                held.append(ids[at:to])
+                size, at = size + to - at, to
                 if size >= RUN_WORDS:
-                    yield pa.RecordBatch.from_pydict(count(decoded(pa.array(held, pa.binary()))[0]), schema=schema)
+                    yield pa.RecordBatch.from_pydict(count(np.concatenate(held)), schema=schema)
                     held, size = [], 0
         if held:
-            yield pa.RecordBatch.from_pydict(count(decoded(pa.array(held, pa.binary()))[0]), schema=schema)
+            yield pa.RecordBatch.from_pydict(count(np.concatenate(held)), schema=schema)
 
     return coded_texts.mapInArrow(run, ddl)
 
 
 def _counted(texts: DataFrame, count) -> DataFrame:
-    """Rows of BLOCKS from runs of whole texts of about RUN_WORDS words."""
+    """Rows of BLOCKS from the counts of each word in runs of whole texts of about RUN_WORDS words."""
     schema, ddl = arrow_schema(shard="int", part="int", keys="binary", more="binary", counts="binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: list[bytes] = []
+        found: Counter[bytes] = Counter()
+        size = 0
         for batch in batches:
-            for text in texts_as_bytes(batch.column(0)):
-                words += words_of(text)
-                if len(words) >= RUN_WORDS:
-                    yield pa.RecordBatch.from_pydict(count(words), schema=schema)
-                    words = []
-        if words:
-            yield pa.RecordBatch.from_pydict(count(words), schema=schema)
+            number, words, counts = split_words(batch.column(0))
+            times = np.bincount(number, minlength=len(words)).tolist()
+            for word, n in zip(words, times):
+                if n:
+                    found[word] += n
+            found[END] += len(counts)
+            size += len(number) + len(counts)
+            if size >= RUN_WORDS:
+                yield pa.RecordBatch.from_pydict(count(found), schema=schema)
+                found, size = Counter(), 0
+        if size:
+            yield pa.RecordBatch.from_pydict(count(found), schema=schema)
 
     return texts.mapInArrow(run, ddl)
 
@@ -356,6 +420,11 @@ def train(df: DataFrame, held_out: Column, id_column: str = "doc_id", text_colum
 
     Null and empty texts count as texts without words (one end each). An empty table gives a model without words.
     """
+    with brief_shuffles(df.sparkSession):
+        return _train(df, held_out, id_column, text_column, least)
+
+
+def _train(df: DataFrame, held_out: Column, id_column: str, text_column: str, least: int) -> tuple[Model, DataFrame]:
     spark = df.sparkSession
     bound_batches(spark)
     named = df.select(F.col(id_column).cast("long").alias("doc_id"), held_out.alias("held"), F.col(text_column).cast("string").alias("text"))
@@ -364,8 +433,7 @@ def train(df: DataFrame, held_out: Column, id_column: str = "doc_id", text_colum
     shards = max(1, -(-size // SHARD_BYTES))
     folder = local_folder(work_path(spark, "ngram-model"))
 
-    def count_words(words: list[bytes]):
-        found = Counter(words)
+    def count_words(found: Counter[bytes]):
         hashes = np.array([word_hash(w) for w in found], np.int64)
         counts = np.fromiter(found.values(), np.int64)
         return _send((hashes // shards).astype(U), np.zeros(len(hashes), U), counts, hashes % shards)
@@ -464,19 +532,38 @@ def train(df: DataFrame, held_out: Column, id_column: str = "doc_id", text_colum
         reader = opened(model)
         end = int(reader.word_ids([END])[0])
         at = np.flatnonzero(ids[:-1] != end)
-        key, back = np.unique((ids[at].astype(U) << U(32)) | ids[at + 1].astype(U), return_inverse=True)
+        key, _, back = distinct_of((ids[at].astype(U) << U(32)) | ids[at + 1].astype(U))
         shard, node = reader.pairs((key >> U(32)).astype(np.int64), (key & U(0xFFFFFFFF)).astype(np.int64))
-        of, nodes = np.zeros(len(ids), np.int64), np.full(len(ids), -1, np.int64)
-        of[at], nodes[at] = shard[back], node[back]
+        code, kept = np.zeros(len(key), np.uint8), np.flatnonzero(node >= 0)
+        code[kept] = reader.of_pairs(shard[kept], node[kept], "log2")
+        of, nodes, codes = np.zeros(len(ids), np.int64), np.full(len(ids), -1, np.int64), np.zeros(len(ids), np.uint8)
+        of[at], nodes[at], codes[at] = shard[back], node[back], code[back]
         # A triple can only be kept if both of its pairs are.
         third = np.flatnonzero((nodes[:-1] >= 0) & (nodes[1:] >= 0)) + 2 if len(ids) > 2 else np.zeros(0, np.int64)
         third = third[third < len(ids)]
-        return _send(nodes[third - 2].astype(U), ids[third].astype(U), np.ones(len(third), np.int64), of[third - 2])
+        # With a triple goes the stored probability of its last two words, so that its shard need not look them up.
+        rows: dict[str, list] = {k: [] for k in ("shard", "part", "keys", "more", "counts")}
+        for s, own in by_shard(of[third - 2]):
+            own = third[own]
+            triple = (nodes[own - 2].astype(U) << U(32)) | ids[own].astype(U)
+            order = np.argsort(triple)
+            triple = triple[order]
+            first = np.flatnonzero(np.concatenate([[True], triple[1:] != triple[:-1]]))
+            counts = np.diff(np.append(first, len(triple)))
+            for name, value in (("shard", s), ("part", 0), ("keys", pack(triple[first])), ("more", squeeze(codes[own[order[first]] - 1])), ("counts", squeeze(counts))):
+                rows[name].append(value)
+        return rows
 
     def build_triples(rows: pd.DataFrame) -> pd.DataFrame:
-        node, word, counts = _joined(rows)
-        kept = counts >= least
-        node, word, counts = node[kept].astype(np.int64), word[kept].astype(np.int64), counts[kept].astype(np.float64)
+        keys, code, counts = (np.concatenate([read(x) for x in rows[name]]) for name, read in (("keys", unpack), ("more", widen), ("counts", widen)))
+        if len(keys):
+            order = np.argsort(keys, kind="stable")  # blocks are in order each
+            keys = keys[order]
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            keys, code, counts = keys[first], code[order[first]], np.add.reduceat(counts[order].astype(np.int64), first)
+            kept = counts >= least
+            keys, code, counts = keys[kept], code[kept], counts[kept]
+        node, word, counts = (keys >> U(32)).astype(np.int64), (keys & U(0xFFFFFFFF)).astype(np.int64), counts.astype(np.float64)
         shard = int(rows["shard"].iloc[0])
         place = f"{folder}/pairs-{shard}"
         total = load(place, "count2").astype(np.float64)
@@ -488,13 +575,8 @@ def train(df: DataFrame, held_out: Column, id_column: str = "doc_id", text_colum
         EliasFano.of(begin).save(place, "pointers3")
         EliasFano.of(increasing(word, begin[:-1][kinds > 0], kinds[kinds > 0])).save(place, "successors3")
         if len(node):
-            second = pair_words(place)[1][node]
-            reader = Reader(model)
-            lower = np.zeros(len(node))
-            for at in range(0, len(node), 1 << 19):
-                here = slice(at, at + (1 << 19))
-                lower[here] = reader.log_pairs(second[here], word[here], reader.log_words(word[here]))[0]
-            probability = (counts - DISCOUNT) / total[node] + 10.0 ** (off[node] / -STEPS) * 10.0**lower
+            power = 10.0 ** (np.arange(256) / -STEPS)
+            probability = (counts - DISCOUNT) / total[node] + power[off[node]] * power[code]
         else:
             probability = counts
         save(place, "log3", coded(probability))
