@@ -13,6 +13,8 @@ import numpy as np
 
 U = np.uint64
 EVERY = 32
+#: Bits between two samples beyond which the samples of the other kind are looked at.
+FAR = 192
 #: Every byte of a word: its lowest bits (by 1, 2, 4), its lowest bit, its highest bit.
 PAIRS, FOURS, NIBBLES, LOWEST, HIGHEST = (U(x * 0x0101010101010101) for x in (0x55, 0x33, 0x0F, 0x01, 0x80))
 #: Position of the k-th set bit of byte b, at 256 * k + b.
@@ -82,8 +84,14 @@ class EliasFano:
 
     def _select(self, k: np.ndarray, samples: np.ndarray, flip: np.uint64) -> np.ndarray:
         """Position of the k-th one (flip = 0) or zero (flip = all ones)."""
-        place = samples[k // EVERY].astype(np.int64)
-        left = (k % EVERY).astype(U)
+        sample = k // EVERY
+        place, left = samples[sample].astype(np.int64), k - sample * EVERY
+        last = sample + 1 == len(samples)
+        ended = np.where(last, self.n + self.buckets, samples[sample + 1 - last])
+        far = np.flatnonzero(ended - place > FAR)
+        if len(far):
+            place[far], left[far] = self._nearer(k[far], place[far], left[far], ended[far], self.zeros if flip == 0 else self.ones)
+        left = left.astype(U)
         word = place >> 6
         bits = (self.high[word] ^ flip) & (~U(0) << (place & 63).astype(U))
         going = np.arange(len(k))
@@ -104,6 +112,23 @@ class EliasFano:
         at += IN_BYTE[(left << U(8)) | ((bits >> at) & U(255))]
         return (word << 6) + at.astype(np.int64)
 
+    @staticmethod
+    def _nearer(k: np.ndarray, place: np.ndarray, left: np.ndarray, ended: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start of the way to the k-th bit of one kind, and how many of the kind to pass: the last sample of the other kind before it, if nearer.
+
+        Where bits of the other kind are dense, samples of one kind lie far apart, and those of the other kind lead on.
+        """
+        least = -(-(place - (k - left)) // EVERY)
+        low, high = least, np.minimum((ended - (k - left)) // EVERY, len(others) - 1)
+        while (low <= high).any():
+            middle = np.clip((low + high) >> 1, 0, len(others) - 1)
+            going, before = low <= high, others[middle].astype(np.int64) - EVERY * middle <= k
+            low, high = np.where(going & before, middle + 1, low), np.where(going & ~before, middle - 1, high)
+        nearer = high >= least
+        at = np.where(nearer, high, 0)
+        start = others[at].astype(np.int64)
+        return np.where(nearer, start, place), np.where(nearer, k - (start - EVERY * at), left)
+
     def access(self, i: np.ndarray) -> np.ndarray:
         """Values at places ``i``."""
         i = np.asarray(i, np.int64)

@@ -19,7 +19,6 @@ mounted on the executors (a file path), since files of another kind cannot be me
 from __future__ import annotations
 
 import os
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -29,10 +28,10 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prospectry.llm.common import arrow_schema, bound_batches, texts_as_bytes
+from prospectry.llm.common import arrow_schema, bound_batches
 from prospectry.llm.elias_fano import EliasFano, U, load, narrow, save
 from prospectry.session import brief_shuffles, materialize, work_path
 
@@ -264,7 +263,7 @@ class Reader:
         out = np.full(len(node), -1, np.int64)
         for s, own in by_shard(shard):
             own = own[may_hold(self._array(f"pairs-{s}", "filter3"), node[own], third[own])]
-            own = own[np.argsort(node[own], kind="stable")]
+            own = own[np.argsort(node[own])]
             place = self._children(self._list(f"pairs-{s}", "pointers3"), self._list(f"pairs-{s}", "successors3"), node[own], third[own])
             own, place = own[place >= 0], place[place >= 0]
             out[own] = self._array(f"pairs-{s}", "log3")[place]
@@ -392,25 +391,35 @@ def _counted(texts: DataFrame, count) -> DataFrame:
     schema, ddl = arrow_schema(shard="int", part="int", keys="binary", more="binary", counts="binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter[bytes] = Counter()
+        found: dict[bytes, int] = {}
         size = 0
         for batch in batches:
             number, words, counts = split_words(batch.column(0))
-            times = np.bincount(number, minlength=len(words)).tolist()
-            for word, n in zip(words, times):
-                if n:
-                    found[word] += n
-            found[END] += len(counts)
+            times = dict(zip(words, np.bincount(number, minlength=len(words)).tolist()))
+            times[END] = len(counts)
+            found = {**found, **{w: n + found[w] if w in found else n for w, n in times.items()}} if found else times
             size += len(number) + len(counts)
             if size >= RUN_WORDS:
                 yield pa.RecordBatch.from_pydict(count(found), schema=schema)
-                found, size = Counter(), 0
+                found, size = {}, 0
         if size:
             yield pa.RecordBatch.from_pydict(count(found), schema=schema)
 
     return texts.mapInArrow(run, ddl)
 
 
+def _each_shard(spark: SparkSession, shards: int, build) -> None:
+    """Runs ``build`` for every shard, one task for each of up to 1,024: grouping such short rows would bring all shards into one task."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for shard in frame["id"].tolist():
+                build(shard)
+            yield frame
+
+    spark.range(0, shards, 1, min(shards, 1024)).mapInPandas(run, "id long").agg(F.count(F.lit(1))).collect()
+
+
 def _per_shard(blocks: DataFrame, build, ddl: str) -> list:
     return blocks.groupBy("shard").applyInPandas(build, ddl).collect()  # one small row for each shard
 
@@ -433,8 +442,8 @@ def _train(df: DataFrame, held_out: Column, id_column: str, text_column: str, le
     shards = max(1, -(-size // SHARD_BYTES))
     folder = local_folder(work_path(spark, "ngram-model"))
 
-    def count_words(found: Counter[bytes]):
-        hashes = np.array([word_hash(w) for w in found], np.int64)
+    def count_words(found: dict[bytes, int]):
+        hashes = np.fromiter(map(word_hash, found), np.int64, len(found))
         counts = np.fromiter(found.values(), np.int64)
         return _send((hashes // shards).astype(U), np.zeros(len(hashes), U), counts, hashes % shards)
 
@@ -505,11 +514,9 @@ def _train(df: DataFrame, held_out: Column, id_column: str, text_column: str, le
         return pd.DataFrame({"shard": [shard]})
 
     _per_shard(partial, backoffs, "shard int")
-    every = spark.range(shards).repartition(max(1, min(shards, 1024))).select(F.col("id").cast("int").alias("shard"))
     none = pd.DataFrame({"shard": [0], "keys": [b""], "more": [b""], "counts": [b""]})
 
-    def smooth_pairs(rows: pd.DataFrame) -> pd.DataFrame:
-        shard = int(rows["shard"].iloc[0])
+    def smooth_pairs(shard: int) -> None:
         place = f"{folder}/pairs-{shard}"
         if not os.path.exists(f"{place}/count2.npy"):
             build_pairs(none.assign(shard=shard))
@@ -517,16 +524,15 @@ def _train(df: DataFrame, held_out: Column, id_column: str, text_column: str, le
         counts = load(place, "count2").astype(np.float64)
         reader = Reader(model)
         if len(counts):
-            words, back = np.unique(first, return_inverse=True)
+            words, _, back = distinct_of(first)
             total, off = reader.of_words(words, "count")[back], reader.of_words(words, "backoff")[back]
-            words, back = np.unique(second, return_inverse=True)
+            words, _, back = distinct_of(second)
             probability = (counts - DISCOUNT) / total + 10.0 ** (off / -STEPS) * 10.0 ** reader.log_words(words)[back]
         else:
             probability = counts
         save(place, "log2", coded(probability))
-        return pd.DataFrame({"shard": [shard]})
 
-    _per_shard(every, smooth_pairs, "shard int")
+    _each_shard(spark, shards, smooth_pairs)
 
     def count_triples(ids: np.ndarray):
         reader = opened(model)
@@ -585,13 +591,11 @@ def _train(df: DataFrame, held_out: Column, id_column: str, text_column: str, le
 
     _per_shard(_counted_ids(training, count_triples), build_triples, "shard int")
 
-    def fill(rows: pd.DataFrame) -> pd.DataFrame:
-        shard = int(rows["shard"].iloc[0])
+    def fill(shard: int) -> None:
         if not os.path.exists(f"{folder}/pairs-{shard}/backoff2.npy"):
             build_triples(none.assign(shard=shard))
-        return pd.DataFrame({"shard": [shard]})
 
-    _per_shard(every, fill, "shard int")
+    _each_shard(spark, shards, fill)
     return model, every_text
 
 

@@ -68,3 +68,15 @@ def test_training_leaves_no_shuffle_files(spark):
             break
         time.sleep(0.2)
     assert not shuffles() - before and model.tokens > 1000 and spark.conf.get(key) == setting
+
+
+def test_shards_are_not_built_by_one_task(spark, tmp_path):
+    """Steps over all shards deal them out, however short their rows are."""
+
+    def note(shard):
+        from pyspark import TaskContext
+
+        (tmp_path / f"{shard}-{TaskContext.get().partitionId()}").touch()
+
+    ngram_lm._each_shard(spark, 6, note)
+    assert len({p.name.split("-")[1] for p in tmp_path.iterdir()}) == len(list(tmp_path.iterdir())) == 6
