@@ -42,6 +42,8 @@ class EliasFano:
         self.arrays = arrays
         self.low, self.high, self.ones, self.zeros = (arrays[k] for k in self.NAMES[1:])
         self.n, self.bits, self.buckets = (int(x) for x in arrays["meta"])
+        # The 64 bits from each byte on: at least 57 from any place come with one look.
+        self.low_at, self.high_at = (np.ndarray((8 * len(x) - 7,), "<u8", buffer=x, strides=(1,)) for x in (self.low, self.high))
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
@@ -75,6 +77,8 @@ class EliasFano:
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         start = i * self.bits
+        if self.bits <= 57:
+            return (self.low_at[start >> 3] >> (start & 7).astype(U)) & U((1 << self.bits) - 1)
         word, shift = start >> 6, (start & 63).astype(U)
         value = self.low[word] >> shift
         over = (start & 63) + self.bits > 64
@@ -92,17 +96,15 @@ class EliasFano:
         if len(far):
             place[far], left[far] = self._nearer(k[far], place[far], left[far], ended[far], self.zeros if flip == 0 else self.ones)
         left = left.astype(U)
-        word = place >> 6
-        bits = (self.high[word] ^ flip) & (~U(0) << (place & 63).astype(U))
-        going = np.arange(len(k))
+        bits = (self.high_at[place >> 3] ^ flip) >> (place & 7).astype(U)
+        count = np.bitwise_count(bits)
+        going = np.flatnonzero(left >= count)
         while len(going):
-            count = np.bitwise_count(bits[going]).astype(U)
-            going = going[left[going] >= count] if len(going) else going
-            if not len(going):
-                break
-            left[going] -= np.bitwise_count(bits[going]).astype(U)
-            word[going] += 1
-            bits[going] = self.high[word[going]] ^ flip
+            left[going] -= count[going]
+            place[going] = (place[going] | 7) + 57
+            bits[going] = self.high_at[place[going] >> 3] ^ flip
+            count[going] = np.bitwise_count(bits[going])
+            going = going[left[going] >= count[going]]
         # Set bits up to the end of each byte, all eight in one word; bytes that end before the bit looked for are counted.
         sums = bits - ((bits >> U(1)) & PAIRS)
         sums = (sums & FOURS) + ((sums >> U(2)) & FOURS)
@@ -110,7 +112,7 @@ class EliasFano:
         at = np.bitwise_count(((left * LOWEST | HIGHEST) - sums) & HIGHEST).astype(U) << U(3)
         left -= ((sums << U(8)) >> at) & U(255)
         at += IN_BYTE[(left << U(8)) | ((bits >> at) & U(255))]
-        return (word << 6) + at.astype(np.int64)
+        return place + at.astype(np.int64)
 
     @staticmethod
     def _nearer(k: np.ndarray, place: np.ndarray, left: np.ndarray, ended: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,14 +140,13 @@ class EliasFano:
         """Values at places ``i`` and at the places after them, which exist: one search for both."""
         one = self._select(i, self.ones, U(0))
         next_one = one + 1
-        word = next_one >> 6
-        bits = self.high[word] & (~U(0) << (next_one & 63).astype(U))
+        bits = self.high_at[next_one >> 3] >> (next_one & 7).astype(U)
         going = np.flatnonzero(bits == 0)
         while len(going):
-            word[going] += 1
-            bits[going] = self.high[word[going]]
+            next_one[going] = (next_one[going] | 7) + 57
+            bits[going] = self.high_at[next_one[going] >> 3]
             going = going[bits[going] == 0]
-        next_one = (word << 6) + np.bitwise_count(bits ^ (bits - U(1))) - 1
+        next_one += np.bitwise_count(bits ^ (bits - U(1))).astype(np.int64) - 1
         return ((one - i) << self.bits) | self._low(i).astype(np.int64), ((next_one - i - 1) << self.bits) | self._low(i + 1).astype(np.int64)
 
     def find(self, values: np.ndarray) -> np.ndarray:
@@ -160,9 +161,9 @@ class EliasFano:
         flip = ~U(0)
         begin = np.where(high > 0, self._select(np.maximum(high - 1, 0), self.zeros, flip) + 1, 0)
         start = begin - high
-        # The bucket's values are the ones up to the next zero; those that reach the end of a word are counted up to that zero's place.
-        shift = begin & 63
-        bits = ~(self.high[begin >> 6] >> shift.astype(U))
+        # The bucket's values are the ones up to the next zero; those that go beyond the bits looked at are counted up to that zero's place.
+        shift = begin & 7
+        bits = ~(self.high_at[begin >> 3] >> shift.astype(U))
         count = np.bitwise_count(bits ^ (bits - U(1))).astype(np.int64) - 1
         over = np.flatnonzero(count + shift >= 63)
         count[over] = self._select(high[over], self.zeros, flip) - begin[over]

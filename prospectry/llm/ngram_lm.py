@@ -170,9 +170,9 @@ def may_hold(bitset: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.nd
 
 def by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Each shard that occurs, and its places in order."""
-    order = np.argsort(narrow(shard), kind="stable")
-    names, first = np.unique(shard[order], return_index=True)
-    return zip(names.tolist(), np.split(order, first[1:]))
+    order, sizes = np.argsort(narrow(shard), kind="stable"), np.bincount(shard)
+    names = np.flatnonzero(sizes)
+    return zip(names.tolist(), np.split(order, np.cumsum(sizes[names])[:-1]))
 
 
 class Reader:
@@ -245,8 +245,8 @@ class Reader:
         shard, node = pair_shard(first, second, self.model.shards), np.full(len(first), -1, np.int64)
         for s, own in by_shard(shard):
             own = own[may_hold(self._array(f"pairs-{s}", "filter2"), first[own], second[own])]
-            distinct, back = np.unique(first[own], return_inverse=True)
-            context = self._list(f"pairs-{s}", "contexts").find(distinct)[back]
+            new = np.diff(first[own], prepend=-1) != 0  # pairs come in order, mostly
+            context = self._list(f"pairs-{s}", "contexts").find(first[own[new]])[np.cumsum(new) - 1]
             own, context = own[context >= 0], context[context >= 0]
             if len(own):
                 node[own] = self._children(self._list(f"pairs-{s}", "pointers"), self._list(f"pairs-{s}", "successors"), context, second[own])
@@ -271,20 +271,18 @@ class Reader:
 
     def log_words(self, ids: np.ndarray) -> np.ndarray:
         """log10 of the add-one probability of each word."""
-        count = np.zeros(len(ids), np.int64)
-        known = np.flatnonzero(ids >= 0)
-        distinct, _, back = distinct_of(ids[known])
-        count[known] = self.of_words(distinct, "count")[back]
-        return np.log10((count + 1) / (self.model.tokens + self.model.distinct + 1))
+        distinct, _, back = distinct_of(ids)
+        count, known = np.zeros(len(distinct), np.int64), np.flatnonzero(distinct >= 0)
+        count[known] = self.of_words(distinct[known], "count")
+        return np.log10((count + 1) / (self.model.tokens + self.model.distinct + 1))[back]
 
     def log_pairs(self, first: np.ndarray, second: np.ndarray, log_second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """log10 P(second | first) with backoff, and shard and node of the pair; ids may be -1."""
         log, shard, node = log_second.copy(), np.zeros(len(first), np.int64), np.full(len(first), -1, np.int64)
-        known = np.flatnonzero(first >= 0)
-        log[known] -= self.of_words(first[known], "backoff") / STEPS
-        both = known[second[known] >= 0]
+        both = np.flatnonzero((first >= 0) & (second >= 0))
         shard[both], node[both] = self.pairs(first[both], second[both])
-        kept = np.flatnonzero(node >= 0)
+        kept, less = np.flatnonzero(node >= 0), np.flatnonzero((node < 0) & (first >= 0))
+        log[less] -= self.of_words(first[less], "backoff") / STEPS
         log[kept] = -self.of_pairs(shard[kept], node[kept], "log2") / STEPS
         return log, shard, node
 
@@ -304,11 +302,12 @@ class Reader:
         third = np.flatnonzero(inside & np.concatenate([[False], inside[:-1]]) & (np.concatenate([[-1], node_at[:-1]]) >= 0))
         if len(third):
             context, of = node_at[third - 1], shard_at[third - 1]
-            log[third] -= self.of_pairs(of, context, "backoff2") / STEPS
-            with_id = ids[third] >= 0
+            with_id = np.flatnonzero(ids[third] >= 0)
             code = np.full(len(third), -1, np.int64)
             code[with_id] = self.triples(of[with_id], context[with_id], ids[third[with_id]])
-            log[third[code >= 0]] = -code[code >= 0] / STEPS
+            kept, less = np.flatnonzero(code >= 0), np.flatnonzero(code < 0)
+            log[third[kept]] = -code[kept] / STEPS
+            log[third[less]] -= self.of_pairs(of[less], context[less], "backoff2") / STEPS
         return log, base
 
 
